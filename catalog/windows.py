@@ -150,19 +150,19 @@ DFT = f"""WITH {windows_cte(SMALL_W, SMALL_S)},
 g AS (SELECT win, avg(x) AS mu FROM r GROUP BY win),
 b AS (SELECT r.win, n, f, sum((x - mu) * cos(2 * pi() * f * i / n)) AS re, sum((x - mu) * sin(2 * pi() * f * i / n)) AS im
       FROM r JOIN g USING (win), (SELECT unnest(range({SMALL_W // 2 + 1})) AS f) WHERE f <= n // 2 GROUP BY 1, 2, 3)
-SELECT win, f AS bin, round((re * re + im * im) / (4e2 * n) * CASE WHEN f = 0 OR 2 * f = n THEN 1 ELSE 2 END, 6) AS p FROM b"""
+SELECT win, f AS bin, round((re * re + im * im) / (4e2 * n) * CASE WHEN f = 0 OR 2 * f = n THEN 1 ELSE 2 END, 4) AS p FROM b"""
 
 
 @query("w_psd", DFT)
 def w_psd(spark, sf):
     df = window_features(event_series(spark, sf), {"y": ("w_psd", {"fs": 4e2})}, SMALL_W, SMALL_S)
-    return df.select("win", F.posexplode("y").alias("bin", "p")).select("win", F.col("bin").cast("bigint").alias("bin"), F.round("p", 6).alias("p"))
+    return df.select("win", F.posexplode("y").alias("bin", "p")).select("win", F.col("bin").cast("bigint").alias("bin"), F.round("p", 4).alias("p"))
 
 
 @query("w_periodogram", DFT + " WHERE f < 20")
 def w_periodogram(spark, sf):
     df = window_features(event_series(spark, sf), {"y": ("w_periodogram", {"fs": 4e2, "N": 20})}, SMALL_W, SMALL_S)
-    return df.select("win", F.posexplode("y").alias("bin", "p")).select("win", F.col("bin").cast("bigint").alias("bin"), F.round("p", 6).alias("p"))
+    return df.select("win", F.posexplode("y").alias("bin", "p")).select("win", F.col("bin").cast("bigint").alias("bin"), F.round("p", 4).alias("p"))
 
 
 @query("w_spectrogram_downsampled")
@@ -184,8 +184,8 @@ def long_series_spectrogram(spark, sf):
 
 @query("w_mean_per_series", f"""WITH {USERS}, c AS (SELECT series_id, count(*) AS n FROM u GROUP BY 1 HAVING count(*) >= 40),
 k AS (SELECT series_id, n, unnest(range(CAST(ceil((n - 40 + 15) / 15.0) AS BIGINT))) AS win FROM c)
-SELECT u.series_id, win, round(avg(x), 6) AS avg_x, round(median(x), 6) AS med_x FROM k JOIN u ON u.series_id = k.series_id
+SELECT u.series_id, win, round(avg(x), 8) AS avg_x, round(median(x), 6) AS med_x FROM k JOIN u ON u.series_id = k.series_id
  AND pos >= win * 15 AND pos < win * 15 + 40 GROUP BY 1, 2""")
 def w_mean_per_series(spark, sf):
     df = window_features(user_series(spark, sf), {"a": ("w_mean", {}), "m": ("w_median", {})}, 40, 15, short="drop")
-    return df.select("series_id", "win", F.round("a", 6).alias("avg_x"), F.round("m", 6).alias("med_x"))
+    return df.select("series_id", "win", F.round("a", 8).alias("avg_x"), F.round("m", 6).alias("med_x"))

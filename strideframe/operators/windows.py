@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -72,14 +74,23 @@ def window_features(s: DataFrame, features: dict[str, tuple[str, dict]], window_
         df = df.groupBy(KEY, "pstart").agg(*pane_aggregates(list(direct.values())))
         size = block_size(tail, window_stride, block or max(MIN_BLOCK, 64 * window_stride))
         parts.append(merge_panes(halo(df, size, right=tail, pos="pstart"), direct, window_size, window_stride))
-    parts = [_valid(p, window_size, window_stride, short) for p in parts]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.join(p.drop("n"), [KEY, "win"])
+    out = assemble([_valid(p, window_size, window_stride, short) for p in parts], [KEY, "win", "n"])
     order = [KEY, "win", *(["n"] if keep_n else []), *features, *(["ttf"] if label else [])]
     return out.select(*order)
 
 
+def assemble(parts: list[DataFrame], keys: list[str]) -> DataFrame:
+    """Put tables with the same key rows and different columns side by side.
+
+    One union and one aggregate, so one exchange for any number of tables (a chain of joins needs two each).
+    """
+    if len(parts) == 1:
+        return parts[0]
+    columns = [c for p in parts for c in p.columns if c not in keys]
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return stacked.groupBy(*keys).agg(*[F.first(c, ignorenulls=True).alias(c) for c in columns])
+
+
 def _framed_panes(f: Frame, ops: dict[str, PaneOp], size: int, stride: int, tail: int) -> DataFrame:
     leads = sorted({lead for op in ops.values() for lead in op.leads})
     df = f.df.select("*", *[F.lead("x", lead).over(f.ordered).alias(f"x{lead}") for lead in leads])

@@ -9,6 +9,7 @@ from ..frame import idiv
 from ..series import dense_positions, series
 
 LABEL_BLOCK = 1 << 16
+MICROS = "timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts)"  # ts carries no time zone
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,7 +25,7 @@ def event_series(spark: SparkSession, sf_dir: str, label: bool = False) -> DataF
     ev = read_table(spark, sf_dir, "events")
     if not label:
         return series(ev, "event_id", "value")
-    ev = ev.select("event_id", "value", F.unix_micros("ts").alias("t"), (F.col("event_type") == "error").alias("failed"))
+    ev = ev.select("event_id", "value", F.expr(MICROS).alias("t"), (F.col("event_type") == "error").alias("failed"))
     ev = ev.withColumn("_b", idiv("event_id", LABEL_BLOCK))
     failure = F.when(F.col("failed"), F.col("t"))
     per_block = ev.groupBy("_b").agg(F.min(failure).alias("_first"))
