@@ -36,7 +36,7 @@ def table_sql(features: dict[str, tuple[str, str]], label: bool = True, digits:
     if label:
         ctes.append(LABEL.replace("FROM k JOIN", "FROM k0 JOIN"))
     tail = " JOIN ".join([joins[0], *[f"{j} USING (win)" for j in joins[1:]], *(["tt USING (win)"] if label else [])])
-    cols = ", ".join(["win", *features, *(["round(ttf, 4) AS ttf"] if label else [])])
+    cols = ", ".join(["win", *features, *(["round(ttf, 6) AS ttf"] if label else [])])
     return f"WITH {', '.join(ctes)} SELECT {cols} FROM {tail}"
 
 
@@ -45,7 +45,7 @@ def spec(name, features: dict, sql: str | None, label=True, digits=5):
 
     def run(spark, sf):
         df = build_features(event_series(spark, sf, label=label), chains, W, S)
-        return df.select("win", *[F.round(k, digits).alias(k) for k in features], *([F.round("ttf", 4).alias("ttf")] if label else []))
+        return df.select("win", *[F.round(k, digits).alias(k) for k in features], *([F.round("ttf", 6).alias("ttf")] if label else []))
 
     query(name, sql)(run)
 
@@ -70,7 +70,7 @@ raw AS (SELECT win, value AS x, lead(value, 2) OVER (PARTITION BY win ORDER BY e
 d AS (SELECT win, round((sum(x * x2) - avg(x) * (sum(x) FILTER (x2 IS NOT NULL) + sum(x2)) + (count(*) - 2) * avg(x) * avg(x))
         / ((count(*) - 2) * var_pop(x)), 5) AS ac FROM raw GROUP BY win),
 {LABEL}
-SELECT win, integral, q01, c3, std, ac, round(ttf, 4) AS ttf FROM a JOIN b USING (win) JOIN c USING (win) JOIN d USING (win) JOIN tt USING (win)"""
+SELECT win, integral, q01, c3, std, ac, round(ttf, 6) AS ttf FROM a JOIN b USING (win) JOIN c USING (win) JOIN d USING (win) JOIN tt USING (win)"""
 STD50 = {"r_std": {"window_size": 50}}
 spec("table_shared_prefix", {
     "integral": {**STD50, "w_integral": {"q": 0.1}}, "q01": {**STD50, "w_quantile": {"q": 0.01}},
@@ -84,7 +84,7 @@ spec("table_window_then_clip", {"clipped": {**STD50, "w_quantile": {"q": 0.01},
 spec("table_integral", {"integral_std_rolling_100": {"r_std": {"window_size": 100}, "w_integral": {"q": 0.1}}}, f"""
 WITH {windows_cte(source=std_rows(100))}, g AS (SELECT win, quantile_cont(x, 0.1) AS q FROM r GROUP BY win), {LABEL},
 a AS (SELECT win, coalesce(sum(x) - (arg_min(x, i) + arg_max(x, i)) / 2, 0) AS y FROM r JOIN g USING (win) WHERE x < q GROUP BY win)
-SELECT win, round(y, 5) AS integral_std_rolling_100, round(ttf, 4) AS ttf FROM a JOIN tt USING (win)""")
+SELECT win, round(y, 5) AS integral_std_rolling_100, round(ttf, 6) AS ttf FROM a JOIN tt USING (win)""")
 
 
 def sta_lta_rows(a: int, b: int) -> str:

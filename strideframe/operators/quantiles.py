@@ -34,7 +34,7 @@ def exact_quantiles(df: DataFrame, keys: list[str], col: str, qs: dict[str, floa
         (F.col("_max") if q + slack >= 1 else F.when(small, F.col("_max")).otherwise(F.col("_a")[at[q + slack]])).alias("hi"))
         for i, q in enumerate(qs.values())])
     sketch = sketch.select(*keys, "_n", bracket.alias("_b"))
-    joined = data.select(*keys, col).join(sketch, keys) if keys else data.select(col).crossJoin(F.broadcast(sketch))
+    joined = data.select(*keys, col).join(sketch, keys)
     inside = (joined.withColumn("_e", F.explode("_b")).filter(v <= F.col("_e.hi"))
               .withColumn("_v", F.when(v >= F.col("_e.lo"), v))
               .groupBy(*keys, "_n", F.col("_e.qi").alias("_qi"), F.col("_e.q").alias("_q"), "_v")

@@ -35,8 +35,18 @@ def resample_to(df: DataFrame, columns: list[str], grid: DataFrame) -> DataFrame
     return _interpolate(targets, df, columns, "win")
 
 
+CHUNK = 1 << 16
+
+
+def counter(df: DataFrame, rows: Column, out: str) -> DataFrame:
+    """Repeat each row with ``out`` = 0 .. rows-1; in two steps, so that no single task expands a long range."""
+    last = rows - 1
+    df = df.withColumn("_c", F.explode(F.sequence(F.lit(0).cast("bigint"), last, F.lit(CHUNK).cast("bigint"))))
+    df = df.repartition(*df.columns)
+    return df.withColumn(out, F.explode(F.sequence("_c", F.least(F.col("_c") + (CHUNK - 1), last)))).drop("_c")
+
+
 def resample(df: DataFrame, columns: list[str], rows: int) -> DataFrame:
     """Bring every series of ``df(series_id, win, columns)`` to ``rows`` rows."""
-    old = df.groupBy(KEY).agg(F.count(F.lit(1)).alias("n_old")).withColumn("n_new", F.lit(rows))
-    index = df.sparkSession.range(rows).withColumnRenamed("id", "win")
-    return _interpolate(old.crossJoin(index), df, columns, "win")
+    old = df.groupBy(KEY).agg(F.count(F.lit(1)).alias("n_old")).withColumn("n_new", F.lit(rows).cast("bigint"))
+    return _interpolate(counter(old, F.col("n_new"), "win"), df, columns, "win")
