@@ -25,9 +25,9 @@ def digitized_fine(spark, sf):
     return event_series(spark, sf).select("pos", digitize(F.col("x") + 0.005, 0.0, 0.1, 1000).alias("y"))
 
 
-@query("label_class", f"WITH {LABELLED} SELECT pos, CASE WHEN ttf IS NOT NULL THEN least(floor(ttf / 100), 15)::BIGINT END AS y FROM lab")
+@query("label_class", f"WITH {LABELLED} SELECT pos, CASE WHEN ttf IS NULL THEN -1 ELSE least(floor(ttf / 100), 15)::BIGINT END AS y FROM lab")
 def classes(spark, sf):
-    return event_series(spark, sf, label=True).select("pos", label_class(F.col("ttf") / 100).alias("y"))
+    return event_series(spark, sf, label=True).select("pos", F.coalesce(label_class(F.col("ttf") / 100), F.lit(-1)).alias("y"))
 
 
 @query("clip", "SELECT event_id AS pos, least(greatest(value, 5.0), 90.0)::DOUBLE AS x FROM events")

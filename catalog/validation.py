@@ -1 +1,335 @@
-"""Placeholder."""
+"""Folds, scalers, models, metrics, run summaries and segment scoring over a feature table of the event signal."""
+
+from __future__ import annotations
+
+import functools
+
+from pyspark.ml import PipelineModel
+from pyspark.sql import functions as F
+
+from strideframe.models import folds as FO
+from strideframe.models import runs
+from strideframe.models.estimators import binned_classifier, class_centre, create_model, ensemble_mean
+from strideframe.models.metrics import METRICS, score, score_summary
+from strideframe.models.scaling import fit, scale_folds, transform
+from strideframe.operators.windows import window_features
+from strideframe.sources.tables import event_series, read_table, user_series
+from strideframe.sources.writers import append_summary, latest_predictions, read_summary, write_submission
+
+from . import query
+from .preparation import scratch
+from .rows import USERS
+from .specs import LABEL
+from .windows import S, W, windows_cte
+
+FEATURES = {"avg_x": ("w_mean", {}), "std_x": ("w_std", {}), "top": ("w_max", {}), "slope": ("w_linear_trend", {})}
+COLS = list(FEATURES)
+
+
+def features(spark, sf):
+    """One row per labelled window: ``pos`` and four features."""
+    df = window_features(event_series(spark, sf, label=True), FEATURES, W, S, label=True)
+    return df.filter("ttf is not null").select(F.col("win").alias("pos"), *COLS, "ttf")
+
+
+FTAB = f"""{windows_cte()}, {LABEL},
+t AS (SELECT win AS pos, avg(x) AS avg_x, stddev_pop(x) AS std_x, max(x) AS top, regr_slope(x, i) AS slope, any_value(ttf) AS ttf
+      FROM r JOIN tt USING (win) WHERE ttf IS NOT NULL GROUP BY win)"""
+
+
+def event_rows(spark, sf):
+    return read_table(spark, sf, "events").select(F.col("event_id").alias("pos"), F.col("value").alias("x"), "event_type")
+
+
+def count_events(spark, sf):
+    return event_rows(spark, sf).count()  # parquet footer
+
+
+# folds over all events; the draws are modular arithmetic, which SQL repeats
+
+
+def mix_sql(value: str, seed: int) -> str:
+    v = f"(({value}) * 104729 + {seed * 7919 + 12345}) % 2147483647"
+    steps = [f"SELECT id, {v} AS v0 FROM ids"]
+    for i in range(3):
+        steps.append(f"SELECT id, (w * w + w + 1) % 2147483647 AS v{i + 1} FROM (SELECT id, v{i} * 48271 % 2147483647 AS w FROM ({steps[-1]}))")
+    return steps[-1]
+
+
+def fragments_sql(k: int, frag: float, pad: int, seed: int) -> str:
+    return f"""c AS (SELECT n, n // {k} AS test, greatest(1, CAST(floor((n // {k}) * CAST({frag} AS DOUBLE)) AS BIGINT)) AS fr FROM (SELECT count(*) AS n FROM events)),
+ids AS (SELECT unnest(range({k} * fr)) AS id FROM c), mx AS ({mix_sql('id', seed)}),
+fg AS (SELECT id // fr AS fold, id % fr AS fragment, {pad} + v3 % (n - 1 - greatest(1, test // fr) - {pad}) AS start, greatest(1, test // fr) AS len, n FROM mx, c),
+frg AS (SELECT fold, fragment, start, least(start + len, n - 1) AS stop, greatest(start - {pad}, 0) AS p0,
+        least(least(start + len, n - 1) + {pad}, n - 1) AS p1 FROM fg)"""
+
+
+PARAMS = {"n_splits": 5, "fragmentation": 0.02, "pad": 7, "seed": 11}
+FRG = fragments_sql(5, 0.02, 7, 11)
+ROLES = f"""{FRG}, f AS (SELECT unnest(range(5)) AS fold),
+roles AS (SELECT e.event_id AS pos, f.fold, CASE WHEN count(*) FILTER (e.event_id >= start AND e.event_id < stop) > 0 THEN 'test'
+  WHEN count(start) > 0 THEN 'pad' ELSE 'train' END AS role
+  FROM events e CROSS JOIN f LEFT JOIN frg ON frg.fold = f.fold AND e.event_id >= p0 AND e.event_id < p1 GROUP BY 1, 2)"""
+
+
+@query("block_fragments", f"WITH {FRG} SELECT fold::INTEGER AS fold, fragment::BIGINT AS fragment, start, stop AS \"end\", p0 AS pad_start, p1 AS pad_end FROM frg")
+def fragments(spark, sf):
+    return FO.block_fragments(spark, count_events(spark, sf), **PARAMS)
+
+
+@query("block_folds", f"WITH {ROLES} SELECT pos, fold::INTEGER AS fold, role FROM roles")
+def block_folds(spark, sf):
+    return FO.block_folds(event_rows(spark, sf), count_events(spark, sf), **PARAMS).select("pos", "fold", "role")
+
+
+@query("block_folds_thrown_out", f"WITH {ROLES} SELECT fold::INTEGER AS fold, round(count(*) FILTER (role = 'pad') * 100.0::DOUBLE / count(*), 6) AS thrown_out FROM roles GROUP BY 1")
+def thrown_out(spark, sf):
+    n = count_events(spark, sf)
+    out = FO.thrown_out(FO.block_folds(event_rows(spark, sf), n, **PARAMS), n)
+    return out.select("fold", F.round("thrown_out", 6).alias("thrown_out"))
+
+
+@query("fold_unused_rows", f"WITH {ROLES} SELECT fold::INTEGER AS fold, pos FROM roles WHERE role = 'pad'")
+def unused(spark, sf):
+    rows = event_rows(spark, sf)
+    return FO.unused_rows(FO.block_folds(rows, count_events(spark, sf), **PARAMS), rows, 5)
+
+
+@query("single_split", "SELECT event_id AS pos, role FROM events, (SELECT unnest(['train', 'test']) AS role)")
+def single(spark, sf):
+    return FO.block_folds(event_rows(spark, sf), 1, n_splits=1).select("pos", "role")
+
+
+KF = """WITH n AS (SELECT count(*) AS n FROM events), f AS (SELECT unnest(range(7)) AS fold),
+p AS (SELECT pos, CASE WHEN pos < (n % 7) * (n // 7 + 1) THEN pos // (n // 7 + 1) ELSE (pos - (n % 7) * (n // 7 + 1)) // (n // 7) + n % 7 END AS part FROM ({}), n)
+SELECT {} fold::INTEGER AS fold, CASE WHEN part = fold THEN 'test' ELSE 'train' END AS role FROM p, f"""
+
+
+@query("k_fold", KF.format("SELECT event_id AS pos FROM events", "pos,"))
+def k_fold(spark, sf):
+    return FO.k_fold(event_rows(spark, sf), count_events(spark, sf), 7).select("pos", "fold", "role")
+
+
+SHUFFLED = f"""SELECT id, row_number() OVER (ORDER BY v3, id) - 1 AS pos FROM ({mix_sql('id', 4)})"""
+
+
+@query("k_fold_shuffled", KF.replace("WITH n AS", "WITH ids AS (SELECT event_id AS id FROM events), n AS").replace("SELECT pos, CASE", "SELECT id, CASE")
+       .format(SHUFFLED, "id AS pos,"))
+def k_fold_shuffled(spark, sf):
+    return FO.k_fold(event_rows(spark, sf), count_events(spark, sf), 7, shuffle=True, seed=4).select("pos", "fold", "role")
+
+
+@query("repeated_k_fold", "SELECT fold::INTEGER AS fold, count(*) AS rows FROM events, (SELECT unnest(range(6)) AS fold) GROUP BY 1")
+def repeated_k_fold(spark, sf):
+    n = count_events(spark, sf)
+    return FO.repeated(FO.k_fold, 2, 3, df=event_rows(spark, sf), n=n).groupBy("fold").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query("stratified_k_fold", """WITH p AS (SELECT event_id AS pos, (row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1) % 5 AS part FROM events)
+SELECT pos, fold::INTEGER AS fold, CASE WHEN part = fold THEN 'test' ELSE 'train' END AS role FROM p, (SELECT unnest(range(5)) AS fold)""")
+def stratified(spark, sf):
+    return FO.stratified_k_fold(event_rows(spark, sf), "event_type", 5).select("pos", "fold", "role")
+
+
+@query("repeated_stratified_k_fold", """SELECT fold::INTEGER AS fold, event_type, count(*) AS rows FROM events, (SELECT unnest(range(6)) AS fold) GROUP BY 1, 2""")
+def repeated_stratified(spark, sf):
+    df = FO.repeated(functools.partial(FO.stratified_k_fold, label="event_type"), 2, 3, df=event_rows(spark, sf))
+    return df.groupBy("fold", "event_type").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query("time_series_split", """WITH n AS (SELECT count(*) AS n, count(*) // 5 AS size FROM events),
+p AS (SELECT event_id AS pos, fold, n - 4 * size + fold * size AS start, size FROM events, n, (SELECT unnest(range(4)) AS fold))
+SELECT pos, fold::INTEGER AS fold, CASE WHEN pos < start THEN 'train' ELSE 'test' END AS role FROM p WHERE pos < start + size""")
+def time_series(spark, sf):
+    return FO.time_series_split(event_rows(spark, sf), count_events(spark, sf), 4).select("pos", "fold", "role")
+
+
+# scalers
+@query("standard_scaler", "SELECT event_id AS pos, round((value - (SELECT avg(value) FROM events)) / (SELECT stddev_pop(value) FROM events), 6) AS x FROM events")
+def standard(spark, sf):
+    df = event_rows(spark, sf)
+    return transform(df, ["x"], fit(df, ["x"])).select("pos", F.round("x", 6).alias("x"))
+
+
+@query("min_max_scaler", "SELECT event_id AS pos, round((value - (SELECT min(value) FROM events)) / (SELECT max(value) - min(value) FROM events), 7) AS x FROM events")
+def min_max(spark, sf):
+    df = event_rows(spark, sf)
+    return transform(df, ["x"], fit(df, ["x"], "MinMaxScaler")).select("pos", F.round("x", 7).alias("x"))
+
+
+@query("scaler_per_fold", f"""WITH {ROLES}, z AS (SELECT fold, pos, role, value AS x FROM roles JOIN events ON event_id = pos),
+s AS (SELECT fold, avg(x) AS a, stddev_pop(x) AS b FROM z WHERE role = 'train' GROUP BY fold)
+SELECT z.fold::INTEGER AS fold, pos, role, round((x - a) / b, 6) AS x FROM z JOIN s USING (fold)""")
+def per_fold(spark, sf):
+    folds = FO.block_folds(event_rows(spark, sf).select("pos", "x"), count_events(spark, sf), **PARAMS)
+    return scale_folds(folds, ["x"]).select("fold", "pos", "role", F.round("x", 6).alias("x"))
+
+
+# metrics: a moving-free toy prediction, the mean of the user's value
+@query("metrics", """WITH p AS (SELECT event_type, value AS y, 40 + user_id % 20 AS p FROM events)
+SELECT event_type, round(avg(abs(y - p)), 5) AS mean_absolute_error, round(avg((y - p) * (y - p)), 4) AS mean_squared_error,
+median(abs(y - p)) AS median_absolute_error, max(abs(y - p)) AS max_error, round(1 - var_pop(y - p) / var_pop(y), 6) AS explained_variance_score,
+round(1 - sum((y - p) * (y - p)) / (var_pop(y) * count(y)), 6) AS r2_score FROM p GROUP BY event_type""")
+def metric_values(spark, sf):
+    df = read_table(spark, sf, "events").select("event_type", F.col("value").alias("y"), (F.lit(40.0) + F.col("user_id") % 20).alias("prediction"))
+    out = score(df, list(METRICS), ["event_type"])
+    digits = {"mean_absolute_error": 5, "mean_squared_error": 4, "explained_variance_score": 6, "r2_score": 6}
+    return out.select("event_type", *[F.round(m, digits[m]).alias(m) if m in digits else m for m in METRICS])
+
+
+# models
+KT = f"""{FTAB}, n AS (SELECT count(*) AS n FROM t), fo AS (SELECT unnest(range(3)) AS fold),
+pt AS (SELECT t.*, CASE WHEN pos < (n % 3) * (n // 3 + 1) THEN pos // (n // 3 + 1) ELSE (pos - (n % 3) * (n // 3 + 1)) // (n // 3) + n % 3 END AS part FROM t, n),
+fr AS (SELECT fold, pos, avg_x, ttf, CASE WHEN part = fold THEN 'test' ELSE 'train' END AS role FROM pt, fo),
+lm AS (SELECT fold, regr_slope(ttf, avg_x) AS b, regr_intercept(ttf, avg_x) AS a FROM fr WHERE role = 'train' GROUP BY fold),
+pr AS (SELECT fr.*, a + b * avg_x AS prediction FROM fr JOIN lm USING (fold))"""
+
+
+def folded(spark, sf, k=3):
+    df = features(spark, sf).persist()
+    return FO.k_fold(df, df.count(), k)
+
+
+@query("linear_regression_out_of_fold", f"WITH {KT} SELECT fold::INTEGER AS fold, role, pos, round(ttf, 6) AS y, round(prediction, 3) AS prediction FROM pr")
+def linear(spark, sf):
+    out = runs.out_of_fold(folded(spark, sf), ["avg_x"], "LinearRegression", {})
+    return out.select("fold", "role", "pos", F.round("y", 6).alias("y"), F.round("prediction", 3).alias("prediction"))
+
+
+@query("linear_regression_fold_scores", f"""WITH {KT} SELECT fold::INTEGER AS fold,
+round(avg(abs(ttf - prediction)) FILTER (role = 'test'), 4) AS mean_absolute_error, round(avg(abs(ttf - prediction)) FILTER (role = 'train'), 4) AS mean_absolute_error_train,
+round(avg((ttf - prediction) ** 2) FILTER (role = 'test'), 2) AS mean_squared_error, round(avg((ttf - prediction) ** 2) FILTER (role = 'train'), 2) AS mean_squared_error_train
+FROM pr GROUP BY fold""")
+def linear_scores(spark, sf):
+    out = runs.fold_scores(runs.out_of_fold(folded(spark, sf), ["avg_x"], "LinearRegression", {}), ["mean_absolute_error", "mean_squared_error"])
+    return out.select("fold", *[F.round(c, 4 if "absolute" in c else 2).alias(c) for c in out.columns[1:]])
+
+
+@query("ridge_regression", f"""WITH {FTAB}, s AS (SELECT avg(avg_x) AS mx, stddev_pop(avg_x) AS sx, avg(ttf) AS my, count(*) AS n FROM t),
+z AS (SELECT pos, (avg_x - mx) / sx AS z, ttf - my AS d, my FROM t, s), w AS (SELECT sum(z * d) / (sum(z * z) + 10.0::DOUBLE) AS w FROM z)
+SELECT pos, round(my + w * z, 3) AS prediction FROM z, w""")
+def ridge(spark, sf):
+    df = features(spark, sf)
+    z = runs.assemble_features(transform(df, ["avg_x"], fit(df, ["avg_x"])), ["avg_x"])
+    return create_model("Ridge", {"alpha": 10.0}, z).fit(z).transform(z).select("pos", F.round("prediction", 3).alias("prediction"))
+
+
+@query("lasso_regression", f"""WITH {FTAB}, s AS (SELECT avg(avg_x) AS mx, stddev_pop(avg_x) AS sx, avg(ttf) AS my, count(*) AS n FROM t),
+z AS (SELECT pos, (avg_x - mx) / sx AS z, ttf - my AS d, my, n FROM t, s), c AS (SELECT sum(z * d) / any_value(n) AS c FROM z),
+w AS (SELECT sign(c) * greatest(abs(c) - 1.0::DOUBLE, 0) AS w FROM c)
+SELECT pos, round(my + w * z, 2) AS prediction FROM z, w""")
+def lasso(spark, sf):
+    df = features(spark, sf)
+    z = runs.assemble_features(transform(df, ["avg_x"], fit(df, ["avg_x"])), ["avg_x"])
+    return create_model("Lasso", {"alpha": 1.0}).fit(z).transform(z).select("pos", F.round("prediction", 2).alias("prediction"))
+
+
+def model_query(name: str, model: str, params: dict):
+    query(name)(lambda spark, sf: runs.out_of_fold(folded(spark, sf), COLS, model, params).filter("role = 'test'").select("fold", "pos", "y", "prediction"))
+
+
+model_query("decision_tree", "DecisionTreeRegressor", {"max_depth": 4})
+model_query("random_forest", "RandomForestRegressor", {"n_estimators": 10, "max_depth": 4})
+model_query("extra_trees", "ExtraTreeRegressor", {"n_estimators": 10, "max_depth": 4})
+model_query("gradient_boosting", "XGBRegressor", {"eta": 0.1, "max_depth": 3, "n_estimators": 5, "subsample": 0.95, "eval_metric": "mae", "nthread": 15})
+model_query("ada_boost", "AdaBoostRegressor", {"n_estimators": 5})
+
+
+@query("binned_label_classifier")
+def classifier(spark, sf):
+    df = features(spark, sf).withColumn("bin", F.least(F.floor(F.col("ttf") / 100), F.lit(15)).cast("double"))
+    z = runs.assemble_features(transform(df, COLS, fit(df, COLS)), COLS).persist()
+    model = binned_classifier(len(COLS), [8], max_iter=20).fit(z)
+    return model.transform(z).select("pos", (class_centre() * 100).alias("prediction"))
+
+
+@query("ensemble_mean", f"""WITH {FTAB}, a AS (SELECT regr_slope(ttf, avg_x) AS b, regr_intercept(ttf, avg_x) AS a FROM t),
+c AS (SELECT regr_slope(ttf, top) AS b, regr_intercept(ttf, top) AS a FROM t)
+SELECT pos, round((a.a + a.b * avg_x + c.a + c.b * top) / 2, 3) AS prediction FROM t, a, c""")
+def ensemble(spark, sf):
+    out = features(spark, sf).persist()
+    for i, col in enumerate(("avg_x", "top")):
+        z = runs.assemble_features(out, [col])
+        out = create_model("LinearRegression", {}).fit(z).transform(z).withColumnRenamed("prediction", f"p{i}").drop("features", "y")
+    return out.select("pos", F.round(ensemble_mean(["p0", "p1"]), 3).alias("prediction"))
+
+
+@query("latest_predictions", f"""WITH {ROLES} SELECT pos, round(arg_max(value, fold), 6) AS y, max(fold)::DOUBLE AS yhat
+FROM roles JOIN events ON event_id = pos WHERE role = 'test' GROUP BY pos""")
+def latest(spark, sf):
+    folds = FO.block_folds(event_rows(spark, sf), count_events(spark, sf), **PARAMS).filter("role = 'test'")
+    out = latest_predictions(folds.select("pos", "fold", F.col("x").alias("y"), F.col("fold").cast("double").alias("yhat")))
+    return out.select("pos", F.round("y", 6).alias("y"), "yhat")
+
+
+@query("run_grid")
+def grid(spark, sf):
+    df = features(spark, sf).persist()
+    n = df.count()
+    tables = {"CustomFold": FO.block_folds(df, n, 3, 0.0, 2), "TimeSeriesSplit": FO.time_series_split(df, n, 2)}
+    models = [("LinearRegression", {}), ("DecisionTreeRegressor", {"max_depth": 3})]
+    return runs.run_grid(tables, COLS, models, ["mean_absolute_error", "mean_squared_error"])
+
+
+@query("repeated_validation_score")
+def repeated_score(spark, sf):
+    df = features(spark, sf).persist()
+    n = df.count()
+    parts = [runs.fold_scores(runs.out_of_fold(FO.block_folds(df, n, 3, 0.0, 2, seed=0, repeat=r), COLS, "LinearRegression", {}),
+                              ["mean_absolute_error"]) for r in range(2)]
+    return score_summary(parts[0].unionByName(parts[1]), ["mean_absolute_error"])
+
+
+@query("random_search")
+def search(spark, sf):
+    folds = folded(spark, sf, 2).persist()
+
+    def loss(params):
+        scores = runs.fold_scores(runs.out_of_fold(folds, COLS, "XGBRegressor", params), ["mean_absolute_error"])
+        return scores.agg(F.avg("mean_absolute_error")).first()[0]
+
+    space = {"eta": [0.05, 0.1, 0.2], "max_depth": [2, 3], "n_estimators": [2, 3], "subsample": [0.8, 1.0]}
+    rows = [(i, float(v), str(sorted(p.items()))) for i, (v, p) in enumerate(runs.random_search(space, 2, loss))]
+    return spark.createDataFrame(rows, "place int, loss double, params string")
+
+
+def summaries(spark, sf):
+    path = scratch(spark, "summary")
+    folds = folded(spark, sf)
+    for model, params in (("LinearRegression", {}), ("DecisionTreeRegressor", {"max_depth": 2})):
+        scores = runs.fold_scores(runs.out_of_fold(folds, ["avg_x"], model, params), ["mean_absolute_error"])
+        append_summary(runs.summary_row(scores, ["mean_absolute_error"], "events", ("KFold", {"n_splits": 3}), (model, params),
+                                        ("StandardScaler", {})), path)
+    return read_summary(spark, path)
+
+
+@query("run_summary")
+def summary(spark, sf):
+    return summaries(spark, sf).select("model_name", F.to_json("model_params").alias("model_params"), "folds_name", "mean_absolute_error",
+                                       "mean_absolute_error_train")
+
+
+@query("summary_to_config")
+def config(spark, sf):
+    made = runs.summary_to_config(summaries(spark, sf), [0, 1], ["model_name"])
+    return spark.createDataFrame([(str(made["metrics"]), str(made["folds"]), str(made["validate"]))], "metrics string, folds string, validate string")
+
+
+SEGMENTS = f"""WITH {USERS}, c AS (SELECT series_id, count(*) AS n FROM u GROUP BY 1 HAVING count(*) >= 40),
+k AS (SELECT series_id, n, unnest(range(CAST(ceil((n - 40 + 15) / 15.0) AS BIGINT))) AS win FROM c),
+f AS (SELECT u.series_id, win, avg(x) AS m, arg_max(x, pos) AS ttf FROM k JOIN u ON u.series_id = k.series_id AND pos >= win * 15 AND pos < win * 15 + 40 GROUP BY 1, 2),
+l AS (SELECT regr_slope(ttf, m) AS b, regr_intercept(ttf, m) AS a FROM f)
+SELECT series_id AS seg_id, round(arg_max(a + b * m, win), 4) AS time_to_failure FROM f, l GROUP BY series_id"""
+
+
+@query("score_segments", SEGMENTS)
+def segments(spark, sf):
+    """Train on all windows of all users, save and reload the model, predict each user's last window, write the submission."""
+    table = window_features(user_series(spark, sf), {"m": ("w_mean", {}), "ttf": ("w_last_elem", {})}, 40, 15, short="drop").persist()
+    path = scratch(spark, "model")
+    runs.fit_pipeline(table, ["m"], "LinearRegression", {}).save(path)
+    scored = runs.score_segments(table, PipelineModel.load(path))
+    target = scratch(spark, "submission")
+    write_submission(scored, target)
+    back = spark.read.csv(target, header=True, schema="seg_id string, time_to_failure double")
+    return back.select("seg_id", F.round("time_to_failure", 4).alias("time_to_failure"))
