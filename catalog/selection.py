@@ -78,11 +78,6 @@ def f_scores(spark, sf):
     return SE.f_regression(features(spark, sf), COLS, "ttf").select("feature", F.round("r", 6).alias("r"), F.round("f", 5).alias("f"))
 
 
-@query("f_p_values")
-def p_values(spark, sf):
-    return SE.f_p_values(features(spark, sf), COLS, "ttf")
-
-
 @query("variances", f"WITH {EMB} SELECT feature, round(var_pop(value), 6) AS variance FROM lf GROUP BY feature")
 def variances(spark, sf):
     df, cols = embedded(spark, sf)

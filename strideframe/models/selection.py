@@ -5,7 +5,6 @@ from __future__ import annotations
 from math import floor
 
 from pyspark.ml.feature import UnivariateFeatureSelector
-from pyspark.ml.stat import FValueTest
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -76,12 +75,6 @@ def f_regression(df: DataFrame, columns: list[str], label: str) -> DataFrame:
     return rows.select("feature", "r", (F.col("r") * F.col("r") / (1 - F.col("r") * F.col("r")) * (F.col("n") - 2)).alias("f"))
 
 
-def f_p_values(df: DataFrame, columns: list[str], label: str) -> DataFrame:
-    out = FValueTest.test(assemble_features(df.filter(F.col(label).isNotNull()), columns, label), FEATURES, "y", True)
-    feature = F.element_at(F.array(*[F.lit(c) for c in columns]), F.col("featureIndex") + 1)
-    return out.select(feature.alias("feature"), F.col("pValue").alias("p"), F.col("fValue").alias("f"))
-
-
 def univariate_selection(df: DataFrame, columns: list[str], label: str, mode: str, threshold: float) -> list[str]:
     """Modes ``numTopFeatures``, ``percentile`` (a share), ``fpr``, ``fdr`` and ``fwe``, by the F test."""
     selector = UnivariateFeatureSelector(featuresCol=FEATURES, labelCol="y", outputCol="s", selectionMode=mode)
