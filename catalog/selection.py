@@ -31,7 +31,7 @@ def information_sql(source: str, key: str) -> str:
 BINS = 6
 CUTS = ", ".join(f"quantile_cont({{c}}, CAST({i} AS DOUBLE) / {BINS})" for i in range(1, BINS))
 BINNED = f"""{LONG}, cv AS (SELECT feature, [{CUTS.format(c='value')}] AS cuts, [{CUTS.format(c='ttf')}] AS lcuts FROM lf GROUP BY feature),
-bb AS (SELECT lf.feature, len(list_filter(cuts, q -> q <= value)) AS a, len(list_filter(lcuts, q -> q <= ttf)) AS b FROM lf JOIN cv USING (feature)),
+bb AS (SELECT lf.feature, len([q for q in cuts if q <= value]) AS a, len([q for q in lcuts if q <= ttf]) AS b FROM lf JOIN cv USING (feature)),
 {information_sql('bb', 'feature')}"""
 
 
@@ -64,7 +64,7 @@ EMB = "t AS (SELECT label, unnest(range(16)) AS i, embedding FROM embeddings), l
 
 
 @query("class_information", f"""WITH {EMB}, cv AS (SELECT feature, [{CUTS.format(c='value')}] AS cuts FROM lf GROUP BY feature),
-bb AS (SELECT lf.feature, len(list_filter(cuts, q -> q <= value)) AS a, label AS b FROM lf JOIN cv USING (feature)),
+bb AS (SELECT lf.feature, len([q for q in cuts if q <= value]) AS a, label AS b FROM lf JOIN cv USING (feature)),
 {information_sql('bb', 'feature')}
 SELECT feature, round(ha.h + hb.h - hab.h, 6) AS mi FROM hab JOIN ha USING (feature) JOIN hb USING (feature)""")
 def class_information(spark, sf):
@@ -176,8 +176,8 @@ def quality(spark, sf):
     return out.select("feature", F.round("rmse", 5).alias("rmse"), F.round("l1", 6).alias("l1"), F.round("non_linearity", 5).alias("non_linearity"))
 
 
-@query("repeated_scores", f"""WITH {FTAB}, r AS (SELECT ttf, avg_x + k AS p, k FROM t, (SELECT unnest([0, 10, 20]) AS k)),
-m AS (SELECT k, avg(abs(ttf - p)) AS e FROM r GROUP BY k) SELECT round(median(e), 4) AS mean_absolute_error FROM m""".replace(", r AS (SELECT ttf", ", rr AS (SELECT ttf").replace("FROM r GROUP BY k", "FROM rr GROUP BY k"))
+@query("repeated_scores", f"""WITH {FTAB}, shifted AS (SELECT ttf, avg_x + shift AS p, shift FROM t, (SELECT unnest([0, 10, 20]) AS shift)),
+errors AS (SELECT shift, avg(abs(ttf - p)) AS e FROM shifted GROUP BY shift) SELECT round(median(e), 4) AS mean_absolute_error FROM errors""")
 def repeated(spark, sf):
     df = features(spark, sf)
     parts = {k: df.select(F.col("ttf").alias("y"), (F.col("avg_x") + 10 * k).alias("prediction")) for k in range(3)}

@@ -23,13 +23,19 @@ def long_form(df: DataFrame, columns: list[str], keep: list[str]) -> DataFrame:
     return df.unpivot([F.col(c) for c in keep], [F.col(c).cast("double").alias(c) for c in columns], "feature", "value")
 
 
-def quantile_bins(df: DataFrame, key: str, column: str, out: str, bins: int) -> DataFrame:
-    """Add the equal-frequency bin of a value within its key: how many of the inner quantiles are <= value."""
+def quantile_bins(df: DataFrame, key: str, columns: dict[str, str], bins: int) -> DataFrame:
+    """Add the equal-frequency bins ``{column: output}`` of values within their key: how many of the inner quantiles are <= value.
+
+    The columns are stacked, so that one pass finds the quantiles of all.  The rows are read three
+    times, and are kept for that (they are a feature table, not a signal).
+    """
+    df = df.persist()
     edges = [f"_q{i}" for i in range(1, bins)]
-    cuts = exact_quantiles(df, [key], column, {e: (i + 1) / bins for i, e in enumerate(edges)})
-    cuts = cuts.select(key, F.array(*edges).alias("_cuts"))
-    below = F.size(F.filter("_cuts", lambda q: q <= F.col(column)))
-    return df.join(cuts, key).withColumn(out, below).drop("_cuts")
+    stacked = df.unpivot([F.col(key)], [F.col(c).cast("double").alias(c) for c in columns], "_c", "_v")
+    cuts = exact_quantiles(stacked, [key, "_c"], "_v", {e: (i + 1) / bins for i, e in enumerate(edges)})
+    cuts = cuts.groupBy(key).agg(*[F.max(F.when(F.col("_c") == c, F.array(*edges))).alias("_cuts_" + c) for c in columns])
+    below = lambda c: F.size(F.filter("_cuts_" + c, lambda q: q <= F.col(c)))
+    return df.join(cuts, key).withColumns({out: below(c) for c, out in columns.items()}).drop(*["_cuts_" + c for c in columns])
 
 
 def binned_information(df: DataFrame, columns: list[str], label: str, bins: int = 16, discrete_label: bool = False) -> DataFrame:
@@ -38,11 +44,10 @@ def binned_information(df: DataFrame, columns: list[str], label: str, bins: int
     (A nearest-neighbour estimate would compare all pairs of rows; bins need counts only.)
     """
     rows = long_form(df, columns, [label]).filter(F.col("value").isNotNull() & F.col(label).isNotNull())
-    rows = quantile_bins(rows, "feature", "value", "_a", bins)
     if discrete_label:
-        rows = rows.withColumn("_b", F.col(label))
+        rows = quantile_bins(rows.withColumn("_b", F.col(label)), "feature", {"value": "_a"}, bins)
     else:
-        rows = quantile_bins(rows, "feature", label, "_b", bins)
+        rows = quantile_bins(rows, "feature", {"value": "_a", label: "_b"}, bins)
     return normalized_mutual_information(rows, ["feature"], "_a", "_b").select("feature", "n", "mi", "nmi")
 
 
@@ -167,7 +172,7 @@ def parameter_sweep(tables: dict[float, DataFrame], value: str, label: str, bins
         part = df.select(F.lit(str(param)).alias("param"), F.col(value).cast("double").alias("value"), F.col(label).alias("label"))
         stacked = part if stacked is None else stacked.unionByName(part)
     rows = stacked.filter(F.col("value").isNotNull() & F.col("label").isNotNull())
-    rows = quantile_bins(quantile_bins(rows, "param", "value", "_a", bins), "param", "label", "_b", bins)
+    rows = quantile_bins(rows, "param", {"value": "_a", "label": "_b"}, bins)
     return normalized_mutual_information(rows, ["param"], "_a", "_b").select(F.col("param").cast("double").alias("param"), "mi", "nmi")
 
 
