@@ -31,9 +31,9 @@ def quantile_bins(df: DataFrame, key: str, columns: dict[str, str], bins: int) -
     """
     df = df.persist()
     edges = [f"_q{i}" for i in range(1, bins)]
-    stacked = df.unpivot([F.col(key)], [F.col(c).cast("double").alias(c) for c in columns], "_c", "_v")
-    cuts = exact_quantiles(stacked, [key, "_c"], "_v", {e: (i + 1) / bins for i, e in enumerate(edges)})
-    cuts = cuts.groupBy(key).agg(*[F.max(F.when(F.col("_c") == c, F.array(*edges))).alias("_cuts_" + c) for c in columns])
+    stacked = df.unpivot([F.col(key)], [F.col(c).cast("double").alias(c) for c in columns], "_which", "_cell")
+    cuts = exact_quantiles(stacked, [key, "_which"], "_cell", {e: (i + 1) / bins for i, e in enumerate(edges)})
+    cuts = cuts.groupBy(key).agg(*[F.max(F.when(F.col("_which") == c, F.array(*edges))).alias("_cuts_" + c) for c in columns])
     below = lambda c: F.size(F.filter("_cuts_" + c, lambda q: q <= F.col(c)))
     return df.join(cuts, key).withColumns({out: below(c) for c, out in columns.items()}).drop(*["_cuts_" + c for c in columns])
 
