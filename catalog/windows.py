@@ -90,7 +90,7 @@ simple("w_count_below_mean", "count(*) FILTER (x < mu)", None, STATS, "z")
 simple("w_ratio_beyond_r_sigma", "avg(CASE WHEN abs(x - mu) > 2 * sd THEN 1.0 ELSE 0.0 END)", 6, STATS, "z", r=2)
 simple("w_integral", "coalesce(sum(x) - (arg_min(x, i) + arg_max(x, i)) / 2, 0)", 6, STATS, "z WHERE x < q70", q=0.7)
 simple("w_gskew", "median(x) FILTER (x <= q03) + median(x) FILTER (x >= q97) - 2 * any_value(med)", 6, STATS, "z")
-simple("w_median_BRP", "avg(CASE WHEN abs(x - med) < (hi - lo) / 10 THEN 1.0 ELSE 0.0 END)", 6, STATS, "z")
+simple("w_median_BRP", "avg(CASE WHEN x < med + (hi - lo) / 10 AND x > med - (hi - lo) / 10 THEN 1.0 ELSE 0.0 END)", 6, STATS, "z")
 CON = STATS + """, f AS (SELECT win, n, abs(x - mu) > 2 * sd AS o, lead(abs(x - mu) > 2 * sd) OVER t AS o1,
   lead(abs(x - mu) > 2 * sd, 2) OVER t AS o2 FROM z WINDOW t AS (PARTITION BY win ORDER BY i))"""
 simple("w_con", "count(*) FILTER (o AND o1 AND o2)::DOUBLE / (any_value(n) - 2)", 6, CON, "f")

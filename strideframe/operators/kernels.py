@@ -1,6 +1,6 @@
 """Window features that need the ordered or sorted values of each window.
 
-Spark cuts the series into halo blocks and groups them; each grouped Arrow call gets one block (a few
+Spark cuts the series into halo blocks; each grouped Arrow call gets one block (a few
 window lengths of rows) and evaluates all its windows as the rows of a strided 2-D view.  Rows are
 thus shuffled 1.25 times, whatever the overlap W/S of the windows, and each feature is one short
 array expression.
@@ -16,47 +16,116 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..frame import Frame
+from ..frame import Frame, per_block
 from ..series import KEY
 from . import spectral
 
 CHUNK = 1 << 22  # values materialised at a time
+LONG_WINDOW = 4096  # from here on, overlapping windows are ranked incrementally
+BUCKET = 10  # ranks are counted in buckets of 2**BUCKET
 
 
 class Windows:
-    """k windows of n rows each; what several features share is computed once."""
+    """k windows of n rows each, as a (strided) 2-D view; what several features share is computed once."""
 
     def __init__(self, v: np.ndarray):
         self.v, self.n = v, v.shape[1]
 
-    @cached_property
-    def sorted(self) -> np.ndarray:
-        return np.sort(self.v, axis=1)
+    def by_chunk(self, fn: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+        """Apply an array expression to a few windows at a time, so that its temporaries stay small."""
+        step = max(1, CHUNK // self.n)
+        return np.concatenate([fn(self.v[i:i + step]) for i in range(0, len(self.v), step)])
 
     @cached_property
     def mean(self) -> np.ndarray:
-        return self.v.mean(axis=1, keepdims=True)
+        return self.by_chunk(lambda v: v.mean(axis=1))[:, None]
 
     @cached_property
     def std(self) -> np.ndarray:
-        return self.v.std(axis=1, keepdims=True)
+        return self.by_chunk(lambda v: v.std(axis=1))[:, None]
+
+    def chunks(self) -> Iterator["Windows"]:
+        step = max(1, CHUNK // self.n)
+        for i in range(0, len(self.v), step):
+            part = type(self)(self.v[i:i + step])
+            for name in ("mean", "std"):
+                if name in self.__dict__:
+                    part.__dict__[name] = self.__dict__[name][i:i + step]
+            yield part
+
+    @cached_property
+    def _sorted(self) -> np.ndarray:
+        return np.sort(self.v, axis=1)
+
+    def kth(self, ks: list[int]) -> np.ndarray:
+        """The ks-th smallest values (from 0) of each window, one column each."""
+        return self._sorted[:, ks]
+
+    def below(self, limit: np.ndarray, side: str = "left") -> np.ndarray:
+        """How many values of each window are < its limit (<= with side="right")."""
+        limit = limit.reshape(-1, 1)
+        return ((self.v < limit) if side == "left" else (self.v <= limit)).sum(1)
 
     def quantile(self, q: float) -> np.ndarray:
         at = q * (self.n - 1)
-        lo, hi = int(np.floor(at)), int(np.ceil(at))
-        a, b = self.sorted[:, lo], self.sorted[:, hi]
-        return a + (b - a) * (at - lo)
+        a, b = self.kth([int(np.floor(at)), int(np.ceil(at))]).T
+        return a + (b - a) * (at - np.floor(at))
 
     def order_statistic(self, share: float) -> np.ndarray:
-        return self.sorted[:, min(int(np.ceil(share * self.n)), self.n - 1)]
+        return self.kth([min(int(np.ceil(share * self.n)), self.n - 1)])[:, 0]
+
+
+class SlidingWindows(Windows):
+    """Long windows with large overlap: from one to the next, only ``stride`` ranks leave and enter.
+
+    The block is sorted once.  Moving on updates a presence flag per rank and a count per bucket of
+    ranks, and an order statistic is then found by a cumulative count, instead of sorting each window.
+    """
+
+    def __init__(self, buf: np.ndarray, size: int, stride: int, count: int):
+        super().__init__(np.lib.stride_tricks.sliding_window_view(buf, size)[::stride][:count])
+        order = np.argsort(buf, kind="stable")
+        self.values, self.size, self.stride = buf[order], size, stride
+        self.ranks = np.empty(len(buf), np.int64)
+        self.ranks[order] = np.arange(len(buf))
+
+    def chunks(self) -> Iterator[Windows]:
+        return Windows(self.v).chunks()
+
+    def _slide(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        buckets = (len(self.values) >> BUCKET) + 1
+        present = np.zeros(buckets << BUCKET, bool)
+        counts = np.zeros(buckets, np.int64)
+        done = 0
+        for i in range(len(self.v)):
+            start = i * self.stride
+            gone, new = self.ranks[max(start - self.stride, 0):start], self.ranks[done:start + self.size]
+            done = start + self.size
+            present[gone], present[new] = False, True
+            counts += np.bincount(new >> BUCKET, minlength=buckets) - np.bincount(gone >> BUCKET, minlength=buckets)
+            yield present, np.cumsum(counts)
+
+    def kth(self, ks: list[int]) -> np.ndarray:
+        out = np.empty((len(self.v), len(ks)))
+        for row, (present, upto) in zip(out, self._slide()):
+            for j, (k, b) in enumerate(zip(ks, np.searchsorted(upto, ks, side="right"))):
+                inside = np.flatnonzero(present[b << BUCKET:(b + 1) << BUCKET])
+                row[j] = self.values[(b << BUCKET) + inside[k - (upto[b - 1] if b else 0)]]
+        return out
+
+    def below(self, limit: np.ndarray, side: str = "left") -> np.ndarray:
+        ranks = np.searchsorted(self.values, limit.ravel(), side=side)
+        out = np.empty(len(ranks), np.int64)
+        for i, (r, (present, upto)) in enumerate(zip(ranks, self._slide())):
+            b = r >> BUCKET
+            out[i] = (upto[b - 1] if b else 0) + np.count_nonzero(present[b << BUCKET:r])
+        return out
 
 
 def _integral(w: Windows, q: float = 0.7) -> np.ndarray:
-    """Trapezoid rule over the values below the q-quantile, at unit spacing."""
-    keep = w.v < w.quantile(q)[:, None]
-    row = np.arange(len(keep))
-    ends = w.v[row, keep.argmax(1)] + w.v[row, w.n - 1 - keep[:, ::-1].argmax(1)]
-    return np.where(keep.sum(1) >= 2, np.where(keep, w.v, 0.0).sum(1) - ends / 2, 0.0)
+    """Trapezoid rule over the values below the q-quantile, at unit spacing; 0 for fewer than two values."""
+    kept = (x[x < limit] for x, limit in zip(w.v, w.quantile(q)))
+    return np.array([k.sum() - (k[0] + k[-1]) / 2 if len(k) > 1 else 0.0 for k in kept])
 
 
 def _binned_entropy(w: Windows, max_bins: int = 100) -> np.ndarray:
@@ -75,18 +144,20 @@ def _con(w: Windows) -> np.ndarray:
 
 
 def _gskew(w: Windows) -> np.ndarray:
-    """The values up to P3 (from P97) are the head (tail) of the sorted window: their median is a position."""
-    s, row = w.sorted, np.arange(len(w.v))
-    head = (s <= w.quantile(0.03)[:, None]).sum(1)
-    tail = (s >= w.quantile(0.97)[:, None]).sum(1)
-    low = (s[row, (head - 1) // 2] + s[row, head // 2]) / 2
-    high = (s[row, w.n - 1 - (tail - 1) // 2] + s[row, w.n - 1 - tail // 2]) / 2
-    return low + high - 2 * w.quantile(0.5)
+    """Median of the values up to P3, plus that of the values from P97, minus twice the median."""
+    ends = (w.quantile(0.03), w.quantile(0.97))
+    outer = [np.median(x[x <= lo]) + np.median(x[x >= hi]) for x, lo, hi in zip(w.v, *ends)]
+    return np.array(outer) - 2 * w.quantile(0.5)
 
 
 def _median_brp(w: Windows) -> np.ndarray:
-    buffer = (w.sorted[:, -1] - w.sorted[:, 0]) / 10
-    return (np.abs(w.v - w.quantile(0.5)[:, None]) < buffer[:, None]).mean(1)
+    low, high, median = *w.kth([0, w.n - 1]).T, w.quantile(0.5)
+    buffer = (high - low) / 10
+    return (w.below(median + buffer) - w.below(median - buffer, "right")) / w.n
+
+
+def _beyond(w: Windows, r: float = 2) -> np.ndarray:
+    return w.by_chunk(lambda v: (np.abs(v - v.mean(1, keepdims=True)) > r * v.std(1, keepdims=True)).mean(1))
 
 
 def _percentile_range(w: Windows, lo: float, hi: float) -> np.ndarray:
@@ -137,11 +208,11 @@ KERNELS: dict[str, tuple[pa.DataType, Callable[..., np.ndarray]]] = {
     "w_q31": (FLOAT, lambda w: w.quantile(0.75) - w.quantile(0.25)),
     "w_integral": (FLOAT, _integral),
     "w_binned_entropy": (FLOAT, _binned_entropy),
-    "w_count_above_mean": (LONG, lambda w: (w.v > w.mean).sum(1)),
-    "w_count_below_mean": (LONG, lambda w: (w.v < w.mean).sum(1)),
+    "w_count_above_mean": (LONG, lambda w: w.n - w.below(w.mean, "right")),
+    "w_count_below_mean": (LONG, lambda w: w.below(w.mean)),
     "w_longest_strike_above_mean": (LONG, lambda w: _longest_run(w.v > w.mean)),
     "w_longest_strike_below_mean": (LONG, lambda w: _longest_run(w.v < w.mean)),
-    "w_ratio_beyond_r_sigma": (FLOAT, lambda w, r=2: (np.abs(w.v - w.mean) > r * w.std).mean(1)),
+    "w_ratio_beyond_r_sigma": (FLOAT, _beyond),
     "w_con": (FLOAT, _con),
     "w_percent_difference_flux_percentile": (FLOAT, lambda w: _percentile_range(w, 0.05, 0.95) / w.quantile(0.5)),
     "w_flux_percentile_ratio_sum": (FLOAT, _flux_ratios),
@@ -162,17 +233,31 @@ KERNELS: dict[str, tuple[pa.DataType, Callable[..., np.ndarray]]] = {
 }
 
 
-def _view(buf: np.ndarray, size: int, stride: int, limit: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(index of the first window, 2-D view) for the windows of one block; the partial tail comes last."""
+# features of ranks and counts; they never look at all windows of a block at a time
+BY_RANK = {"w_quantile", "w_median", "w_irq", "w_q31", "w_integral", "w_count_above_mean", "w_count_below_mean", "w_binned_entropy",
+           "w_percent_difference_flux_percentile", "w_flux_percentile_ratio_sum", "w_gskew", "w_median_BRP", "w_ratio_beyond_r_sigma"}
+
+
+def _windows(buf: np.ndarray, size: int, stride: int, limit: int) -> Iterator[tuple[int, Windows]]:
+    """(index of the first window, windows) of one block; a partial tail comes by itself, last."""
     full = min(limit, (len(buf) - size) // stride + 1) if len(buf) >= size else 0
-    if full:
+    if full > 1 and size >= LONG_WINDOW and stride * 4 <= size:
+        yield 0, SlidingWindows(buf, size, stride, full)
+    elif full:
         v = np.lib.stride_tricks.sliding_window_view(buf, size)[::stride][:full]
         step = max(1, CHUNK // size)
         for i in range(0, full, step):
-            yield i, v[i:i + step]
+            yield i, Windows(v[i:i + step])
     tail = len(buf) - full * stride
     if full < limit and max(0, size - stride) < tail < size:
-        yield full, buf[None, full * stride:]
+        yield full, Windows(buf[None, full * stride:])
+
+
+def _evaluate(w: Windows, op: str, params: dict) -> np.ndarray | list:
+    fn = KERNELS[op][1]
+    if op in BY_RANK or len(w.v) == 1:
+        return fn(w, **params)
+    return [y for part in w.chunks() for y in fn(part, **params)]
 
 
 def block_features(f: Frame, ops: dict[str, tuple[str, dict]], size: int, stride: int, short: str) -> DataFrame:
@@ -182,29 +267,29 @@ def block_features(f: Frame, ops: dict[str, tuple[str, dict]], size: int, stride
     schema = pa.schema([(KEY, pa.string()), ("win", LONG), ("n", LONG), *fields.items()])
     block = f.size
 
-    def evaluate(key, table):
-        sid, blk = (k.as_py() for k in key)
-        pos = table["pos"].to_numpy() - blk * block
+    def evaluate(key, pos, x):
+        sid, blk = key
+        pos = pos - blk * block
         buf = np.empty(int(pos.max()) + 1)
-        buf[pos] = table["x"].to_numpy()
+        buf[pos] = x
         parts = []
         with np.errstate(all="ignore"):
-            for first, v in _view(buf, size, stride, block // stride):
-                win = first + blk * (block // stride) + np.arange(len(v))
-                if win[0] == 0 and v.shape[1] < size:
+            for first, w in _windows(buf, size, stride, block // stride):
+                k = len(w.v)
+                win = first + blk * (block // stride) + np.arange(k)
+                if win[0] == 0 and w.n < size:
                     if short == "error":
                         raise ValueError(f"series {sid!r} has fewer than {size} rows")
                     continue
-                w = Windows(v)
-                cols = [pa.array([sid] * len(v), pa.string()), pa.array(win), pa.array([w.n] * len(v), LONG)]
+                cols = [pa.array([sid] * k, pa.string()), pa.array(win), pa.array([w.n] * k, LONG)]
                 for name, (op, params) in ops.items():
-                    y = KERNELS[op][1](w, **params)
+                    y = _evaluate(w, op, params)
                     cols.append(pa.array(list(y), ARRAY) if fields[name] == ARRAY
-                                else pa.array(y, fields[name], from_pandas=True))
+                                else pa.array(np.asarray(y), fields[name], from_pandas=True))
                 parts.append(pa.RecordBatch.from_arrays(cols, schema=schema))
         return pa.Table.from_batches(parts, schema=schema)
 
     start = F.col("blk") * block
     rows = f.df.filter((F.col("pos") >= start) & (F.col("pos") < start + block + max(0, size - stride)))
     out = f"{KEY} string, win bigint, n bigint, " + ", ".join(f"`{k}` {ddl[t]}" for k, t in fields.items())
-    return rows.select(KEY, "blk", "pos", "x").groupBy(KEY, "blk").applyInArrow(evaluate, out)
+    return per_block(rows, evaluate, out)

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..frame import block_size, halo, idiv
+from ..frame import block_size, halo, idiv, per_block
 from ..functions.bins import digitize
 from ..series import KEY
 from .information import normalized_mutual_information
@@ -60,11 +60,10 @@ def cross_correlation(s: DataFrame, template: np.ndarray, block: int | None = No
     size = f.size
     schema = pa.schema([(KEY, pa.string()), ("pos", pa.int64()), ("corr", pa.float64())])
 
-    def correlate(key, table):
-        sid, blk = (k.as_py() for k in key)
-        at = table["pos"].to_numpy() - blk * size
-        x = np.empty(int(at.max()) + 1)
-        x[at] = table["x"].to_numpy()
+    def correlate(key, pos, values):
+        sid, blk = key
+        x = np.empty(int(pos.max()) - blk * size + 1)
+        x[pos - blk * size] = values
         n = min(size, len(x) - m + 1)
         if n <= 0:
             return schema.empty_table()
@@ -72,7 +71,7 @@ def cross_correlation(s: DataFrame, template: np.ndarray, block: int | None = No
         corr = np.fft.irfft(np.fft.rfft(x, length) * np.conj(np.fft.rfft(template, length)), length)[:n]
         return pa.Table.from_arrays([pa.array([sid] * n, pa.string()), pa.array(blk * size + np.arange(n)), pa.array(corr)], schema=schema)
 
-    return f.df.groupBy(KEY, "blk").applyInArrow(correlate, f"{KEY} string, pos bigint, corr double")
+    return per_block(f.df, correlate, f"{KEY} string, pos bigint, corr double")
 
 
 def best_match(corr: DataFrame) -> DataFrame:

@@ -5,48 +5,74 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-ACCURACY = 20_000
+ACCURACY = 10_000
+SUB_BINS = 4096
+MAX_BROADCAST_ROWS = 100_000  # of a few dozen bytes each
+
+
+def join_small(df: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
+    """Join a table with one row per key to many rows.
+
+    The planner cannot tell how few rows an aggregate will return, and would shuffle ``df`` by the
+    keys, hot ones included.  So the table is computed and counted first: up to
+    ``MAX_BROADCAST_ROWS`` it is broadcast, beyond that it is an ordinary join (with skew handling).
+    """
+    table = table.persist()
+    few = table.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS
+    return df.join(F.broadcast(table) if few else table, keys)
 
 
 def exact_quantiles(df: DataFrame, keys: list[str], col: str, qs: dict[str, float], accuracy: int = ACCURACY) -> DataFrame:
     """Exact, linearly interpolated quantiles ``{output: q}`` per key group; one row per group.
 
     ``percentile`` keeps every distinct value of a group in one task, which a group holding a third
-    of a large table does not allow.  Instead, an approximate sketch brackets each wanted order
-    statistic (its rank error is bounded by n / accuracy), one aggregate then counts the values
-    below the bracket and the distinct values inside it, and the exact rank is picked among the few
-    that remain.  Two scans, no large group, the same answer.
+    of a large table does not allow.  Instead:
+
+    1. an approximate sketch brackets each wanted order statistic (its rank error is at most n / accuracy);
+    2. one aggregate counts the values below each bracket, and the distinct values inside it;
+    3. the bracket is cut into ``SUB_BINS`` equal parts, whose counts tell which parts hold the wanted ranks;
+    4. only the values in those parts are ranked one by one.
+
+    Two scans, and no task sees more than about n / (accuracy * SUB_BINS) distinct values of a group.
     """
     names = list(qs)
     slack = 4.0 / accuracy  # the sketch errs by at most n / accuracy ranks, and a neighbour is one rank away
     probes = sorted({p for q in qs.values() for p in (max(0.0, q - slack), min(1.0, q + slack))})
     at = {p: i for i, p in enumerate(probes)}
     v = F.col(col)
-    data = df.filter(v.isNotNull())
+    data = df.select(*keys, col).filter(v.isNotNull())
     sketch = data.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_n"), F.min(col).alias("_min"), F.max(col).alias("_max"),
         F.percentile_approx(col, [float(p) for p in probes], accuracy).alias("_a"))
     # a small group is its own bracket; the extreme probes must not cut off the extreme order statistics
     small = F.col("_n") <= accuracy
-    bracket = F.array(*[F.struct(
-        F.lit(i).alias("qi"), F.lit(float(q)).alias("q"),
-        (F.col("_min") if q - slack <= 0 else F.when(small, F.col("_min")).otherwise(F.col("_a")[at[q - slack]])).alias("lo"),
-        (F.col("_max") if q + slack >= 1 else F.when(small, F.col("_max")).otherwise(F.col("_a")[at[q + slack]])).alias("hi"))
-        for i, q in enumerate(qs.values())])
-    sketch = sketch.select(*keys, "_n", bracket.alias("_b"))
-    joined = data.select(*keys, col).join(sketch, keys)
-    inside = (joined.withColumn("_e", F.explode("_b")).filter(v <= F.col("_e.hi"))
-              .withColumn("_v", F.when(v >= F.col("_e.lo"), v))
-              .groupBy(*keys, "_n", F.col("_e.qi").alias("_qi"), F.col("_e.q").alias("_q"), "_v")
+
+    def edge(q: float, extreme: str, beyond: bool):
+        return F.col(extreme) if beyond else F.when(small, F.col(extreme)).otherwise(F.col("_a")[at[q]])
+
+    brackets = F.array(*[F.struct(F.lit(i).alias("qi"), F.lit(float(q)).alias("q"),
+                                  edge(q - slack, "_min", q - slack <= 0).alias("lo"), edge(q + slack, "_max", q + slack >= 1).alias("hi"))
+                         for i, q in enumerate(qs.values())])
+    e = F.col("_e")
+    group = [*keys, "_qi"]
+    inside = (join_small(data, sketch.select(*keys, "_n", brackets.alias("_b")), keys)
+              .withColumn("_e", F.explode(F.filter("_b", lambda b: v <= b["hi"])))
+              .groupBy(*keys, "_n", e["qi"].alias("_qi"), e["q"].alias("_q"), e["lo"].alias("_blo"), e["hi"].alias("_bhi"),
+                       F.when(v >= e["lo"], v).alias("_v"))
               .agg(F.count(F.lit(1)).alias("_c")))
-    part = Window.partitionBy(*keys, "_qi")
-    # NULL stands for everything below the bracket, and sorts first
-    ranked = inside.withColumn("_upto", F.sum("_c").over(part.orderBy(F.col("_v").asc_nulls_first())))
+    share = (F.col("_v") - F.col("_blo")) / (F.col("_bhi") - F.col("_blo"))
+    part = F.when(F.col("_v").isNull(), -1).when(F.col("_bhi") > F.col("_blo"), F.least(F.floor(share * SUB_BINS), F.lit(SUB_BINS - 1))).otherwise(0)
+    inside = inside.withColumn("_part", part)
     want = F.col("_q") * (F.col("_n") - 1)
+    held = (F.col("_upto") > F.floor(want)) & (F.col("_upto") - F.col("_c") <= F.ceil(want))  # ranks overlap floor..ceil
+    parts = inside.groupBy(*group, "_part").agg(F.sum("_c").alias("_c"), F.first("_q").alias("_q"), F.first("_n").alias("_n"))
+    parts = parts.withColumn("_upto", F.sum("_c").over(Window.partitionBy(*group).orderBy("_part"))).filter(held)
+    parts = parts.select(*group, "_part", (F.col("_upto") - F.col("_c")).alias("_before"))
+    ranked = inside.join(parts, [*group, "_part"])
+    ranked = ranked.withColumn("_upto", F.col("_before") + F.sum("_c").over(Window.partitionBy(*group, "_part").orderBy("_v")))
     holds = lambda r: (F.col("_upto") - F.col("_c") <= r) & (r < F.col("_upto"))
-    picked = ranked.groupBy(*keys, "_qi").agg(
-        F.max(F.when(holds(F.floor(want)), F.col("_v"))).alias("_lo"),
-        F.max(F.when(holds(F.ceil(want)), F.col("_v"))).alias("_hi"),
+    picked = ranked.groupBy(*group).agg(
+        F.max(F.when(holds(F.floor(want)), F.col("_v"))).alias("_lo"), F.max(F.when(holds(F.ceil(want)), F.col("_v"))).alias("_hi"),
         F.first(want - F.floor(want)).alias("_frac"))
     value = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_frac")
     return picked.groupBy(*keys).agg(*[F.max(F.when(F.col("_qi") == i, value)).alias(n) for i, n in enumerate(names)])

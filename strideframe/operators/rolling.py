@@ -12,12 +12,12 @@ from dataclasses import dataclass
 from math import comb
 from typing import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..frame import Frame, block_size, halo
 from ..series import KEY
-from .quantiles import exact_quantiles
+from .quantiles import exact_quantiles, join_small
 
 TINY = 2.2250738585072014e-308  # smallest normal double
 
@@ -35,13 +35,16 @@ class RowOp:
     own_block: int | None = None
 
 
-def moving_sums(f: Frame, terms: dict[str, tuple[str, int]]) -> Frame:
-    """Add columns ``{out: (column, w)}``: the sum of a column over the last ``w`` rows (fewer at the series start)."""
-    sources = dict.fromkeys(c for c, _ in terms.values())
-    df = f.df.select("*", *[F.sum(c).over(f.so_far).alias("_run" + c) for c in sources])
-    before = lambda c, w: F.coalesce(F.lag("_run" + c, w).over(f.ordered), F.lit(0.0))
-    df = df.select("*", *[(F.col("_run" + c) - before(c, w)).alias(out) for out, (c, w) in terms.items()])
-    return f.with_df(df.drop(*["_run" + c for c in sources]))
+def moving_sums(f: Frame, terms: dict[str, tuple[str, int, int]]) -> Frame:
+    """Add columns ``{out: (column, before, after)}``: the sum of a column over rows pos-before .. pos+after.
+
+    Each is the difference of two growing frames (up to pos+after, up to pos-before-1), which Spark
+    evaluates incrementally, and all of them share one pass over the block.
+    """
+    start = Window.unboundedPreceding
+    upto = lambda c, end: F.sum(c).over(f.ordered.rowsBetween(start, end))
+    return f.with_df(f.df.select("*", *[(upto(c, after) - F.coalesce(upto(c, -before - 1), F.lit(0.0))).alias(out)
+                                        for out, (c, before, after) in terms.items()]))
 
 
 def _with_x(f: Frame, x: Column) -> Frame:
@@ -58,7 +61,7 @@ def r_mean(window_size: int = 100) -> RowOp:
 
     def apply(f: Frame) -> Frame:
         df = f.df.withColumn("_c", F.avg("x").over(f.whole)).withColumn("_d", F.col("x") - F.col("_c"))
-        f = moving_sums(f.with_df(df), {"_s": ("_d", window_size)})
+        f = moving_sums(f.with_df(df), {"_s": ("_d", window_size - 1, 0)})
         return _with_x(f, F.col("_c") + F.col("_s") / _rows_in(window_size))
 
     return RowOp(window_size - 1, 0, apply)
@@ -72,8 +75,8 @@ def r_std(window_size: int = 100) -> RowOp:
         df = f.df.select("*", (F.col("x") - F.avg("x").over(f.whole)).alias("_d"),
                          F.coalesce(changed, F.lit(0.0)).alias("_chg"))
         df = df.withColumn("_sq", F.col("_d") * F.col("_d"))
-        f = moving_sums(f.with_df(df), {"_s1": ("_d", window_size), "_s2": ("_sq", window_size),
-                                        "_steps": ("_chg", window_size - 1)})
+        f = moving_sums(f.with_df(df), {"_s1": ("_d", window_size - 1, 0), "_s2": ("_sq", window_size - 1, 0),
+                                        "_steps": ("_chg", window_size - 2, 0)})
         mean = F.col("_s1") / _rows_in(window_size)
         var = F.col("_s2") / _rows_in(window_size) - mean * mean
         return _with_x(f, F.when(F.col("_steps") == 0, 0.0).otherwise(F.sqrt(F.greatest(var, F.lit(0.0)))))
@@ -88,7 +91,7 @@ def r_sta_lta(sta_window: int = 1000, lta_window: int = 10000) -> RowOp:
 
     def apply(f: Frame) -> Frame:
         df = f.df.withColumn("_sq", F.col("x") * F.col("x"))
-        f = moving_sums(f.with_df(df), {"_sta": ("_sq", sta_window), "_lta": ("_sq", lta_window)})
+        f = moving_sums(f.with_df(df), {"_sta": ("_sq", sta_window - 1, 0), "_lta": ("_sq", lta_window - 1, 0)})
         sta = F.when(F.col("pos") < lta_window - 1, 0.0).otherwise(F.col("_sta") / sta_window)
         return _with_x(f, sta / F.greatest(F.col("_lta") / lta_window, F.lit(TINY)))
 
@@ -112,7 +115,6 @@ def r_savgol_filter(window_length: int = 101, polyorder: int = 1) -> RowOp:
     h = window_length // 2
     degrees = range(polyorder + 1)
     m = {p: float(sum(k ** p for k in range(-h, h + 1))) for p in (0, 2, 4, 6)}
-    sums = [f"_t{p}" for p in degrees]
 
     def coefficients(s: list[Column]) -> list[Column]:
         """Polynomial from the moments s[p]; even and odd powers do not mix on a symmetric window."""
@@ -132,10 +134,7 @@ def r_savgol_filter(window_length: int = 101, polyorder: int = 1) -> RowOp:
         df = df.withColumn("_p0", F.col("x") - F.col("_m"))
         for p in degrees[1:]:
             df = df.withColumn(f"_p{p}", F.col(f"_p{p - 1}") * F.col("_u"))
-        f = moving_sums(f.with_df(df), {**{f"_t{p}": (f"_p{p}", window_length) for p in degrees},
-                                        "_n": ("_one", window_length)})
-        keep = [c for c in f.df.columns if c not in (*sums, "_n")]
-        df = f.df.select(*keep, *[F.lead(c, h).over(f.ordered).alias(c) for c in (*sums, "_n")])
+        df = moving_sums(f.with_df(df), {**{f"_t{p}": (f"_p{p}", h, h) for p in degrees}, "_n": ("_one", h, h)}).df
         shifted = [sum((comb(p, i) * F.pow(-F.col("_u"), F.lit(float(p - i))) * F.col(f"_t{i}") for i in range(p + 1)),
                        F.lit(0.0)) * float(window_length) ** p for p in degrees]
         poly = F.struct(F.col("pos").alias("at"), *[c.alias(f"c{p}") for p, c in enumerate(coefficients(shifted))])
@@ -159,7 +158,7 @@ ROW_OPS: dict[str, Callable[..., RowOp]] = {
 def r_clip(s: DataFrame, q_low: float = 0.01, q_high: float = 0.99) -> DataFrame:
     """Clip each series to its own exact [q_low, q_high] quantiles (taken over the whole series)."""
     bounds = exact_quantiles(s, [KEY], "x", {"_lo": q_low, "_hi": q_high})
-    return (s.join(bounds, KEY, "left")
+    return (join_small(s, bounds, [KEY])
             .withColumn("x", F.least(F.greatest(F.col("x"), F.col("_lo")), F.col("_hi"))).drop("_lo", "_hi"))
 
 

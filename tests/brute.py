@@ -150,7 +150,7 @@ CASES = {
     "flux": ("w_flux_percentile_ratio_sum", {}, lambda x: sum(at(x, b) - at(x, a) for a, b in (
         (.4, .6), (.25, .75), (.1, .9))) / (at(x, .95) - at(x, .05))),
     "gskew": ("w_gskew", {}, gskew),
-    "brp": ("w_median_BRP", {}, lambda x: (np.abs(x - np.median(x)) < np.ptp(x) / 10).mean()),
+    "brp": ("w_median_BRP", {}, lambda x: ((x < np.median(x) + np.ptp(x) / 10) & (x > np.median(x) - np.ptp(x) / 10)).mean()),
     "rcs": ("w_rcs", {}, rcs),
     "apen": ("w_approximate_entropy", {"m": 2, "r": 0.4}, lambda x: approximate_entropy(x, 2, .4)),
     "slotted": ("w_slottedA_length", {}, slotted),

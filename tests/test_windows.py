@@ -110,6 +110,13 @@ def test_cwt_peaks_counts_isolated_bumps(spark):
     assert got.p[0] >= 3
 
 
+def test_incremental_ranks_equal_sorting(spark):
+    x = np.round(np.cumsum(rng.normal(size=9000)), 1)
+    names = ["q05", "q90", "median", "irq", "integral", "above", "below", "pdfp", "flux", "gskew", "brp", "beyond", "entropy", "run_above", "rcs", "con"]
+    got = window_features(make(spark, a=x), {k: FEATURES[k] for k in names}, 5000, 333).orderBy("win").toPandas()
+    check(got, brute.table(x, 5000, 333, names), names)
+
+
 def test_every_operator_has_a_case():
     covered = {op for op, _, _ in brute.CASES.values()} | {"w_psd", "w_periodogram", "w_spectrogram_downsampled",
                                                            "w_max_smoothed_periodogram", "w_number_cwt_peaks"}
