@@ -125,6 +125,15 @@ def list_stats(spark, sf):
     return out.select("user_id", "event_type", F.round("v_mean", 8).alias("v_mean"), "v_min", "v_max", F.round("v_std", 6).alias("v_std"))
 
 
+@query("best_runs", """WITH l AS (SELECT user_id, list(value ORDER BY event_id) AS v FROM events GROUP BY 1),
+m AS (SELECT max(len(v)) AS m FROM l), c AS (SELECT user_id, unnest(range(1, m + 1)) AS i, v FROM l, m)
+SELECT user_id, round(avg(coalesce(v[i], 0)), 8) AS v_mean FROM c GROUP BY user_id ORDER BY v_mean""")
+def best_runs(spark, sf):
+    ev = read_table(spark, sf, "events")
+    by_order = F.transform(F.array_sort(F.collect_list(F.struct("event_id", "value"))), lambda e: e["value"])
+    return C.best_runs(ev.groupBy("user_id").agg(by_order.alias("v")), "v").select("user_id", F.round("v_mean", 8).alias("v_mean"))
+
+
 @query("transpose_lists", """WITH l AS (SELECT user_id, list(value ORDER BY event_id) AS v FROM events GROUP BY 1),
 m AS (SELECT max(len(v)) AS m FROM l), c AS (SELECT user_id, unnest(range(1, m + 1)) AS i, v FROM l, m)
 SELECT (i - 1)::INTEGER AS position, array_to_string(list(CAST(coalesce(v[i], 0) AS DECIMAL(18, 2)) ORDER BY user_id), ',') AS vals FROM c GROUP BY i""")

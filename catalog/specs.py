@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from strideframe.operators.resample import resample
 from strideframe.operators.rolling import rolled
 from strideframe.operators.windows import window_features
-from strideframe.plans.features import build_feature, build_features, feature_grid, widen
+from strideframe.plans.features import build_feature, build_features, feature_grid, smooth_columns, widen
 from strideframe.sources.tables import event_series
 
 from . import query
@@ -160,3 +160,20 @@ GRID = (5, 11, 31)
 @query("feature_grid")
 def grid(spark, sf):
     return build_features(event_series(spark, sf, label=True), feature_grid(windows=GRID), W, S)
+
+
+SMOOTH = f"""WITH {windows_cte()}, f AS (SELECT win, avg(x) AS a, max(x) AS b FROM r GROUP BY win), n AS (SELECT count(*) AS n FROM f),
+lf AS (SELECT win, k, CASE k WHEN 0 THEN a ELSE b END AS v, n FROM f, n, (SELECT unnest([0, 1]) AS k)),
+mid AS (SELECT *, avg(v) OVER (PARTITION BY k ORDER BY win ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS m FROM lf),
+hd AS (SELECT k, avg(v) AS a, sum(v * (win - 3)) / 28 AS b FROM lf WHERE win < 7 GROUP BY k),
+tl AS (SELECT k, avg(v) AS a, sum(v * (win - (n - 4))) / 28 AS b FROM lf WHERE win >= n - 7 GROUP BY k),
+y AS (SELECT win, k, CASE WHEN win < 3 THEN hd.a + hd.b * (win - 3) WHEN win > n - 4 THEN tl.a + tl.b * (win - (n - 4)) ELSE m END AS y
+      FROM mid JOIN hd USING (k) JOIN tl USING (k))
+SELECT win, round(max(y) FILTER (k = 0), 6) AS avg_x, round(max(y) FILTER (k = 1), 6) AS max_x FROM y GROUP BY win"""
+
+
+@query("smooth_columns", SMOOTH)
+def smoothed(spark, sf):
+    df = window_features(event_series(spark, sf), {"avg_x": ("w_mean", {}), "max_x": ("w_max", {})}, W, S)
+    out = smooth_columns(df, ["avg_x", "max_x"], 7, 1)
+    return out.select("win", F.round("avg_x", 6).alias("avg_x"), F.round("max_x", 6).alias("max_x"))

@@ -65,6 +65,11 @@ def list_statistics(df: DataFrame, column: str) -> DataFrame:
                     F.array_min("_a").alias(f"{column}_min"), F.array_max("_a").alias(f"{column}_max"), std.alias(f"{column}_std")))
 
 
+def best_runs(summary: DataFrame, metric: str = "mean_squared_error") -> DataFrame:
+    """Run summaries with the statistics of a metric, smallest mean first."""
+    return list_statistics(summary, metric).orderBy(f"{metric}_mean")
+
+
 def transpose_lists(df: DataFrame, column: str, order: str) -> DataFrame:
     """``position, values``: the k-th entries of all lists together, in ``order`` (missing ones as 0)."""
     longest = df.select(F.max(F.size(column)).alias("m")).scalar()

@@ -199,6 +199,7 @@ def _slotted_length(w: Windows) -> np.ndarray:
 
 
 FLOAT, LONG, ARRAY = pa.float64(), pa.int64(), pa.list_(pa.float64())
+OUTPUT_TYPES = {FLOAT: "double", LONG: "bigint", ARRAY: "array<double>"}
 
 # name -> (output type, function of the windows and the parameters)
 KERNELS: dict[str, tuple[pa.DataType, Callable[..., np.ndarray]]] = {
@@ -263,7 +264,6 @@ def _evaluate(w: Windows, op: str, params: dict) -> np.ndarray | list:
 def block_features(f: Frame, ops: dict[str, tuple[str, dict]], size: int, stride: int, short: str) -> DataFrame:
     """Evaluate kernels over the windows that start in each block of a frame; one row per window."""
     fields = {name: KERNELS[op][0] for name, (op, _) in ops.items()}
-    ddl = {FLOAT: "double", LONG: "bigint", ARRAY: "array<double>"}
     schema = pa.schema([(KEY, pa.string()), ("win", LONG), ("n", LONG), *fields.items()])
     block = f.size
 
@@ -291,5 +291,5 @@ def block_features(f: Frame, ops: dict[str, tuple[str, dict]], size: int, stride
 
     start = F.col("blk") * block
     rows = f.df.filter((F.col("pos") >= start) & (F.col("pos") < start + block + max(0, size - stride)))
-    out = f"{KEY} string, win bigint, n bigint, " + ", ".join(f"`{k}` {ddl[t]}" for k, t in fields.items())
+    out = f"{KEY} string, win bigint, n bigint, " + ", ".join(f"`{k}` {OUTPUT_TYPES[t]}" for k, t in fields.items())
     return per_block(rows, evaluate, out)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -9,11 +10,26 @@ from pyspark.sql import functions as F
 
 from ..frame import MIN_BLOCK, Frame, block_size, halo
 from ..series import KEY
-from .kernels import KERNELS, block_features
+from .kernels import KERNELS, OUTPUT_TYPES, block_features
 from .panes import PANE_OPS, STATS, PaneOp, merge_panes, pane_aggregates, with_pane
 from .rolling import rolled_frame
 
-WINDOW_OPS = sorted({*PANE_OPS, *KERNELS})
+
+def is_window_op(name: str) -> bool:
+    return name in PANE_OPS or name in KERNELS
+
+
+def register_aggregate(name: str, build: Callable[..., PaneOp]) -> None:
+    """Add an own feature that decomposes over panes: ``build(**params)`` returns its statistics and value."""
+    PANE_OPS[name] = build
+
+
+def register_kernel(name: str, output: str, fn: Callable) -> None:
+    """Add an own feature of the ordered values: ``fn(windows, **params)`` returns one value (or array) per window.
+
+    ``output`` is "double", "bigint" or "array<double>".
+    """
+    KERNELS[name] = (next(t for t, ddl in OUTPUT_TYPES.items() if ddl == output), fn)
 
 
 def check_window(size: int, stride: int) -> None:
@@ -47,7 +63,7 @@ def window_features(s: DataFrame, features: dict[str, tuple[str, dict]], window_
     others share one halo frame (one shuffle), both the pane aggregates and the Arrow kernels.
     """
     check_window(window_size, window_stride)
-    unknown = sorted({op for op, _ in features.values()} - set(WINDOW_OPS))
+    unknown = sorted({op for op, _ in features.values() if not is_window_op(op)})
     if unknown:
         raise KeyError(f"unknown window operators: {unknown}")
     if short not in ("error", "drop"):

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..operators.kernels import ARRAY, KERNELS
 from ..operators.resample import resample_to
 from ..operators.rolling import ROW_OPS, rolled
-from ..operators.windows import WINDOW_OPS, assemble, window_features
+from ..operators.windows import assemble, is_window_op, window_features
 from ..series import KEY
 
 MAX_NAME = 250
@@ -37,7 +37,7 @@ def steps_of(feature: dict, window_size: int, window_stride: int) -> list[tuple[
     steps = []
     for op, params in functions.items() if isinstance(functions, dict) else functions:
         params = dict(params)
-        if op in WINDOW_OPS:
+        if is_window_op(op):
             params["window_size"] = params.get("window_size", window_size)
             params["window_stride"] = params.get("window_stride", window_stride)
         elif op in ("r_mean", "r_std"):
@@ -71,7 +71,7 @@ def enabled(features: list[dict], window_size: int, window_stride: int) -> dict[
 def _split(chain: list) -> tuple[list, tuple | None, list]:
     """Leading row operators, the first window operator, and the rest."""
     for i, (op, params) in enumerate(chain):
-        if op in WINDOW_OPS:
+        if is_window_op(op):
             return chain[:i], (op, params), chain[i + 1:]
     return chain, None, []
 
@@ -161,6 +161,22 @@ def widen(df: DataFrame, column: str, size: int) -> DataFrame:
     return df.select(*others, *[F.get(column, F.lit(i)).alias(f"{column}_{i}") for i in range(size)])
 
 
+def smooth_columns(df: DataFrame, columns: list[str], window_length: int = 10001, polyorder: int = 2, order: str = "win") -> DataFrame:
+    """Savitzky-Golay smoothing of every feature column of a table, down its rows (per series, if it names one).
+
+    The columns are stacked into the series of one series table, smoothed together, and spread out again.
+    """
+    keys = [KEY, order] if KEY in df.columns else [order]
+    long = df.unpivot([F.col(k) for k in keys], [F.col(c).cast("double").alias(c) for c in columns], "_feature", "x")
+    stacked = F.to_json(F.struct(*[k for k in keys if k == KEY], "_feature")).alias(KEY)
+    smooth = rolled(long.select(stacked, F.col(order).alias("pos"), "x"), [("r_savgol_filter", {"window_length": window_length, "polyorder": polyorder})])
+    names = F.from_json(KEY, f"{KEY} string, _feature string")
+    smooth = smooth.withColumn("_k", names).select(*[F.col("_k." + KEY)] * (KEY in keys), F.col("_k._feature").alias("_feature"), F.col("pos").alias(order), "x")
+    wide = smooth.groupBy(*keys).agg(*[F.max(F.when(F.col("_feature") == c, F.col("x"))).alias(c) for c in columns])
+    others = [c for c in df.columns if c not in columns]
+    return df.select(*others).join(wide, keys).select(*df.columns)
+
+
 GRID_WINDOWS = (11, 101, 1001, 10001)
 GRID_ROW_OPS = ("r_std", "r_mean", "r_sta_lta")
 GRID_WINDOW_OPS = ("w_median", "w_mean", "w_min", "w_max", "w_binned_entropy", "w_quantile", "w_kurtosis", "w_skewness", "w_q31",

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import segment_id
-from ..series import KEY, series
+from ..series import series
 
 SIGNAL_NAMES = {"acoustic_data": "s", "time_to_failure": "ttf"}  # fixed names of the training file
 SIGNAL_SCHEMA = T.StructType([T.StructField("s", T.ShortType()), T.StructField("ttf", T.FloatType())])
@@ -19,9 +19,11 @@ def rename_signal(df: DataFrame) -> DataFrame:
     return df.withColumnsRenamed(SIGNAL_NAMES)
 
 
-def read_by_extension(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """Parquet, ORC, JSON or CSV (with header) by the extension of the path."""
+def read_by_extension(spark: SparkSession, path: str, schema: T.StructType | None = None, fallback: str | None = None) -> DataFrame:
+    """Parquet, ORC, JSON or CSV (with header) by the extension of the path; ``fallback`` is used for any other."""
     ext = os.path.splitext(path.rstrip("/"))[1].lower()
+    if ext not in (".parquet", ".orc", ".json", ".jsonl", ".csv") and fallback:
+        ext = "." + fallback
     reader = spark.read.schema(schema) if schema is not None else spark.read
     if ext == ".parquet":
         return reader.parquet(path)
@@ -79,6 +81,3 @@ def read_cycles(spark: SparkSession, path: str, only: list[int] | None = None, e
 def is_segment_file(name):
     return F.endswith(name, F.lit(".csv"))
 
-
-__all__ = ["KEY", "file_positions", "find_files", "is_segment_file", "read_by_extension", "read_cycles", "read_segments",
-           "read_training_csv", "rename_signal"]
