@@ -7,7 +7,7 @@ import random
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..series import KEY, lengths
+from ..series import KEY, join_small, lengths
 
 
 def row_range(s: DataFrame, begin: int, end: int) -> DataFrame:
@@ -17,7 +17,7 @@ def row_range(s: DataFrame, begin: int, end: int) -> DataFrame:
 
 def leading_share(s: DataFrame, denominator: int = 10) -> DataFrame:
     """The first n // denominator rows of each series."""
-    return s.join(lengths(s), KEY).filter(F.col("pos") < F.floor(F.col("n") / denominator)).drop("n")
+    return join_small(s, lengths(s), [KEY]).filter(F.col("pos") < F.floor(F.col("n") / denominator)).drop("n")
 
 
 def three_slices(s: DataFrame, size: int) -> DataFrame:
@@ -28,7 +28,7 @@ def three_slices(s: DataFrame, size: int) -> DataFrame:
         F.struct(F.lit("first").alias("part"), F.lit(0).cast("bigint").alias("a"), F.lit(size).cast("bigint").alias("b")),
         F.struct(F.lit("middle").alias("part"), middle(-1).alias("a"), middle(1).alias("b")),
         F.struct(F.lit("last").alias("part"), (n - size).alias("a"), n.alias("b")))
-    rows = s.join(lengths(s), KEY).withColumn("_span", F.explode(F.filter(
+    rows = join_small(s, lengths(s), [KEY]).withColumn("_span", F.explode(F.filter(
         spans, lambda p: (F.col("pos") >= p["a"]) & (F.col("pos") < p["b"]))))
     return rows.withColumn("part", F.col("_span.part")).drop("_span", "n")
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..series import join_small
+
 
 def _statistics(df: DataFrame, keys: list[str], columns: list[str], shift, scale) -> DataFrame:
     aggs = [e for c in columns for e in (shift(c).alias("_a_" + c), scale(c).alias("_b_" + c))]
@@ -33,7 +35,7 @@ def fit(df: DataFrame, columns: list[str], kind: str = "StandardScaler", keys: l
 def transform(df: DataFrame, columns: list[str], fitted: DataFrame, keys: list[str] = ()) -> DataFrame:
     """(x - shift) / scale; the fitted table has one row per key (one in all without keys)."""
     if keys:
-        joined = df.join(fitted, list(keys))
+        joined = join_small(df, fitted, list(keys))
     else:
         joined = df.withColumns({c: fitted.select(c).scalar() for c in fitted.columns})
     scaled = {c: (F.col(c) - F.col("_a_" + c)) / F.col("_b_" + c) for c in columns}

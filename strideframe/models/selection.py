@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..operators.information import mutual_information, normalized_mutual_information
 from ..operators.quantiles import exact_quantiles
 from ..operators.rolling import rolled
-from ..series import KEY
+from ..series import KEY, join_small
 from .estimators import FEATURES, create_model
 from .metrics import METRICS
 from .runs import assemble_features, fold_scores, out_of_fold
@@ -35,7 +35,7 @@ def quantile_bins(df: DataFrame, key: str, columns: dict[str, str], bins: int) -
     cuts = exact_quantiles(stacked, [key, "_which"], "_cell", {e: (i + 1) / bins for i, e in enumerate(edges)})
     cuts = cuts.groupBy(key).agg(*[F.max(F.when(F.col("_which") == c, F.array(*edges))).alias("_cuts_" + c) for c in columns])
     below = lambda c: F.size(F.filter("_cuts_" + c, lambda q: q <= F.col(c)))
-    return df.join(cuts, key).withColumns({out: below(c) for c, out in columns.items()}).drop(*["_cuts_" + c for c in columns])
+    return join_small(df, cuts, [key]).withColumns({out: below(c) for c, out in columns.items()}).drop(*["_cuts_" + c for c in columns])
 
 
 def binned_information(df: DataFrame, columns: list[str], label: str, bins: int = 16, discrete_label: bool = False) -> DataFrame:
@@ -189,7 +189,7 @@ def feature_quality(df: DataFrame, columns: list[str], window_length: int = 1000
     smooth = rolled(s, [("r_savgol_filter", {"window_length": window_length, "polyorder": polyorder})]).withColumnRenamed("x", "y")
     both = s.join(smooth, [KEY, "pos"])
     n = both.groupBy(KEY).agg(F.count(F.lit(1)).cast("double").alias("n"))
-    both = both.join(n, KEY)
+    both = join_small(both, n, [KEY])
     # a ramp 0..1 over n rows has mean 1/2 and population variance (n+1) / (12 (n-1))
     line = (F.col("pos") / (F.col("n") - 1) - 0.5) / F.sqrt((F.col("n") + 1) / (12 * (F.col("n") - 1)))
     x, y, total = F.col("x"), F.col("y"), F.first("n")

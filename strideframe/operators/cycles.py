@@ -5,27 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..frame import MIN_BLOCK, idiv
-from ..series import KEY
+from ..frame import MIN_BLOCK, block_size, halo, idiv
+from ..series import KEY, join_small
 
 
 def cycle_boundaries(s: DataFrame, threshold: float = 0.1, gap: int = 100_000) -> DataFrame:
     """``series_id, boundary``: 0, and the last position of every cluster of low labels.
 
-    Two low labels belong to one cluster when they are at most ``gap`` rows apart.  Inside a block of
-    ``gap`` rows no two are further apart, so only the first and last low position of each block
-    matter: a table ``gap`` times smaller than the series, on which neighbours are compared.
+    Two low labels belong to one cluster when they are at most ``gap`` rows apart, so a low label ends
+    its cluster when the ``gap`` rows after it hold no other: a question for a halo frame of the low
+    labels alone.  A series without any is an error.
     """
-    low = F.when(F.col("ttf") < threshold, F.col("pos"))
-    blocks = (s.groupBy(KEY, idiv("pos", gap).alias("blk")).agg(F.min(low).alias("first_low"), F.max(low).alias("last_low")))
-    by_series = Window.partitionBy(KEY)
-    blocks = blocks.withColumn("_any", F.count("first_low").over(by_series))
+    ok = F.min("ttf") < threshold
     missing = F.raise_error(F.concat(F.lit("no label below the threshold in series "), F.col(KEY)))
-    blocks = blocks.filter(F.when(F.col("_any") == 0, missing.cast("boolean")).otherwise(F.col("first_low").isNotNull()))
-    upcoming = F.lead("first_low").over(by_series.orderBy("blk"))
-    ends = blocks.withColumn("_next", upcoming).filter(F.col("_next").isNull() | (F.col("_next") - F.col("last_low") > gap))
-    starts = blocks.select(KEY).distinct().withColumn("boundary", F.lit(0).cast("bigint"))
-    return starts.unionByName(ends.select(KEY, F.col("last_low").alias("boundary")))
+    starts = s.groupBy(KEY).agg(F.coalesce(ok, F.lit(False)).alias("_ok"))
+    starts = starts.filter(F.when(F.col("_ok"), True).otherwise(missing.cast("boolean")))
+    low = halo(s.filter(F.col("ttf") < threshold).select(KEY, "pos"), block_size(gap), right=gap)
+    ends = low.with_df(low.df.withColumn("_next", F.lead("pos").over(low.ordered))).core()
+    ends = ends.filter(F.col("_next").isNull() | (F.col("_next") - F.col("pos") > gap))
+    return starts.select(KEY, F.lit(0).cast("bigint").alias("boundary")).unionByName(ends.select(KEY, F.col("pos").alias("boundary")))
 
 
 def cycle_ranges(boundaries: DataFrame) -> DataFrame:
@@ -65,4 +63,4 @@ def combine_cycles(cycles: DataFrame, exclude: list[int] = ()) -> DataFrame:
     sizes = kept.groupBy(KEY, "cycle_id").agg(F.min("pos").alias("_from"), F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(KEY).orderBy("cycle_id").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select(KEY, "cycle_id", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_from")).alias("_shift"))
-    return kept.join(sizes, [KEY, "cycle_id"]).withColumn("pos", F.col("pos") + F.col("_shift")).drop("_shift")
+    return join_small(kept, sizes, [KEY, "cycle_id"]).withColumn("pos", F.col("pos") + F.col("_shift")).drop("_shift")

@@ -5,21 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..series import join_small
+
 ACCURACY = 10_000
 SUB_BINS = 4096
-MAX_BROADCAST_ROWS = 100_000  # of a few dozen bytes each
-
-
-def join_small(df: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
-    """Join a table with one row per key to many rows.
-
-    The planner cannot tell how few rows an aggregate will return, and would shuffle ``df`` by the
-    keys, hot ones included.  So the table is computed and counted first: up to
-    ``MAX_BROADCAST_ROWS`` it is broadcast, beyond that it is an ordinary join (with skew handling).
-    """
-    table = table.persist()
-    few = table.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS
-    return df.join(F.broadcast(table) if few else table, keys)
 
 
 def exact_quantiles(df: DataFrame, keys: list[str], col: str, qs: dict[str, float], accuracy: int = ACCURACY) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..series import KEY
+from ..series import KEY, join_small
 
 
 def _interpolate(targets: DataFrame, df: DataFrame, columns: list[str], at: str) -> DataFrame:
@@ -31,7 +31,7 @@ def resample_to(df: DataFrame, columns: list[str], grid: DataFrame) -> DataFrame
     """Bring ``df(series_id, win, columns)`` to the rows of ``grid(series_id, win)``, series by series."""
     old = df.groupBy(KEY).agg(F.count(F.lit(1)).alias("n_old"))
     new = grid.groupBy(KEY).agg(F.count(F.lit(1)).alias("n_new"))
-    targets = grid.join(old.join(new, KEY), KEY)
+    targets = join_small(grid, old.join(new, KEY), [KEY])
     return _interpolate(targets, df, columns, "win")
 
 

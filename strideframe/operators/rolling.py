@@ -16,8 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..frame import Frame, block_size, halo
-from ..series import KEY
-from .quantiles import exact_quantiles, join_small
+from ..series import KEY, join_small
+from .quantiles import exact_quantiles
 
 TINY = 2.2250738585072014e-308  # smallest normal double
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import segment_id
-from ..series import series
+from ..series import join_small, series
 
 SIGNAL_NAMES = {"acoustic_data": "s", "time_to_failure": "ttf"}  # fixed names of the training file
 SIGNAL_SCHEMA = T.StructType([T.StructField("s", T.ShortType()), T.StructField("ttf", T.FloatType())])
@@ -47,7 +47,7 @@ def file_positions(df: DataFrame) -> DataFrame:
     splits = src.groupBy("_file", "_at").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_rows"))
     before = Window.partitionBy("_file").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
     splits = splits.select("_file", "_at", (F.coalesce(F.sum("_rows").over(before), F.lit(0)) - F.col("_first")).alias("_shift"))
-    return src.join(splits, ["_file", "_at"]).withColumn("pos", F.col("_id") + F.col("_shift")).drop("_file", "_at", "_id", "_shift")
+    return join_small(src, splits, ["_file", "_at"]).withColumn("pos", F.col("_id") + F.col("_shift")).drop("_file", "_at", "_id", "_shift")
 
 
 def read_training_csv(spark: SparkSession, path: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..frame import idiv
 from ..series import dense_positions, series
 
-LABEL_BLOCK = 1 << 16
+LABEL_BLOCK = 1 << 20
 MICROS = "timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts)"  # ts carries no time zone
 
 
