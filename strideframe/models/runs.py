@@ -47,10 +47,10 @@ def out_of_fold(folds: DataFrame, columns: list[str], model: str, params: dict,
 
 
 def fold_scores(predictions: DataFrame, metrics: list[str]) -> DataFrame:
-    """``fold, <metric>, <metric>_train``: test and train scores side by side, one aggregate."""
-    test, train = (score(predictions.filter(F.col("role") == r), metrics, ["fold"]) for r in ("test", "train"))
-    return train.withColumnsRenamed({m: m + "_train" for m in metrics}).join(test, "fold", "left").select(
-        "fold", *[m + s for m in metrics for s in ("", "_train")])
+    """``fold, <metric>, <metric>_train``: test and train scores side by side, from one pass over the predictions."""
+    by_role = score(predictions, metrics, ["fold", "role"])
+    pick = lambda m, role: F.max(F.when(F.col("role") == role, F.col(m)))
+    return by_role.groupBy("fold").agg(*[e for m in metrics for e in (pick(m, "test").alias(m), pick(m, "train").alias(m + "_train"))])
 
 
 def summary_row(scores: DataFrame, metrics: list[str], data: str, folds: tuple[str, dict], model: tuple[str, dict],
