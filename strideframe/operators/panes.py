@@ -17,10 +17,10 @@ from typing import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..frame import Frame, idiv
+from ..frame import BLOCK_KEYS, Frame, idiv
 from ..series import KEY
 
-BLOCK = "(partition by series_id, blk order by pos rows between {})"
+BLOCK = "(partition by spread, series_id, blk order by pos rows between {})"
 
 
 @dataclass(frozen=True)
@@ -232,11 +232,11 @@ def pane_aggregates(ops: list[PaneOp]) -> list[Column]:
 
 
 def merge_panes(panes: Frame, ops: dict[str, PaneOp], size: int, stride: int) -> DataFrame:
-    """Merge the panes of each window; all of it inside ``(series_id, blk)``."""
+    """Merge the panes of each window; all of it inside the block."""
     stats = {k: s for op in ops.values() for k, s in op.stats.items()}
     df = panes.df
     if "m1" in stats:
-        df = df.withColumn("c", F.avg("mean").over(Window.partitionBy(KEY, "blk"))).withColumn("d", F.col("mean") - F.col("c"))
+        df = df.withColumn("c", F.avg("mean").over(Window.partitionBy(*BLOCK_KEYS))).withColumn("d", F.col("mean") - F.col("c"))
     first = F.col("blk") * (panes.size // stride)
     lo = F.greatest(first, F.when(F.col("pstart") >= size, idiv(F.col("pstart") - size, stride) + 1).otherwise(0))
     hi = F.least(first + (panes.size // stride - 1), idiv("pstart", stride))
@@ -246,6 +246,6 @@ def merge_panes(panes: Frame, ops: dict[str, PaneOp], size: int, stride: int) ->
     guard = {name: s.lag for s in stats.values() if s.lag for name in s.pane}
     df = df.select(*[F.when(F.col("off") < size - guard[k], F.col(k)).alias(k) if k in guard else k for k in df.columns])
     merged = {name: sql for s in stats.values() for name, sql in s.merge.items()}
-    df = df.groupBy(KEY, "blk", "win").agg(*[F.expr(sql).alias(name) for name, sql in merged.items()])
+    df = df.groupBy(*BLOCK_KEYS, "win").agg(*[F.expr(sql).alias(name) for name, sql in merged.items()])
     df = df.withColumn("stride", F.lit(stride)).withColumn("cnt", F.col("n").cast("double"))
     return df.select(KEY, "win", "n", *[F.expr(op.value).alias(name) for name, op in ops.items()])

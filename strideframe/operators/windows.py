@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..frame import MIN_BLOCK, Frame, block_size, halo
+from ..frame import BLOCK_KEYS, MIN_BLOCK, Frame, block_size, halo
 from ..series import KEY
 from .kernels import KERNELS, OUTPUT_TYPES, block_features
 from .panes import PANE_OPS, STATS, PaneOp, merge_panes, pane_aggregates, with_pane
@@ -114,5 +114,5 @@ def _framed_panes(f: Frame, ops: dict[str, PaneOp], size: int, stride: int, tail
     df = df.select("*", *[F.expr(sql).alias(k) for k, sql in extra.items()])
     start = F.col("blk") * f.size
     df = df.filter((F.col("pos") >= start) & (F.col("pos") < start + f.size + tail))
-    df = with_pane(df, size, stride, list(ops.values())).groupBy(KEY, "blk", "pstart").agg(*pane_aggregates(list(ops.values())))
+    df = with_pane(df, size, stride, list(ops.values())).groupBy(*BLOCK_KEYS, "pstart").agg(*pane_aggregates(list(ops.values())))
     return merge_panes(f.with_df(df), ops, size, stride)

@@ -8,6 +8,7 @@ from strideframe.models import runs, scaling, selection
 from strideframe.models.estimators import create_model
 from strideframe.operators.information import normalized_mutual_information
 from strideframe.operators.windows import register_aggregate, register_kernel, window_features
+from strideframe.series import series
 from strideframe.plans.features import build_feature, build_features, enabled, feature_grid, smooth_columns, truncated_name, widen
 from tests import brute
 
@@ -178,10 +179,15 @@ def test_run_and_summary(spark):
         runs.summary_to_config(row.unionByName(row.withColumn("data_fname", F.lit("u"))), [0, 1], ["data_fname"])
 
 
-def test_frame_path_shuffles_rows_once(s):
-    df = window_features(s, {"m": ("w_mean", {}), "c": ("w_c3", {"lag": 3})}, 100, 20, rows=[("r_std", {"window_size": 10})])
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange hashpartitioning") == 1
-    df = window_features(s, {"m": ("w_mean", {}), "k": ("w_kurtosis", {})}, 100, 20)
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange hashpartitioning") == 2 and "SortAggregate" not in plan  # panes, then blocks of panes
+@pytest.mark.parametrize("constant", [False, True], ids=["several", "one"])
+def test_frame_path_shuffles_rows_once(spark, tmp_path, constant):
+    spark.range(1000).selectExpr("id as pos", "id % 7 / 2 as x", "'s' || id % 2 as sid").write.parquet(str(tmp_path / "s"))
+    rows = spark.read.parquet(str(tmp_path / "s"))
+    s = series(rows, "pos", "x", None if constant else "sid")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    p = plan(window_features(s, {"m": ("w_mean", {}), "c": ("w_c3", {"lag": 3})}, 100, 20, rows=[("r_std", {"window_size": 10})]))
+    assert p.count("Exchange hashpartitioning") == 1 and p.count("Sort [") <= 2
+    p = plan(window_features(s, {"q": ("w_quantile", {})}, 100, 20, rows=[("r_std", {"window_size": 10}), ("r_mean", {"window_size": 3})]))
+    assert p.count("Exchange hashpartitioning") == 1
+    p = plan(window_features(s, {"m": ("w_mean", {}), "k": ("w_kurtosis", {})}, 100, 20))
+    assert p.count("Exchange hashpartitioning") == 2 and "SortAggregate" not in p  # panes, then blocks of panes
