@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strideframe.llm import chat, mixing
+from strideframe.llm import chat, mixing, packing, radix, threshold
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -22,6 +22,13 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+def tokenizer_files() -> tuple[str, str]:
+    """The byte-level vocabulary of 50,257 ids as ranks, and the pattern that cuts a text before it is merged."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+
+
 def table(spark, sf, name):
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
@@ -56,3 +63,29 @@ def op2(spark, sf):
 @query("op9_mixing")
 def op9(spark, sf):
     return mixing.mix(table(spark, sf, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op3_exact_dedup", r"""
+WITH t AS (SELECT doc_id, length(coalesce(text, '')) AS points, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS bare FROM documents),
+k AS (SELECT doc_id, bare, first_value(doc_id) OVER (PARTITION BY bare ORDER BY points DESC, doc_id) AS keep_id,
+ count(*) OVER (PARTITION BY bare) AS group_size FROM t)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(bare) AS text_sha256 FROM k""")
+def op3(spark, sf):
+    return radix.exact_duplicates(table(spark, sf, "documents"))
+
+
+@query("op6_packing")
+def op6(spark, sf):
+    return packing.pack(table(spark, sf, "documents"), *tokenizer_files())
+
+
+@query("op10_exact_topk", """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda c: floor(256 * c::DOUBLE)) AS x FROM embeddings
+ WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+s AS (SELECT q.vec_id AS query_id, v.vec_id, list_inner_product(q.x, v.x)::BIGINT AS score
+ FROM v AS q JOIN v ON q.vec_id % 50 = 0 AND v.vec_id <> q.vec_id AND len(v.x) = len(q.x)),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""")
+def op10(spark, sf):
+    vectors = table(spark, sf, "embeddings")
+    return threshold.top_k(vectors, vectors.filter("vec_id % 50 = 0"))
