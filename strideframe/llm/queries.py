@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strideframe.llm import chat, mixing, packing, radix, threshold
+from strideframe.llm import chat, mixing, nearcopies, packing, radix, threshold
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -89,3 +89,8 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""")
 def op10(spark, sf):
     vectors = table(spark, sf, "embeddings")
     return threshold.top_k(vectors, vectors.filter("vec_id % 50 = 0"))
+
+
+@query("op5_minhash_near_dedup")
+def op5(spark, sf):
+    return nearcopies.near_duplicates(table(spark, sf, "documents"))
