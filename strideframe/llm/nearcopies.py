@@ -139,7 +139,7 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", shi
     busy = written(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "buckets")
     members = written(members.join(busy.select("bucket"), "bucket"), "members")
     involved = written(members.select("id").distinct(), "involved")
-    sets = full_sets(texts.join(involved, texts["doc_id"] == involved["id"], "left_semi"), shingle)
+    sets = full_sets(texts.join(involved.hint("merge"), texts["doc_id"] == involved["id"], "left_semi"), shingle)
     if base.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").limit(1).count():  # rows that repeat an id
         sets = sets.dropDuplicates(["doc_id"])
     sets = written(sets, "sets")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strideframe.llm import chat, mixing, nearcopies, packing, radix, threshold
+from strideframe.llm import chat, mixing, nearcopies, packing, radix, substrings, threshold
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -94,3 +94,8 @@ def op10(spark, sf):
 @query("op5_minhash_near_dedup")
 def op5(spark, sf):
     return nearcopies.near_duplicates(table(spark, sf, "documents"))
+
+
+@query("op7_suffix_array_dedup")
+def op7(spark, sf):
+    return substrings.repeated_bytes(table(spark, sf, "documents")).drop("spans", "kept")
