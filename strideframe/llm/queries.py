@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strideframe.llm import chat, mixing, nearcopies, packing, radix, substrings, threshold
+from strideframe.llm import chat, mixing, nearcopies, packing, radix, substrings, threshold, toxicity, warc
+from strideframe.llm.shared import new_path
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -99,3 +100,21 @@ def op5(spark, sf):
 @query("op7_suffix_array_dedup")
 def op7(spark, sf):
     return substrings.repeated_bytes(table(spark, sf, "documents")).drop("spans", "kept")
+
+
+@query("op4_toxicity")
+def op4(spark, sf):
+    docs = table(spark, sf, "documents")
+    model = toxicity.train(docs, table(spark, sf, "labels").filter(~toxicity.held_out()))
+    return toxicity.score(docs, model).select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query("op8_warc", """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+k AS (SELECT page_id, octet_length(encode(html)) AS n, sha1(html) AS d, max(page_id) OVER (PARTITION BY html) AS last FROM p)
+SELECT page_id, n::BIGINT AS payload_bytes, d AS payload_digest, CASE WHEN n >= 1000 AND page_id <> last THEN 'revisit' ELSE 'response' END AS record_type,
+ CASE WHEN n >= 1000 AND page_id <> last THEN last END AS refers_to FROM k""")
+def op8(spark, sf):
+    folder = new_path(spark, "warc")
+    warc.write_archives(table(spark, sf, "pages"), folder)
+    return warc.read_archives(spark, folder).drop("url")
