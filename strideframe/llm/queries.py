@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strideframe.llm import chat, mixing, nearcopies, packing, radix, substrings, threshold, toxicity, warc
+from strideframe.llm import chat, language, mixing, nearcopies, packing, radix, substrings, threshold, toxicity, warc
 from strideframe.llm.shared import new_path
 
 QUERIES: dict = {}
@@ -118,3 +118,13 @@ def op8(spark, sf):
     folder = new_path(spark, "warc")
     warc.write_archives(table(spark, sf, "pages"), folder)
     return warc.read_archives(spark, folder).drop("url")
+
+
+@query("op1_language_id")
+def op1(spark, sf):
+    docs, pages = table(spark, sf, "documents"), table(spark, sf, "pages")
+    model = language.train(docs)
+    none = F.lit(None)
+    rows = docs.select("doc_id", none.cast("bigint").alias("page_id"), "text", none.cast("string").alias("declared"), F.col("source").alias("host")).union(
+        pages.select(none.cast("bigint"), "page_id", language.visible_text(F.col("html")), language.declared_in(F.col("html")), language.host_of(F.col("url"))))
+    return language.identify(rows, model, F.col("text"), F.col("declared"), F.col("host"), carry=["doc_id", "page_id"])
