@@ -40,7 +40,7 @@ def exact_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", he
     groups = written(rows.filter("doc_id is not null").groupBy("n", "digit")
                      .agg(F.min("doc_id").alias("group"), F.count(F.lit(1)).alias("members")).filter("members > 1"), "radix-groups")
     longest = groups.agg(F.max("n")).first()[0] or 0  # one number
-    met = rows.join(groups.drop("members"), ["n", "digit"], "left")
+    met = rows.join(groups.drop("members").hint("merge"), ["n", "digit"], "left")  # at any size: the rows' side can be split
     alive = F.col("group").isNotNull() & F.col("doc_id").isNotNull()
     level = written(met.select("doc_id", "points", "n", F.when(alive, F.col("group")).alias("group"), F.sha2("bare", 256).alias("text_sha256"),
                                F.when(alive & (F.col("n") > head), F.col("bare").cast("binary")).alias("bare")), "radix-level")
