@@ -23,9 +23,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def staying(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """The documents that a dedup operator keeps, one row per id."""
+    """The documents that a dedup operator keeps: one row per id, and all rows without id."""
     ids = verdicts.filter("kept").select("doc_id").distinct()
-    return docs.join(ids.hint("merge"), "doc_id", "left_semi").select(*docs.columns)
+    kept = docs.join(ids.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.select(*docs.columns).union(docs.filter("doc_id is null"))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strideframe.llm.shared import as_text, word_count, written
+from strideframe.llm.shared import SPACE, WORD, as_text, has_repeats, word_count, written
 
 SEED, SHARES, WEIGHTS, CAP = "mix-1", 1.5, (3, 1, 2), 2
 BLOCK, SHARD, MOST_SHARDS = 16, 65536, 4096
@@ -112,20 +112,22 @@ def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "
     return d.select("doc_id", "size", "source_size", "target", (F.col("rounds") * F.col("size") + extra).alias("taken"), "rounds", "spans")
 
 
-def mixed_texts(docs: DataFrame, **options) -> DataFrame:
+def mixed_texts(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", chars: str = "n_chars", **options) -> DataFrame:
     """The documents of the mix, with the columns of ``docs``: one row per whole copy, and one per word range, its text cut.
 
-    ``n_chars`` is counted again where there is such a column.  The id must be unique.
+    ``chars`` is counted again where there is such a column.  Rows that repeat an id are one document here; rows without id are named
+    by a digest of their text.
     """
-    plan = mix(docs, **options).filter("taken > 0").select(F.col("doc_id").alias("_id"), "size", "rounds", "spans")
-    whole = F.when(F.col("rounds") > 0, F.array_repeat(F.struct(F.lit(0).cast("bigint").alias("from"), F.col("size").alias("to")), F.col("rounds").cast("int")))
-    parts = plan.select("_id", "size", F.explode(F.concat(F.coalesce(whole, F.array().cast("array<struct<from:bigint,to:bigint>>")), "spans")).alias("_s"))
-    d = docs.join(parts, docs["doc_id"].eqNullSafe(parts["_id"]))
-    words = F.split("text", r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")
-    words = F.filter(words, lambda w: F.regexp_like(w, F.lit(r"[^\x20\x09-\x0D]")))
-    cut = F.array_join(F.slice(words, (F.col("_s.from") + 1).cast("int"), (F.col("_s.to") - F.col("_s.from")).cast("int")), "")
-    text = F.when((F.col("_s.from") == 0) & (F.col("_s.to") == F.col("size")), F.col("text")).otherwise(cut)
-    d = d.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        d = d.withColumn("n_chars", F.length("text").cast("bigint"))
-    return d.select(*docs.columns)
+    key = F.coalesce(F.col(id).cast("string"), F.concat(F.lit("?"), F.md5(as_text(text))))
+    rows = docs.select(F.struct("*").alias("row"), key.alias("key"), F.col(text).alias("text"), F.col(source).alias("source"))
+    if has_repeats(rows, "key"):
+        rows = rows.dropDuplicates(["key"])
+    plan = mix(rows, "key", **options).filter("taken > 0")
+    copies = F.array_repeat(F.struct(F.lit(0).cast("bigint").alias("from"), F.col("size").alias("to")), F.col("rounds").cast("int"))
+    parts = plan.select(F.col("doc_id").alias("key"), "size", F.explode(F.concat(copies, "spans")).alias("part"))
+    d = rows.join(parts.hint("merge"), "key")
+    words = F.filter(F.split("text", rf"(?<={SPACE})(?={WORD})"), lambda w: F.regexp_like(w, F.lit(WORD)))  # each with the space behind it
+    cut = F.array_join(F.slice(words, (F.col("part.from") + 1).cast("int"), (F.col("part.to") - F.col("part.from")).cast("int")), "")
+    d = d.withColumn("text", F.when((F.col("part.from") == 0) & (F.col("part.to") == F.col("size")), F.col("text")).otherwise(cut))
+    new = {text: F.col("text"), chars: F.length("text").cast("bigint")}
+    return d.select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])

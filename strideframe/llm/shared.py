@@ -50,6 +50,11 @@ def word_count(text: Column) -> Column:
     return F.length(F.regexp_replace(bare, rf"{WORD}{SPACE}*", "x")).cast("bigint")
 
 
+def has_repeats(df: DataFrame, id: str) -> bool:
+    """Whether rows repeat an id.  Only the ids move."""
+    return df.filter(F.col(id).isNotNull()).groupBy(id).count().filter("count > 1").limit(1).count() > 0
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of an edge table: ``(id, component)``, component being the smallest id reachable.
 

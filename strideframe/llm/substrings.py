@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strideframe.llm.shared import as_text, written
+from strideframe.llm.shared import as_text, has_repeats, written
 
 LENGTH, GRAM, GROUP = 200, 48, 512
 C1, C2, HALF = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(32)
@@ -225,7 +225,7 @@ def repeated_bytes(docs: DataFrame, id: str = "doc_id", text: str = "text", leng
               .filter("(kinds > 1 or most > 1) and least = 1").select("anchor", "kinds"))
     tests = written(classes.join(written(differ, "differ").hint("merge"), "anchor").select("anchor", "kinds", "copies", F.col("one.doc").alias("doc"), F.col("one.start").alias("start"), "count"), "tests")
     with runtime_filter(spark):
-        bodies = texts.dropDuplicates(["doc"]) if _repeats(docs, id) else texts
+        bodies = texts.dropDuplicates(["doc"]) if has_repeats(texts, "doc") else texts
         cut = bodies.join(tests.filter("kinds > 0").hint("merge"), "doc").select(
             "anchor", "kinds", "copies", "doc", "start", F.substring("raw", F.col("start") + 1, F.col("count") + length - 1).alias("piece"))
         cut = written(cut, "pieces")
@@ -262,8 +262,3 @@ def repeated_bytes(docs: DataFrame, id: str = "doc_id", text: str = "text", leng
         "doc_id", F.col("bytes").alias("n_bytes"), F.coalesce("n_removed", F.lit(0)).cast("bigint").alias("n_removed"),
         F.coalesce("n_spans", F.lit(0)).cast("bigint").alias("n_spans"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"),
         F.arrays_zip(F.col("lo").alias("from"), F.col("hi").alias("to")).alias("spans"), "kept")
-
-
-def _repeats(docs: DataFrame, id: str) -> bool:
-    """Whether rows repeat an id."""
-    return docs.groupBy(id).count().filter("count > 1").limit(1).count() > 0
