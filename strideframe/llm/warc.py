@@ -137,6 +137,8 @@ def write_archives(pages: DataFrame, folder: str, id: str = "page_id", url: str
             files.delete_file(own)
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
 
+    home = pages.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)  # there even if no task has a record to write
+    home.getFileSystem(pages.sparkSession._jsc.hadoopConfiguration()).mkdirs(home)
     return rows.mapInArrow(write, "n bigint").agg(F.sum("n")).first()[0] or 0
 
 
