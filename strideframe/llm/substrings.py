@@ -39,15 +39,19 @@ C1, C2, HALF = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.
 
 
 @contextmanager
-def runtime_filter(spark: SparkSession, least: str = "1MB"):
-    """Inside, Spark may filter a scan of ``least`` or more by a (size-limited) Bloom filter of the other side's keys."""
-    name = "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold"
-    before = spark.conf.get(name)
-    spark.conf.set(name, least)
+def runtime_filter(spark: SparkSession, scan: str = "1MB", keys: str = "10GB"):
+    """Inside, Spark may filter a scan of ``scan`` or more by a Bloom filter of the other side's keys, whose table has ``keys`` at
+    most.  The filter itself is 8 MB at most by Spark's own limit; keys in excess only make it let more rows through."""
+    own = "spark.sql.optimizer.runtime.bloomFilter."
+    new = {own + "applicationSideScanSizeThreshold": scan, own + "creationSideThreshold": keys}
+    before = {name: spark.conf.get(name) for name in new}
+    for name, value in new.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
 
 
 def pair_rank(a: np.ndarray, b: np.ndarray) -> np.ndarray:
