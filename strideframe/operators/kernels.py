@@ -4,6 +4,9 @@ Spark cuts the series into halo blocks; each grouped Arrow call gets one block (
 window lengths of rows) and evaluates all its windows as the rows of a strided 2-D view.  Rows are
 thus shuffled 1.25 times, whatever the overlap W/S of the windows, and each feature is one short
 array expression.
+
+Missing values (NULL) are left out: a window with some is evaluated over the values it has, in their
+order; without any it has NULL.  Spectra need evenly spaced values and are NULL then.
 """
 
 from __future__ import annotations
@@ -153,7 +156,7 @@ def _gskew(w: Windows) -> np.ndarray:
 def _median_brp(w: Windows) -> np.ndarray:
     low, high, median = *w.kth([0, w.n - 1]).T, w.quantile(0.5)
     buffer = (high - low) / 10
-    return (w.below(median + buffer) - w.below(median - buffer, "right")) / w.n
+    return np.maximum(w.below(median + buffer) - w.below(median - buffer, "right"), 0) / w.n  # a constant window has no buffer
 
 
 def _beyond(w: Windows, r: float = 2) -> np.ndarray:
@@ -234,6 +237,9 @@ KERNELS: dict[str, tuple[pa.DataType, Callable[..., np.ndarray]]] = {
 }
 
 
+# spectra: undefined where a value is missing
+EVEN = {"w_fft_rmean_last_5000", "w_fft_lmean_last_5000", "w_psd", "w_periodogram", "w_spectrogram_downsampled", "w_max_smoothed_periodogram"}
+
 # features of ranks and counts; they never look at all windows of a block at a time
 BY_RANK = {"w_quantile", "w_median", "w_irq", "w_q31", "w_integral", "w_count_above_mean", "w_count_below_mean", "w_binned_entropy",
            "w_percent_difference_flux_percentile", "w_flux_percentile_ratio_sum", "w_gskew", "w_median_BRP", "w_ratio_beyond_r_sigma"}
@@ -242,7 +248,7 @@ BY_RANK = {"w_quantile", "w_median", "w_irq", "w_q31", "w_integral", "w_count_ab
 def _windows(buf: np.ndarray, size: int, stride: int, limit: int) -> Iterator[tuple[int, Windows]]:
     """(index of the first window, windows) of one block; a partial tail comes by itself, last."""
     full = min(limit, (len(buf) - size) // stride + 1) if len(buf) >= size else 0
-    if full > 1 and size >= LONG_WINDOW and stride * 4 <= size:
+    if full > 1 and size >= LONG_WINDOW and stride * 4 <= size and not np.isnan(buf).any():
         yield 0, SlidingWindows(buf, size, stride, full)
     elif full:
         v = np.lib.stride_tricks.sliding_window_view(buf, size)[::stride][:full]
@@ -261,6 +267,28 @@ def _evaluate(w: Windows, op: str, params: dict) -> np.ndarray | list:
     return [y for part in w.chunks() for y in fn(part, **params)]
 
 
+def _with_missing(w: Windows, missing: np.ndarray, op: str, params: dict) -> list:
+    """Windows that lack a value one by one (those that lack none as usual); None where nothing is left."""
+    out: list = [None] * len(w.v)
+    whole = np.flatnonzero(~missing)
+    if len(whole):
+        for i, y in zip(whole, _evaluate(Windows(w.v[whole]) if len(whole) < len(w.v) else w, op, params)):
+            out[i] = y
+    for i in np.flatnonzero(missing):
+        values = w.v[i][~np.isnan(w.v[i])]
+        if len(values) and op not in EVEN:
+            out[i] = KERNELS[op][1](Windows(values[None, :]), **params)[0]
+    return out
+
+
+def _column(values: list | np.ndarray, kind: pa.DataType) -> pa.Array:
+    if kind == ARRAY:
+        return pa.array(list(values), ARRAY)
+    if isinstance(values, list):
+        values = [None if y is None or y != y else y for y in values]
+    return pa.array(values if isinstance(values, list) else np.asarray(values), kind, from_pandas=True)
+
+
 def block_features(f: Frame, ops: dict[str, tuple[str, dict]], size: int, stride: int, short: str) -> DataFrame:
     """Evaluate kernels over the windows that start in each block of a frame; one row per window."""
     fields = {name: KERNELS[op][0] for name, (op, _) in ops.items()}
@@ -270,8 +298,11 @@ def block_features(f: Frame, ops: dict[str, tuple[str, dict]], size: int, stride
     def evaluate(key, pos, x):
         sid, blk = key
         pos = pos - blk * block
-        buf = np.empty(int(pos.max()) + 1)
+        buf = np.full(int(pos.max()) + 1, np.nan)
+        if len(pos) != len(buf) or len(np.unique(pos)) != len(pos):
+            raise ValueError(f"series {sid!r} has gaps or doubled positions after {blk * block}")
         buf[pos] = x
+        holes = np.append(0, np.cumsum(np.isnan(buf)))
         parts = []
         with np.errstate(all="ignore"):
             for first, w in _windows(buf, size, stride, block // stride):
@@ -282,10 +313,11 @@ def block_features(f: Frame, ops: dict[str, tuple[str, dict]], size: int, stride
                         raise ValueError(f"series {sid!r} has fewer than {size} rows")
                     continue
                 cols = [pa.array([sid] * k, pa.string()), pa.array(win), pa.array([w.n] * k, LONG)]
+                at = (first + np.arange(k)) * stride
+                missing = holes[at + w.n] > holes[at]
                 for name, (op, params) in ops.items():
-                    y = _evaluate(w, op, params)
-                    cols.append(pa.array(list(y), ARRAY) if fields[name] == ARRAY
-                                else pa.array(np.asarray(y), fields[name], from_pandas=True))
+                    y = _with_missing(w, missing, op, params) if missing.any() else _evaluate(w, op, params)
+                    cols.append(_column(y, fields[name]))
                 parts.append(pa.RecordBatch.from_arrays(cols, schema=schema))
         return pa.Table.from_batches(parts, schema=schema)
 

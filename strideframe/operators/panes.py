@@ -7,6 +7,9 @@ its W/S panes: the work is n + (n/S)(W/S) instead of the n W/S of copying each r
 
 A feature of pairs (i, i + lag) sums over the rows start..end-lag only, which is a window that is
 ``lag`` rows shorter: one more cut, at (W - lag) mod S, makes it decompose too.
+
+Missing values (NULL) are left out: statistics are those of the values that are there, features of
+pairs or triples use those whose rows all have a value, and a window without any value has NULL.
 """
 
 from __future__ import annotations
@@ -39,7 +42,9 @@ class Stat:
 
 @dataclass(frozen=True)
 class PaneOp:
-    """Statistics a feature needs, and its value over them (SQL; ``cnt`` is the row count as double).
+    """Statistics a feature needs, and its value over them (SQL; ``cnt`` is the number of values, ``span`` that of rows, as doubles).
+
+    Where the window has no value, the feature is NULL, unless it is ``defined`` there too.
 
     ``leads`` asks for columns x1, x2, ... with later rows, ``lags`` for earlier rows in the frame,
     ``extra`` for further row columns.
@@ -50,19 +55,32 @@ class PaneOp:
     leads: tuple[int, ...] = ()
     lags: int = 0
     extra: dict[str, str] = field(default_factory=dict)
+    defined: bool = False
 
 
 def same(name: str, agg: str, order: str = "") -> Stat:
     """A statistic that merges by the same aggregate (``min`` of ``min``)."""
     pane, merge = (", pos", ", off") if order else ("", "")
-    arg = "ttf" if name == "ttf" else "x"
-    return Stat({name: f"{agg}({arg}{pane})"}, {name: f"{agg}({name}{merge})"})
+    if name == "ttf":
+        return Stat({name: f"{agg}(ttf{pane})"}, {name: f"{agg}(ttf{merge})"})
+    return Stat({name: f"{agg}(x{pane}) {THERE}"}, {name: f"{agg}({name}{merge}) filter (where {name} is not null)"})
+
+
+def extreme(name: str, agg: str, place: str) -> Stat:
+    """The extreme value with its first or last position."""
+    return Stat({name: f"{agg}(struct(x, {place} as p)) {THERE}"}, {name: f"{agg}({name}) filter (where {name} is not null)"})
+
+
+def complete(name: str, expr: str, lag: int) -> dict[str, Stat]:
+    """How many pairs (triples) have all their values."""
+    return {name: Stat({name: f"count({expr})"}, {name: f"sum({name})"}, lag)}
 
 
+THERE = "filter (where x is not null)"
 CUBE = "coalesce(skew, 0D) * pow(m2, 1.5D) / sqrt(n)"  # third central power sum of a pane
 
 STATS = {
-    "n": Stat({"n": "count(1)"}, {"n": "sum(n)"}),
+    "n": Stat({"rows": "count(1)", "n": "count(x)"}, {"rows": "sum(rows)", "n": "sum(n)"}),
     "min": same("min", "min"),
     "max": same("max", "max"),
     "first": same("first", "min_by", "pos"),
@@ -75,14 +93,15 @@ STATS = {
     "m3": Stat({"skew": "skewness(x)"}, {"a3": f"sum({CUBE} + 3 * d * m2 + n * d * d * d)"}),
     "m4": Stat({"kurt": "kurtosis(x)"}, {"a4": "sum(coalesce(kurt + 3, 0D) * m2 * m2 / n "
                                                f"+ 4 * d * {CUBE} + 6 * d * d * m2 + n * d * d * d * d)"}),
-    # co-moment of (position in the window, x about c)
-    "trend": Stat({"cov": "covar_pop(x, double(pos - pstart)) * count(x)"},
-                  {"tx": "sum(cov + n * d * (off + (n - 1) / 2))"}),
+    # co-moment of (position in the window, x about c), and the moments of the positions that have a value
+    "trend": Stat({"cov": "covar_pop(x, double(pos - pstart)) * count(x)", "st": f"sum(pos - pstart) {THERE}",
+                   "stt": f"sum(double(pos - pstart) * (pos - pstart)) {THERE}"},
+                  {"tx": "sum(cov + d * (st + n * off))", "t1": "sum(st + n * off)", "t2": "sum(stt + 2 * off * st + double(n) * off * off)"}),
     # extremes, with their first or last position
-    "firstmax": Stat({"firstmax": "max(struct(x, -pos as p))"}, {"firstmax": "max(firstmax)"}),
-    "lastmax": Stat({"lastmax": "max(struct(x, pos as p))"}, {"lastmax": "max(lastmax)"}),
-    "firstmin": Stat({"firstmin": "min(struct(x, pos as p))"}, {"firstmin": "min(firstmin)"}),
-    "lastmin": Stat({"lastmin": "min(struct(x, -pos as p))"}, {"lastmin": "min(lastmin)"}),
+    "firstmax": extreme("firstmax", "max", "-pos"),
+    "lastmax": extreme("lastmax", "max", "pos"),
+    "firstmin": extreme("firstmin", "min", "pos"),
+    "lastmin": extreme("lastmin", "min", "-pos"),
 }
 
 # values over the merged statistics
@@ -108,11 +127,11 @@ def _sum(name: str, expr: str, lag: int) -> dict[str, Stat]:
 
 
 def _extreme(column: str, sign: int, shift: int) -> PaneOp:
-    return _op(f"({sign} * {column}.p - win * stride + {shift}) / cnt", column)
+    return _op(f"({sign} * {column}.p - win * stride + {shift}) / span", column)
 
 
 def _difference(name: str, expr: str, value: str, *stats: str) -> PaneOp:
-    return _op(value, *stats, leads=(1,), more=_sum(name, expr, 1))
+    return _op(value, *stats, leads=(1,), more={**_sum(name, expr, 1), **complete("pairs", "x1 - x", 1)})
 
 
 def w_skewness() -> PaneOp:
@@ -129,7 +148,7 @@ def w_kurtosis() -> PaneOp:
 
 
 def w_linear_trend() -> PaneOp:
-    slope = "(tx - (cnt - 1) / 2 * a1) / (cnt * (cnt * cnt - 1) / 12)"
+    slope = "(tx - t1 / cnt * a1) / (t2 - t1 / cnt * t1)"
     return _op(f"case when cnt >= 2 then {slope} end", "m1", "trend")
 
 
@@ -139,18 +158,18 @@ def w_autocorrelation(lag: int = 10) -> PaneOp:
     products = Stat({f"{t}xy": f"sum((x - _rc) * ({y} - _rc))", f"{t}s": f"sum(x - _rc + {y} - _rc)"},
                     {f"{t}xy": f"sum({t}xy)", f"{t}s": f"sum({t}s)"}, lag)
     shift = Stat({"rc": "first(_rc)"}, {"rc": "first(rc)"})
-    mu, pairs = f"({MEAN} - rc)", f"(cnt - {lag})"
+    mu, pairs = f"({MEAN} - rc)", f"{t}n"
     r = f"({t}xy - {mu} * {t}s + {pairs} * {mu} * {mu}) / ({pairs} * {VARIANCE})"
     return _op(f"case when {pairs} > 0 and {VARIANCE} > 1e-8D then {r} end", *VAR, leads=(lag,) if lag else (),
                extra={"_rc": "avg(x) over " + BLOCK.format("unbounded preceding and unbounded following")},
-               more={t: products, "rc": shift})
+               more={t: products, "rc": shift, **complete(pairs, f"x + {y}", lag)})
 
 
 def _triple(name: str, lag: int, expr: Callable[[str, str], str]) -> PaneOp:
     """Mean over the rows that have two later rows at ``lag`` and ``2 lag``; 0 when none has."""
     y, z = (f"x{lag}", f"x{2 * lag}") if lag else ("x", "x")
-    return _op(f"if(cnt > {2 * lag}, {name}{lag} / (cnt - {2 * lag}), 0D)", leads=(lag, 2 * lag) if lag else (),
-               more=_sum(f"{name}{lag}", expr(y, z), 2 * lag))
+    return _op(f"if(triples{lag} > 0, {name}{lag} / triples{lag}, 0D)", leads=(lag, 2 * lag) if lag else (),
+               more={**_sum(f"{name}{lag}", expr(y, z), 2 * lag), **complete(f"triples{lag}", f"x + {y} + {z}", 2 * lag)})
 
 
 def w_number_crossing_m(m: float = 0.1) -> PaneOp:
@@ -161,9 +180,9 @@ def w_number_crossing_m(m: float = 0.1) -> PaneOp:
 
 def w_pair_slope_trend() -> PaneOp:
     """(rises - non-rises) among the last 30 values, over 30."""
-    step = "case when x1 > x then 1 when x1 is not null then -1 end"
+    step = "case when x1 > x then 1 when x1 <= x then -1 end"
     last30 = Stat({"slope30": "max_by(_slope, pos)"}, {"slope30": "max_by(slope30, off)"})
-    return _op("if(cnt >= 30, slope30, coalesce(steps, 0)) / 30", leads=(1,), lags=30,
+    return _op("if(span >= 30, slope30, coalesce(steps, 0)) / 30", leads=(1,), lags=30,
                extra={"_slope": f"sum({step}) over " + BLOCK.format("29 preceding and 1 preceding")},
                more={"slope30": last30, **_sum("steps", step, 1)})
 
@@ -196,11 +215,12 @@ PANE_OPS: dict[str, Callable[..., PaneOp]] = {
     "w_linear_trend": w_linear_trend,
     "w_av_change_rate": w_av_change_rate,
     "w_absolute_sum_of_changes": lambda: _difference("absd", "abs(x1 - x)", "coalesce(absd, 0D)"),
-    "w_mean_abs_change": lambda: _difference("absd", "abs(x1 - x)", "case when cnt > 1 then absd / (cnt - 1) end"),
+    "w_mean_abs_change": lambda: _difference("absd", "abs(x1 - x)", "case when pairs > 0 then absd / pairs end"),
     "w_eta_e": lambda: _difference("dd", "(x1 - x) * (x1 - x)",
-                                   f"case when {M2} > 0 then dd / (cnt - 1) / {VARIANCE} end", *VAR),
+                                   f"case when {M2} > 0 and pairs > 0 then dd / pairs / {VARIANCE} end", *VAR),
     "w_mean_second_derivative_central": lambda: _op(
-        "case when cnt > 2 then second / (cnt - 2) end", leads=(1, 2), more=_sum("second", "(x2 - 2 * x1 + x) / 2", 2)),
+        "case when bends > 0 then second / bends end", leads=(1, 2),
+        more={**_sum("second", "(x2 - 2 * x1 + x) / 2", 2), **complete("bends", "x2 + x1 + x", 2)}),
     "w_autocorrelation": w_autocorrelation,
     "w_c3": lambda lag=100: _triple("c3_", lag, lambda y, z: f"x * {y} * {z}"),
     "w_time_reversal_asymmetry_statistic": lambda lag=100: _triple(
@@ -247,5 +267,6 @@ def merge_panes(panes: Frame, ops: dict[str, PaneOp], size: int, stride: int) ->
     df = df.select(*[F.when(F.col("off") < size - guard[k], F.col(k)).alias(k) if k in guard else k for k in df.columns])
     merged = {name: sql for s in stats.values() for name, sql in s.merge.items()}
     df = df.groupBy(*BLOCK_KEYS, "win").agg(*[F.expr(sql).alias(name) for name, sql in merged.items()])
-    df = df.withColumn("stride", F.lit(stride)).withColumn("cnt", F.col("n").cast("double"))
-    return df.select(KEY, "win", "n", *[F.expr(op.value).alias(name) for name, op in ops.items()])
+    df = df.withColumn("stride", F.lit(stride)).withColumn("cnt", F.col("n").cast("double")).withColumn("span", F.col("rows").cast("double"))
+    value = lambda op: op.value if op.defined else f"case when n > 0 then {op.value} end"
+    return df.select(KEY, "win", F.col("rows").alias("n"), *[F.expr(value(op)).alias(name) for name, op in ops.items()])

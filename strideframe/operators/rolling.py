@@ -2,8 +2,11 @@
 
 Moving sums are differences of running sums inside a halo block.  A running sum is O(1) per row,
 while a sliding ``rowsBetween`` frame re-aggregates its whole buffer for every row, which is too
-slow for windows of 1,000 to 100,000 rows.  Values are centred on the block mean first, so that the
-difference of squares does not cancel.
+slow for windows of 1,000 to 100,000 rows.  Moments are not differences, but merged from the moments of
+two parts, so that nothing cancels, whatever the level of the series.
+
+Missing values (NULL) are left out of moving means, deviations and clipping bounds; where no value is
+left, the result is NULL.
 """
 
 from __future__ import annotations
@@ -15,7 +18,7 @@ from typing import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..frame import Frame, block_size, halo
+from ..frame import BLOCK_KEYS, Frame, block_size, halo, idiv
 from ..series import KEY, join_small
 from .quantiles import exact_quantiles
 
@@ -42,8 +45,8 @@ def moving_sums(f: Frame, terms: dict[str, tuple[str, int, int]]) -> Frame:
     evaluates incrementally, and all of them share one pass over the block.
     """
     start = Window.unboundedPreceding
-    upto = lambda c, end: F.sum(c).over(f.ordered.rowsBetween(start, end))
-    return f.with_df(f.df.select("*", *[(upto(c, after) - F.coalesce(upto(c, -before - 1), F.lit(0.0))).alias(out)
+    upto = lambda c, end: F.coalesce(F.sum(c).over(f.ordered.rowsBetween(start, end)), F.lit(0.0))
+    return f.with_df(f.df.select("*", *[(upto(c, after) - upto(c, -before - 1)).alias(out)
                                         for out, (c, before, after) in terms.items()]))
 
 
@@ -52,8 +55,29 @@ def _with_x(f: Frame, x: Column) -> Frame:
     return f.with_df(f.df.withColumn("x", x).drop(*scratch))
 
 
-def _rows_in(window: int) -> Column:
-    return F.least(F.col("pos") + 1, F.lit(window)).cast("double")
+def trailing_moments(f: Frame, window: int) -> Frame:
+    """Add ``_n, _mean, _m2``: number, mean and central square sum of the values in the last ``window`` rows.
+
+    The block is cut into stretches of ``window`` rows.  The last ``window`` rows are the head of the row's own stretch up to
+    the row, and the end of the stretch before: two growing frames, one from each side, whose moments are merged.
+    """
+    df = f.df.withColumn("_cut", idiv("pos", window))
+    stretch = Window.partitionBy(*BLOCK_KEYS, "_cut")
+    for side, order in (("h", F.col("pos").asc()), ("t", F.col("pos").desc())):
+        grown = stretch.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+        n = F.count("x").over(grown)
+        df = df.withColumn(f"_{side}n", n).withColumn(f"_{side}a", F.avg("x").over(grown)).withColumn(f"_{side}q", F.var_pop("x").over(grown) * n)
+    # a row before which there are fewer lies in the first stretch
+    other = F.lit(None) if window == 1 else F.lag(F.struct("_cut", "_tn", "_ta", "_tq"), window - 1).over(f.ordered)
+    df = df.withColumn("_b", other.cast("struct<_cut: bigint, _tn: bigint, _ta: double, _tq: double>"))
+    other = F.when(F.col("_b._cut") != F.col("_cut"), F.col("_b"))
+    n2, a2, q2 = F.coalesce(other["_tn"], F.lit(0)), other["_ta"], other["_tq"]
+    n = F.col("_hn") + n2
+    both = (F.col("_hn") > 0) & (n2 > 0)
+    gap = F.col("_ha") - a2
+    mean = F.when(both, a2 + gap * F.col("_hn") / n).otherwise(F.coalesce("_ha", a2))
+    m2 = F.when(both, F.col("_hq") + q2 + gap * gap * F.col("_hn") * n2 / n).otherwise(F.coalesce("_hq", q2))
+    return f.with_df(df.select(*f.df.columns, n.alias("_n"), mean.alias("_mean"), m2.alias("_m2")))
 
 
 def r_mean(window_size: int = 100) -> RowOp:
@@ -61,8 +85,9 @@ def r_mean(window_size: int = 100) -> RowOp:
 
     def apply(f: Frame) -> Frame:
         df = f.df.withColumn("_c", F.avg("x").over(f.whole)).withColumn("_d", F.col("x") - F.col("_c"))
-        f = moving_sums(f.with_df(df), {"_s": ("_d", window_size - 1, 0)})
-        return _with_x(f, F.col("_c") + F.col("_s") / _rows_in(window_size))
+        df = df.withColumn("_one", F.col("x").isNotNull().cast("double"))
+        f = moving_sums(f.with_df(df), {"_s": ("_d", window_size - 1, 0), "_n": ("_one", window_size - 1, 0)})
+        return _with_x(f, F.when(F.col("_n") > 0, F.col("_c") + F.col("_s") / F.col("_n")))
 
     return RowOp(window_size - 1, 0, apply)
 
@@ -71,21 +96,13 @@ def r_std(window_size: int = 100) -> RowOp:
     """Trailing moving population standard deviation; exactly 0 on the first row and on constant stretches."""
 
     def apply(f: Frame) -> Frame:
-        changed = (F.col("x") != F.lag("x").over(f.ordered)).cast("double")
-        df = f.df.select("*", (F.col("x") - F.avg("x").over(f.whole)).alias("_d"),
-                         F.coalesce(changed, F.lit(0.0)).alias("_chg"))
-        df = df.withColumn("_sq", F.col("_d") * F.col("_d"))
-        f = moving_sums(f.with_df(df), {"_s1": ("_d", window_size - 1, 0), "_s2": ("_sq", window_size - 1, 0),
-                                        "_steps": ("_chg", window_size - 2, 0)})
-        mean = F.col("_s1") / _rows_in(window_size)
-        var = F.col("_s2") / _rows_in(window_size) - mean * mean
-        return _with_x(f, F.when(F.col("_steps") == 0, 0.0).otherwise(F.sqrt(F.greatest(var, F.lit(0.0)))))
+        return _with_x(trailing_moments(f, window_size), F.when(F.col("_n") > 0, F.sqrt(F.col("_m2") / F.col("_n"))))
 
     return RowOp(window_size - 1, 0, apply)
 
 
 def r_sta_lta(sta_window: int = 1000, lta_window: int = 10000) -> RowOp:
-    """Short-term over long-term mean of squares; early rows still divide by the full window lengths."""
+    """Short-term over long-term mean of squares; early rows still divide by the full window lengths.  A missing value adds nothing."""
     if sta_window > lta_window:
         raise ValueError("the short-term window cannot be longer than the long-term window")
 
@@ -105,7 +122,7 @@ def r_savgol_filter(window_length: int = 101, polyorder: int = 1) -> RowOp:
     sum(k^p x), k = -h..h, and those are differences of running sums.  The rows nearer than h to an
     end of the series are read off the polynomial of the first / last full window (the fit to the
     first / last ``window_length`` rows), which is at most h rows away, so that the ends need no
-    pass of their own.  Higher orders get blocks of a few windows, to keep the powers of the
+    pass of their own.  A row is NULL where the window it is read off lacks a value.  Higher orders get blocks of a few windows, to keep the powers of the
     block-local coordinate small.
     """
     if window_length % 2 == 0:
@@ -130,11 +147,11 @@ def r_savgol_filter(window_length: int = 101, polyorder: int = 1) -> RowOp:
     def apply(f: Frame) -> Frame:
         origin = F.col("blk") * f.size + f.size // 2
         df = f.df.select("*", F.avg("x").over(f.whole).alias("_m"),
-                         ((F.col("pos") - origin).cast("double") / window_length).alias("_u"), F.lit(1.0).alias("_one"))
+                         ((F.col("pos") - origin).cast("double") / window_length).alias("_u"), F.lit(1.0).alias("_one"), F.col("x").isNotNull().cast("double").alias("_there"))
         df = df.withColumn("_p0", F.col("x") - F.col("_m"))
         for p in degrees[1:]:
             df = df.withColumn(f"_p{p}", F.col(f"_p{p - 1}") * F.col("_u"))
-        df = moving_sums(f.with_df(df), {**{f"_t{p}": (f"_p{p}", h, h) for p in degrees}, "_n": ("_one", h, h)}).df
+        df = moving_sums(f.with_df(df), {**{f"_t{p}": (f"_p{p}", h, h) for p in degrees}, "_rows": ("_one", h, h), "_n": ("_there", h, h)}).df
         shifted = [sum((comb(p, i) * F.pow(-F.col("_u"), F.lit(float(p - i))) * F.col(f"_t{i}") for i in range(p + 1)),
                        F.lit(0.0)) * float(window_length) ** p for p in degrees]
         poly = F.struct(F.col("pos").alias("at"), *[c.alias(f"c{p}") for p, c in enumerate(coefficients(shifted))])
@@ -144,8 +161,10 @@ def r_savgol_filter(window_length: int = 101, polyorder: int = 1) -> RowOp:
             F.first(F.when(F.col("blk") == 0, F.col("_fit")), ignorenulls=True).over(f.whole)))
         off = (F.col("pos") - F.col("_near.at")).cast("double")
         y = sum((F.col(f"_near.c{p}") * F.pow(off, F.lit(float(p))) for p in degrees), F.col("_m"))
+        y = F.when((F.col("_n") == window_length) | ((F.col("_rows") < window_length) & (F.abs(off) <= h)), y)
         too_short = F.raise_error(F.lit(f"window_length {window_length} is greater than the series"))
-        return _with_x(f.with_df(df), F.when((F.col("blk") == 0) & F.col("_near").isNull(), too_short).otherwise(y))
+        df = df.withColumn("_most", F.max("_rows").over(f.whole))
+        return _with_x(f.with_df(df), F.when((F.col("blk") == 0) & (F.col("_most") < window_length), too_short).otherwise(y))
 
     return RowOp(2 * h, h, apply, own_block=16 * window_length if polyorder >= 2 else None)
 
@@ -159,7 +178,7 @@ def r_clip(s: DataFrame, q_low: float = 0.01, q_high: float = 0.99) -> DataFrame
     """Clip each series to its own exact [q_low, q_high] quantiles (taken over the whole series)."""
     bounds = exact_quantiles(s, [KEY], "x", {"_lo": q_low, "_hi": q_high})
     return (join_small(s, bounds, [KEY])
-            .withColumn("x", F.least(F.greatest(F.col("x"), F.col("_lo")), F.col("_hi"))).drop("_lo", "_hi"))
+            .withColumn("x", F.when(F.col("x").isNotNull(), F.least(F.greatest(F.col("x"), F.col("_lo")), F.col("_hi")))).drop("_lo", "_hi"))
 
 
 def rolled_frame(s: DataFrame, ops: list[tuple[str, dict]], right: int = 0, left: int = 0, stride: int = 1,

@@ -73,7 +73,7 @@ def window_features(s: DataFrame, features: dict[str, tuple[str, dict]], window_
     direct = {k: op for k, op in panes.items() if not (rows or op.leads or op.lags)}
     framed = {k: op for k, op in panes.items() if k not in direct}
     if label:
-        direct["ttf"] = PaneOp({"n": STATS["n"], "ttf": STATS["ttf"]}, "ttf")
+        direct["ttf"] = PaneOp({"n": STATS["n"], "ttf": STATS["ttf"]}, "ttf", defined=True)
 
     parts = []
     tail = max(0, window_size - window_stride)
