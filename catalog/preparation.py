@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import functions as F
 
-from strideframe.functions.slices import leading_share, random_slice, row_range, three_slices
+from strideframe.functions.slices import leading_share, row_range, three_slices
 from strideframe.operators.cycles import combine_cycles, cycle_boundaries, split_cycles
 from strideframe.operators.matching import (analogue_labels, analogues, best_match, cross_correlation, template_information,
                                             template_values)
@@ -15,6 +12,7 @@ from strideframe.operators.windows import window_features
 from strideframe.series import contract_violations, lengths
 from strideframe.sources.readers import read_by_extension, read_cycles
 from strideframe.sources.tables import event_series, read_table, user_series
+from strideframe.tables import new_path
 from strideframe.sources.writers import memoized, write_cycles, write_features
 
 from . import query
@@ -32,11 +30,8 @@ cyc AS (SELECT lab.*, cycle_id, start FROM lab JOIN c ON pos >= start AND pos <
 
 
 def scratch(spark, name: str) -> str:
-    """A new folder for a written table: in the cluster's shared folder where the session names one."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return f"{shared.rstrip('/')}/{os.urandom(8).hex()}/{name}"
-    return os.path.join(tempfile.mkdtemp(prefix="run-", dir="/tmp"), name)
+    """A new path in the cluster's shared folder."""
+    return new_path(spark, name)
 
 
 @query("label_time_to_next", f"WITH {LABELLED} SELECT pos, round(ttf, 6) AS ttf FROM lab")
@@ -123,11 +118,6 @@ def slices(spark, sf):
     return three_slices(event_series(spark, sf), 150).select("part", "pos", "x")
 
 
-@query("random_slice")
-def sample(spark, sf):
-    return random_slice(event_series(spark, sf), 1000, 150, seed=3)
-
-
 # analogues of the last window's median among all windows
 MEDIANS = f"""{LABELLED}, {windows_cte(source="SELECT pos, avg(x) OVER (ORDER BY pos ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS x FROM lab")},
 f AS (SELECT win, median(x) AS med FROM r GROUP BY win),
@@ -149,11 +139,13 @@ def analogue(spark, sf):
     return out.select("eps_id", F.round("eps", 6).alias("eps"), F.round("label", 3).alias("label"), "matches")
 
 
-@query("analogue_histogram", f"WITH {MEDIANS} SELECT least(floor(ttf / 100), 9)::BIGINT AS bin, count(*) AS count FROM hit WHERE ttf >= 0 AND ttf <= 1000 GROUP BY 1")
+@query("analogue_histogram", f"""WITH {MEDIANS}, b AS (SELECT unnest(range(CAST(floor(max(ttf) / 100) AS BIGINT) + 1)) AS bin FROM t)
+SELECT bin, count(ttf) AS count FROM b LEFT JOIN hit ON floor(ttf / 100) = bin GROUP BY bin""")
 def analogue_histogram(spark, sf):
     from strideframe.functions.bins import histogram
     df, probe = medians(spark, sf)
-    return histogram(analogues(df, "med", probe, atol=0.02), "ttf", 0.0, 100.0, 10).filter("count > 0")
+    bins = int(df.agg(F.max("ttf")).first()[0] // 100) + 1  # as many as the labels need
+    return histogram(analogues(df, "med", probe, atol=0.02), "ttf", 0.0, 100.0, bins)
 
 
 M = 40

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from strideframe.models import folds as FO
 from strideframe.models import selection as SE
 from strideframe.operators.windows import window_features
+from strideframe.tables import written
 from strideframe.sources.tables import event_series, read_table
 
 from . import query
@@ -55,12 +56,12 @@ def discrete(spark, sf):
     return out.select("n", *[F.round(c, 6).alias(c) for c in ("h_a", "h_b", "mi")])
 
 
-def embedded(spark, sf, size: int = 16):
+def embedded(spark, sf, size: int = 64):
     emb = read_table(spark, sf, "embeddings")
     return emb.select("label", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(size)]), [f"e{i}" for i in range(size)]
 
 
-EMB = "t AS (SELECT label, unnest(range(16)) AS i, embedding FROM embeddings), lf AS (SELECT 'e' || i AS feature, label, embedding[i + 1]::DOUBLE AS value FROM t)"
+EMB = "t AS (SELECT label, unnest(range(64)) AS i, embedding FROM embeddings), lf AS (SELECT 'e' || i AS feature, label, embedding[i + 1]::DOUBLE AS value FROM t)"
 
 
 @query("class_information", f"""WITH {EMB}, cv AS (SELECT feature, [{CUTS.format(c='value')}] AS cuts FROM lf GROUP BY feature),
@@ -128,8 +129,8 @@ def elimination(spark, sf):
 
 @query("recursive_elimination_cv")
 def elimination_cv(spark, sf):
-    df = features(spark, sf).persist()
-    folds = FO.block_folds(df, df.count(), 2, 0.0, 2).persist()
+    df = written(features(spark, sf), "table")
+    folds = written(FO.block_folds(df, df.count(), 2, 0.0, 2), "table")
     best, tried = SE.recursive_elimination_cv(folds, COLS, "ttf", "DecisionTreeRegressor", {"max_depth": 3}, step=2, minimum=2)
     return spark.createDataFrame([(size, float(value), size == len(best)) for size, value in tried], "size int, score double, best boolean")
 

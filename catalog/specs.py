@@ -153,8 +153,8 @@ def array_feature_columns(spark, sf):
     return widen(build_features(event_series(spark, sf), chain, SMALL_W, SMALL_S), "psd", SMALL_W // 2 + 1)
 
 
-# three of the grid's windows fit the test tables
-GRID = (5, 11, 31)
+# the grid's four windows, scaled to the test tables
+GRID = (5, 11, 31, 101)
 
 
 @query("feature_grid")
@@ -164,10 +164,10 @@ def grid(spark, sf):
 
 SMOOTH = f"""WITH {windows_cte()}, f AS (SELECT win, avg(x) AS a, max(x) AS b FROM r GROUP BY win), n AS (SELECT count(*) AS n FROM f),
 lf AS (SELECT win, k, CASE k WHEN 0 THEN a ELSE b END AS v, n FROM f, n, (SELECT unnest([0, 1]) AS k)),
-mid AS (SELECT *, avg(v) OVER (PARTITION BY k ORDER BY win ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS m FROM lf),
-hd AS (SELECT k, avg(v) AS a, sum(v * (win - 3)) / 28 AS b FROM lf WHERE win < 7 GROUP BY k),
-tl AS (SELECT k, avg(v) AS a, sum(v * (win - (n - 4))) / 28 AS b FROM lf WHERE win >= n - 7 GROUP BY k),
-y AS (SELECT win, k, CASE WHEN win < 3 THEN hd.a + hd.b * (win - 3) WHEN win > n - 4 THEN tl.a + tl.b * (win - (n - 4)) ELSE m END AS y
+mid AS (SELECT *, avg(v) OVER (PARTITION BY k ORDER BY win ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS m FROM lf),
+hd AS (SELECT k, avg(v) AS a, sum(v * (win - 2)) / 10 AS b FROM lf WHERE win < 5 GROUP BY k),
+tl AS (SELECT k, avg(v) AS a, sum(v * (win - (n - 3))) / 10 AS b FROM lf WHERE win >= n - 5 GROUP BY k),
+y AS (SELECT win, k, CASE WHEN win < 2 THEN hd.a + hd.b * (win - 2) WHEN win > n - 3 THEN tl.a + tl.b * (win - (n - 3)) ELSE m END AS y
       FROM mid JOIN hd USING (k) JOIN tl USING (k))
 SELECT win, round(max(y) FILTER (k = 0), 6) AS avg_x, round(max(y) FILTER (k = 1), 6) AS max_x FROM y GROUP BY win"""
 
@@ -175,5 +175,5 @@ SELECT win, round(max(y) FILTER (k = 0), 6) AS avg_x, round(max(y) FILTER (k = 1
 @query("smooth_columns", SMOOTH)
 def smoothed(spark, sf):
     df = window_features(event_series(spark, sf), {"avg_x": ("w_mean", {}), "max_x": ("w_max", {})}, W, S)
-    out = smooth_columns(df, ["avg_x", "max_x"], 7, 1)
+    out = smooth_columns(df, ["avg_x", "max_x"], 5, 1)
     return out.select("win", F.round("avg_x", 6).alias("avg_x"), F.round("max_x", 6).alias("max_x"))

@@ -13,6 +13,7 @@ from strideframe.models.estimators import binned_classifier, class_centre, creat
 from strideframe.models.metrics import METRICS, score, score_summary
 from strideframe.models.scaling import fit, scale_folds, transform
 from strideframe.operators.windows import window_features
+from strideframe.tables import written
 from strideframe.sources.tables import event_series, read_table, user_series
 from strideframe.sources.writers import append_summary, latest_predictions, read_summary, write_submission
 
@@ -186,7 +187,7 @@ pr AS (SELECT fr.*, a + b * avg_x AS prediction FROM fr JOIN lm USING (fold))"""
 
 
 def folded(spark, sf, k=3):
-    df = features(spark, sf).persist()
+    df = written(features(spark, sf), "table")
     return FO.k_fold(df, df.count(), k)
 
 
@@ -238,7 +239,7 @@ model_query("ada_boost", "AdaBoostRegressor", {"n_estimators": 5})
 @query("binned_label_classifier")
 def classifier(spark, sf):
     df = features(spark, sf).withColumn("bin", F.least(F.floor(F.col("ttf") / 100), F.lit(15)).cast("double"))
-    z = runs.assemble_features(transform(df, COLS, fit(df, COLS)), COLS).persist()
+    z = written(runs.assemble_features(transform(df, COLS, fit(df, COLS)), COLS), "table")
     model = binned_classifier(len(COLS), [8], max_iter=20).fit(z)
     return model.transform(z).select("pos", (class_centre() * 100).alias("prediction"))
 
@@ -247,7 +248,7 @@ def classifier(spark, sf):
 c AS (SELECT regr_slope(ttf, top) AS b, regr_intercept(ttf, top) AS a FROM t)
 SELECT pos, round((a.a + a.b * avg_x + c.a + c.b * top) / 2, 3) AS prediction FROM t, a, c""")
 def ensemble(spark, sf):
-    out = features(spark, sf).persist()
+    out = written(features(spark, sf), "table")
     for i, col in enumerate(("avg_x", "top")):
         z = runs.assemble_features(out, [col])
         out = create_model("LinearRegression", {}).fit(z).transform(z).withColumnRenamed("prediction", f"p{i}").drop("features", "y")
@@ -264,7 +265,7 @@ def latest(spark, sf):
 
 @query("run_grid")
 def grid(spark, sf):
-    df = features(spark, sf).persist()
+    df = written(features(spark, sf), "table")
     n = df.count()
     tables = {"CustomFold": FO.block_folds(df, n, 3, 0.0, 2), "TimeSeriesSplit": FO.time_series_split(df, n, 2)}
     models = [("LinearRegression", {}), ("DecisionTreeRegressor", {"max_depth": 3})]
@@ -273,7 +274,7 @@ def grid(spark, sf):
 
 @query("repeated_validation_score")
 def repeated_score(spark, sf):
-    df = features(spark, sf).persist()
+    df = written(features(spark, sf), "table")
     n = df.count()
     parts = [runs.fold_scores(runs.out_of_fold(FO.block_folds(df, n, 3, 0.0, 2, seed=0, repeat=r), COLS, "LinearRegression", {}),
                               ["mean_absolute_error"]) for r in range(2)]
@@ -282,7 +283,7 @@ def repeated_score(spark, sf):
 
 @query("random_search")
 def search(spark, sf):
-    folds = folded(spark, sf, 2).persist()
+    folds = written(folded(spark, sf, 2), "table")
 
     def loss(params):
         scores = runs.fold_scores(runs.out_of_fold(folds, COLS, "XGBRegressor", params), ["mean_absolute_error"])
@@ -325,7 +326,7 @@ SELECT series_id AS seg_id, round(arg_max(a + b * m, win), 4) AS time_to_failure
 @query("score_segments", SEGMENTS)
 def segments(spark, sf):
     """Train on all windows of all users, save and reload the model, predict each user's last window, write the submission."""
-    table = window_features(user_series(spark, sf), {"m": ("w_mean", {}), "ttf": ("w_last_elem", {})}, 40, 15, short="drop").persist()
+    table = written(window_features(user_series(spark, sf), {"m": ("w_mean", {}), "ttf": ("w_last_elem", {})}, 40, 15, short="drop"), "table")
     path = scratch(spark, "model")
     runs.fit_pipeline(table, ["m"], "LinearRegression", {}).save(path)
     scored = runs.score_segments(table, PipelineModel.load(path))

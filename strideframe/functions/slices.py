@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import random
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..models.folds import mix
 from ..series import KEY, join_small, lengths
 
 
@@ -34,6 +33,6 @@ def three_slices(s: DataFrame, size: int) -> DataFrame:
 
 
 def random_slice(s: DataFrame, n: int, size: int, seed: int) -> DataFrame:
-    """``size`` contiguous rows from a seeded random start in 0 .. n-size."""
-    begin = random.Random(seed).randint(0, n - size)
+    """``size`` contiguous rows from a seeded random start in 0 .. n-size, ``n`` being the length of the series."""
+    begin = F.pmod(mix(F.lit(0), seed), F.lit(n - size + 1))
     return row_range(s, begin, begin + size)

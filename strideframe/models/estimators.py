@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.ml import Estimator
@@ -10,12 +11,16 @@ from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearReg
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..tables import written
+
 FEATURES, LABEL = "features", "y"
+DEVICE_OPTIONS = {"nthread", "n_jobs", "num_threads", "thread_count", "gpu_id", "tree_method", "predictor", "device", "device_type", "task_type", "verbosity", "verbose", "silent"}
 COMMON = {"featuresCol": FEATURES, "labelCol": LABEL}
 
 
 def _linear(**kw) -> Estimator:
-    return LinearRegression(**COMMON, solver="normal", standardization=False, **kw)
+    # the normal equations up to 4,096 features, iterations with the same penalty beyond
+    return LinearRegression(**COMMON, solver="auto", standardization=False, **kw)
 
 
 def _ridge(alpha: float = 1.0, n: int | None = None, label_std: float | None = None) -> Estimator:
@@ -30,14 +35,20 @@ def _ridge(alpha: float = 1.0, n: int | None = None, label_std: float | None = N
 
 
 def _lasso(alpha: float = 1.0) -> Estimator:
-    return LinearRegression(**COMMON, solver="normal", standardization=False, regParam=alpha, elasticNetParam=1.0, maxIter=1000, tol=1e-9)
+    return LinearRegression(**COMMON, solver="auto", standardization=False, regParam=alpha, elasticNetParam=1.0, maxIter=1000, tol=1e-9)
 
 
 def _boosted(eta: float = 0.1, learning_rate: float | None = None, max_depth: int = 3, n_estimators: int = 100, subsample: float = 1.0,
-             min_child_weight: int = 1, seed: int = 0, eval_metric: str = "rmse", **ignored) -> Estimator:
-    """Gradient-boosted trees under the parameter names of the usual libraries (device and thread options do not apply)."""
+             min_child_weight: float = 1, seed: int = 0, eval_metric: str = "rmse", colsample_bytree: float = 1.0, **device) -> Estimator:
+    """Gradient-boosted trees under the parameter names of the usual libraries.  Device and thread options do not apply; any other
+    parameter that Spark's trees do not have is an error."""
+    unknown = sorted(set(device) - DEVICE_OPTIONS)
+    if unknown:
+        raise TypeError(f"gradient boosting has no parameter {', '.join(unknown)}")
+    if min_child_weight != int(min_child_weight):
+        raise ValueError("min_child_weight is a number of rows here, and must be whole")
     return GBTRegressor(**COMMON, maxIter=n_estimators, stepSize=learning_rate or eta, maxDepth=max_depth, subsamplingRate=subsample,
-                        minInstancesPerNode=max(1, int(min_child_weight)), seed=seed,
+                        minInstancesPerNode=max(1, int(min_child_weight)), seed=seed, featureSubsetStrategy=str(float(colsample_bytree)),
                         lossType="absolute" if eval_metric == "mae" else "squared")
 
 
@@ -49,12 +60,55 @@ def _forest(n_estimators: int = 20, max_depth: int = 5, random_state: int = 0, m
     return RandomForestRegressor(**COMMON, numTrees=n_estimators, maxDepth=max_depth, seed=random_state, featureSubsetStrategy=max_features)
 
 
+class AdaBoostR2:
+    """AdaBoost.R2 with linear loss: each round fits a tree to weighted rows and raises the weights of the rows it misses; the
+    prediction is the weighted median of the trees.  Weights are a column; each round's are written to the shared folder.
+    """
+
+    def __init__(self, n_estimators: int = 50, learning_rate: float = 1.0, max_depth: int = 3, seed: int = 0):
+        self.n_estimators, self.learning_rate, self.max_depth, self.seed = n_estimators, learning_rate, max_depth, seed
+
+    def fit(self, df: DataFrame) -> "AdaBoostR2Model":
+        rows = written(df.select(FEATURES, LABEL, F.lit(1.0).alias("w")), "weights")
+        trees, votes = [], []
+        for i in range(self.n_estimators):
+            tree = DecisionTreeRegressor(**COMMON, weightCol="w", maxDepth=self.max_depth, seed=self.seed + i).fit(rows)
+            missed = tree.transform(rows).withColumn("e", F.abs(F.col(LABEL) - F.col("prediction")))
+            worst, loss, total = missed.agg(F.max("e"), F.sum(F.col("w") * F.col("e")), F.sum("w")).first()
+            if not worst:  # a perfect tree decides alone
+                return AdaBoostR2Model([tree], [1.0])
+            loss /= worst * total
+            if loss >= 0.5 and trees:
+                break
+            beta = loss / (1 - loss)
+            trees.append(tree)
+            votes.append(self.learning_rate * math.log(1 / beta) if loss < 0.5 else 1.0)
+            if loss >= 0.5:
+                break
+            weight = F.col("w") * F.pow(F.lit(beta), self.learning_rate * (1 - F.col("e") / worst)) / total
+            rows = written(missed.select(FEATURES, LABEL, weight.alias("w")), "weights")
+        return AdaBoostR2Model(trees, votes)
+
+
+class AdaBoostR2Model:
+    def __init__(self, trees: list, votes: list[float]):
+        self.trees, self.votes = trees, votes
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        columns = df.columns
+        for i, tree in enumerate(self.trees):
+            df = tree.copy({tree.predictionCol: f"_p{i}"}).transform(df)
+        pairs = F.array_sort(F.array(*[F.struct(F.col(f"_p{i}").alias("p"), F.lit(v).alias("v")) for i, v in enumerate(self.votes)]))
+        start = F.struct(F.lit(0.0).alias("sum"), F.lit(None).cast("double").alias("p"))
+        step = lambda a, x: F.struct((a["sum"] + x["v"]).alias("sum"), F.coalesce(a["p"], F.when(a["sum"] + x["v"] >= sum(self.votes) / 2, x["p"])).alias("p"))
+        return df.select(*columns, F.aggregate(pairs, start, step)["p"].alias("prediction"))
+
+
 MODELS: dict[str, Callable[..., Estimator]] = {
     "LinearRegression": _linear, "Ridge": _ridge, "Lasso": _lasso,
-    "DecisionTreeRegressor": _tree, "RandomForestRegressor": _forest, "ExtraTreeRegressor": _forest,
+    "DecisionTreeRegressor": _tree, "RandomForestRegressor": _forest, "ExtraTreeRegressor": _forest,  # Spark has no extra trees; this is the forest
     "GradientBoostingRegressor": _boosted, "XGBRegressor": _boosted, "LGBMRegressor": _boosted, "CatBoostRegressor": _boosted,
-    "AdaBoostRegressor": lambda n_estimators=50, learning_rate=1.0, random_state=0, **_: _boosted(
-        eta=learning_rate, n_estimators=n_estimators, max_depth=3, seed=random_state),
+    "AdaBoostRegressor": lambda n_estimators=50, learning_rate=1.0, random_state=0, max_depth=3: AdaBoostR2(n_estimators, learning_rate, max_depth, random_state),
 }
 
 

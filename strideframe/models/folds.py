@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..frame import MIN_BLOCK, idiv
-from ..operators.cycles import in_ranges
+from ..operators.resample import counter
 from ..series import dense_positions
 
 PRIME = 2_147_483_647
@@ -29,7 +29,7 @@ def block_fragments(spark: SparkSession, n: int, n_splits: int = 10, fragmentati
     rows on both sides are kept out of the training rows, since windows that overlap share signal.
     """
     if isinstance(n_splits, bool) or not isinstance(n_splits, int):
-        raise ValueError("n_splits should be an integer value")
+        raise ValueError(f"n_splits must be a whole number, not {n_splits!r}")
     test = n // n_splits
     fragments = max(1, int(test * fragmentation))
     length = max(1, test // fragments)
@@ -58,15 +58,15 @@ def block_folds(df: DataFrame, n: int, n_splits: int = 10, fragmentation: float
         roles = ["train", "test"] if empty_test == "train" else ["train"]
         return df.withColumn("fold", F.lit(0)).withColumn("role", F.explode(F.array(*[F.lit(r) for r in roles])))
     fragments = block_fragments(df.sparkSession, n, n_splits, fragmentation, pad, seed, repeat)
-    position = df.select(F.col(pos).alias("pos"))
-    ranges = fragments.select("fold", F.col("pad_start").alias("start"), F.col("pad_end").alias("end"),
-                              F.col("start").alias("t0"), F.col("end").alias("t1"))
-    hits = in_ranges(position, ranges, [], ["fold", "t0", "t1"])
-    inside = (F.col("pos") >= F.col("t0")) & (F.col("pos") < F.col("t1"))
-    kept_out = hits.groupBy("fold", "pos").agg(F.max(inside).alias("_test")).withColumnRenamed("pos", pos)
-    rows = _per_fold(df, n_splits).join(kept_out, ["fold", pos], "left")
-    role = F.when(F.col("_test"), "test").when(F.col("_test").isNull(), "train").otherwise("pad")
-    return rows.withColumn("role", role).drop("_test")
+    # the positions of every padded fragment, some n in all, and for each position the folds that test it or keep it out
+    near = counter(fragments, F.col("pad_end") - F.col("pad_start"), "_off")
+    at = F.col("pad_start") + F.col("_off")
+    near = near.select(at.alias(pos), "fold", ((at >= F.col("start")) & (at < F.col("end"))).alias("_in"))
+    near = near.groupBy(pos).agg(F.collect_set(F.when(F.col("_in"), F.col("fold"))).alias("_tests"), F.collect_set("fold").alias("_out"))
+    rows = _per_fold(df.join(near, pos, "left"), n_splits)
+    hit = lambda c: F.coalesce(F.array_contains(c, F.col("fold")), F.lit(False))
+    role = F.when(hit("_tests"), "test").when(hit("_out"), "pad").otherwise("train")
+    return rows.withColumn("role", role).drop("_tests", "_out")
 
 
 def _rotate(df: DataFrame, n_splits: int, test_fold: str) -> DataFrame:

@@ -7,33 +7,42 @@ import json
 import random
 
 from pyspark.ml import PipelineModel, Transformer
-from pyspark.ml.feature import ElementwiseProduct, StandardScaler, VectorAssembler
+from pyspark.ml.feature import ElementwiseProduct, Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import metric_columns
 from ..series import KEY
+from ..tables import written
 from . import scaling
 from .estimators import FEATURES, LABEL, create_model
 from .metrics import score
 
 
 def assemble_features(df: DataFrame, columns: list[str], label: str = "ttf") -> DataFrame:
+    """The features as one vector; a row with an undefined feature is an error (fill or drop such rows by choice, not in silence)."""
     df = df.withColumn(LABEL, F.col(label).cast("double")) if label in df.columns else df
-    return VectorAssembler(inputCols=columns, outputCol=FEATURES, handleInvalid="skip").transform(df)
+    return VectorAssembler(inputCols=columns, outputCol=FEATURES, handleInvalid="error").transform(df)
 
 
-def out_of_fold(folds: DataFrame, columns: list[str], model: str, params: dict, scaler: str | None = "StandardScaler",
-                label: str = "ttf") -> DataFrame:
-    """Predictions of every fold's model for its own train and test rows: ``fold, role, pos, y, prediction``.
-
-    The fold table is scaled in one job; the driver only loops over the (few) folds to fit a model each.
-    """
+def prepared_folds(folds: DataFrame, columns: list[str], scaler: str | None = "StandardScaler", label: str = "ttf") -> DataFrame:
+    """``fold, role, pos, y, features``, scaled by each fold's training rows: written once, for any number of models."""
     df = folds.filter(F.col("role") != "pad").filter(F.col(label).isNotNull())
     if scaler:
         df = scaling.scale_folds(df, columns, scaler)
-    df = assemble_features(df, columns, label).select("fold", "role", "pos", LABEL, FEATURES).persist()
+    df = assemble_features(df, columns, label).select("fold", "role", "pos", LABEL, FEATURES)
+    return written(df, "folds")
+
+
+def out_of_fold(folds: DataFrame, columns: list[str], model: str, params: dict, scaler: str | None = "StandardScaler",
+                label: str = "ttf") -> DataFrame:
+    """Predictions of every fold's model for its own train and test rows: ``fold, role, pos, y, prediction``."""
+    return fold_predictions(prepared_folds(folds, columns, scaler, label), model, params)
+
+
+def fold_predictions(df: DataFrame, model: str, params: dict) -> DataFrame:
+    """The same from prepared folds; the driver only loops over the (few) folds to fit a model each."""
     parts = []
     for (fold,) in sorted(df.select("fold").distinct().collect()):
         rows = df.filter(F.col("fold") == fold)
@@ -58,7 +67,7 @@ def summary_row(scores: DataFrame, metrics: list[str], data: str, folds: tuple[s
     """One row per run: a list of fold scores per metric, and the names and parameters that produced them."""
 
     def params(p: dict):
-        pairs = [F.lit(x) for k, v in p.items() for x in (k, v if isinstance(v, str) else json.dumps(v))]
+        pairs = [F.lit(x) for k, v in p.items() for x in (k, json.dumps(v))]  # JSON keeps the types
         return F.create_map(*pairs) if pairs else F.lit(None).cast("map<string,string>")
 
     ordered = lambda m: F.transform(F.array_sort(F.collect_list(F.struct("fold", m))), lambda e: e[m]).alias(m)
@@ -76,8 +85,9 @@ def run_grid(tables: dict[str, DataFrame], columns: list[str], models: list[tupl
              scaler: str | None = "StandardScaler") -> DataFrame:
     """``folds_name, model_name, model_params, fold, <scores>`` for every fold table and model."""
     out = None
-    for (name, folds), (model, params) in itertools.product(tables.items(), models):
-        part = fold_scores(out_of_fold(folds, columns, model, params, scaler), metrics)
+    ready = {name: prepared_folds(folds, columns, scaler) for name, folds in tables.items()}
+    for (name, folds), (model, params) in itertools.product(ready.items(), models):
+        part = fold_scores(fold_predictions(folds, model, params), metrics)
         part = part.select(F.lit(name).alias("folds_name"), F.lit(model).alias("model_name"),
                            F.lit(json.dumps(params, sort_keys=True)).alias("model_params"), *part.columns)
         out = part if out is None else out.unionByName(part)
@@ -105,27 +115,46 @@ def summary_to_config(summary: DataFrame, rows: list[int] | int, order: list[str
         return [x for i, x in enumerate(items) if x not in items[:i]]
 
     data = once([r["data_fname"] for r in picked])
-    preproc = once([{"name": r["preproc_name"], **(r["preproc_params"] or {})} for r in picked if r["preproc_name"] is not None])
+    typed = lambda p: {k: json.loads(v) for k, v in (p or {}).items()}
+    preproc = once([{"name": r["preproc_name"], **typed(r["preproc_params"])} for r in picked if r["preproc_name"] is not None])
     if len(data) > 1:
         raise ValueError("please use models with a single training table")
     if len(preproc) > 1:
         raise ValueError("please use models with a single preprocessor")
     config = {"summary_dest": path, "train_data": data[0], "metrics": [m for m in metric_columns(summary) if m != "run_at"],
-              "folds": once([{"name": r["folds_name"], **(r["folds_params"] or {})} for r in picked]),
-              "validate": once([{"model": {r["model_name"]: r["model_params"] or {}}} for r in picked])}
+              "folds": once([{"name": r["folds_name"], **typed(r["folds_params"])} for r in picked]),
+              "validate": once([{"model": {r["model_name"]: typed(r["model_params"])}} for r in picked])}
     return {**config, "preproc": preproc[0]} if preproc else config
 
 
-def fit_pipeline(train: DataFrame, columns: list[str], model: str, params: dict, label: str = "ttf", scale: bool = True) -> PipelineModel:
+def write_config(spark: SparkSession, config: dict, path: str) -> None:
+    """A config as a JSON file (one text row in a folder, like any table)."""
+    spark.createDataFrame([(json.dumps(config),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def read_config(spark: SparkSession, path: str) -> dict:
+    return json.loads(spark.read.text(path).first()[0])
+
+
+def fit_pipeline(train: DataFrame, columns: list[str], model: str, params: dict, label: str = "ttf", scale: bool = True,
+                 fill: str | None = None) -> PipelineModel:
     """Scaler and model as one unit to save and load.
 
+    ``fill`` ("mean", "median" or "mode" of the training rows) replaces undefined features, in training and in scoring, so that
+    no row is lost; without it an undefined feature is an error.
+
     Spark's scaler divides by the sample deviation; the factor after it makes that the population one.
     """
     df = train.filter(F.col(label).isNotNull()).withColumn(LABEL, F.col(label).cast("double"))
-    stages: list[Transformer] = [VectorAssembler(inputCols=columns, outputCol="raw" if scale else FEATURES, handleInvalid="skip")]
+    stages: list[Transformer] = []
+    inputs = columns
+    if fill:
+        inputs = ["_filled_" + c for c in columns]
+        stages.append(Imputer(strategy=fill, inputCols=columns, outputCols=inputs).fit(df))
+    stages.append(VectorAssembler(inputCols=inputs, outputCol="raw" if scale else FEATURES, handleInvalid="error"))
     if scale:
         n = df.count()
-        stages.append(StandardScaler(inputCol="raw", outputCol="scaled", withMean=True, withStd=True).fit(stages[0].transform(df)))
+        stages.append(StandardScaler(inputCol="raw", outputCol="scaled", withMean=True, withStd=True).fit(PipelineModel(stages).transform(df)))
         factor = Vectors.dense([(n / (n - 1)) ** 0.5] * len(columns))
         stages.append(ElementwiseProduct(inputCol="scaled", outputCol=FEATURES, scalingVec=factor))
     ready = PipelineModel(stages).transform(df)

@@ -12,10 +12,10 @@ from ..operators.information import mutual_information, normalized_mutual_inform
 from ..operators.quantiles import exact_quantiles
 from ..operators.rolling import rolled
 from ..series import KEY, join_small
+from ..tables import written
 from .estimators import FEATURES, create_model
 from .metrics import METRICS
 from .runs import assemble_features, fold_scores, out_of_fold
-from .scaling import fit, transform
 
 
 def long_form(df: DataFrame, columns: list[str], keep: list[str]) -> DataFrame:
@@ -27,9 +27,9 @@ def quantile_bins(df: DataFrame, key: str, columns: dict[str, str], bins: int) -
     """Add the equal-frequency bins ``{column: output}`` of values within their key: how many of the inner quantiles are <= value.
 
     The columns are stacked, so that one pass finds the quantiles of all.  The rows are read three
-    times, and are kept for that (they are a feature table, not a signal).
+    times, and are written for that (they are a feature table, not a signal).
     """
-    df = df.persist()
+    df = written(df, "rows")
     edges = [f"_q{i}" for i in range(1, bins)]
     stacked = df.unpivot([F.col(key)], [F.col(c).cast("double").alias(c) for c in columns], "_which", "_cell")
     cuts = exact_quantiles(stacked, [key, "_which"], "_cell", {e: (i + 1) / bins for i, e in enumerate(edges)})
@@ -111,14 +111,13 @@ def recursive_elimination(df: DataFrame, columns: list[str], label: str, keep: i
 
     Returns the survivors and a ranking (1 for survivors, larger for features dropped earlier).
     """
-    df = df.select(*columns, label).persist()
+    df = written(df.select(*columns, label), "rows")
     left, dropped = list(columns), []
     while len(left) > keep:
         weight = importances(df, left, label, model, params or {})
         worst = sorted(left, key=lambda c: (weight[c], c))[:min(step, len(left) - keep)]
         left = [c for c in left if c not in worst]
         dropped.append(worst)
-    df.unpersist()
     ranking = dict.fromkeys(left, 1) | {c: i + 2 for i, cs in enumerate(reversed(dropped)) for c in cs}
     return left, ranking
 
@@ -184,12 +183,12 @@ def feature_quality(df: DataFrame, columns: list[str], window_length: int = 1000
     series table, so that one clip, one smoothing and one aggregate serve all.
     """
     s = long_form(df, columns, [order]).select(F.col("feature").alias(KEY), F.col(order).alias("pos"), F.col("value").alias("x"))
-    s = rolled(s, [("r_clip", {})])
-    s = transform(s, ["x"], fit(s, ["x"], "StandardScaler", [KEY]), [KEY])
-    smooth = rolled(s, [("r_savgol_filter", {"window_length": window_length, "polyorder": polyorder})]).withColumnRenamed("x", "y")
-    both = s.join(smooth, [KEY, "pos"])
-    n = both.groupBy(KEY).agg(F.count(F.lit(1)).cast("double").alias("n"))
-    both = join_small(both, n, [KEY])
+    s = written(rolled(written(s, "features"), [("r_clip", {})]), "clipped")
+    stats = s.groupBy(KEY).agg(F.avg("x").alias("a"), F.stddev_pop("x").alias("b"), F.count(F.lit(1)).cast("double").alias("n"))
+    z = (F.col("x") - F.col("a")) / F.when(F.col("b") == 0, 1.0).otherwise(F.col("b"))
+    s = join_small(s, stats, [KEY]).select(KEY, "pos", "n", z.alias("x"), z.alias("raw"))
+    # smoothing leaves the other columns alone, so the value itself rides along
+    both = rolled(s, [("r_savgol_filter", {"window_length": window_length, "polyorder": polyorder})]).withColumnsRenamed({"x": "y", "raw": "x"})
     # a ramp 0..1 over n rows has mean 1/2 and population variance (n+1) / (12 (n-1))
     line = (F.col("pos") / (F.col("n") - 1) - 0.5) / F.sqrt((F.col("n") + 1) / (12 * (F.col("n") - 1)))
     x, y, total = F.col("x"), F.col("y"), F.first("n")

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from ..frame import BLOCK_KEYS, Frame, block_size, halo, idiv
 from ..series import KEY, join_small
+from ..tables import written
 from .quantiles import exact_quantiles
 
 TINY = 2.2250738585072014e-308  # smallest normal double
@@ -175,7 +176,10 @@ ROW_OPS: dict[str, Callable[..., RowOp]] = {
 
 
 def r_clip(s: DataFrame, q_low: float = 0.01, q_high: float = 0.99) -> DataFrame:
-    """Clip each series to its own exact [q_low, q_high] quantiles (taken over the whole series)."""
+    """Clip each series to its own exact [q_low, q_high] quantiles (taken over the whole series).
+
+    The series is read three times; in a chain it is written before (see ``rolled_frame``).
+    """
     bounds = exact_quantiles(s, [KEY], "x", {"_lo": q_low, "_hi": q_high})
     return (join_small(s, bounds, [KEY])
             .withColumn("x", F.when(F.col("x").isNotNull(), F.least(F.greatest(F.col("x"), F.col("_lo")), F.col("_hi")))).drop("_lo", "_hi"))
@@ -193,6 +197,8 @@ def rolled_frame(s: DataFrame, ops: list[tuple[str, dict]], right: int = 0, left
         op = None if name == "r_clip" else ROW_OPS[name](**params)
         if pending and (op is None or op.own_block):
             s, pending = _run(s, pending, 0, 0, 1, block).core(), []
+            if op is None:
+                s = written(s, "signal")
         if op is None:
             s = r_clip(s, **params)
         elif op.own_block:
@@ -217,7 +223,7 @@ def rolled(s: DataFrame, ops: list[tuple[str, dict]], block: int | None = None)
         return s
     *head, (name, params) = ops
     if name == "r_clip":
-        return r_clip(rolled(s, head, block), **params)
+        return r_clip(written(rolled(s, head, block), "signal") if head else s, **params)
     op = ROW_OPS[name](**params)
     if op.own_block:
         return _run(rolled(s, head, block), [op], 0, 0, 1, op.own_block).core()

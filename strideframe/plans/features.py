@@ -168,11 +168,13 @@ def smooth_columns(df: DataFrame, columns: list[str], window_length: int = 10001
     """
     keys = [KEY, order] if KEY in df.columns else [order]
     long = df.unpivot([F.col(k) for k in keys], [F.col(c).cast("double").alias(c) for c in columns], "_feature", "x")
-    stacked = F.to_json(F.struct(*[k for k in keys if k == KEY], "_feature")).alias(KEY)
+    index = F.array_position(F.array(*map(F.lit, columns)), F.col("_feature")) - 1
+    stacked = F.concat_ws("\x1f", *[k for k in keys if k == KEY], index.cast("string")).alias(KEY)
     smooth = rolled(long.select(stacked, F.col(order).alias("pos"), "x"), [("r_savgol_filter", {"window_length": window_length, "polyorder": polyorder})])
-    names = F.from_json(KEY, f"{KEY} string, _feature string")
-    smooth = smooth.withColumn("_k", names).select(*[F.col("_k." + KEY)] * (KEY in keys), F.col("_k._feature").alias("_feature"), F.col("pos").alias(order), "x")
-    wide = smooth.groupBy(*keys).agg(*[F.max(F.when(F.col("_feature") == c, F.col("x"))).alias(c) for c in columns])
+    number = F.substring_index(KEY, "\x1f", -1)
+    own = F.substring(F.col(KEY), F.lit(1), F.length(KEY) - F.length(number) - 1).alias(KEY)
+    smooth = smooth.select(*[own] * (KEY in keys), number.cast("int").alias("_feature"), F.col("pos").alias(order), "x")
+    wide = smooth.groupBy(*keys).agg(*[F.max(F.when(F.col("_feature") == i, F.col("x"))).alias(c) for i, c in enumerate(columns)])
     others = [c for c in df.columns if c not in columns]
     return df.select(*others).join(wide, keys).select(*df.columns)
 

