@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("rows", "windows", "missing", "specs", "preparation", "validation", "selection", "reshaping")
+MODULES = ("rows", "windows", "missing", "specs", "preparation", "validation", "storage", "selection", "reshaping")
 
 QUERIES: dict = {}
 ORACLES: dict = {}

@@ -6,13 +6,14 @@ from pyspark.sql import functions as F
 
 from strideframe.models import folds as FO
 from strideframe.models import selection as SE
+from strideframe.models.scaling import fit, transform
 from strideframe.operators.windows import window_features
 from strideframe.tables import written
 from strideframe.sources.tables import event_series, read_table
 
 from . import query
 from .validation import COLS, FTAB, features
-from .windows import S, W
+from .windows import S, W, windows_cte
 
 NAMES = "(SELECT unnest(['avg_x', 'std_x', 'top', 'slope']) AS feature)"
 LONG = f"""{FTAB}, lf AS (SELECT feature, ttf, pos, CASE feature WHEN 'avg_x' THEN avg_x WHEN 'std_x' THEN std_x WHEN 'top' THEN top ELSE slope END AS value
@@ -121,8 +122,20 @@ def univariate_fpr(spark, sf):
     return SE.univariate_selection(features(spark, sf), COLS, "ttf", "fpr", 0.5)
 
 
-@query("recursive_elimination")
+# coefficients of a linear model of two features, by the normal equations
+TWO = f"""{FTAB}, m AS (SELECT covar_pop(std_x, std_x) AS aa, covar_pop(top, top) AS bb, covar_pop(std_x, top) AS ab, covar_pop(std_x, ttf) AS ya, covar_pop(top, ttf) AS yb FROM t),
+w AS (SELECT (bb * ya - ab * yb) / (aa * bb - ab * ab) AS wa, (aa * yb - ab * ya) / (aa * bb - ab * ab) AS wb FROM m)"""
+
+
+@query("recursive_elimination", f"""WITH {TWO} SELECT 'std_x' AS feature, CASE WHEN abs(wa) > abs(wb) THEN 1 ELSE 2 END::INTEGER AS place FROM w
+UNION ALL SELECT 'top', CASE WHEN abs(wa) > abs(wb) THEN 2 ELSE 1 END FROM w""")
 def elimination(spark, sf):
+    _, ranking = SE.recursive_elimination(features(spark, sf), ["std_x", "top"], "ttf", 1, "LinearRegression")
+    return spark.createDataFrame(sorted(ranking.items()), "feature string, place int")
+
+
+@query("recursive_elimination_tree")
+def elimination_tree(spark, sf):
     _, ranking = SE.recursive_elimination(features(spark, sf), COLS, "ttf", 2, params={"max_depth": 3})
     return spark.createDataFrame(sorted(ranking.items()), "feature string, place int")
 
@@ -135,13 +148,31 @@ def elimination_cv(spark, sf):
     return spark.createDataFrame([(size, float(value), size == len(best)) for size, value in tried], "size int, score double, best boolean")
 
 
+@query("two_stage_linear", f"""WITH {TWO}, {BINNED.removeprefix(FTAB + ',')},
+s AS (SELECT feature FROM hab JOIN ha USING (feature) JOIN hb USING (feature) WHERE feature IN ('std_x', 'top') ORDER BY ha.h + hb.h - hab.h DESC LIMIT 2),
+k AS (SELECT CASE WHEN abs(wa) > abs(wb) THEN 'std_x' ELSE 'top' END AS feature FROM w WHERE (SELECT count(*) FROM s) = 2)
+SELECT k.feature, count(*) AS n, round(sum(value), 4) AS total FROM lf JOIN k USING (feature) GROUP BY 1""")
+def two_stage_linear(spark, sf):
+    out = SE.two_stage_elimination(features(spark, sf).select("std_x", "top", "ttf"), "ttf", 100, 1, "LinearRegression", bins=BINS)
+    return out.select(F.lit(out.columns[0]).alias("feature"), F.col(out.columns[0]).alias("v")).groupBy("feature").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.sum("v"), 4).alias("total"))
+
+
 @query("two_stage_elimination")
 def two_stage(spark, sf):
     return SE.two_stage_elimination(features(spark, sf).drop("pos"), "ttf", 75, 2, params={"max_depth": 3})
 
 
-@listed("lasso_selection")
+# one scaled feature at a time: it is selected where its covariance with the label exceeds the penalty
+@listed("lasso_selection", f"WITH {LONG} SELECT feature FROM lf GROUP BY feature HAVING abs(corr(value, ttf) * stddev_pop(ttf)) > 5.0")
 def lasso(spark, sf):
+    df = written(features(spark, sf), "table")
+    df = transform(df, COLS, fit(df, COLS))
+    return [c for c in COLS if SE.lasso_selection(df, [c], "ttf", 5.0)]
+
+
+@listed("lasso_selection_joint")
+def lasso_joint(spark, sf):
     return SE.lasso_selection(features(spark, sf), COLS, "ttf", 5.0)
 
 
@@ -150,11 +181,23 @@ def important(spark, sf):
     return SE.importance_selection(features(spark, sf), COLS, "ttf", params={"n_estimators": 5, "max_depth": 3})
 
 
-@query("parameter_sweep")
+def moved_sql(w: int) -> str:
+    source = f"SELECT event_id AS pos, avg(value) OVER (ORDER BY event_id ROWS BETWEEN {w - 1} PRECEDING AND CURRENT ROW) AS x FROM events"
+    return f"SELECT {w}::DOUBLE AS param, win, value FROM (WITH {windows_cte(source=source)} SELECT win, stddev_pop(x) AS value FROM r GROUP BY win)"
+
+
+SWEEP_CUTS = ", ".join(f"quantile_cont({{c}}, CAST({i} AS DOUBLE) / 8)" for i in range(1, 8))
+
+
+@query("parameter_sweep", f"""WITH {FTAB}, v AS ({' UNION ALL '.join(map(moved_sql, (3, 13, 53)))}), lf AS (SELECT param, value, ttf FROM v JOIN t ON pos = win),
+cv AS (SELECT param, [{SWEEP_CUTS.format(c='value')}] AS cuts, [{SWEEP_CUTS.format(c='ttf')}] AS lcuts FROM lf GROUP BY param),
+bb AS (SELECT lf.param, len([q for q in cuts if q <= value]) AS a, len([q for q in lcuts if q <= ttf]) AS b FROM lf JOIN cv USING (param)),
+{information_sql('bb', 'param')} SELECT param, round(ha.h + hb.h - hab.h, 6) AS mi, round((ha.h + hb.h - hab.h) / ((ha.h + hb.h) / 2), 6) AS nmi
+FROM hab JOIN ha USING (param) JOIN hb USING (param)""")
 def sweep(spark, sf):
     s = event_series(spark, sf, label=True)
-    tables = {w: window_features(s, {"v": ("w_std", {})}, W, S, rows=[("r_savgol_filter", {"window_length": w})], label=True) for w in (3, 13, 53)}
-    return SE.parameter_sweep(tables, "v", "ttf", 8)
+    tables = {w: window_features(s, {"v": ("w_std", {})}, W, S, rows=[("r_mean", {"window_size": w})], label=True) for w in (3, 13, 53)}
+    return SE.parameter_sweep(tables, "v", "ttf", 8).select("param", F.round("mi", 6).alias("mi"), F.round("nmi", 6).alias("nmi"))
 
 
 QUALITY = f"""{LONG}, q AS (SELECT feature, quantile_cont(value, 0.01) AS lo, quantile_cont(value, 0.99) AS hi FROM lf GROUP BY feature),

@@ -12,7 +12,7 @@ from strideframe.sources.tables import event_series
 
 from . import query
 from .rows import last
-from .windows import LEAD, S, SMALL_S, SMALL_W, W, windows_cte
+from .windows import DFT, LEAD, S, SMALL_S, SMALL_W, W, windows_cte
 
 LABELLED = """lab AS (SELECT event_id AS pos, value AS x, (epoch_us(min(CASE WHEN event_type = 'error' THEN ts END)
   OVER (ORDER BY event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) - epoch_us(ts)) / 1e6 AS ttf FROM events)"""
@@ -147,10 +147,14 @@ def table_mixed_grids(spark, sf):
     return df.select("win", F.round("avg_x", 5).alias("avg_x"), F.round("max_x", 5).alias("max_x"))
 
 
-@query("array_feature_columns")
+PSD_BINS = SMALL_W // 2 + 1
+
+
+@query("array_feature_columns", f"SELECT win, {', '.join(f'max(p) FILTER (bin = {i}) AS psd_{i}' for i in range(PSD_BINS))} FROM ({DFT}) GROUP BY win")
 def array_feature_columns(spark, sf):
     chain = [{"name": "psd", "functions": {"w_psd": {"fs": 4e2}}}]
-    return widen(build_features(event_series(spark, sf), chain, SMALL_W, SMALL_S), "psd", SMALL_W // 2 + 1)
+    df = widen(build_features(event_series(spark, sf), chain, SMALL_W, SMALL_S), "psd", PSD_BINS)
+    return df.select("win", *[F.round(f"psd_{i}", 4).alias(f"psd_{i}") for i in range(PSD_BINS)])
 
 
 # the grid's four windows, scaled to the test tables

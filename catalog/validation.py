@@ -7,9 +7,10 @@ import functools
 from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
+from strideframe.functions.slices import random_slice
 from strideframe.models import folds as FO
 from strideframe.models import runs
-from strideframe.models.estimators import binned_classifier, class_centre, create_model, ensemble_mean
+from strideframe.models.estimators import binned_classifier, class_centre, create_model, ensemble_mean, register_model
 from strideframe.models.metrics import METRICS, score, score_summary
 from strideframe.models.scaling import fit, scale_folds, transform
 from strideframe.operators.windows import window_features
@@ -120,10 +121,19 @@ def k_fold_shuffled(spark, sf):
     return FO.k_fold(event_rows(spark, sf), count_events(spark, sf), 7, shuffle=True, seed=4).select("pos", "fold", "role")
 
 
-@query("repeated_k_fold", "SELECT fold::INTEGER AS fold, count(*) AS rows FROM events, (SELECT unnest(range(6)) AS fold) GROUP BY 1")
+def repeated_sql(partition: str, part: str) -> str:
+    """Roles of two shuffled three-fold splits; ``part`` is the part of a row from its ``rank`` (and ``n`` rows in all)."""
+    one = f"""SELECT {{r}} AS r, id, row_number() OVER ({partition} ORDER BY v3, id) - 1 AS rank FROM ({{mixed}}) JOIN events ON event_id = id"""
+    both = " UNION ALL ".join(one.format(r=r, mixed=mix_sql("id", r)) for r in range(2))
+    return f"""WITH ids AS (SELECT event_id AS id FROM events), n AS (SELECT count(*) AS n FROM events), k AS ({both}),
+p AS (SELECT r, id AS pos, {part} AS part FROM k, n), f AS (SELECT unnest(range(3)) AS f)
+SELECT pos, (r * 3 + f)::INTEGER AS fold, CASE WHEN part = f THEN 'test' ELSE 'train' END AS role FROM p, f"""
+
+
+@query("repeated_k_fold", repeated_sql("", "CASE WHEN rank < (n % 3) * (n // 3 + 1) THEN rank // (n // 3 + 1) ELSE (rank - (n % 3) * (n // 3 + 1)) // (n // 3) + n % 3 END"))
 def repeated_k_fold(spark, sf):
     n = count_events(spark, sf)
-    return FO.repeated(FO.k_fold, 2, 3, df=event_rows(spark, sf), n=n).groupBy("fold").agg(F.count(F.lit(1)).alias("rows"))
+    return FO.repeated(FO.k_fold, 2, 3, df=event_rows(spark, sf), n=n).select("pos", "fold", "role")
 
 
 @query("stratified_k_fold", """WITH p AS (SELECT event_id AS pos, (row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1) % 5 AS part FROM events)
@@ -132,10 +142,28 @@ def stratified(spark, sf):
     return FO.stratified_k_fold(event_rows(spark, sf), "event_type", 5).select("pos", "fold", "role")
 
 
-@query("repeated_stratified_k_fold", """SELECT fold::INTEGER AS fold, event_type, count(*) AS rows FROM events, (SELECT unnest(range(6)) AS fold) GROUP BY 1, 2""")
+@query("repeated_stratified_k_fold", repeated_sql("PARTITION BY event_type", "rank % 3"))
 def repeated_stratified(spark, sf):
     df = FO.repeated(functools.partial(FO.stratified_k_fold, label="event_type"), 2, 3, df=event_rows(spark, sf))
-    return df.groupBy("fold", "event_type").agg(F.count(F.lit(1)).alias("rows"))
+    return df.select("pos", "fold", "role")
+
+
+FEW = fragments_sql(10, 0.1, 15, 0)
+
+
+@query("block_folds_default", f"""WITH {FEW}, f AS (SELECT unnest(range(10)) AS fold),
+test AS (SELECT DISTINCT fold, unnest(range(start, stop)) AS pos FROM frg), near AS (SELECT DISTINCT fold, unnest(range(p0, p1)) AS pos FROM frg)
+SELECT e.event_id AS pos, f.fold::INTEGER AS fold, CASE WHEN test.pos IS NOT NULL THEN 'test' WHEN near.pos IS NOT NULL THEN 'pad' ELSE 'train' END AS role
+FROM events e CROSS JOIN f LEFT JOIN test ON test.fold = f.fold AND test.pos = e.event_id LEFT JOIN near ON near.fold = f.fold AND near.pos = e.event_id""")
+def block_folds_default(spark, sf):
+    """A tenth of the rows per fold, in as many fragments as a tenth of those: many short ranges."""
+    return FO.block_folds(event_rows(spark, sf), count_events(spark, sf)).select("pos", "fold", "role")
+
+
+@query("random_slice", f"""WITH ids AS (SELECT 0::BIGINT AS id), d AS ({mix_sql('id', 3)}), b AS (SELECT v3 % (SELECT count(*) - 150 + 1 FROM events) AS begin FROM d)
+SELECT event_id AS pos, value AS x FROM events, b WHERE event_id >= begin AND event_id < begin + 150""")
+def sample(spark, sf):
+    return random_slice(event_series(spark, sf), count_events(spark, sf), 150, seed=3).select("pos", "x")
 
 
 @query("time_series_split", """WITH n AS (SELECT count(*) AS n, count(*) // 5 AS size FROM events),
@@ -263,30 +291,69 @@ def latest(spark, sf):
     return out.select("pos", F.round("y", 6).alias("y"), "yhat")
 
 
-@query("run_grid")
+def table_folds_sql(name: str, repeat: int = 0) -> str:
+    """``name(fold, pos, role, avg_x, ttf)``: block folds (3 splits, one fragment, 2 rows of padding) of the feature table ``t``."""
+    return f"""{name}_n AS (SELECT count(*) AS n, count(*) // 3 AS len FROM t), {name}_ids AS (SELECT id FROM (SELECT unnest(range(3)) AS id)),
+{name}_f AS (SELECT id AS fold, 2 + v3 % (n - 1 - len - 2) AS start, len, n FROM ({mix_sql(f'id + {repeat} * 1000003', 0).replace('FROM ids', f'FROM {name}_ids')}), {name}_n),
+{name}_r AS (SELECT fold, start, least(start + len, n - 1) AS stop, greatest(start - 2, 0) AS p0, least(least(start + len, n - 1) + 2, n - 1) AS p1 FROM {name}_f),
+{name} AS (SELECT fold, pos, avg_x, ttf, CASE WHEN pos >= start AND pos < stop THEN 'test' WHEN pos >= p0 AND pos < p1 THEN 'pad' ELSE 'train' END AS role FROM t, {name}_r)"""
+
+
+def ridge_sql(rows: str, name: str, alpha: float) -> str:
+    """``name(fold, role, ttf, prediction)``: one feature, scaled by the training rows, with a penalty (0: none)."""
+    return f"""{name}_s AS (SELECT fold, avg(avg_x) AS mx, stddev_pop(avg_x) AS sx, avg(ttf) AS my, count(*) AS n, covar_pop(avg_x, ttf) * count(*) AS sxy
+FROM {rows} WHERE role = 'train' GROUP BY fold),
+{name} AS (SELECT fold, role, ttf, my + sxy / sx / (n + {alpha}::DOUBLE) * (avg_x - mx) / sx AS prediction FROM {rows} JOIN {name}_s USING (fold) WHERE role <> 'pad')"""
+
+
+def scores_sql(name: str) -> str:
+    part = lambda e, role: f"avg({e}) FILTER (role = '{role}')"
+    mae, mse = "abs(ttf - prediction)", "(ttf - prediction) ** 2"
+    return f"""round({part(mae, 'test')}, 4) AS mean_absolute_error, round({part(mae, 'train')}, 4) AS mean_absolute_error_train,
+round({part(mse, 'test')}, 2) AS mean_squared_error, round({part(mse, 'train')}, 2) AS mean_squared_error_train FROM {name} GROUP BY fold"""
+
+
+GRID_SQL = f"""WITH {FTAB}, {table_folds_sql('cf')}, tn AS (SELECT count(*) AS n, count(*) // 3 AS size FROM t),
+ts AS (SELECT fold, pos, avg_x, ttf, CASE WHEN pos < n - 2 * size + fold * size THEN 'train' ELSE 'test' END AS role FROM t, tn, (SELECT unnest(range(2)) AS fold)
+  WHERE pos < n - 2 * size + (fold + 1) * size),
+{', '.join(ridge_sql(f, f'{f}_{m}', a) for f in ('cf', 'ts') for m, a in (('lin', 0.0), ('rid', 10.0)))}
+""" + " UNION ALL ".join(f"SELECT '{folds}' AS folds_name, '{model}' AS model_name, '{params}' AS model_params, fold::INTEGER AS fold, {scores_sql(f'{f}_{m}')}"
+                         for f, folds in (("cf", "CustomFold"), ("ts", "TimeSeriesSplit"))
+                         for m, model, params in (("lin", "LinearRegression", "{}"), ("rid", "Ridge", '{"alpha": 10.0}')))
+
+
+def rounded_scores(df, *keys):
+    return df.select(*keys, *[F.round(c, 4 if "absolute" in c else 2).alias(c) for c in df.columns if c.startswith("mean_")])
+
+
+@query("run_grid", GRID_SQL)
 def grid(spark, sf):
     df = written(features(spark, sf), "table")
     n = df.count()
     tables = {"CustomFold": FO.block_folds(df, n, 3, 0.0, 2), "TimeSeriesSplit": FO.time_series_split(df, n, 2)}
-    models = [("LinearRegression", {}), ("DecisionTreeRegressor", {"max_depth": 3})]
-    return runs.run_grid(tables, COLS, models, ["mean_absolute_error", "mean_squared_error"])
+    models = [("LinearRegression", {}), ("Ridge", {"alpha": 10.0})]
+    out = runs.run_grid(tables, ["avg_x"], models, ["mean_absolute_error", "mean_squared_error"])
+    return rounded_scores(out, "folds_name", "model_name", "model_params", "fold")
 
 
-@query("repeated_validation_score")
+@query("repeated_validation_score", f"""WITH {FTAB}, {table_folds_sql('r0', 0)}, {table_folds_sql('r1', 1)}, {ridge_sql('r0', 'p0', 0.0)}, {ridge_sql('r1', 'p1', 0.0)},
+s AS (SELECT {scores_sql('p0')} UNION ALL SELECT {scores_sql('p1')})
+SELECT round(avg(mean_absolute_error), 2) AS mean_absolute_error_mean, round(stddev_pop(mean_absolute_error), 2) AS mean_absolute_error_std FROM s""")
 def repeated_score(spark, sf):
     df = written(features(spark, sf), "table")
     n = df.count()
-    parts = [runs.fold_scores(runs.out_of_fold(FO.block_folds(df, n, 3, 0.0, 2, seed=0, repeat=r), COLS, "LinearRegression", {}),
+    parts = [runs.fold_scores(runs.out_of_fold(FO.block_folds(df, n, 3, 0.0, 2, seed=0, repeat=r), ["avg_x"], "LinearRegression", {}),
                               ["mean_absolute_error"]) for r in range(2)]
-    return score_summary(parts[0].unionByName(parts[1]), ["mean_absolute_error"])
+    out = score_summary(parts[0].unionByName(parts[1]), ["mean_absolute_error"])
+    return out.select(*[F.round(c, 2).alias(c) for c in out.columns])
 
 
 @query("random_search")
 def search(spark, sf):
-    folds = written(folded(spark, sf, 2), "table")
+    folds = runs.prepared_folds(folded(spark, sf, 2), COLS)
 
     def loss(params):
-        scores = runs.fold_scores(runs.out_of_fold(folds, COLS, "XGBRegressor", params), ["mean_absolute_error"])
+        scores = runs.fold_scores(runs.fold_predictions(folds, "XGBRegressor", params), ["mean_absolute_error"])
         return scores.agg(F.avg("mean_absolute_error")).first()[0]
 
     space = {"eta": [0.05, 0.1, 0.2], "max_depth": [2, 3], "n_estimators": [2, 3], "subsample": [0.8, 1.0]}
@@ -297,20 +364,28 @@ def search(spark, sf):
 def summaries(spark, sf):
     path = scratch(spark, "summary")
     folds = folded(spark, sf)
-    for model, params in (("LinearRegression", {}), ("DecisionTreeRegressor", {"max_depth": 2})):
+    for model, params in (("LinearRegression", {}), ("Ridge", {"alpha": 10.0})):
         scores = runs.fold_scores(runs.out_of_fold(folds, ["avg_x"], model, params), ["mean_absolute_error"])
         append_summary(runs.summary_row(scores, ["mean_absolute_error"], "events", ("KFold", {"n_splits": 3}), (model, params),
                                         ("StandardScaler", {})), path)
     return read_summary(spark, path)
 
 
-@query("run_summary")
+SUMMARY_SQL = f"""WITH {KT}, {ridge_sql('fr', 'rd', 10.0)}, s AS (SELECT 'LinearRegression' AS model_name, NULL::VARCHAR AS model_params, fold, {scores_sql('pr')}
+UNION ALL SELECT 'Ridge', '{{{{"alpha":"10.0"}}}}', fold, {scores_sql('rd')})
+SELECT model_name, any_value(model_params) AS model_params, 'KFold' AS folds_name, array_to_string(list(mean_absolute_error ORDER BY fold), ' ') AS mean_absolute_error,
+array_to_string(list(mean_absolute_error_train ORDER BY fold), ' ') AS mean_absolute_error_train FROM s GROUP BY model_name""".replace("{{", "{").replace("}}", "}")
+
+
+@query("run_summary", SUMMARY_SQL)
 def summary(spark, sf):
-    return summaries(spark, sf).select("model_name", F.to_json("model_params").alias("model_params"), "folds_name", "mean_absolute_error",
-                                       "mean_absolute_error_train")
+    text = lambda c: F.array_join(F.transform(c, lambda v: F.round(v, 4).cast("string")), " ").alias(c)
+    return summaries(spark, sf).select("model_name", F.to_json("model_params").alias("model_params"), "folds_name", text("mean_absolute_error"),
+                                       text("mean_absolute_error_train"))
 
 
-@query("summary_to_config")
+@query("summary_to_config", """SELECT '[''mean_absolute_error'', ''mean_absolute_error_train'']' AS metrics, '[{''name'': ''KFold'', ''n_splits'': 3}]' AS folds,
+'[{''model'': {''LinearRegression'': {}}}, {''model'': {''Ridge'': {''alpha'': 10.0}}}]' AS validate""")
 def config(spark, sf):
     made = runs.summary_to_config(summaries(spark, sf), [0, 1], ["model_name"])
     return spark.createDataFrame([(str(made["metrics"]), str(made["folds"]), str(made["validate"]))], "metrics string, folds string, validate string")
@@ -334,3 +409,30 @@ def segments(spark, sf):
     write_submission(scored, target)
     back = spark.read.csv(target, header=True, schema="seg_id string, time_to_failure double")
     return back.select("seg_id", F.round("time_to_failure", 4).alias("time_to_failure"))
+
+
+@query("score_segments_undefined", SEGMENTS.replace("f AS (SELECT u.series_id, win, avg(x) AS m", "g AS (SELECT u.series_id, win, CASE WHEN win % 2 = 0 THEN avg(x) END AS d")
+       .replace("l AS (SELECT regr_slope", "f AS (SELECT series_id, win, coalesce(d, (SELECT avg(d) FROM g)) AS m, ttf FROM g), l AS (SELECT regr_slope"))
+def segments_undefined(spark, sf):
+    """Every second window has an undefined feature, many last ones among them: each segment still gets its last window's prediction."""
+    table = window_features(user_series(spark, sf), {"m": ("w_mean", {}), "ttf": ("w_last_elem", {})}, 40, 15, short="drop")
+    table = written(table.withColumn("m", F.when(F.col("win") % 2 == 0, F.col("m"))), "table")
+    scored = runs.score_segments(table, runs.fit_pipeline(table, ["m"], "LinearRegression", {}, fill="mean"))
+    return scored.select("seg_id", F.round("time_to_failure", 4).alias("time_to_failure"))
+
+
+@query("own_model", f"WITH {FTAB} SELECT pos, round((SELECT median(ttf) FROM t), 6) AS prediction FROM t")
+def own_model(spark, sf):
+    """A registered model of one's own: the median of the label."""
+
+    class Median:
+        def fit(self, df):
+            self.value = df.agg(F.median("y")).first()[0]
+            return self
+
+        def transform(self, df):
+            return df.withColumn("prediction", F.lit(self.value))
+
+    register_model("Median", Median)
+    z = runs.assemble_features(written(features(spark, sf), "table"), ["avg_x"])
+    return create_model("Median", {}).fit(z).transform(z).select("pos", F.round("prediction", 6).alias("prediction"))

@@ -56,12 +56,16 @@ def read_training_csv(spark: SparkSession, path: str) -> DataFrame:
     return series(file_positions(raw), "pos", "s", label="ttf")
 
 
-def read_segments(spark: SparkSession, directory: str, column: str = "acoustic_data", recursive: bool = False) -> DataFrame:
-    """Every ``*.csv`` of a directory as one short series, named after its file: one scan for all."""
+def read_segments(spark: SparkSession, directory: str, column: str = "acoustic_data", recursive: bool = False, folder_key: str | None = None) -> DataFrame:
+    """Every ``*.csv`` of a directory as one short series, named after its file: one scan for all.
+
+    ``folder_key`` names the segments after the folder ``<folder_key>=<name>`` they lie in, as partitioned writes lay them out.
+    """
     raw = (spark.read.schema(f"{column} double").option("pathGlobFilter", "*.csv").option("recursiveFileLookup", recursive)
            .csv(directory, header=True, enforceSchema=True))
-    numbered = file_positions(raw.select("*", F.col("_metadata.file_name").alias("_name"), "_metadata"))
-    return series(numbered, "pos", column, segment_id(F.col("_name")))
+    name = segment_id(F.col("_metadata.file_name")) if folder_key is None else F.regexp_extract("_metadata.file_path", f"/{folder_key}=([^/]*)/", 1)
+    numbered = file_positions(raw.select("*", name.alias("_name"), "_metadata"))
+    return series(numbered, "pos", column, "_name")
 
 
 def find_files(spark: SparkSession, directory: str, pattern: str) -> DataFrame:

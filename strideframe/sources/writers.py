@@ -54,9 +54,22 @@ def read_summary(spark: SparkSession, path: str, newest_first: bool = True) -> D
     return df.orderBy(F.col("run_at").desc() if newest_first else F.col("run_at"))
 
 
-def write_submission(df: DataFrame, path: str) -> None:
-    """``seg_id, time_to_failure`` as one sorted CSV file with header (one row per segment)."""
-    df.select("seg_id", "time_to_failure").orderBy("seg_id").coalesce(1).write.mode("overwrite").csv(path, header=True)
+def write_submission(df: DataFrame, path: str, one_file: bool = False) -> None:
+    """``seg_id, time_to_failure`` as CSV with header, in ranges of sorted segments; merged into one file on request."""
+    rows = df.select("seg_id", "time_to_failure")
+    rows = rows.coalesce(1).sortWithinPartitions("seg_id") if one_file else rows.orderBy("seg_id")
+    rows.write.mode("overwrite").csv(path, header=True)
+
+
+def append_predictions(predictions: DataFrame, path: str, run: str) -> None:
+    """Out-of-fold predictions ``fold, pos, y, prediction`` of a run, as rows ``run, fold, pos, y, yhat`` of one table."""
+    rows = predictions.select(F.lit(run).alias("run"), F.col("fold").cast("int").alias("fold"), "pos", "y", F.col("prediction").alias("yhat"))
+    rows.write.mode("append").partitionBy("run").parquet(path)
+
+
+def read_predictions(spark: SparkSession, path: str, run: str | None = None) -> DataFrame:
+    df = spark.read.schema("fold int, pos bigint, y double, yhat double, run string").parquet(path).select("run", "fold", "pos", "y", "yhat")
+    return df if run is None else df.filter(F.col("run") == run)
 
 
 def latest_predictions(predictions: DataFrame) -> DataFrame:
