@@ -123,8 +123,8 @@ def univariate_fpr(spark, sf):
 
 
 # coefficients of a linear model of two features, by the normal equations
-TWO = f"""{FTAB}, m AS (SELECT covar_pop(std_x, std_x) AS aa, covar_pop(top, top) AS bb, covar_pop(std_x, top) AS ab, covar_pop(std_x, ttf) AS ya, covar_pop(top, ttf) AS yb FROM t),
-w AS (SELECT (bb * ya - ab * yb) / (aa * bb - ab * ab) AS wa, (aa * yb - ab * ya) / (aa * bb - ab * ab) AS wb FROM m)"""
+TWO = f"""{FTAB}, mm AS (SELECT covar_pop(std_x, std_x) AS aa, covar_pop(top, top) AS bb, covar_pop(std_x, top) AS ab, covar_pop(std_x, ttf) AS ya, covar_pop(top, ttf) AS yb FROM t),
+w AS (SELECT (bb * ya - ab * yb) / (aa * bb - ab * ab) AS wa, (aa * yb - ab * ya) / (aa * bb - ab * ab) AS wb FROM mm)"""
 
 
 @query("recursive_elimination", f"""WITH {TWO} SELECT 'std_x' AS feature, CASE WHEN abs(wa) > abs(wb) THEN 1 ELSE 2 END::INTEGER AS place FROM w
