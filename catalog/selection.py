@@ -149,9 +149,9 @@ def elimination_cv(spark, sf):
 
 
 @query("two_stage_linear", f"""WITH {TWO}, {BINNED.removeprefix(FTAB + ',')},
-s AS (SELECT feature FROM hab JOIN ha USING (feature) JOIN hb USING (feature) WHERE feature IN ('std_x', 'top') ORDER BY ha.h + hb.h - hab.h DESC LIMIT 2),
-k AS (SELECT CASE WHEN abs(wa) > abs(wb) THEN 'std_x' ELSE 'top' END AS feature FROM w WHERE (SELECT count(*) FROM s) = 2)
-SELECT k.feature, count(*) AS n, round(sum(value), 4) AS total FROM lf JOIN k USING (feature) GROUP BY 1""")
+ss AS (SELECT feature FROM hab JOIN ha USING (feature) JOIN hb USING (feature) WHERE feature IN ('std_x', 'top') ORDER BY ha.h + hb.h - hab.h DESC LIMIT 2),
+kk AS (SELECT CASE WHEN abs(wa) > abs(wb) THEN 'std_x' ELSE 'top' END AS feature FROM w WHERE (SELECT count(*) FROM ss) = 2)
+SELECT kk.feature, count(*) AS n, round(sum(value), 4) AS total FROM lf JOIN kk USING (feature) GROUP BY 1""")
 def two_stage_linear(spark, sf):
     out = SE.two_stage_elimination(features(spark, sf).select("std_x", "top", "ttf"), "ttf", 100, 1, "LinearRegression", bins=BINS)
     return out.select(F.lit(out.columns[0]).alias("feature"), F.col(out.columns[0]).alias("v")).groupBy("feature").agg(

@@ -72,7 +72,7 @@ class AdaBoostR2:
         rows = written(df.select(FEATURES, LABEL, F.lit(1.0).alias("w")), "weights")
         trees, votes = [], []
         for i in range(self.n_estimators):
-            tree = DecisionTreeRegressor(**COMMON, weightCol="w", maxDepth=self.max_depth, seed=self.seed + i).fit(rows)
+            tree = DecisionTreeRegressor(**COMMON, weightCol="w", maxDepth=self.max_depth, maxBins=256, seed=self.seed + i).fit(rows)
             missed = tree.transform(rows).withColumn("e", F.abs(F.col(LABEL) - F.col("prediction")))
             worst, loss, total = missed.agg(F.max("e"), F.sum(F.col("w") * F.col("e")), F.sum("w")).first()
             if not worst:  # a perfect tree decides alone

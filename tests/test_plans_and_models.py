@@ -191,3 +191,88 @@ def test_frame_path_shuffles_rows_once(spark, tmp_path, constant):
     assert p.count("Exchange hashpartitioning") == 1
     p = plan(window_features(s, {"m": ("w_mean", {}), "k": ("w_kurtosis", {})}, 100, 20))
     assert p.count("Exchange hashpartitioning") == 2 and "SortAggregate" not in p  # panes, then blocks of panes
+
+
+def test_boosting_by_weights(spark):
+    """The rounds against a plain definition: weighted stumps, linear loss, weighted median."""
+    from strideframe.models.estimators import AdaBoostR2
+
+    x = np.arange(60.0)
+    y = np.where(x < 13, 1.0, np.where(x < 37, 4.0, 9.0)) + (x % 5) / 10
+    df = runs.assemble_features(spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y)], "x double, ttf double"), ["x"])
+    model = AdaBoostR2(4, 1.0, 1, 0).fit(df)
+
+    def stump(w):
+        best = None
+        for cut in range(1, 60):
+            a, b = np.average(y[:cut], weights=w[:cut]), np.average(y[cut:], weights=w[cut:])
+            p = np.where(x < cut, a, b)
+            loss = (w * (y - p) ** 2).sum()
+            if best is None or loss < best[0] - 1e-9:
+                best = loss, p
+        return best[1]
+
+    w, parts, votes = np.full(60, 1 / 60), [], []
+    for _ in range(len(model.trees)):
+        p = stump(w)
+        e = np.abs(y - p) / np.abs(y - p).max()
+        loss = (w * e).sum() / w.sum()
+        beta = loss / (1 - loss)
+        parts.append(p)
+        votes.append(np.log(1 / beta))
+        w = w * beta ** (1 - e)
+        w /= w.sum()
+    np.testing.assert_allclose(model.votes, votes, rtol=1e-6)
+    got = np.array([r.prediction for r in model.transform(df).orderBy("x").collect()])
+    order = np.argsort(parts, axis=0)
+    total = np.cumsum(np.array(model.votes)[order], axis=0)
+    first = (total >= sum(model.votes) / 2).argmax(0)
+    want = np.array(parts)[order[first, np.arange(60)], np.arange(60)]
+    np.testing.assert_allclose(got, want, rtol=1e-6)
+
+
+def test_unknown_parameters_are_errors():
+    with pytest.raises(TypeError):
+        create_model("XGBRegressor", {"gamma": 1.0})
+    assert create_model("XGBRegressor", {"eta": 0.2, "nthread": 4, "colsample_bytree": 0.5}).getFeatureSubsetStrategy() == "0.5"
+
+
+def test_own_models_are_found_by_name(spark):
+    from strideframe.models.estimators import MODELS, register_model
+
+    class Constant:
+        def fit(self, df):
+            return self
+
+        def transform(self, df):
+            return df.withColumn("prediction", F.lit(7.0))
+
+    register_model("Constant", Constant)
+    try:
+        df, _, _ = table(spark)
+        out = runs.out_of_fold(FO.k_fold(df, 120, 3), list("abcd"), "Constant", {})
+        assert {r.prediction for r in out.collect()} == {7.0}
+    finally:
+        MODELS.pop("Constant")
+
+
+def test_undefined_features_are_not_dropped(spark):
+    df, _, _ = table(spark)
+    holes = df.withColumn("a", F.when(F.col("pos") % 3 > 0, F.col("a"))).withColumn("series_id", F.col("pos").cast("string")).withColumn("win", F.lit(0))
+    with pytest.raises(Exception):
+        runs.assemble_features(holes, list("abcd")).collect()
+    model = runs.fit_pipeline(holes, list("abcd"), "LinearRegression", {}, fill="mean")
+    assert runs.score_segments(holes, model).filter("time_to_failure is not null").count() == 120
+
+
+def test_folds_compare_no_pairs(spark):
+    """Many short fragments: the plan looks positions up, and has no range condition."""
+    df = spark.range(4000).withColumnRenamed("id", "pos")
+    plan = FO.block_folds(df, 4000)._jdf.queryExecution().optimizedPlan().toString()
+    assert "pad_start" in plan and ">= pad_start" not in plan.split("Join")[1].split("\n")[0]
+
+
+def test_config_file_keeps_types(spark, tmp_path):
+    config = {"folds": [{"name": "CustomFold", "n_splits": 3, "fragmentation": 0.5}], "preproc": {"name": "StandardScaler"}}
+    runs.write_config(spark, config, str(tmp_path / "config.json"))
+    assert runs.read_config(spark, str(tmp_path / "config.json")) == config
