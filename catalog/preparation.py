@@ -6,8 +6,7 @@ from pyspark.sql import functions as F
 
 from strideframe.functions.slices import leading_share, row_range, three_slices
 from strideframe.operators.cycles import combine_cycles, cycle_boundaries, split_cycles
-from strideframe.operators.matching import (analogue_labels, analogues, best_match, cross_correlation, template_information,
-                                            template_values)
+from strideframe.operators.matching import (analogue_labels, analogues, best_match, cross_correlation, template_information)
 from strideframe.operators.windows import window_features
 from strideframe.series import contract_violations, lengths
 from strideframe.sources.readers import read_by_extension, read_cycles
@@ -44,9 +43,16 @@ def series_lengths(spark, sf):
     return lengths(user_series(spark, sf))
 
 
-@query("contract_violations", "SELECT '' AS series_id, 0::BIGINT AS rows, 0::BIGINT AS first_pos, 0::BIGINT AS last_pos FROM events WHERE event_id < 0")
+@query("contract_violations", f"""WITH {USERS}, b AS (SELECT * FROM u WHERE NOT (CAST(series_id AS BIGINT) % 7 = 0 AND pos = 3)
+UNION ALL SELECT * FROM u WHERE CAST(series_id AS BIGINT) % 11 = 0 AND pos = 0)
+SELECT series_id, count(*) AS rows, min(pos) AS first_pos, max(pos) AS last_pos FROM b GROUP BY 1
+HAVING CAST(series_id AS BIGINT) % 7 = 0 AND max(pos) > 3 OR CAST(series_id AS BIGINT) % 11 = 0""")
 def violations(spark, sf):
-    return contract_violations(user_series(spark, sf))
+    """Some users lack a position, some have one twice, some both."""
+    s = user_series(spark, sf)
+    number = F.col("series_id").cast("bigint")
+    broken = s.filter(~((number % 7 == 0) & (F.col("pos") == 3))).union(s.filter((number % 11 == 0) & (F.col("pos") == 0)))
+    return contract_violations(broken)
 
 
 @query("cycle_boundaries", f"WITH {BOUNDS} SELECT boundary::BIGINT AS boundary FROM b")
@@ -156,17 +162,17 @@ SELECT {{}} FROM c, m WHERE pos >= 0 AND pos <= n - {M}"""
 
 
 def template(spark, sf):
-    return row_range(event_series(spark, sf), 100, 100 + M)
+    return row_range(event_series(spark, sf), 100, 100 + M).withColumn("pos", F.col("pos") - 100)
 
 
 @query("cross_correlation", CORR.format("pos, round(corr, 4) AS corr"))
 def correlation(spark, sf):
-    return cross_correlation(event_series(spark, sf), template_values(template(spark, sf))).select("pos", F.round("corr", 4).alias("corr"))
+    return cross_correlation(event_series(spark, sf), template(spark, sf)).select("pos", F.round("corr", 4).alias("corr"))
 
 
 @query("best_match", CORR.format("arg_max(pos, corr) AS pos, round(max(corr), 4) AS corr"))
 def match(spark, sf):
-    return best_match(cross_correlation(event_series(spark, sf), template_values(template(spark, sf)))).select("pos", F.round("corr", 4).alias("corr"))
+    return best_match(cross_correlation(event_series(spark, sf), template(spark, sf))).select("pos", F.round("corr", 4).alias("corr"))
 
 
 NMI_SCAN = """WITH m AS (SELECT max(event_id) + 1 AS n FROM events), k AS (SELECT unnest(range(0, n - 200, 100)) AS start FROM m),

@@ -7,12 +7,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..frame import block_size, halo, idiv, per_block
+from ..frame import BLOCK_KEYS, block_size, halo, idiv, per_block
 from ..functions.bins import digitize
 from ..series import KEY
-from .information import normalized_mutual_information
+from ..tables import written
 
-MAX_TEMPLATE = 4_000_000
+PART = 1 << 16  # rows of a template to an array
 
 
 def analogues(df: DataFrame, value: str, probe: Column | float, low: float = -0.8, high: float = 0.6, steps: int = 100,
@@ -42,36 +42,51 @@ def analogue_labels(df: DataFrame, value: str, label: str, probe: Column | float
     return hits.groupBy("eps_id").agg(F.first("eps").alias("eps"), F.avg(label).alias("label"), F.count(F.lit(1)).alias("matches"))
 
 
-def template_values(template: DataFrame) -> np.ndarray:
-    """A template as an array; its length is checked before anything is fetched."""
-    rows = template.select("pos", "x").limit(MAX_TEMPLATE + 1).toPandas().sort_values("pos")
-    if len(rows) > MAX_TEMPLATE:
-        raise ValueError(f"a template may have at most {MAX_TEMPLATE} rows")
-    return rows["x"].to_numpy()
+def template_parts(template: DataFrame, size: int = PART) -> DataFrame:
+    """``part, t``: the values of a template ``(pos, x)``, ``size`` rows to an array; a missing value counts as 0."""
+    pair = F.struct("pos", F.coalesce("x", F.lit(0.0)).alias("x"))
+    parts = template.groupBy(idiv("pos", size).alias("part")).agg(F.array_sort(F.collect_list(pair)).alias("t"))
+    return parts.select("part", F.transform("t", lambda e: e["x"]).alias("t"))
 
 
-def cross_correlation(s: DataFrame, template: np.ndarray, block: int | None = None) -> DataFrame:
+def cross_correlation(s: DataFrame, template: DataFrame | np.ndarray, block: int | None = None, part: int = PART) -> DataFrame:
     """``series_id, pos, corr``: sum over j of x[pos + j] * template[j], wherever the template fits.
 
-    Overlap-save: each halo block is correlated by one Fourier product of its own length.
+    Overlap-save: each halo block is correlated by one Fourier product of its own length.  A template is a table
+    ``(pos, x)`` with positions from 0, of any length: it is cut into parts, which meet every block inside the plan, and whose
+    correlations add up.
     """
-    m = len(template)
-    f = halo(s.select(KEY, "pos", "x"), block_size(m - 1, minimum=block), right=m - 1)
+    if isinstance(template, np.ndarray):
+        template = s.sparkSession.createDataFrame([(i, float(v)) for i, v in enumerate(template)], "pos bigint, x double")
+    parts = written(template_parts(template, part), "template")
+    count, length = parts.agg(F.count(F.lit(1)), F.sum(F.size("t"))).first()
+    reach = min(length, part)
+    f = halo(s.select(KEY, "pos", "x"), block_size(reach - 1, minimum=block), right=reach - 1)
     size = f.size
     schema = pa.schema([(KEY, pa.string()), ("pos", pa.int64()), ("corr", pa.float64())])
-
-    def correlate(key, pos, values):
-        sid, blk = key
-        x = np.empty(int(pos.max()) - blk * size + 1)
-        x[pos - blk * size] = values
-        n = min(size, len(x) - m + 1)
-        if n <= 0:
-            return schema.empty_table()
-        length = 1 << int(len(x) + m - 1).bit_length()
-        corr = np.fft.irfft(np.fft.rfft(x, length) * np.conj(np.fft.rfft(template, length)), length)[:n]
-        return pa.Table.from_arrays([pa.array([sid] * n, pa.string()), pa.array(blk * size + np.arange(n)), pa.array(corr)], schema=schema)
-
-    return per_block(f.df, correlate, f"{KEY} string, pos bigint, corr double")
+    packed = f.df.groupBy(*BLOCK_KEYS).agg(F.collect_list("pos").alias("pos"), F.collect_list(F.coalesce("x", F.lit(0.0))).alias("x"))
+    packed = packed.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(count - 1).cast("bigint"))))
+    pairs = packed.join(parts, "part").select(KEY, "blk", "part", "pos", "x", "t")
+
+    def correlate(batches):
+        for b in batches:
+            for i in range(b.num_rows):
+                sid, blk, k = (b.column(c)[i].as_py() for c in (KEY, "blk", "part"))
+                pos, values, t = (b.column(c)[i].values.to_numpy() for c in ("pos", "x", "t"))
+                x = np.zeros(int(pos.max()) - blk * size + 1)
+                if len(pos) != len(x):
+                    raise ValueError(f"series {sid!r} has gaps or doubled positions after {blk * size}")
+                x[pos - blk * size] = values
+                n = min(size, len(x) - len(t) + 1)
+                if n > 0:
+                    width = 1 << int(len(x) + len(t) - 1).bit_length()
+                    corr = np.fft.irfft(np.fft.rfft(x, width) * np.conj(np.fft.rfft(t, width)), width)[:n]
+                    yield pa.RecordBatch.from_arrays([pa.array([sid] * n, pa.string()), pa.array(blk * size + np.arange(n) - k * part), pa.array(corr)], schema=schema)
+
+    out = pairs.mapInArrow(correlate, f"{KEY} string, pos bigint, corr double")
+    if count > 1:  # every part has to fit
+        out = out.filter("pos >= 0").groupBy(KEY, "pos").agg(F.sum("corr").alias("corr"), F.count(F.lit(1)).alias("n")).filter(F.col("n") == count).drop("n")
+    return out
 
 
 def best_match(corr: DataFrame) -> DataFrame:
@@ -80,16 +95,46 @@ def best_match(corr: DataFrame) -> DataFrame:
     return corr.groupBy(KEY).agg(best).select(KEY, (-F.col("b.p")).alias("pos"), F.col("b.corr").alias("corr"))
 
 
-def template_information(s: DataFrame, template: DataFrame, size: int, step: int, low: float, high: float, width: float) -> DataFrame:
-    """``series_id, win, nmi``: normalised mutual information of a binned template with each window.
+def template_information(s: DataFrame, template: DataFrame, size: int, step: int, low: float, high: float, width: float,
+                         block: int | None = None) -> DataFrame:
+    """``series_id, win, nmi``: normalised mutual information of a binned template of ``size`` rows with each window.
 
-    Only windows that fit whole are scored, and the last start is excluded: starts are range(0, n - size, step).
+    Only windows that fit whole are scored, and the last start is excluded: starts are range(0, n - size, step).  Each halo
+    block counts the joint bins of its windows; rows where the window or the template lacks a value are left out.
     """
     k = int(np.ceil((high - low) / width))
-    rows = s.withColumn("_lo", idiv(F.greatest(F.col("pos") - size, F.lit(0)) + (step - 1), step))
-    rows = rows.withColumn("win", F.explode(F.sequence("_lo", idiv("pos", step)))).withColumn("j", F.col("pos") - F.col("win") * step)
-    rows = rows.filter(F.col("j") <= size).select(KEY, "win", "j", digitize(F.col("x"), low, width, k).alias("a"))
-    shape = template.select(F.col("pos").alias("j"), digitize(F.col("x"), low, width, k).alias("b"))
-    complete = rows.filter(F.col("j") == size).select(KEY, "win")  # a later row exists, so the window is full and not the last start
-    pairs = rows.filter(F.col("j") < size).join(shape, "j").join(complete, [KEY, "win"], "left_semi")
-    return normalized_mutual_information(pairs, [KEY, "win"], "a", "b").select(KEY, "win", "nmi")
+    bins = lambda df: df.withColumn("x", digitize(F.col("x"), low, width, k).cast("double"))
+    shape = bins(template).filter((F.col("pos") >= 0) & (F.col("pos") < size)).select("pos", "x").toPandas()  # one window
+    b = np.full(size, np.nan)
+    b[shape["pos"]] = shape["x"]
+    f = halo(bins(s.select(KEY, "pos", "x")), block_size(size, step, block), right=size)
+    rows = f.size
+    schema = pa.schema([(KEY, pa.string()), ("win", pa.int64()), ("nmi", pa.float64())])
+
+    def entropy(counts: np.ndarray) -> float:
+        p = counts[counts > 0] / counts.sum()
+        return float(-(p * np.log(p)).sum())
+
+    def score(x: np.ndarray) -> float | None:
+        there = ~(np.isnan(x) | np.isnan(b))
+        if not there.any():
+            return None
+        joint = np.bincount((x[there] * (k + 1) + b[there]).astype(np.int64), minlength=(k + 1) ** 2).reshape(k + 1, k + 1)
+        one, two = joint.sum(1), joint.sum(0)
+        if np.count_nonzero(one) == 1 and np.count_nonzero(two) == 1:
+            return 1.0
+        h1, h2 = entropy(one), entropy(two)
+        mi = h1 + h2 - entropy(joint.ravel())
+        return mi / ((h1 + h2) / 2) if mi > 2.220446049250313e-16 else 0.0
+
+    def scan(key, pos, values):
+        sid, blk = key
+        x = np.full(int(pos.max()) - blk * rows + 1, np.nan)
+        if len(pos) != len(x):
+            raise ValueError(f"series {sid!r} has gaps or doubled positions after {blk * rows}")
+        x[pos - blk * rows] = values
+        starts = np.arange(0, min(rows, max(0, len(x) - size)), step)  # a later row exists
+        return pa.Table.from_arrays([pa.array([sid] * len(starts), pa.string()), pa.array((blk * rows + starts) // step),
+                                     pa.array([score(x[i:i + size]) for i in starts], pa.float64())], schema=schema)
+
+    return per_block(f.df, scan, f"{KEY} string, win bigint, nmi double")

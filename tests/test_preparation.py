@@ -97,6 +97,8 @@ def test_cross_correlation(spark, block):
     got = corr.orderBy("pos").toPandas()
     np.testing.assert_allclose(got["corr"], np.correlate(x, t, "valid"), atol=1e-9)
     assert best_match(corr).first().pos == np.correlate(x, t, "valid").argmax()
+    parts = cross_correlation(s, t, block, part=16).orderBy("pos").toPandas()  # a template in several parts
+    np.testing.assert_allclose(parts["corr"], got["corr"], atol=1e-9)
 
 
 def test_template_information_window_starts(spark):
