@@ -111,9 +111,11 @@ def write_archives(pages: DataFrame, folder: str, id: str = "page_id", url: str
     rows = rows.join(equal.hint("merge"), ["digest", "size"], "left").select(
         "page", "url", F.when(refers.isNull(), F.col("payload")).alias("payload"), "size", "digest", refers.alias("refers"))
 
-    picked = (pages.select(F.sha1(payload).alias("digest"), F.substring(payload, 1, SAMPLE_BYTES).alias("payload"), F.col(url).alias("url"))
-              .orderBy("digest").limit(sample).collect())  # at most SAMPLE rows of SAMPLE_BYTES
-    dictionary = train([record(0, r["url"], bytes(r["payload"]), len(r["payload"]), r["digest"], None) for r in picked])
+    found = pages.select(F.sha1(payload).alias("digest"), F.substring(payload, 1, SAMPLE_BYTES).alias("payload"), F.col(url).alias("url"))
+    smallest = [r["digest"] for r in found.select("digest").distinct().orderBy("digest").limit(sample).collect()]
+    picked = found.filter(F.col("digest").isin(smallest)).groupBy("digest").agg(F.min(F.struct("url", "payload")).alias("one")).orderBy("digest")
+    rest = [(r["digest"], r["one"]["url"], bytes(r["one"]["payload"])) for r in picked.collect()]  # at most SAMPLE rows of SAMPLE_BYTES
+    dictionary = train([record(0, link, body, len(body), digest, None) for digest, link, body in rest])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, path = pa.fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
