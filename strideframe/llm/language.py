@@ -13,7 +13,7 @@ skewed side can be split (or a broadcast, where the written table is small enoug
 
 The text models are fit on a bounded sample of labelled rows: about ``SAMPLE`` of them, drawn by a hash of the text.
 
-Defined results: a null text is empty; a text of fewer than three bytes gives no evidence; missing evidence (null or empty
+Defined results: a null text is empty; a text without three letters in a row gives no evidence; missing evidence (null or empty
 declaration, address or host) counts for nothing; a row whose best language is ``und`` or whose posterior is under ``SURE`` is
 rejected; without labelled rows every row is ``und``; repeated rows are judged alike; extra columns are kept; an empty table gives
 an empty table.
@@ -38,18 +38,23 @@ MULTIPLIER = np.uint32(2654435761)
 
 
 def trigrams(text: bytes) -> np.ndarray:
-    """Bucket of each byte trigram; A-Z count as a-z, white space as one blank."""
-    b = np.frombuffer(text, np.uint8)
-    if len(b) < 3:
+    """Bucket of each byte trigram of letters and blanks; A-Z count as a-z, white space as one blank.
+
+    Digits, punctuation and the like (numbers, addresses, keys) say nothing about a language: trigrams with them are left out."""
+    fold = FOLD[np.frombuffer(text, np.uint8)]
+    if len(fold) < 3:
         return np.empty(0, np.uint32)
-    fold = FOLD[b]
     code = (fold[:-2] << np.uint32(16)) | (fold[1:-1] << np.uint32(8)) | fold[2:]
+    letters = fold > 0
+    code = code[letters[:-2] & letters[1:-1] & letters[2:]]
     return (code * MULTIPLIER) >> np.uint32(32 - BUCKET_BITS)
 
 
-FOLD = np.arange(256, dtype=np.uint32)
-FOLD[65:91] += 32
-FOLD[9:14] = 32
+FOLD = np.zeros(256, dtype=np.uint32)  # 0: no letter
+FOLD[97:123] = np.arange(97, 123)
+FOLD[65:91] = np.arange(97, 123)
+FOLD[128:] = np.arange(128, 256)
+FOLD[[32, *range(9, 14)]] = 32
 
 
 @dataclass(frozen=True)
