@@ -61,7 +61,33 @@ def op2(spark, sf):
                       F.length("formatted").cast("bigint").alias("formatted_chars"))
 
 
-@query("op9_mixing")
+# seats one by one to the highest quotients, then the same selection of blocks as the operator's seed draws
+MIX_SQL = r"""WITH s AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+s1 AS (SELECT source, sum(size)::BIGINT AS source_size FROM s GROUP BY source),
+s2 AS (SELECT *, row_number() OVER (ORDER BY source ASC NULLS LAST) AS sid FROM s1),
+s3 AS (SELECT *, [3, 1, 2][(sid - 1) % 3 + 1] AS w, source_size * 2 AS cap FROM s2),
+s4 AS (SELECT *, (sum(source_size) OVER () * CAST(1.5 AS DOUBLE) - coalesce(sum(cap) OVER b, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER b, 0)) AS l
+  FROM s3 WINDOW b AS (ORDER BY cap::DOUBLE / w, sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+src AS (SELECT source, sid, source_size, least(cap::DOUBLE, max(l) OVER () * w) AS target,
+  greatest(1, least(4096, ceil(source_size / 65536.0)))::BIGINT AS n_shards FROM s4),
+q AS (SELECT sid, row_number() OVER (ORDER BY target / (2 * k - 1) DESC, sid) AS place FROM (SELECT sid, target, unnest(range(1, (target / 8)::BIGINT + 3)) AS k FROM src)),
+seats AS (SELECT sid, count(*) FILTER (place <= (SELECT floor(sum(target) / 16 + 0.5) FROM src)) AS seats FROM q GROUP BY sid),
+d AS (SELECT doc_id, size, source_size, target, sid, md5('mix-1|' || coalesce(doc_id::VARCHAR, '')) AS draw,
+  ('0x' || substr(md5('mix-1|' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT % n_shards AS shard FROM s JOIN src ON s.source IS NOT DISTINCT FROM src.source),
+h AS (SELECT sid, shard, sum(size)::BIGINT AS words FROM d GROUP BY 1, 2),
+hq AS (SELECT sid, shard, row_number() OVER (PARTITION BY sid ORDER BY words::DOUBLE / (2 * k - 1) DESC, shard) AS place
+  FROM (SELECT sid, shard, words, unnest(range(1, words // 8 + 3)) AS k FROM h)),
+hs AS (SELECT h.sid, h.shard, ceil(any_value(words) / 16.0)::BIGINT AS blocks, count(*) FILTER (place <= seats)::BIGINT AS quota
+  FROM h JOIN hq ON h.sid = hq.sid AND h.shard = hq.shard JOIN seats ON seats.sid = h.sid GROUP BY 1, 2),
+b AS (SELECT sid, shard, blocks, least(quota, 2 * blocks) AS quota, ('0x' || substr(md5('mix-1|' || sid || '|' || shard), 1, 8))::BIGINT AS start FROM hs),
+r AS (SELECT sid, shard, CASE WHEN blocks > 0 THEN quota // blocks ELSE 0 END AS rounds, CASE WHEN blocks > 0 THEN start % blocks * 16 ELSE 0 END AS lo,
+  CASE WHEN blocks > 0 THEN quota % blocks * 16 ELSE 0 END AS extra, blocks * 16 AS around FROM b),
+p AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY sid, shard ORDER BY draw, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pre FROM d JOIN r USING (sid, shard))
+SELECT doc_id, size::BIGINT AS size, source_size, target, (rounds * size + greatest(0, least(lo + extra, pre + size) - greatest(lo, pre))
+  + greatest(0, least(lo + extra - around, pre + size) - pre))::BIGINT AS taken FROM p"""
+
+
+@query("op9_mixing", MIX_SQL)
 def op9(spark, sf):
     return mixing.mix(table(spark, sf, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
