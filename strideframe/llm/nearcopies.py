@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -33,21 +34,32 @@ from pyspark.sql import functions as F
 from strideframe.llm.shared import as_text, components, written
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
-LOWER = {c: c + 32 for c in range(65, 91)}
 SHINGLE, PERCENT, BINS, ROWS, HUBS = 5, 75, 288, 6, 8
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+S27, S30, S31 = np.uint64(27), np.uint64(30), np.uint64(31)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: nearby inputs get unrelated outputs."""
-    x = (x ^ (x >> np.uint64(30))) * M1
-    x = (x ^ (x >> np.uint64(27))) * M2
-    return x ^ (x >> np.uint64(31))
+    x = x ^ (x >> S30)
+    x *= M1
+    x ^= x >> S27
+    x *= M2
+    x ^= x >> S31
+    return x
+
+
+@cache
+def donors(bins: int, attempts: int = 64) -> np.ndarray:
+    """The bin that an empty bin looks at, per attempt and bin."""
+    with np.errstate(over="ignore"):
+        at = np.arange(bins, dtype=np.uint64) * np.uint64(0x10001) + (np.arange(1, attempts + 1, dtype=np.uint64) << np.uint64(32))[:, None]
+        return (mixed(at) % np.uint64(bins)).astype(np.int64)
 
 
 def shingles(text: str, size: int = SHINGLE) -> np.ndarray:
     """The document's set, as sorted 64-bit hashes."""
-    words = WORDS.findall(text.translate(LOWER) if not text.isascii() else text.lower())
+    words = WORDS.findall(text.encode().lower().decode())  # of bytes, lower() changes A-Z alone
     if not words:
         return np.empty(0, np.uint64)
     h = pd.util.hash_array(np.array(words, dtype=object), categorize=len(words) > 64)
@@ -61,19 +73,22 @@ def shingles(text: str, size: int = SHINGLE) -> np.ndarray:
 
 def signature(sets: np.ndarray, bins: int = BINS) -> np.ndarray:
     """One permutation, ``bins`` bins, optimal densification."""
-    sig = np.full(bins, np.iinfo(np.uint64).max, np.uint64)
-    with np.errstate(over="ignore"):
-        h = mixed(sets ^ np.uint64(0x5851F42D4C957F2D))
-        np.minimum.at(sig, (h % np.uint64(bins)).astype(np.int64), h)
-        full = np.zeros(bins, bool)
-        full[(h % np.uint64(bins)).astype(np.int64)] = True
-        own, empty, attempt = sig.copy(), np.flatnonzero(~full), 0
-        while len(empty):
-            attempt += 1
-            to = (mixed(empty.astype(np.uint64) * np.uint64(0x10001) + np.uint64(attempt << 32)) % np.uint64(bins)).astype(np.int64)
-            hit = full[to]
-            sig[empty[hit]] = own[to[hit]]
-            empty = empty[~hit]
+    h = mixed(sets ^ np.uint64(0x5851F42D4C957F2D))
+    h.sort()
+    at = (h % np.uint64(bins)).astype(np.int64)
+    sig, full = np.zeros(bins, np.uint64), np.zeros(bins, bool)
+    sig[at[::-1]] = h[::-1]  # the smallest is written last
+    full[at] = True
+    own, empty, attempt = sig.copy(), np.flatnonzero(~full), 0
+    table = donors(bins)
+    while len(empty):
+        if attempt == len(table):
+            table = donors(bins, 4 * attempt)
+        to = table[attempt, empty]
+        hit = full[to]
+        sig[empty[hit]] = own[to[hit]]
+        empty = empty[~hit]
+        attempt += 1
     return sig
 
 
