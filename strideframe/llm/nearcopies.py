@@ -11,8 +11,13 @@ edges, exact confirmation on full shingle sets, connected components.
 4. Stars leave open the pairs whose members are both off the centre.  So the buckets are drawn again among members of
    different components, now with up to ``hubs`` centres (buckets of up to ``hubs + 1`` members are thus compared in full), and
    with another draw, as long as a round finds a link that joins components.
+5. What larger buckets of several components still leave open is finished exactly, by a prefix filter: each of their members puts
+   its shingles in one common order, rare ones first; of a similar pair, the first shingle in common is among the first
+   ``n - ceil(2 p n / (100 + p)) + 1`` of the smaller set and the first ``m - ceil(p m / 100) + 1`` of the larger one, and enough
+   shingles are left behind it in both.  In a family of one template the first shingles are the members' own ones.
 
-A pair is never compared twice, and never within a component.  No bucket is dropped or cut.
+Every pair of two components that shares a bucket is thus compared or known to be under ``percent``.  A pair is never compared
+twice, and never within a component.  No bucket is dropped or cut.
 
 Defined results: a text without words (or null) has an empty set and is linked with nothing; a shorter text than a shingle is
 one shingle; a row without id takes no part in links and is returned as a class of its own; rows that repeat an id with
@@ -35,6 +40,7 @@ from strideframe.llm.shared import as_text, components, written
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 SHINGLE, PERCENT, BINS, ROWS, HUBS = 5, 75, 288, 6, 8
+COUNTER_BITS, PIECE = 21, 1 << 16
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 S27, S30, S31 = np.uint64(27), np.uint64(30), np.uint64(31)
 
@@ -138,6 +144,76 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             .filter(F.col("common") * 100 >= (F.size("xs") + F.size("ys") - F.col("common")) * percent).select("a", "b"))
 
 
+def counters(sets: DataFrame) -> np.ndarray:
+    """How many sets have a shingle, by the shingle's last ``COUNTER_BITS`` bits: never less than the shingle's own number."""
+    kinds = pa.schema([("slot", pa.int32()), ("times", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(1 << COUNTER_BITS, np.int64)
+        for b in batches:
+            items = b.column(0).flatten().to_numpy(zero_copy_only=False)
+            sums += np.bincount(items & (len(sums) - 1), minlength=len(sums))
+        at = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(sums[at])], schema=kinds)
+
+    got = sets.select("items").mapInArrow(run, "slot int, times bigint").groupBy("slot").agg(F.sum("times").alias("times")).toPandas()  # 2 ** COUNTER_BITS rows at most
+    out = np.zeros(1 << COUNTER_BITS, np.int32)
+    out[got["slot"].to_numpy(dtype=np.int64)] = np.minimum(got["times"].to_numpy(dtype=np.int64), 2**31 - 1)
+    return out
+
+
+def prefixes(sets: DataFrame, times: np.ndarray, percent: int) -> DataFrame:
+    """``id, component, n, item, place``: the first shingles of each set in the order (counter, shingle), without those of one set alone."""
+    kinds = pa.schema([("id", pa.int64()), ("component", pa.int64()), ("n", pa.int64()), ("item", pa.int64()), ("place", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, held = [], 0
+        for b in batches:
+            for id, component, items in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+                x = items.values.to_numpy(zero_copy_only=False)
+                c = times[x & (len(times) - 1)]
+                order = np.lexsort((x, c))[:len(x) + -percent * len(x) // 100 + 1]
+                place = np.flatnonzero(c[order] > 1)
+                parts.append((np.full(len(place), id), np.full(len(place), component), np.full(len(place), len(x)), x[order[place]], place))
+                held += len(place)
+                if held >= PIECE:  # no batch grows with the texts
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(col).astype(np.int64)) for col in zip(*parts)], schema=kinds)
+                    parts, held = [], 0
+        if parts:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(col).astype(np.int64)) for col in zip(*parts)], schema=kinds)
+
+    return sets.select("id", "component", "items").mapInArrow(run, "id bigint, component bigint, n bigint, item bigint, place bigint")
+
+
+def prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
+    """Of sets ``id, component, items``, the pairs ``(a, b)`` of different components that a prefix filter leaves: all that are
+    similar enough are among them.
+
+    Shingles meet by component first, so that the members of a large one are never set against each other.
+    """
+    first = written(prefixes(sets, counters(sets), percent), "prefixes")
+    several = first.groupBy("item").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
+    first = written(first.join(several.select("item"), "item"), "shared-prefixes")
+    p = percent
+    short = first.filter(F.col("place") * (100 + p) <= F.col("n") * (100 - p))  # place <= n - 2 p n / (100 + p)
+
+    def side(t: DataFrame, mark: str) -> tuple[DataFrame, DataFrame]:
+        rows = t.select("item", *[F.col(c).alias(f"{c}_{mark}") for c in ("id", "component", "n", "place")])
+        sums = t.groupBy("item", F.col("component").alias(f"component_{mark}")).agg(
+            F.min("n").alias(f"least_{mark}"), F.max("n").alias(f"most_{mark}"), F.max(F.col("n") - F.col("place")).alias(f"rest_{mark}"))
+        return rows, sums
+
+    (x, xs), (y, ys) = side(short, "x"), side(first, "y")
+    enough = lambda rest_x, rest_y, n_x, n_y: F.least(rest_x, rest_y) * (100 + p) >= (n_x + n_y) * p
+    c = F.col
+    meet = xs.join(ys, "item").filter((c("component_x") != c("component_y")) & (c("least_x") <= c("most_y")) & (c("most_x") * 100 >= c("least_y") * p)
+                                      & enough(c("rest_x"), c("rest_y"), c("least_x"), c("least_y")))
+    meet = written(meet.select("item", "component_x", "component_y"), "meetings")
+    found = (meet.join(x, ["item", "component_x"]).join(y, ["item", "component_y"])
+             .filter((c("n_x") <= c("n_y")) & (c("n_x") * 100 >= c("n_y") * p) & enough(c("n_x") - c("place_x"), c("n_y") - c("place_y"), c("n_x"), c("n_y"))))
+    return found.select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT,
                     bins: int = BINS, rows: int = ROWS, hubs: int = HUBS) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept, n_links``: one row per row.
@@ -186,9 +262,20 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", shi
         links = found if links is None else links.union(found)
         tried = pairs if tried is None else tried.union(pairs)
         turn += 1
-        if found.limit(1).count() == 0:
+        if found.limit(1).count():
+            labels = components(links)
+        elif turn > 1:  # the first draw alone compares no bucket of more than two in full
             break
-        labels = components(links)
+    here = members.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    still = here.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("size"))
+    still = written(still.filter((F.col("lo") < F.col("hi")) & (F.col("size") > hubs + 1)).select("bucket"), "still-open")
+    rest = written(here.join(still, "bucket").select("id", "component").distinct(), "rest")
+    if rest.limit(1).count():
+        pairs = prefix_pairs(written(rest.join(sets, rest["id"] == sets["doc_id"]).select("id", "component", "items"), "rest-sets"), percent)
+        found = written(confirmed(written(pairs.join(tried, ["a", "b"], "left_anti"), "pairs"), sets, percent), "links")
+        links = links.union(found)
+        if found.limit(1).count():
+            labels = components(links)
     degree = links.select(F.col("a").alias("id")).union(links.select("b")).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
     known = written(labels.join(degree, "id"), "known")
     out = (base.drop("bands").join(classes.select("same", "class"), "same", "left")

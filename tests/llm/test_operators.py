@@ -119,6 +119,40 @@ def test_links_off_the_first_centre_are_found(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in nearcopies.near_duplicates(docs_of(spark, rows)).collect()} == expected
 
 
+def test_pairs_in_a_large_family_under_the_threshold_are_found(spark):
+    """1,000 members at 0.70 to each other; 40 pairs at 0.75 that mostly share the family's buckets alone."""
+    template = [f"t{k}" for k in range(166)]
+    tails = [[f"m{i}w{k}" for k in range(34)] for i in range(1000)]
+    for i in range(0, 80, 2):
+        tails[i + 1][:6] = tails[i][:6]
+    rows = [(i, " ".join(template + tail), None) for i, tail in enumerate(tails)]
+    got = {r.doc_id: r.component_id for r in nearcopies.near_duplicates(docs_of(spark, rows)).collect()}
+    assert got == {i: i - i % 2 if i < 80 else i for i in range(1000)}
+
+
+def test_pairs_off_the_centre_without_any_other_link(spark):
+    """Three members share buckets, and only the two that are no centre are similar."""
+    centre = spark.range(3).orderBy(F.xxhash64(F.lit(0), F.col("id"))).first()[0]
+    tails = [[f"m{i}w{j}" for j in range(34)] for i in range(3)]
+    a, b = [i for i in range(3) if i != centre]
+    tails[b][:8] = tails[a][:8]
+    rows = [(i, " ".join([f"t{k}" for k in range(166)] + tail), None) for i, tail in enumerate(tails)]
+    expected = brute_near(rows)
+    assert len({c for _, c, _ in expected.values()}) == 2
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in nearcopies.near_duplicates(docs_of(spark, rows)).collect()} == expected
+
+
+def test_prefix_pairs_hold_every_similar_pair(spark):
+    rng = random.Random(3)
+    sets = [sorted(rng.sample(range(60), rng.randint(1, 40))) for _ in range(150)]
+    sets += [sorted({*s, *rng.sample(range(1000), 3)} - set(rng.sample(s, len(s) // 12))) for s in sets]
+    table = spark.createDataFrame([(i, i % 290, s) for i, s in enumerate(sets)], "id bigint, component bigint, items array<bigint>")
+    for percent in (60, 75, 90):
+        got = {(r.a, r.b) for r in nearcopies.prefix_pairs(table, percent).collect()}
+        alike = {(a, b) for b in range(300) for a in range(b) if a % 290 != b % 290 and len({*sets[a]} & {*sets[b]}) * 100 >= len({*sets[a]} | {*sets[b]}) * percent}
+        assert alike and alike <= got
+
+
 def test_densified_signature_estimates_similarity():
     rng = np.random.default_rng(3)
     for n, common in ((40, 30), (2000, 1500)):
