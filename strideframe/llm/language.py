@@ -11,7 +11,8 @@ The tables behind the last three are grouped sums of the text posteriors (a row'
 have one row per declared value, suffix or host; a frequent value costs one row per task in the aggregation, and a join whose
 skewed side can be split (or a broadcast, where the written table is small enough for Spark's limit).
 
-The text models are fit on a bounded sample of labelled rows: about ``SAMPLE`` of them, drawn by a hash of the text.
+The text models are fit on a bounded sample of labelled rows: about ``SAMPLE`` of each label, drawn by a hash of the text, rarer
+labels whole.  Every label with any trigram gets a model; more than ``MOST_LANGUAGES`` labels are an error.
 
 Defined results: a null text is empty; a text without three letters in a row gives no evidence; missing evidence (null or empty
 declaration, address or host) counts for nothing; a row whose best language is ``und`` or whose posterior is under ``SURE`` is
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from strideframe.llm.shared import as_text, written
 
 UNKNOWN = "und"
-SAMPLE, MOST_LANGUAGES, BUCKET_BITS = 4000, 64, 16
+SAMPLE, MOST_LANGUAGES, BUCKET_BITS = 4000, 256, 16
 TEMPER, UNKNOWN_PRIOR, SMOOTH, HOST_WEIGHT, SURE = 0.2, 0.01, 1.0, 10.0, 0.5
 MULTIPLIER = np.uint32(2654435761)
 
@@ -64,10 +65,16 @@ class Model:
 
 
 def train(rows: DataFrame, text: str = "text", label: str = "lang", sample: int = SAMPLE) -> Model:
-    """Trigram models of the ``MOST_LANGUAGES`` most frequent labels, from a bounded sample."""
+    """Trigram models of all labels, from a bounded sample of each: about ``sample`` rows, or all of a label that has fewer."""
     known = rows.filter(F.col(label).isNotNull() & (F.col(label) != UNKNOWN)).select(F.col(label).alias("label"), as_text(text).alias("text"))
-    share = min(1.0, sample / max(known.count(), 1))
-    drawn = known.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)  # the documented sample
+    draw = F.pmod(F.xxhash64("text"), F.lit(1 << 30))
+    tally = known.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.min(draw).alias("least")).limit(MOST_LANGUAGES + 1).collect()
+    if len(tally) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} labels: merge some (regions, spellings) before training, none is left out")
+    # where one text makes up a label, the share may miss it: the smallest draw is always in
+    upto = {r["label"]: max(int(min(1.0, sample / r["n"]) * (1 << 30)), r["least"]) for r in tally}
+    bounds = F.create_map(*[F.lit(x) for pair in upto.items() for x in pair]) if upto else F.lit(None).cast("map<string,bigint>")
+    drawn = known.filter(draw <= bounds[F.col("label")])  # the documented sample
     kinds = pa.schema([("label", pa.string()), ("bucket", pa.int32()), ("n", pa.int64())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,8 +87,8 @@ def train(rows: DataFrame, text: str = "text", label: str = "lang", sample: int
                 yield pa.RecordBatch.from_arrays([pa.array([label] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(n[at].astype(np.int64))], schema=kinds)
 
     counts = written(drawn.mapInArrow(count, "label string, bucket int, n bigint").groupBy("label", "bucket").agg(F.sum("n").alias("n")), "trigrams")
-    top = [r["label"] for r in counts.groupBy("label").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "label").limit(MOST_LANGUAGES).collect()]
-    got = counts.filter(F.col("label").isin(top)).toPandas()  # MOST_LANGUAGES * 2 ** BUCKET_BITS rows at most
+    top = [r["label"] for r in counts.groupBy("label").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "label").collect()]
+    got = counts.toPandas()  # MOST_LANGUAGES * 2 ** BUCKET_BITS rows at most
     table = np.zeros((1 << BUCKET_BITS, len(top) + 1))
     table[got["bucket"], got["label"].map({x: i for i, x in enumerate(top)}).to_numpy(dtype=int)] = got["n"]
     flat = 1 / (1 << BUCKET_BITS)

@@ -467,6 +467,21 @@ def test_evidence_fusion(spark):
     assert {(r.language, r.kept) for r in nothing} == {("und", False)}
 
 
+def test_every_label_has_a_model(spark, monkeypatch):
+    """70 labels, and a rare one (of one text) beside 5,000 rows of another; too many labels are an error, not left out."""
+    of = lambda k: " ".join(chr(97 + k // 26) + chr(97 + k % 26) + c for c in "abcdefgh")
+    many = spark.createDataFrame([(of(k) * (1 + (k < 64)), f"l{k}") for k in range(70)], "text string, lang string")
+    assert set(language.train(many).languages) == {f"l{k}" for k in range(70)} | {"und"}
+    rare = [(f"{of(0)} {i}", "big") for i in range(5000)] + [("zzyx wvut", "rare")] * 2
+    df = spark.createDataFrame(rare, "text string, lang string")
+    assert set(language.train(df, sample=50).languages) == {"big", "rare", "und"}
+    one = spark.createDataFrame([("zzyx wvut", "one")] * 500 + rare, "text string, lang string")
+    assert set(language.train(one, sample=1).languages) == {"big", "one", "rare", "und"}
+    monkeypatch.setattr(language, "MOST_LANGUAGES", 69)
+    with pytest.raises(ValueError):
+        language.train(many)
+
+
 def test_parts_of_pages(spark):
     page = '<!DOCTYPE html><HTML class="x" lang="de-AT"><script>var t="</p>";</script><!-- <b> --><p>Gr&uuml;n &amp; <b>gut</b></p></html>'
     df = spark.createDataFrame([(page, "https://me@M.Site.de:80/x?y"), (None, None), ("plain", "nothing")], "h string, u string")
