@@ -200,6 +200,14 @@ def sweep(spark, sf):
     return SE.parameter_sweep(tables, "v", "ttf", 8).select("param", F.round("mi", 6).alias("mi"), F.round("nmi", 6).alias("nmi"))
 
 
+@query("parameter_sweep_savgol")
+def sweep_savgol(spark, sf):
+    """The sweep over the smoothing filter, without SQL."""
+    s = event_series(spark, sf, label=True)
+    tables = {w: window_features(s, {"v": ("w_std", {})}, W, S, rows=[("r_savgol_filter", {"window_length": w})], label=True) for w in (3, 13, 53)}
+    return SE.parameter_sweep(tables, "v", "ttf", 8).select("param", F.round("mi", 6).alias("mi"), F.round("nmi", 6).alias("nmi"))
+
+
 QUALITY = f"""{LONG}, q AS (SELECT feature, quantile_cont(value, 0.01) AS lo, quantile_cont(value, 0.99) AS hi FROM lf GROUP BY feature),
 cl AS (SELECT feature, pos, least(greatest(value, lo), hi) AS v FROM lf JOIN q USING (feature)),
 st AS (SELECT feature, avg(v) AS a, stddev_pop(v) AS b, count(*) AS n FROM cl GROUP BY feature),

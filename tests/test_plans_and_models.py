@@ -276,3 +276,10 @@ def test_config_file_keeps_types(spark, tmp_path):
     config = {"folds": [{"name": "CustomFold", "n_splits": 3, "fragmentation": 0.5}], "preproc": {"name": "StandardScaler"}}
     runs.write_config(spark, config, str(tmp_path / "config.json"))
     assert runs.read_config(spark, str(tmp_path / "config.json")) == config
+
+
+def test_savgol_sweep_is_registered(spark):
+    from catalog.selection import sweep_savgol
+
+    out = sweep_savgol(spark, "/root/testdata/sf0.001").collect()
+    assert sorted(r.param for r in out) == [3, 13, 53] and all(r.mi >= 0 for r in out)
