@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strideframe.llm import chat, language, mixing, nearcopies, packing, radix, substrings, threshold, toxicity, warc
+from strideframe.llm import chat, infill, language, mixing, nearcopies, packing, radix, substrings, threshold, toxicity, warc
 from strideframe.llm.shared import new_path
 
 QUERIES: dict = {}
@@ -154,3 +154,17 @@ def op1(spark, sf):
     rows = docs.select("doc_id", none.cast("bigint").alias("page_id"), "text", none.cast("string").alias("declared"), F.col("source").alias("host")).union(
         pages.select(none.cast("bigint"), "page_id", language.visible_text(F.col("html")), language.declared_in(F.col("html")), language.host_of(F.col("url"))))
     return language.identify(rows, model, F.col("text"), F.col("declared"), F.col("host"), carry=["doc_id", "page_id"])
+
+
+@query("op11_infill", r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS x, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+u AS (SELECT *, regexp_extract_all(x, '[^\n]*\n|[^\n]+') AS l, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[25:32])::BIGINT AS h4 FROM t),
+c AS (SELECT *, len(l)::BIGINT AS n, least(h1 % (len(l) + 1), h2 % (len(l) + 1)) AS a, greatest(h1 % (len(l) + 1), h2 % (len(l) + 1)) AS b FROM u),
+p AS (SELECT *, array_to_string(l[1:a], '') AS pre, array_to_string(l[a + 1:b], '') AS mid, array_to_string(l[b + 1:], '') AS suf,
+ CASE WHEN x = '' OR contains(x, '<P>') OR contains(x, '<S>') OR contains(x, '<M>') THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+ sha256(CASE form WHEN 'plain' THEN x WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+ sha256(x) AS restored_sha256 FROM p""")
+def op11(spark, sf):
+    arranged = infill.transform(table(spark, sf, "documents"))
+    return infill.restored(arranged, carry=("n", "form", "prefix_chars", "middle_chars", "output_sha256")).drop("restored")
