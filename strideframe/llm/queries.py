@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strideframe.llm import chat, infill, language, mixing, nearcopies, packing, radix, substrings, threshold, toxicity, warc
+from strideframe.llm import chat, infill, language, mixing, nearcopies, packing, quality, radix, substrings, threshold, toxicity, warc
 from strideframe.llm.shared import new_path
 
 QUERIES: dict = {}
@@ -168,3 +168,36 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix
 def op11(spark, sf):
     arranged = infill.transform(table(spark, sf, "documents"))
     return infill.restored(arranged, carry=("n", "form", "prefix_chars", "middle_chars", "output_sha256")).drop("restored")
+
+
+VOTES_SQL = ", ".join(r.sql() for r in quality.RULES)
+QUALITY_SQL = rf"""
+WITH RECURSIVE t AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS x FROM documents),
+w AS (SELECT *, regexp_extract_all(x, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(x, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS l FROM t),
+g AS (SELECT row, i, array_to_string(w[i:i + 4], ' ') AS win FROM (SELECT row, w, unnest(range(1, len(w) - 3)) AS i FROM w)),
+h AS (SELECT row, i, lead(i) OVER (PARTITION BY row ORDER BY i) AS next FROM (SELECT *, count(*) OVER (PARTITION BY row, win) AS n FROM g) WHERE n > 1),
+r AS (SELECT row, sum(least(5, coalesce(next - i, 5)))::BIGINT AS n_repeat_words FROM h GROUP BY row),
+c AS (SELECT row, doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, length(regexp_replace(x, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+ (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, len(l) AS n_lines, len(list_distinct(w)) AS n_distinct,
+ length(regexp_replace(x, '[^A-Z]', '', 'g')) AS n_capitals, length(regexp_replace(x, '[^a-z]', '', 'g')) AS n_small, (length(x) - length(replace(x, '!!', ''))) // 2 AS n_shouts,
+ len(list_filter(w, lambda v: regexp_matches(v, '([A-Za-z0-9.,;:!?"'')]|[^\x00-\x7F])$'))) AS n_plain_ends, len(list_filter(w, lambda v: regexp_matches(v, '[A-Za-z]|[^\x00-\x7F]'))) AS n_spoken,
+ len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1])) AS n_doubled FROM w LEFT JOIN r USING (row)),
+v AS (SELECT *, [{VOTES_SQL}] AS v FROM c),
+ps AS (SELECT list({{'v': v, 'n': n}} ORDER BY v) AS ps, sum(n) AS total FROM (SELECT v, count(*)::DOUBLE AS n FROM v GROUP BY v)),
+em AS (SELECT 0 AS it, {quality.START}::DOUBLE AS good, list_transform(range({len(quality.RULES)}), lambda j: {quality.RIGHT_GOOD}::DOUBLE) AS a,
+  list_transform(range({len(quality.RULES)}), lambda j: {quality.RIGHT_BAD}::DOUBLE) AS b
+ UNION ALL SELECT it + 1, (list_sum(g) + {quality.START}) / (total + 1),
+  list_transform(range(1, len(a) + 1), lambda j: (list_sum(list_transform(range(1, len(g) + 1), lambda i: CASE WHEN ps[i].v[j] = 1 THEN g[i] ELSE 0 END)) + {quality.RIGHT_GOOD * quality.WEIGHT_GOOD} * total)
+   / (list_sum(list_transform(range(1, len(g) + 1), lambda i: CASE WHEN ps[i].v[j] <> 0 THEN g[i] ELSE 0 END)) + {quality.WEIGHT_GOOD} * total)),
+  list_transform(range(1, len(a) + 1), lambda j: (list_sum(list_transform(range(1, len(g) + 1), lambda i: CASE WHEN ps[i].v[j] = -1 THEN ps[i].n - g[i] ELSE 0 END)) + {quality.RIGHT_BAD * quality.WEIGHT_BAD} * total)
+   / (list_sum(list_transform(range(1, len(g) + 1), lambda i: CASE WHEN ps[i].v[j] <> 0 THEN ps[i].n - g[i] ELSE 0 END)) + {quality.WEIGHT_BAD} * total))
+ FROM (SELECT *, list_transform(ps, lambda p: p.n / (1 + exp(-(ln(good / (1 - good)) + list_sum(list_transform(range(1, len(a) + 1),
+   lambda j: CASE p.v[j] WHEN 1 THEN ln(a[j] / (1 - b[j])) WHEN -1 THEN ln((1 - a[j]) / b[j]) ELSE 0 END)))))) AS g FROM em, ps WHERE it < {quality.ROUNDS})),
+o AS (SELECT c.*, ln(good / (1 - good)) + list_sum(list_transform(range(1, len(a) + 1), lambda j: CASE v.v[j] WHEN 1 THEN ln(a[j] / (1 - b[j])) WHEN -1 THEN ln((1 - a[j]) / b[j]) ELSE 0 END)) AS odds,
+ c.n_words < 10 OR 100 * c.n_repeat_words > 20 * c.n_words AS base_failed FROM v JOIN c USING (row), em WHERE it = {quality.ROUNDS})
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND odds >= 0 AS kept FROM o"""
+
+
+@query("op12_quality_rules", QUALITY_SQL)
+def op12(spark, sf):
+    return quality.judge(table(spark, sf, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
