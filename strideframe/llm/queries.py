@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strideframe.llm import chat, infill, language, mixing, nearcopies, packing, quality, radix, substrings, threshold, toxicity, warc
+from strideframe.llm import chat, infill, language, mixing, nearcopies, packing, quality, radix, repair, substrings, threshold, toxicity, warc
 from strideframe.llm.shared import new_path
 
 QUERIES: dict = {}
@@ -201,3 +201,53 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 @query("op12_quality_rules", QUALITY_SQL)
 def op12(spark, sf):
     return quality.judge(table(spark, sf, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+# costs with eight digits, then the edits: the least string is the cheapest way, ties ASCII-least
+PAID = "lpad(({0}[1:8]::BIGINT + {1})::VARCHAR, 8, '0') || {0}[9:] || '{2}'"
+
+
+def paid(state, cost, letter):
+    return PAID.format(state, cost, letter)
+
+
+REPAIR_SQL = rf"""
+WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda n: list_reduce([n] || range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS crc),
+c AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+ xor(list_reduce([4294967295] || list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda b: ascii(b)::BIGINT),
+  lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS f FROM conversations, crc),
+d AS (SELECT conv_id, turn, CASE WHEN f = 4 THEN 'user' ELSE role END AS role, CASE f WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+ unnest(CASE WHEN f = 3 THEN [0, 1] ELSE [0] END) AS copy FROM c WHERE f <> 0),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn ASC NULLS FIRST, role, text, copy) AS i FROM d),
+e AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS seen, regexp_replace(text, '[\x20\x09-\x0D]+$', '') AS bare, left(role, 1) AS r0 FROM n),
+t AS (SELECT *, CASE WHEN bare = '' THEN 'blank' WHEN seen > 1 THEN 'duplicate' WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 'truncated' END AS fault,
+ lag(r0) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM e),
+k AS (SELECT *, coalesce(fault IN ('blank', 'duplicate'), false) AS gone, CASE WHEN fault = 'truncated' THEN 3 ELSE 0 END AS late FROM t),
+w AS (SELECT conv_id, count(*) AS rows, (coalesce(max(turn) - min(turn) + 1, 0) - count(DISTINCT turn))::BIGINT AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+ count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+ count(*) FILTER (before IS NOT NULL AND before || r0 NOT IN ('su', 'ua', 'au')) AS illegal FROM t GROUP BY conv_id),
+walk AS (SELECT conv_id, 0::BIGINT AS i, '00000000' AS z, NULL::VARCHAR AS s, NULL::VARCHAR AS u, NULL::VARCHAR AS a FROM w
+ UNION ALL SELECT conv_id, i,
+  {paid('z', 4, 'D')},
+  least({paid('s', 4, 'D')}, CASE WHEN r0 = 's' AND NOT gone THEN {paid('z', 'late', 'K')} END),
+  least({paid('u', 4, 'D')}, CASE WHEN NOT gone THEN least(CASE WHEN r0 = 'u' THEN least({paid('z', 'late', 'K')}, {paid('s', 'late', 'K')}, {paid('a', 'late', 'K')}) END,
+   {paid('z', '3 + late', 'R')}, {paid('s', '3 + late', 'R')}, {paid('a', '3 + late', 'R')}) END),
+  least({paid('a', 4, 'D')}, CASE WHEN NOT gone THEN least(CASE WHEN r0 = 'a' THEN {paid('u', 'late', 'K')} END, {paid('u', '3 + late', 'R')}) END)
+ FROM (SELECT x.conv_id, k.i, k.r0, k.gone, k.late, z, s, least(u, zu, su, au) AS u, least(a, {paid('least(u, zu, su)', 3, 'I')}) AS a
+  FROM (SELECT *, {paid('z', 3, 'I')} AS zu, {paid('s', 3, 'I')} AS su, {paid('a', 3, 'I')} AS au FROM walk) AS x
+  JOIN k ON k.conv_id IS NOT DISTINCT FROM x.conv_id AND k.i = x.i + 1)),
+best AS (SELECT conv_id, least(z, a, {paid('least(u, zu, su)', 3, 'I')}) AS way FROM
+ (SELECT *, {paid('z', 3, 'I')} AS zu, {paid('s', 3, 'I')} AS su FROM walk JOIN w USING (conv_id) WHERE i = rows)),
+l AS (SELECT conv_id, j, way[8 + j] AS letter, len(regexp_replace(way[9:8 + j], 'I', '', 'g')) AS i, len(regexp_replace(way[9:8 + j], 'D', '', 'g')) AS o
+ FROM (SELECT conv_id, way, unnest(range(1, len(way) - 7)) AS j FROM best)),
+o AS (SELECT l.*, k.role, k.r0, k.text FROM l LEFT JOIN k ON k.conv_id = l.conv_id AND k.i = l.i AND letter <> 'I' WHERE letter <> 'D'),
+q AS (SELECT *, max(CASE WHEN o = 1 AND letter = 'K' AND r0 = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id) AS sys FROM o),
+h AS (SELECT conv_id, string_agg(CASE WHEN letter = 'K' THEN role WHEN (o - sys) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || coalesce(text, ''), chr(10) ORDER BY j) AS fixed FROM q GROUP BY conv_id)
+SELECT x.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+ coalesce(way[1:8]::BIGINT, 0) AS cost, coalesce(way[9:], '') AS audit, sha256(coalesce(fixed, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) AS x LEFT JOIN w USING (conv_id) LEFT JOIN best USING (conv_id) LEFT JOIN h USING (conv_id)"""
+
+
+@query("op13_conversation_repair", REPAIR_SQL)
+def op13(spark, sf):
+    return repair.summaries(repair.repair(repair.damage(table(spark, sf, "conversations"))))
