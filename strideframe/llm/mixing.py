@@ -74,16 +74,17 @@ def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "
     """``doc_id, size, source_size, target, taken, rounds, spans``: ``taken`` words of the document are in the mix, namely
     ``rounds`` whole copies and the word ranges ``spans`` (array<struct<from, to>>, at most two).
     """
-    sizes = written(docs.select(F.col(id).alias("doc_id"), F.col(source).alias("source"), word_count(as_text(text)).alias("size")), "sizes")
+    named = F.coalesce(F.col(id).cast("string"), F.concat(F.lit("?"), F.md5(as_text(text))))  # rows without id draw by their texts
+    draw = F.md5(F.concat_ws("|", F.lit(seed), named))
+    sizes = written(docs.select(F.col(id).alias("doc_id"), F.col(source).alias("source"), word_count(as_text(text)).alias("size"), draw.alias("draw")), "sizes")
     src = targets(sizes, shares, weights, cap)
     whole = Window.partitionBy(F.lit(0))
     src = apportion(src, [], "sid", "target", F.floor(F.sum("target").over(whole) / block + 0.5))
     n_shards = F.greatest(F.lit(1), F.least(F.lit(MOST_SHARDS), F.ceil(F.col("source_size") / shard))).cast("int")
     src = written(src.withColumn("n_shards", n_shards), "sources")
 
-    draw = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     number = lambda h, at: F.conv(F.substring(h, at, 8), 16, 10).cast("bigint")
-    d = sizes.withColumn("draw", draw).join(src, sizes["source"].eqNullSafe(src["source"])).drop(sizes["source"], src["source"])
+    d = sizes.join(src, sizes["source"].eqNullSafe(src["source"])).drop(sizes["source"], src["source"])
     d = d.withColumn("shard", number(F.col("draw"), 1) % F.col("n_shards"))
 
     shards = d.groupBy("sid", "shard", F.col("quota").alias("seats")).agg(F.sum("size").alias("words"))
@@ -115,13 +116,14 @@ def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "
 def mixed_texts(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", chars: str = "n_chars", **options) -> DataFrame:
     """The documents of the mix, with the columns of ``docs``: one row per whole copy, and one per word range, its text cut.
 
-    ``chars`` is counted again where there is such a column.  Rows that repeat an id are one document here; rows without id are named
-    by a digest of their text.
+    ``chars`` is counted again where there is such a column.  Where ids repeat, rows are told apart by text and source, and rows equal
+    in these are one document; rows without id are named by a digest of their text.
     """
     key = F.coalesce(F.col(id).cast("string"), F.concat(F.lit("?"), F.md5(as_text(text))))
     rows = docs.select(F.struct("*").alias("row"), key.alias("key"), F.col(text).alias("text"), F.col(source).alias("source"))
     if has_repeats(rows, "key"):
-        rows = rows.dropDuplicates(["key"])
+        own = F.md5(F.concat(as_text("text"), F.coalesce(F.concat(F.lit("|"), F.col("source").cast("string")), F.lit(""))))
+        rows = rows.withColumn("key", F.concat_ws("|", "key", own)).dropDuplicates(["key"])
     plan = mix(rows, "key", **options).filter("taken > 0")
     copies = F.array_repeat(F.struct(F.lit(0).cast("bigint").alias("from"), F.col("size").alias("to")), F.col("rounds").cast("int"))
     parts = plan.select(F.col("doc_id").alias("key"), "size", F.explode(F.concat(copies, "spans")).alias("part"))

@@ -8,20 +8,18 @@ edges, exact confirmation on full shingle sets, connected components.
    48 bands of 6, a pair of similarity 0.75 shares no bucket with probability 8e-5, one of 0.8 with 5e-7.
 3. A bucket of more than one class links each member to one centre, the member with the smallest seeded draw: as many edges
    as rows.  An edge is confirmed on the full sets: ``100 * common >= 75 * union``.  Components of confirmed links follow.
-4. Stars leave open the pairs whose members are both off the centre.  So the buckets are drawn again among members of
-   different components, now with up to ``hubs`` centres (buckets of up to ``hubs + 1`` members are thus compared in full), and
-   with another draw, as long as a round finds a link that joins components.
-5. What larger buckets of several components still leave open is finished exactly, by a prefix filter: each of their members puts
-   its shingles in one common order, rare ones first; of a similar pair, the first shingle in common is among the first
+4. Stars leave open the pairs whose members are both off the centre.  A bucket whose members off the centre are of one
+   component is finished.  The others are finished exactly, by a prefix filter over their members: each puts its shingles in
+   one common order, rare ones first; of a similar pair, the first shingle in common is among the first
    ``n - ceil(2 p n / (100 + p)) + 1`` of the smaller set and the first ``m - ceil(p m / 100) + 1`` of the larger one, and enough
    shingles are left behind it in both.  In a family of one template the first shingles are the members' own ones.
 
-Every pair of two components that shares a bucket is thus compared or known to be under ``percent``.  A pair is never compared
-twice, and never within a component.  No bucket is dropped or cut.
+So components are searched twice, whatever the data.  Every pair of two components that shares a bucket is thus compared or
+known to be under ``percent``.  No pair is compared twice, and no bucket is dropped or cut.
 
 Defined results: a text without words (or null) has an empty set and is linked with nothing; a shorter text than a shingle is
-one shingle; a row without id takes no part in links and is returned as a class of its own; rows that repeat an id with
-one text are one document, returned once per row; extra columns are ignored; an empty table gives an empty table.
+one shingle; a row without id takes no part in links and is returned as a class of its own; rows that repeat an id are
+linked by their own texts (classes are named by rows, not by ids), each returned; extra columns are ignored; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -33,13 +31,13 @@ from functools import cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strideframe.llm.shared import as_text, components, written
+from strideframe.llm.shared import as_text, components, has_repeats, written
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
-SHINGLE, PERCENT, BINS, ROWS, HUBS = 5, 75, 288, 6, 8
+SHINGLE, PERCENT, BINS, ROWS = 5, 75, 288, 6
 COUNTER_BITS, PIECE = 21, 1 << 16
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 S27, S30, S31 = np.uint64(27), np.uint64(30), np.uint64(31)
@@ -109,21 +107,21 @@ def band_keys(sig: np.ndarray, rows: int = ROWS) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, shingle: int, bins: int, rows: int) -> DataFrame:
-    """``doc_id, n_shingles, same (two 64-bit sums that name the set), bands array<long>``."""
-    kinds = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("same", pa.binary()), ("bands", pa.list_(pa.int64()))])
+    """``doc_id, text_hash, n_shingles, same (two 64-bit sums that name the set), bands array<long>``."""
+    kinds = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_shingles", pa.int64()), ("same", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n, same, bands = [], [], []
-            for text in b.column(1):
+            for text in b.column(2):
                 s = shingles(text.as_py(), shingle)
                 n.append(len(s))
                 with np.errstate(over="ignore"):
                     same.append(np.array([mixed(s).sum(), mixed(s * M2 + M1).sum(), len(s)], np.uint64).tobytes() if len(s) else None)
                 bands.append(band_keys(signature(s, bins), rows) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(same, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], schema=kinds)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(same, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], schema=kinds)
 
-    return docs.mapInArrow(run, "doc_id bigint, n_shingles bigint, same binary, bands array<bigint>")
+    return docs.mapInArrow(run, "doc_id bigint, text_hash bigint, n_shingles bigint, same binary, bands array<bigint>")
 
 
 def full_sets(docs: DataFrame, shingle: int) -> DataFrame:
@@ -215,72 +213,53 @@ def prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT,
-                    bins: int = BINS, rows: int = ROWS, hubs: int = HUBS) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept, n_links``: one row per row.
+                    bins: int = BINS, rows: int = ROWS) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept, n_links, text_hash``: one row per row.
 
     ``component_id`` is the smallest id reachable over links, ``kept`` says that the row has that id; ``n_links`` counts the
-    confirmed links of the row's class.
+    confirmed links of the row's class; ``text_hash`` (``xxhash64`` of the text) tells rows of one id apart.
     """
-    spark = docs.sparkSession
-    texts = docs.select(F.col(id).cast("bigint").alias("doc_id"), as_text(text).alias("text"))
-    base = written(sketches(texts, shingle, bins, rows), "sketches")
+    raw = as_text(text)
+    texts = docs.select(F.col(id).cast("bigint").alias("doc_id"), F.xxhash64(raw).alias("text_hash"), raw.alias("text"))
+    base = written(sketches(texts, shingle, bins, rows).withColumn("row", F.monotonically_increasing_id()), "sketches")
+    one = F.min(F.struct("row", "doc_id", "text_hash")).alias("one")  # names the class, and finds its text again
     classes = written(base.filter("same is not null and doc_id is not null").groupBy("same")
-                      .agg(F.min("doc_id").alias("class"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n")), "classes")
+                      .agg(one, F.min("doc_id").alias("least"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n"))
+                      .select("same", F.col("one.row").alias("class"), F.col("one.doc_id").alias("at_id"), F.col("one.text_hash").alias("at_text"), "least", "bands", "n"), "classes")
     members = classes.select(F.col("class").alias("id"), F.col("n"), F.explode("bands").alias("bucket"))
     busy = written(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "buckets")
     members = written(members.join(busy.select("bucket"), "bucket"), "members")
-    involved = written(members.select("id").distinct(), "involved")
-    sets = full_sets(texts.join(involved.hint("merge"), texts["doc_id"] == involved["id"], "left_semi"), shingle)
-    if base.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").limit(1).count():  # rows that repeat an id
+    involved = members.select("id").distinct().join(classes.select(F.col("class").alias("id"), "at_id", "at_text"), "id")
+    found_again = texts.join(written(involved, "involved").hint("merge"), (F.col("doc_id") == F.col("at_id")) & (F.col("text_hash") == F.col("at_text")))
+    sets = full_sets(found_again.select(F.col("id").alias("doc_id"), "text"), shingle)
+    if has_repeats(base, "doc_id"):  # rows that repeat an id may be found more than once
         sets = sets.dropDuplicates(["doc_id"])
     sets = written(sets, "sets")
 
-    close = (F.least("n", "hub_n") * 100 >= F.greatest("n", "hub_n") * percent)
-    labels = spark.createDataFrame([], "id bigint, component bigint")
-    links = tried = None
-    turn = 0
-    while True:
-        draw = F.xxhash64(F.lit(turn), F.col("id"))
-        here = members.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        if turn:  # buckets whose members are not of one component
-            mixed_up = here.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
-            here = written(here.join(written(mixed_up.select("bucket"), "open"), "bucket"), "open-members")
-        hub = F.struct(draw.alias("draw"), F.col("id").alias("hub"), F.col("n").alias("hub_n"), F.col("component").alias("hub_component"))
-        centres = here.select("bucket", hub.alias("hub"))
-        if turn:  # the smallest draws of each part of a bucket, then of those, so that no list grows with the bucket
-            place = F.row_number().over(Window.partitionBy("bucket", F.pmod("hub.draw", F.lit(64))).orderBy("hub"))
-            centres = (centres.withColumn("place", place).filter(F.col("place") <= hubs)
-                       .groupBy("bucket").agg(F.slice(F.array_sort(F.collect_list("hub")), 1, hubs).alias("hubs")))
-        else:
-            centres = centres.groupBy("bucket").agg(F.array(F.min("hub")).alias("hubs"))
-        centres = written(centres, "centres")
-        pairs = (here.join(centres, "bucket").select("id", "n", "component", F.explode("hubs").alias("h")).select("id", "n", "component", "h.*")
-                 .filter((F.col("id") != F.col("hub")) & (F.col("component") != F.col("hub_component")) & close)
-                 .select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct())
-        pairs = written(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        found = written(confirmed(pairs, sets, percent), "links")
-        links = found if links is None else links.union(found)
-        tried = pairs if tried is None else tried.union(pairs)
-        turn += 1
-        if found.limit(1).count():
-            labels = components(links)
-        elif turn > 1:  # the first draw alone compares no bucket of more than two in full
-            break
-    here = members.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    still = here.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("size"))
-    still = written(still.filter((F.col("lo") < F.col("hi")) & (F.col("size") > hubs + 1)).select("bucket"), "still-open")
-    rest = written(here.join(still, "bucket").select("id", "component").distinct(), "rest")
-    if rest.limit(1).count():
-        pairs = prefix_pairs(written(rest.join(sets, rest["id"] == sets["doc_id"]).select("id", "component", "items"), "rest-sets"), percent)
-        found = written(confirmed(written(pairs.join(tried, ["a", "b"], "left_anti"), "pairs"), sets, percent), "links")
+    # one star per bucket: every member against the member with the smallest draw
+    centre = F.min(F.struct(F.xxhash64(F.col("id")).alias("draw"), F.col("id").alias("hub"), F.col("n").alias("hub_n"))).alias("centre")
+    centres = written(members.groupBy("bucket").agg(centre).select("bucket", "centre.hub", "centre.hub_n"), "centres")
+    stars = members.join(centres, "bucket").filter("id <> hub")
+    close = F.least("n", "hub_n") * 100 >= F.greatest("n", "hub_n") * percent
+    tried = written(stars.filter(close).select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct(), "pairs")
+    links = written(confirmed(tried, sets, percent), "links")
+    labels = components(links)
+
+    # what the stars leave open: pairs off the centre of a bucket whose other members are of several components
+    here = written(stars.select("bucket", "id").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id")), "off-centre")
+    still = here.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
+    rest = written(here.join(written(still.select("bucket"), "open"), "bucket").select("id", "component").distinct(), "rest")
+    pairs = prefix_pairs(written(rest.join(sets, rest["id"] == sets["doc_id"]).select("id", "component", "items"), "rest-sets"), percent)
+    found = written(confirmed(written(pairs.join(tried, ["a", "b"], "left_anti"), "pairs"), sets, percent), "links")
+    if found.limit(1).count():
         links = links.union(found)
-        if found.limit(1).count():
-            labels = components(links)
+        labels = components(links)
     degree = links.select(F.col("a").alias("id")).union(links.select("b")).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
-    known = written(labels.join(degree, "id"), "known")
-    out = (base.drop("bands").join(classes.select("same", "class"), "same", "left")
-           .join(known, F.col("class") == F.col("id"), "left"))
-    component = F.when(F.col("doc_id").isNotNull() & F.col("class").isNotNull(), F.coalesce("component", "class")).otherwise(F.col("doc_id"))
+    known = written(labels.join(degree, "id").join(classes.select(F.col("class").alias("id"), "least"), "id"), "known")
+    smallest = written(known.groupBy("component").agg(F.min("least").alias("smallest")), "smallest")
+    known = written(known.join(smallest, "component").select("id", "smallest", "n_links"), "known")
+    named = classes.select("same", "class", "least").join(known, F.col("class") == F.col("id"), "left").select("same", F.coalesce("smallest", "least").alias("component"), "n_links")
+    out = base.select("doc_id", "text_hash", "n_shingles", "same").join(named, "same", "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"),
-                      F.coalesce("n_links", F.lit(0)).alias("n_links"))
-
+                      F.coalesce("n_links", F.lit(0)).alias("n_links"), "text_hash")

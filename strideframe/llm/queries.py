@@ -62,7 +62,8 @@ def op2(spark, sf):
 
 
 # seats one by one to the highest quotients, then the same selection of blocks as the operator's seed draws
-MIX_SQL = r"""WITH s AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+MIX_SQL = r"""WITH s AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+ md5('mix-1|' || coalesce(doc_id::VARCHAR, '?' || md5(coalesce(text, '')))) AS draw FROM documents),
 s1 AS (SELECT source, sum(size)::BIGINT AS source_size FROM s GROUP BY source),
 s2 AS (SELECT *, row_number() OVER (ORDER BY source ASC NULLS LAST) AS sid FROM s1),
 s3 AS (SELECT *, [3, 1, 2][(sid - 1) % 3 + 1] AS w, source_size * 2 AS cap FROM s2),
@@ -72,8 +73,7 @@ src AS (SELECT source, sid, source_size, least(cap::DOUBLE, max(l) OVER () * w)
   greatest(1, least(4096, ceil(source_size / 65536.0)))::BIGINT AS n_shards FROM s4),
 q AS (SELECT sid, row_number() OVER (ORDER BY target / (2 * k - 1) DESC, sid) AS place FROM (SELECT sid, target, unnest(range(1, (target / 8)::BIGINT + 3)) AS k FROM src)),
 seats AS (SELECT sid, count(*) FILTER (place <= (SELECT floor(sum(target) / 16 + 0.5) FROM src)) AS seats FROM q GROUP BY sid),
-d AS (SELECT doc_id, size, source_size, target, sid, md5('mix-1|' || coalesce(doc_id::VARCHAR, '')) AS draw,
-  ('0x' || substr(md5('mix-1|' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT % n_shards AS shard FROM s JOIN src ON s.source IS NOT DISTINCT FROM src.source),
+d AS (SELECT doc_id, size, source_size, target, sid, draw, ('0x' || substr(draw, 1, 8))::BIGINT % n_shards AS shard FROM s JOIN src ON s.source IS NOT DISTINCT FROM src.source),
 h AS (SELECT sid, shard, sum(size)::BIGINT AS words FROM d GROUP BY 1, 2),
 hq AS (SELECT sid, shard, row_number() OVER (PARTITION BY sid ORDER BY words::DOUBLE / (2 * k - 1) DESC, shard) AS place
   FROM (SELECT sid, shard, words, unnest(range(1, words // 8 + 3)) AS k FROM h)),

@@ -8,8 +8,8 @@ third of all rows share costs one row per task; groups of one leave, groups that
 The count tables and what is left are written per level; a row meets its group in a join whose skewed side can be split.
 
 Defined results: a null text counts as empty, and empty texts are equal to each other; a row without id is never compared:
-it is a group of its own and stays; rows that repeat an id count as members of their own, and all rows with the id that
-stays are marked as kept; extra columns are ignored; an empty table gives an empty table.
+it is a group of its own and stays; rows that repeat an id count as members of their own, and of a group all rows with
+the id that stays are marked as kept (groups are named by length and digits, never by ids); extra columns are ignored; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -38,7 +38,7 @@ def exact_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", he
                        F.substring(F.col("bare").cast("binary"), 1, head).alias("digit"))
 
     groups = written(rows.filter("doc_id is not null").groupBy("n", "digit")
-                     .agg(F.min("doc_id").alias("group"), F.count(F.lit(1)).alias("members")).filter("members > 1"), "radix-groups")
+                     .agg(F.count(F.lit(1)).alias("members")).filter("members > 1").withColumn("group", F.monotonically_increasing_id()), "radix-groups")
     longest = groups.agg(F.max("n")).first()[0] or 0  # one number
     met = rows.join(groups.drop("members").hint("merge"), ["n", "digit"], "left")  # at any size: the rows' side can be split
     alive = F.col("group").isNotNull() & F.col("doc_id").isNotNull()
@@ -51,17 +51,17 @@ def exact_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", he
         if at >= longest:
             break
         level = level.filter(F.col("group").isNotNull() & (F.col("n") > at)).withColumn("digit", F.substring("bare", at + 1, width))
-        groups = written(level.groupBy("group", "digit").agg(F.min("doc_id").alias("to"), F.count(F.lit(1)).alias("members"))
-                         .filter("members > 1").drop("members"), "radix-groups")
+        groups = written(level.groupBy("group", "digit").agg(F.count(F.lit(1)).alias("members")).filter("members > 1").drop("members")
+                         .withColumn("to", F.monotonically_increasing_id()), "radix-groups")
         level = written(level.join(groups, ["group", "digit"], "left")
                         .select("doc_id", "points", "n", F.col("to").alias("group"), "text_sha256", F.when(F.col("to").isNotNull(), F.col("bare")).alias("bare")), "radix-level")
         at, width = at + width, min(width * growth, widest)
 
     ended = reduce(DataFrame.union, done)
-    stays = written(ended.filter("group is not null").groupBy("group")
+    stays = written(ended.filter("group is not null").groupBy("n", "group")  # a group's number is unique among those of its length
                     .agg(F.max(F.struct("points", (-F.col("doc_id")).alias("id"))).alias("best"), F.count(F.lit(1)).alias("members"))
-                    .select("group", (-F.col("best.id")).alias("keep"), "members"), "radix-stays")
+                    .select("n", "group", (-F.col("best.id")).alias("keep"), "members"), "radix-stays")
     keep = F.coalesce("keep", "doc_id")
-    return ended.join(stays, "group", "left").select(
+    return ended.join(stays, ["n", "group"], "left").select(
         "doc_id", keep.alias("keep_id"), F.coalesce("members", F.lit(1)).cast("bigint").alias("group_size"),
         F.coalesce(F.col("doc_id") == keep, F.lit(True)).alias("kept"), "text_sha256")

@@ -72,7 +72,22 @@ def test_repeated_and_nameless_rows_stay(spark, folder):
         assert sorted(r.doc_id or 0 for r in stage(spark, docs, folder).collect()) == [0, 1]
 
 
+def test_repeated_ids_lose_no_text(spark, folder):
+    columns = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    docs = spark.createDataFrame([(1, "aaaa", "aa", "s", 4), (1, "bbbb", "aa", "s", 4), (5, "a aaa", "aa", "s", 5), (6, "bbbb", "aa", "s", 4)], columns)
+    assert sorted(r.text for r in pipeline.exact_dedup(spark, docs, folder).collect()) == ["a aaa", "bbbb"]
+    assert sorted(r.text for r in pipeline.near_dedup(spark, docs, folder).collect()) == ["a aaa", "aaaa", "bbbb"]
+    long = [" ".join(f"{c}{i}" for i in range(300)) for c in "ab"]
+    twice = spark.createDataFrame([(1, long[0], "aa", "s", 4), (1, long[1], "aa", "s", 4), (None, long[0], "aa", "s", 4), (None, long[1], "aa", "s", 4)], columns)
+    mixed = collections.Counter((r.doc_id, r.text) for r in pipeline.mix_sources(spark, twice, folder).collect())
+    assert all(mixed[key, text] >= 1 for key in (1, None) for text in long)  # 150 %: a whole copy each, and ranges
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(words), " ".join(words[:-1] + ["end"]), "something else altogether, with no word in common at all"]
+    docs = spark.createDataFrame([(7, texts[2], "aa", "s", 1), (7, texts[0], "aa", "s", 1), (3, texts[1], "aa", "s", 1)], columns)
+    assert sorted(r.text for r in pipeline.near_dedup(spark, docs, folder).collect()) == sorted([texts[1], texts[2]])
+
+
 def test_every_operator_is_registered():
     numbers = sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES if n != "pipeline")
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
     assert set(queries.ORACLES) <= set(queries.QUERIES)
