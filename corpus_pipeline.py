@@ -6,43 +6,56 @@ Parquet in the cluster's shared folder and read again.  All but the last return
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strideframe.llm import language, mixing, nearcopies, packing, radix
 from strideframe.llm.queries import query, tokenizer_files
-from strideframe.llm.shared import written
+from strideframe.llm.shared import SPACE, as_text, written
 
 ORACLE_SQL = None  # trained and hashed stages; tests compare them with brute force
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of a known language; the label column serves to fit the text models, not as evidence."""
+    """Documents of a known language; the label column serves to fit the text models, not as evidence.
+
+    A null text has no evidence but its host; documents judged to be of no known language go, repeated rows alike."""
     judged = language.identify(docs, language.train(docs), F.col("text"), host=F.col("source"))
     return judged.filter("kept").select(*docs.columns)
 
 
-def staying(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """The documents that a dedup operator keeps: one row per id, and all rows without id."""
-    ids = verdicts.filter("kept").select("doc_id").distinct()
-    kept = docs.join(ids.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.select(*docs.columns).union(docs.filter("doc_id is null"))
+def staying(docs: DataFrame, verdicts: DataFrame, own: Column) -> DataFrame:
+    """The documents that a dedup operator keeps, and all rows without id.
+
+    A verdict belongs to the rows of its id and of its text's digest ``own``, so an id may repeat with different texts.  Of the
+    rows of one id and digest the longest text stays, once.
+    """
+    keys = ["doc_id", "own_digest"]
+    kept = verdicts.filter("kept").select(*keys).distinct()
+    met = docs.withColumn("own_digest", own).join(kept.hint("merge"), keys, "left_semi")
+    longest = F.max_by(F.struct(*docs.columns), F.struct(F.length("text"), "text")).alias("row")
+    return met.groupBy(*keys).agg(longest).select("row.*").union(docs.filter("doc_id is null"))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return staying(docs, radix.exact_duplicates(docs))
+    """One document of each group of equal texts; rows without id stay, null texts count as empty, no rows give no rows."""
+    verdicts = radix.exact_duplicates(docs).withColumnRenamed("text_sha256", "own_digest")
+    return staying(docs, verdicts, F.sha2(F.regexp_replace(as_text("text"), f"{SPACE}+", ""), 256))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return staying(docs, nearcopies.near_duplicates(docs))
+    """One document of each group of near-duplicates; texts without words and rows without id stay, no rows give no rows."""
+    verdicts = nearcopies.near_duplicates(docs).withColumnRenamed("text_hash", "own_digest")
+    return staying(docs, verdicts, F.xxhash64(as_text("text")))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row per whole copy and per word range that the mix takes."""
+    """A row per whole copy and per word range that the mix takes; texts without words are not in it, no rows give no rows."""
     return mixing.mixed_texts(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row per piece; a null text has the end id alone, repeated rows are packed each."""
     return packing.pack(docs, *tokenizer_files())
 
 
