@@ -8,13 +8,13 @@ edges, exact confirmation on full shingle sets, connected components.
    48 bands of 6, a pair of similarity 0.75 shares no bucket with probability 8e-5, one of 0.8 with 5e-7.
 3. A bucket of more than one class links each member to one centre, the member with the smallest seeded draw: as many edges
    as rows.  An edge is confirmed on the full sets: ``100 * common >= 75 * union``.  Components of confirmed links follow.
-4. Stars leave open the pairs whose members are both off the centre.  A bucket whose members off the centre are of one
-   component is finished.  The others are finished exactly, by a prefix filter over their members: each puts its shingles in
+4. A bucket whose members off the centre are of several components is open.  It gets another centre from them, ``stars`` times
+   in all.  What is open then is finished exactly, by a prefix filter over its members: each puts its shingles in
    one common order, rare ones first; of a similar pair, the first shingle in common is among the first
    ``n - ceil(2 p n / (100 + p)) + 1`` of the smaller set and the first ``m - ceil(p m / 100) + 1`` of the larger one, and enough
    shingles are left behind it in both.  In a family of one template the first shingles are the members' own ones.
 
-So components are searched twice, whatever the data.  Every pair of two components that shares a bucket is thus compared or
+So components are searched ``stars + 1`` times at most, whatever the data.  Every pair of two components that shares a bucket is thus compared or
 known to be under ``percent``.  No pair is compared twice, and no bucket is dropped or cut.
 
 Defined results: a text without words (or null) has an empty set and is linked with nothing; a shorter text than a shingle is
@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from strideframe.llm.shared import as_text, components, has_repeats, written
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
-SHINGLE, PERCENT, BINS, ROWS = 5, 75, 288, 6
+SHINGLE, PERCENT, BINS, ROWS, STARS = 5, 75, 288, 6, 3
 COUNTER_BITS, PIECE = 21, 1 << 16
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 S27, S30, S31 = np.uint64(27), np.uint64(30), np.uint64(31)
@@ -213,7 +213,7 @@ def prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT,
-                    bins: int = BINS, rows: int = ROWS) -> DataFrame:
+                    bins: int = BINS, rows: int = ROWS, stars: int = STARS) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept, n_links, text_hash``: one row per row.
 
     ``component_id`` is the smallest id reachable over links, ``kept`` says that the row has that id; ``n_links`` counts the
@@ -236,19 +236,24 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", shi
         sets = sets.dropDuplicates(["doc_id"])
     sets = written(sets, "sets")
 
-    # one star per bucket: every member against the member with the smallest draw
-    centre = F.min(F.struct(F.xxhash64(F.col("id")).alias("draw"), F.col("id").alias("hub"), F.col("n").alias("hub_n"))).alias("centre")
-    centres = written(members.groupBy("bucket").agg(centre).select("bucket", "centre.hub", "centre.hub_n"), "centres")
-    stars = members.join(centres, "bucket").filter("id <> hub")
     close = F.least("n", "hub_n") * 100 >= F.greatest("n", "hub_n") * percent
-    tried = written(stars.filter(close).select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct(), "pairs")
-    links = written(confirmed(tried, sets, percent), "links")
-    labels = components(links)
-
-    # what the stars leave open: pairs off the centre of a bucket whose other members are of several components
-    here = written(stars.select("bucket", "id").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id")), "off-centre")
-    still = here.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
-    rest = written(here.join(written(still.select("bucket"), "open"), "bucket").select("id", "component").distinct(), "rest")
+    here, links, tried, labels = members.withColumn("component", F.col("id")), None, None, None
+    for turn in range(stars):  # every member of an open bucket against one centre, which then leaves the bucket
+        draw = F.xxhash64(F.lit(turn), F.col("id"))
+        centre = F.min(F.struct(draw.alias("draw"), F.col("id").alias("hub"), F.col("n").alias("hub_n"), F.col("component").alias("hub_component")))
+        centres = written(here.groupBy("bucket").agg(centre.alias("centre")).select("bucket", "centre.hub", "centre.hub_n", "centre.hub_component"), "centres")
+        others = here.join(centres, "bucket").filter("id <> hub")
+        pairs = others.filter((F.col("component") != F.col("hub_component")) & close).select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
+        pairs = written(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        found = written(confirmed(pairs, sets, percent), "links")
+        tried, links = (pairs, found) if tried is None else (tried.union(pairs), links.union(found))
+        labels = components(links)
+        here = others.select("bucket", "id", "n").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        still = here.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
+        here = written(here.join(written(still.select("bucket"), "open"), "bucket"), "open-members")
+
+    # what the stars leave open: pairs off the centres of a bucket whose other members are of several components
+    rest = written(here.select("id", "component").distinct(), "rest")
     pairs = prefix_pairs(written(rest.join(sets, rest["id"] == sets["doc_id"]).select("id", "component", "items"), "rest-sets"), percent)
     found = written(confirmed(written(pairs.join(tried, ["a", "b"], "left_anti"), "pairs"), sets, percent), "links")
     if found.limit(1).count():
