@@ -8,17 +8,17 @@ Distributed prefix doubling on a synchronised sample of positions.  The rank of
    equal windows have equal anchors.
 2. Spark ranks the anchors: an anchor that occurs once is unique, and its run leaves.  The rest, some tenth of a row per
    byte of repeated text, is ranked at the offset of the whole run: runs whose bytes are the same as another's are covered.
-3. Runs of an anchor that agree with no other run as a whole are compared window by window: their pairs (rank of the first
-   half, rank of the second half, at offset ``length / 2``) are sorted, and a pair that occurs twice is a repeated string.
-   One row stands for all equal runs.  Anchors with up to ``GROUP`` different runs are compared side by side in a task;
-   the windows of the others become rows of their own, counted with partial aggregation.
+3. Runs of an anchor that agree with no other run as a whole are taken apart: Spark ranks the positions of their windows at
+   doubling offsets, first by the first half of the window, then by the pair (rank here, rank half a window further on), and
+   drops unique positions after each round.  One row stands for all equal runs.  Ranks are counted with partial aggregation, and
+   there is one way for all anchors.
 
 Ranks are 64-bit hashes of pairs, so no table of ranks travels; classes are told apart by 128 bits at least.  Texts travel
 twice, and only those of documents with repeated anchors where Spark's runtime filter applies.
 
 Defined results: a null text is empty; a text shorter than ``length`` keeps all; strings repeated inside one document count;
-rows that repeat an id repeat each other's text; an id names one text; a row without id is named by a hash of its text;
-extra columns are ignored; an empty table gives an empty table.
+rows that repeat an id are texts of their own where they differ (named by a hash of id and text), and one text where they are
+equal; a row without id is named by a hash of its text; extra columns are ignored; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -29,12 +29,12 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strideframe.llm.shared import as_text, has_repeats, written
 
-LENGTH, GRAM, GROUP = 200, 48, 512
+LENGTH, GRAM = 200, 48
 C1, C2, HALF = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(32)
 
 
@@ -140,57 +140,12 @@ def windows(pieces: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, n
     return piece, offset, r[at], r[at + half]
 
 
-def intervals(piece: np.ndarray, offset: np.ndarray, repeated: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Piece, from and to of the bytes under each stretch of repeated windows."""
-    piece, offset = piece[repeated], offset[repeated]
-    if not len(piece):
-        return piece, offset, offset
-    first = np.append(True, (piece[1:] != piece[:-1]) | (offset[1:] != offset[:-1] + 1))
-    last = np.append(first[1:], True)
-    return piece[first], offset[first], offset[last] + length
+POSITION_ARROW = pa.schema([("first", pa.int64()), ("second", pa.int64()), ("copies", pa.int64()), ("doc", pa.int64()), ("at", pa.int32())])
+POSITION_SCHEMA = "first bigint, second bigint, copies bigint, doc bigint, at int"
 
 
-COVER_ARROW = pa.schema([("doc", pa.int64()), ("from", pa.int32()), ("to", pa.int32())])
-COVER_SCHEMA = "doc bigint, `from` int, `to` int"
-
-
-def side_by_side(rows: DataFrame, length: int) -> DataFrame:
-    """Covered bytes of the single runs in ``(anchor, copies, doc, start, piece)``, whose anchors have few runs each."""
-
-    def solve(table: pa.Table) -> pa.RecordBatch:
-        piece, offset, a, b = windows(table.column("piece").to_pylist(), length)
-        copies, doc, start = (table.column(c).to_numpy() for c in ("copies", "doc", "start"))
-        order = np.lexsort((b, a))
-        new = np.append(True, (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1]))
-        group = np.empty(len(order), np.int64)
-        group[order] = np.cumsum(new) - 1
-        twice = np.bincount(group, weights=copies[piece])[group] >= 2
-        p, lo, hi = intervals(piece, offset, twice & (copies[piece] == 1), length)
-        return pa.RecordBatch.from_arrays([pa.array(doc[p]), pa.array((start[p] + lo).astype(np.int32)), pa.array((start[p] + hi).astype(np.int32))], schema=COVER_ARROW)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        rows = 0
-        for batch in batches:  # sorted by anchor: an anchor may go on in the next batch
-            for at in range(0, batch.num_rows, 4096):
-                b = batch.slice(at, 4096)
-                anchors = b.column(0).to_numpy()
-                cut = int(np.searchsorted(anchors, anchors[-1])) if len(anchors) else 0
-                if rows + cut >= 2048 and (cut or (held and held[-1].column(0)[-1].as_py() != anchors[0])):
-                    yield solve(pa.Table.from_batches([*held, b.slice(0, cut)]))
-                    held, rows, b = [], 0, b.slice(cut)
-                held.append(b)
-                rows += b.num_rows
-        if rows:
-            yield solve(pa.Table.from_batches(held))
-
-    few = rows.repartition("anchor").sortWithinPartitions("anchor").select("anchor", "copies", "doc", "start", "piece")
-    return few.mapInArrow(run, COVER_SCHEMA)
-
-
-def one_by_one(rows: DataFrame, length: int) -> DataFrame:
-    """The same for anchors with many runs: a row per window, and a count per pair of ranks."""
-    kinds = pa.schema([("first", pa.int64()), ("second", pa.int64()), ("copies", pa.int64()), ("doc", pa.int64()), ("at", pa.int32())])
+def positions(rows: DataFrame, length: int) -> DataFrame:
+    """One row per window of the runs ``(copies, doc, start, piece)``: the ranks of its first half and of its second half."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -199,15 +154,29 @@ def one_by_one(rows: DataFrame, length: int) -> DataFrame:
                 piece, offset, first, second = windows(b.column("piece").to_pylist(), length)
                 copies, doc, start = (b.column(c).to_numpy() for c in ("copies", "doc", "start"))
                 yield pa.RecordBatch.from_arrays([pa.array(first.view(np.int64)), pa.array(second.view(np.int64)), pa.array(copies[piece]), pa.array(doc[piece]),
-                                                  pa.array((start[piece] + offset).astype(np.int32))], schema=kinds)
+                                                  pa.array((start[piece] + offset).astype(np.int32))], schema=POSITION_ARROW)
 
-    pairs = written(rows.select("copies", "doc", "start", "piece").mapInArrow(run, "first bigint, second bigint, copies bigint, doc bigint, at int"), "rank-pairs")
-    twice = written(pairs.groupBy("first", "second").agg(F.sum("copies").alias("n")).filter("n > 1").drop("n"), "repeated-pairs")
-    return (pairs.filter("copies = 1").join(twice, ["first", "second"], "left_semi")
-            .select("doc", F.col("at").alias("from"), (F.col("at") + length).alias("to")))
+    return rows.select("copies", "doc", "start", "piece").mapInArrow(run, POSITION_SCHEMA)
+
+
+def ranked(rows: DataFrame, length: int) -> DataFrame:
+    """Covered bytes of the single runs among ``(copies, doc, start, piece)``.
+
+    Positions are ranked at doubling offsets: by the first half of the window, then by the pair (rank here, rank half a window
+    further on).  After each round unique positions leave.  Ranks are counted with partial aggregation, so a position costs the same in
+    a small and in a large group.
+    """
+    left = written(positions(rows, length), "positions")
+    for keys in (["first"], ["first", "second"]):
+        again = written(left.groupBy(*keys).agg(F.sum("copies").alias("n")).filter("n > 1").drop("n"), "repeated-ranks")
+        left = written(left.join(again, keys, "left_semi"), "positions")
+    block = F.shiftright("at", 12)  # stretches of neighbouring positions become one row, block by block
+    stretch = F.col("at") - F.row_number().over(Window.partitionBy("doc", block).orderBy("at"))
+    single = left.filter("copies = 1").select("doc", "at", block.alias("block"), stretch.alias("stretch"))
+    return single.groupBy("doc", "block", "stretch").agg(F.min("at").alias("from"), (F.max("at") + length).alias("to")).select("doc", "from", "to")
 
 
-def repeated_bytes(docs: DataFrame, id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, group: int = GROUP) -> DataFrame:
+def repeated_bytes(docs: DataFrame, id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans, kept``: one row per row.
 
     ``spans`` (array<struct<from, to>>, byte offsets) are the removed runs, null where there are none; ``kept`` are the
@@ -215,7 +184,13 @@ def repeated_bytes(docs: DataFrame, id: str = "doc_id", text: str = "text", leng
     """
     spark = docs.sparkSession
     raw = as_text(text)
-    texts = docs.select(F.coalesce(F.col(id).cast("bigint"), F.xxhash64(raw)).alias("doc"), raw.cast("binary").alias("raw"))
+    name = F.coalesce(F.col(id).cast("bigint"), F.xxhash64(raw))
+    if has_repeats(docs, id):
+        again = written(docs.filter(F.col(id).isNotNull()).groupBy(F.col(id).cast("bigint").alias("again")).count().filter("count > 1").select("again"), "repeated-ids")
+        docs = docs.select(F.col(id).cast("bigint").alias("doc_id"), raw.alias("text")).join(again, F.col("doc_id") == F.col("again"), "left")
+        raw, id = F.col("text"), "doc_id"
+        name = F.when(F.col("again").isNotNull(), F.xxhash64("doc_id", "text")).otherwise(F.coalesce("doc_id", F.xxhash64("text")))
+    texts = docs.select(name.alias("doc"), raw.cast("binary").alias("raw"))
     found = written(all_runs(texts, length, gram), "runs")
     twice = written(found.groupBy("anchor").agg(F.sum("places").alias("n")).filter("n > 1"), "anchors")
     found = written(found.join(twice.filter("n > 1").select("anchor").hint("merge"), "anchor", "left_semi"), "repeated-runs")
@@ -226,16 +201,14 @@ def repeated_bytes(docs: DataFrame, id: str = "doc_id", text: str = "text", leng
     covered = [found.join(same.hint("merge"), ["anchor", "whole", "count"], "left_semi").select("doc", F.col("start").alias("from"), (F.col("start") + F.col("count") + length - 1).alias("to"))]
     # runs that differ from some run of their anchor, or hold their anchor twice
     differ = (classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.max("places").alias("most"), F.min("copies").alias("least"))
-              .filter("(kinds > 1 or most > 1) and least = 1").select("anchor", "kinds"))
-    tests = written(classes.join(written(differ, "differ").hint("merge"), "anchor").select("anchor", "kinds", "copies", F.col("one.doc").alias("doc"), F.col("one.start").alias("start"), "count"), "tests")
+              .filter("(kinds > 1 or most > 1) and least = 1").select("anchor"))
+    tests = written(classes.join(written(differ, "differ").hint("merge"), "anchor").select("copies", F.col("one.doc").alias("doc"), F.col("one.start").alias("start"), "count"), "tests")
     with runtime_filter(spark):
         bodies = texts.dropDuplicates(["doc"]) if has_repeats(texts, "doc") else texts
-        cut = bodies.join(tests.filter("kinds > 0").hint("merge"), "doc").select(
-            "anchor", "kinds", "copies", "doc", "start", F.substring("raw", F.col("start") + 1, F.col("count") + length - 1).alias("piece"))
+        cut = bodies.join(tests.filter("count > 0").hint("merge"), "doc").select(
+            "copies", "doc", "start", F.substring("raw", F.col("start") + 1, F.col("count") + length - 1).alias("piece"))
         cut = written(cut, "pieces")
-    covered.append(side_by_side(cut.filter(F.col("kinds") <= group), length))
-    if cut.filter(F.col("kinds") > group).limit(1).count():
-        covered.append(one_by_one(cut.filter(F.col("kinds") > group), length))
+    covered.append(ranked(cut, length))
     spans = covered[0]
     for more in covered[1:]:
         spans = spans.union(more)
@@ -260,7 +233,7 @@ def repeated_bytes(docs: DataFrame, id: str = "doc_id", text: str = "text", leng
     schema = "doc bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, lo array<int>, hi array<int>, kept binary"
     with runtime_filter(spark):
         stripped = written(bodies.join(spans.filter("n > 0").select("doc", "spans").hint("merge"), "doc").select("doc", "raw", "spans").mapInArrow(strip, schema), "stripped")
-    rows = docs.select(F.col(id).alias("doc_id"), F.coalesce(F.col(id).cast("bigint"), F.xxhash64(raw)).alias("doc"),
+    rows = docs.select(F.col(id).alias("doc_id"), name.alias("doc"),
                        F.octet_length(raw).cast("bigint").alias("bytes"), F.sha2(raw, 256).alias("sha"))
     return rows.join(stripped.drop("n_bytes").hint("merge"), "doc", "left").select(
         "doc_id", F.col("bytes").alias("n_bytes"), F.coalesce("n_removed", F.lit(0)).cast("bigint").alias("n_removed"),

@@ -188,9 +188,8 @@ def brute_substrings(texts, length=200):
 def test_repeated_bytes(docs, rows):
     expected = brute_substrings({i: (t or "").encode() for i, t, _ in rows})
     assert sum(v[1] for v in expected.values()) > 10000
-    for group in (512, 1):  # the second way compares all windows row by row
-        got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substrings.repeated_bytes(docs, group=group).collect()}
-        assert got == expected
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substrings.repeated_bytes(docs).collect()}
+    assert got == expected
 
 
 def test_repeated_bytes_odd_rows(spark):
@@ -200,6 +199,14 @@ def test_repeated_bytes_odd_rows(spark):
     assert substrings.repeated_bytes(docs_of(spark, [])).count() == 0
 
 
+def test_repeated_bytes_under_one_id(spark):
+    draw = random.Random(3)
+    a, b = ("".join(draw.choice("abcdefgh ") for _ in range(400)) for _ in range(2))
+    rows = [(1, a, None), (1, b, None), (1, b, None), (2, "x" + a[50:300], None), (None, None, None)]
+    got = sorted((r.doc_id or 0, r.n_bytes, r.n_removed) for r in substrings.repeated_bytes(docs_of(spark, rows)).collect())
+    assert got == [(0, 0, 0), (1, 400, 250), (1, 400, 400), (1, 400, 400), (2, 251, 250)]
+
+
 def test_long_texts_of_one_period(spark):
     rows = [(1, "é" * 40000, None), (2, "abc" * 20000, None), (3, "q" * 150 + "é" * 110, None)]
     got = {r.doc_id: r.n_removed for r in substrings.repeated_bytes(docs_of(spark, rows)).collect()}
