@@ -61,3 +61,24 @@ def missing_values(spark, sf):
     df = window_features(gappy_series(spark, sf), FEATURES, W, S)
     whole = {"above", "below", "run_above", "run_below"}
     return df.select("win", *[F.col(c) if c in whole else F.round(c, DIGITS.get(c, 6)).alias(c) for c in FEATURES])
+
+
+LONG_W, LONG_S = 5000, 50
+LONG_FEATURES = {
+    "median": ("w_median", {}), "q05": ("w_quantile", {"q": 0.05}), "irq": ("w_irq", {}), "above": ("w_count_above_mean", {}), "below": ("w_count_below_mean", {}),
+    "brp": ("w_median_BRP", {}), "integral": ("w_integral", {"q": 0.7}), "gskew": ("w_gskew", {}),
+}
+
+
+@query("w_missing_values_long", f"""WITH {windows_cte(LONG_W, LONG_S, SOURCE)},
+g AS (SELECT win, avg(x) AS mu, median(x) AS med, min(x) AS lo, max(x) AS hi, quantile_cont(x, 0.7) AS q70, quantile_cont(x, 0.03) AS q03, quantile_cont(x, 0.97) AS q97,
+  quantile_cont(x, 0.05) AS q05, quantile_cont(x, 0.75) - quantile_cont(x, 0.25) AS irq FROM r GROUP BY win)
+SELECT win, round(any_value(med), 6) AS median, round(any_value(q05), 6) AS q05, round(any_value(irq), 6) AS irq, count(*) FILTER (x > mu) AS above, count(*) FILTER (x < mu) AS below,
+  round(avg(CASE WHEN x < med + (hi - lo) / 10 AND x > med - (hi - lo) / 10 THEN 1.0 ELSE 0.0 END) FILTER (x IS NOT NULL), 6) AS brp,
+  round(sum(x) FILTER (x < q70) - (arg_min(x, i) FILTER (x < q70) + arg_max(x, i) FILTER (x < q70)) / 2, 4) AS integral,
+  round(median(x) FILTER (x <= q03) + median(x) FILTER (x >= q97) - 2 * any_value(med), 6) AS gskew
+FROM r JOIN g USING (win) GROUP BY win""")
+def missing_values_long(spark, sf):
+    """Long windows of small stride over a signal with holes: ranks, sums and ends move with the window."""
+    df = window_features(gappy_series(spark, sf), LONG_FEATURES, LONG_W, LONG_S, short="drop")
+    return df.select("win", *[F.col(c) if c in ("above", "below") else F.round(c, 4 if c == "integral" else 6).alias(c) for c in LONG_FEATURES])

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strideframe.operators.windows import window_features
+from strideframe.operators.kernels import KERNELS
+from strideframe.operators.panes import PANE_OPS, PaneOp
+from strideframe.operators.panes import STATS as STATS_OF
+from strideframe.operators.windows import register_aggregate, register_kernel, window_features
 from strideframe.sources.tables import event_series, user_series
 
 from . import query
@@ -27,7 +30,7 @@ def by_window(expr: str, ctes: str = "", rows: str = "r", w: int = W, s: int = S
 
 def window_query(name: str, op: str, params: dict, sql: str | None, digits: int | None = 6, w: int = W, s: int = S, rows=()):
     def run(spark, sf):
-        df = window_features(event_series(spark, sf), {"y": (op, params)}, w, s, rows=list(rows))
+        df = window_features(event_series(spark, sf), {"y": (op, params)}, w, s, rows=list(rows), short="error" if w <= W else "drop")
         return df.select("win", "y") if digits is None else df.select("win", F.round("y", digits).alias("y"))
 
     query(name, sql)(run)
@@ -189,3 +192,20 @@ SELECT u.series_id, win, round(avg(x), 8) AS avg_x, round(median(x), 6) AS med_x
 def w_mean_per_series(spark, sf):
     df = window_features(user_series(spark, sf), {"a": ("w_mean", {}), "m": ("w_median", {})}, 40, 15, short="drop")
     return df.select("series_id", "win", F.round("a", 8).alias("avg_x"), F.round("m", 6).alias("med_x"))
+
+
+@query("own_window_operators", by_window("round(max(x) - min(x), 6) AS spread, round(quantile_cont(x, 0.9) - quantile_cont(x, 0.1), 6)"))
+def own_window_operators(spark, sf):
+    """An own aggregate over panes and an own function of the ordered values, beside the library's."""
+    register_aggregate("w_spread", lambda: PaneOp({k: STATS_OF[k] for k in ("n", "min", "max")}, "max - min"))
+    register_kernel("w_deciles", "double", lambda w: w.quantile(0.9) - w.quantile(0.1))
+    try:
+        df = window_features(event_series(spark, sf), {"spread": ("w_spread", {}), "y": ("w_deciles", {})}, W, S)
+    finally:
+        PANE_OPS.pop("w_spread")
+        KERNELS.pop("w_deciles")
+    return df.select("win", F.round("spread", 6).alias("spread"), F.round("y", 6).alias("y"))
+
+
+APEN_W = 1500
+window_query("w_approximate_entropy_long", "w_approximate_entropy", {"m": 3, "r": 0.5}, APEN.replace(windows_cte(SMALL_W, SMALL_S), windows_cte(APEN_W, APEN_W)), 6, APEN_W, APEN_W)

@@ -1,4 +1,4 @@
-"""Regression models by name, on Spark ML."""
+"""Regression models by name."""
 
 from __future__ import annotations
 
@@ -7,13 +7,13 @@ from collections.abc import Callable
 
 from pyspark.ml import Estimator
 from pyspark.ml.classification import MultilayerPerceptronClassifier
-from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..tables import written
+from .boosting import FEATURES, LABEL, Boosted, ExtraTrees
 
-FEATURES, LABEL = "features", "y"
 DEVICE_OPTIONS = {"nthread", "n_jobs", "num_threads", "thread_count", "gpu_id", "tree_method", "predictor", "device", "device_type", "task_type", "verbosity", "verbose", "silent"}
 COMMON = {"featuresCol": FEATURES, "labelCol": LABEL}
 
@@ -38,18 +38,33 @@ def _lasso(alpha: float = 1.0) -> Estimator:
     return LinearRegression(**COMMON, solver="auto", standardization=False, regParam=alpha, elasticNetParam=1.0, maxIter=1000, tol=1e-9)
 
 
-def _boosted(eta: float = 0.1, learning_rate: float | None = None, max_depth: int = 3, n_estimators: int = 100, subsample: float = 1.0,
-             min_child_weight: float = 1, seed: int = 0, eval_metric: str = "rmse", colsample_bytree: float = 1.0, **device) -> Estimator:
-    """Gradient-boosted trees under the parameter names of the usual libraries.  Device and thread options do not apply; any other
-    parameter that Spark's trees do not have is an error."""
-    unknown = sorted(set(device) - DEVICE_OPTIONS)
-    if unknown:
-        raise TypeError(f"gradient boosting has no parameter {', '.join(unknown)}")
-    if min_child_weight != int(min_child_weight):
-        raise ValueError("min_child_weight is a number of rows here, and must be whole")
-    return GBTRegressor(**COMMON, maxIter=n_estimators, stepSize=learning_rate or eta, maxDepth=max_depth, subsamplingRate=subsample,
-                        minInstancesPerNode=max(1, int(min_child_weight)), seed=seed, featureSubsetStrategy=str(float(colsample_bytree)),
-                        lossType="absolute" if eval_metric == "mae" else "squared")
+#: The libraries' names of one parameter.
+ALIASES = {"learning_rate": "eta", "iterations": "n_estimators", "num_boost_round": "n_estimators", "depth": "max_depth", "min_split_loss": "gamma", "min_split_gain": "gamma",
+           "lambda": "reg_lambda", "l2_leaf_reg": "reg_lambda", "random_state": "seed", "random_seed": "seed", "rsm": "colsample_bytree", "colsample_bytree": "colsample_bytree",
+           "bagging_fraction": "subsample", "feature_fraction": "colsample_bytree", "max_bin": "max_bins", "border_count": "max_bins"}
+LOSSES = {"absolute": {"reg:absoluteerror", "gpu:reg:absoluteerror", "regression_l1", "l1", "mae", "MAE", "lad", "absolute_error"},
+          "squared": {"reg:linear", "gpu:reg:linear", "reg:squarederror", "regression", "regression_l2", "l2", "mse", "rmse", "RMSE", "ls", "squared_error"}}
+
+
+def _boosted(reg_lambda: float) -> Callable[..., Estimator]:
+    """Second-order boosted trees under the parameter names of the usual libraries.
+
+    Device and thread options do not apply, and a metric to watch (``eval_metric``) changes no tree; any other parameter that
+    the trees do not have is an error.  ``reg_lambda`` is the library's own default.
+    """
+
+    def build(**params) -> Estimator:
+        own, absolute = {"reg_lambda": reg_lambda}, False
+        for k, v in params.items():
+            if k in ("objective", "loss_function", "loss", "criterion") and v in LOSSES["absolute"] | LOSSES["squared"]:
+                absolute = v in LOSSES["absolute"]
+            elif k in ("booster", "boosting_type") and v in ("gbtree", "gbdt") or k in DEVICE_OPTIONS or k == "eval_metric":
+                continue
+            else:
+                own[ALIASES.get(k, k)] = v
+        return Boosted(**own, absolute=absolute)
+
+    return build
 
 
 def _tree(max_depth: int = 5, min_samples_leaf: int = 1, random_state: int = 0) -> Estimator:
@@ -106,8 +121,9 @@ class AdaBoostR2Model:
 
 MODELS: dict[str, Callable[..., Estimator]] = {
     "LinearRegression": _linear, "Ridge": _ridge, "Lasso": _lasso,
-    "DecisionTreeRegressor": _tree, "RandomForestRegressor": _forest, "ExtraTreeRegressor": _forest,  # Spark has no extra trees; this is the forest
-    "GradientBoostingRegressor": _boosted, "XGBRegressor": _boosted, "LGBMRegressor": _boosted, "CatBoostRegressor": _boosted,
+    "DecisionTreeRegressor": _tree, "RandomForestRegressor": _forest,
+    "ExtraTreeRegressor": lambda n_estimators=1, **kw: ExtraTrees(n_estimators, **kw), "ExtraTreesRegressor": ExtraTrees,
+    "GradientBoostingRegressor": _boosted(0.0), "XGBRegressor": _boosted(1.0), "LGBMRegressor": _boosted(0.0), "CatBoostRegressor": _boosted(3.0),
     "AdaBoostRegressor": lambda n_estimators=50, learning_rate=1.0, random_state=0, max_depth=3: AdaBoostR2(n_estimators, learning_rate, max_depth, random_state),
 }
 

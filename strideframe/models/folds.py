@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..frame import MIN_BLOCK, idiv
-from ..operators.resample import counter
-from ..series import dense_positions
+from ..series import dense_positions, join_small
 
 PRIME = 2_147_483_647
 
@@ -43,10 +46,6 @@ def block_fragments(spark: SparkSession, n: int, n_splits: int = 10, fragmentati
     return df.withColumn("pad_start", F.greatest(F.col("start") - pad, F.lit(0))).withColumn("pad_end", F.least(F.col("end") + pad, F.lit(n - 1)))
 
 
-def _per_fold(df: DataFrame, n_splits: int) -> DataFrame:
-    return df.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(n_splits - 1))))
-
-
 def block_folds(df: DataFrame, n: int, n_splits: int = 10, fragmentation: float = 0.1, pad: int = 15, seed: int = 0, repeat: int = 0,
                 pos: str = "pos", empty_test: str = "train") -> DataFrame:
     """Rows of ``df`` with ``fold`` and ``role``: "test", "train", or "pad" for rows kept out of both.
@@ -58,15 +57,47 @@ def block_folds(df: DataFrame, n: int, n_splits: int = 10, fragmentation: float
         roles = ["train", "test"] if empty_test == "train" else ["train"]
         return df.withColumn("fold", F.lit(0)).withColumn("role", F.explode(F.array(*[F.lit(r) for r in roles])))
     fragments = block_fragments(df.sparkSession, n, n_splits, fragmentation, pad, seed, repeat)
-    # the positions of every padded fragment, some n in all, and for each position the folds that test it or keep it out
-    near = counter(fragments, F.col("pad_end") - F.col("pad_start"), "_off")
-    at = F.col("pad_start") + F.col("_off")
-    near = near.select(at.alias(pos), "fold", ((at >= F.col("start")) & (at < F.col("end"))).alias("_in"))
-    near = near.groupBy(pos).agg(F.collect_set(F.when(F.col("_in"), F.col("fold"))).alias("_tests"), F.collect_set("fold").alias("_out"))
-    rows = _per_fold(df.join(near, pos, "left"), n_splits)
-    hit = lambda c: F.coalesce(F.array_contains(c, F.col("fold")), F.lit(False))
-    role = F.when(hit("_tests"), "test").when(hit("_out"), "pad").otherwise("train")
-    return rows.withColumn("role", role).drop("_tests", "_out")
+    off = F.col(pos) - idiv(pos, ROLE_BLOCK) * ROLE_BLOCK
+    rows = join_small(df.withColumn("_blk", idiv(pos, ROLE_BLOCK)), block_roles(fragments, n_splits), ["_blk"], how="left")
+    rows = rows.withColumn("_here", F.substr("_roles", (off * n_splits + 1).cast("int"), F.lit(n_splits))).drop("_blk", "_roles")
+    code = F.substr("_here", F.col("fold") + 1, F.lit(1))
+    role = F.when(code == F.lit(bytearray([TEST])), "test").when(code == F.lit(bytearray([PAD])), "pad").otherwise("train")
+    return _per_fold(rows, n_splits).withColumn("role", role).drop("_here")
+
+
+ROLE_BLOCK, PAD, TEST = 4096, 1, 2
+
+
+def block_roles(fragments: DataFrame, n_splits: int, block: int = ROLE_BLOCK) -> DataFrame:
+    """``_blk, _roles``: for each block of positions that a padded fragment touches, one byte per (position, fold).
+
+    A sweep per block: every fragment is cut to the blocks it touches, its ends raise and lower a count of open fragments, and the
+    running count tells the role.  So there is a row per (fragment, block it touches), and then one per block.
+    """
+    first, last = idiv("pad_start", block), idiv(F.col("pad_end") - 1, block)
+    parts = fragments.filter("pad_end > pad_start").withColumn("_blk", F.explode(F.sequence(first, last)))
+    inside = lambda c: F.least(F.greatest(F.col(c) - F.col("_blk") * block, F.lit(0)), F.lit(block)).cast("int").alias(c)
+    parts = parts.groupBy("_blk").agg(F.collect_list(F.struct("fold", *(inside(c) for c in ("pad_start", "pad_end", "start", "end")))).alias("parts"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            roles = []
+            for own in b.column(1):
+                v = own.values
+                fold, lo, hi, test_lo, test_hi = (v.field(c).to_numpy() for c in ("fold", "pad_start", "pad_end", "start", "end"))
+                opened = np.zeros((2, block + 1, n_splits), np.int32)
+                for i, (a, z) in enumerate(((lo, hi), (test_lo, test_hi))):
+                    np.add.at(opened[i], (a, fold), 1)
+                    np.add.at(opened[i], (z, fold), -1)
+                near, test = np.cumsum(opened, axis=1)[:, :block] > 0
+                roles.append(np.where(test, TEST, np.where(near, PAD, 0)).astype(np.uint8).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(roles, pa.binary())], names=["_blk", "_roles"])
+
+    return parts.mapInArrow(run, "_blk bigint, _roles binary")
+
+
+def _per_fold(df: DataFrame, n_splits: int) -> DataFrame:
+    return df.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(n_splits - 1))))
 
 
 def _rotate(df: DataFrame, n_splits: int, test_fold: str) -> DataFrame:

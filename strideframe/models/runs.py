@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
 import json
 import random
 
@@ -15,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import metric_columns
 from ..series import KEY
 from ..tables import written
-from . import scaling
+from . import moments, scaling
 from .estimators import FEATURES, LABEL, create_model
 from .metrics import score
 
@@ -37,12 +36,22 @@ def prepared_folds(folds: DataFrame, columns: list[str], scaler: str | None = "S
 
 def out_of_fold(folds: DataFrame, columns: list[str], model: str, params: dict, scaler: str | None = "StandardScaler",
                 label: str = "ttf") -> DataFrame:
-    """Predictions of every fold's model for its own train and test rows: ``fold, role, pos, y, prediction``."""
+    """Predictions of every fold's model for its own train and test rows: ``fold, role, pos, y, prediction``.
+
+    Linear models are fitted to all folds from one pass over the training rows; the rows themselves are neither scaled nor copied.
+    """
+    if model in moments.LINEAR:
+        lines = moments.fit_folds(folds.filter(F.col(label).isNotNull()), columns, [(model, params)], label, scaler)
+        return moments.predicted(folds, lines, label).drop("model")
     return fold_predictions(prepared_folds(folds, columns, scaler, label), model, params)
 
 
 def fold_predictions(df: DataFrame, model: str, params: dict) -> DataFrame:
-    """The same from prepared folds; the driver only loops over the (few) folds to fit a model each."""
+    """The same from prepared folds.  A model that can fit all folds side by side does; otherwise the driver loops over them."""
+    train = df.filter(F.col("role") == "train")
+    whole = create_model(model, params, train)
+    if hasattr(whole, "fit_folds"):
+        return whole.fit_folds(train, "fold").transform(df).select("fold", "role", "pos", LABEL, "prediction")
     parts = []
     for (fold,) in sorted(df.select("fold").distinct().collect()):
         rows = df.filter(F.col("fold") == fold)
@@ -55,11 +64,11 @@ def fold_predictions(df: DataFrame, model: str, params: dict) -> DataFrame:
     return out
 
 
-def fold_scores(predictions: DataFrame, metrics: list[str]) -> DataFrame:
-    """``fold, <metric>, <metric>_train``: test and train scores side by side, from one pass over the predictions."""
-    by_role = score(predictions, metrics, ["fold", "role"])
+def fold_scores(predictions: DataFrame, metrics: list[str], keys: list[str] = ()) -> DataFrame:
+    """``keys, fold, <metric>, <metric>_train``: test and train scores side by side, from one pass over the predictions."""
+    by_role = score(predictions, metrics, [*keys, "fold", "role"])
     pick = lambda m, role: F.max(F.when(F.col("role") == role, F.col(m)))
-    return by_role.groupBy("fold").agg(*[e for m in metrics for e in (pick(m, "test").alias(m), pick(m, "train").alias(m + "_train"))])
+    return by_role.groupBy(*keys, "fold").agg(*[e for m in metrics for e in (pick(m, "test").alias(m), pick(m, "train").alias(m + "_train"))])
 
 
 def summary_row(scores: DataFrame, metrics: list[str], data: str, folds: tuple[str, dict], model: tuple[str, dict],
@@ -82,18 +91,40 @@ def summary_row(scores: DataFrame, metrics: list[str], data: str, folds: tuple[s
 
 
 def run_grid(tables: dict[str, DataFrame], columns: list[str], models: list[tuple[str, dict]], metrics: list[str],
-             scaler: str | None = "StandardScaler") -> DataFrame:
-    """``folds_name, model_name, model_params, fold, <scores>`` for every fold table and model."""
-    out = None
-    ready = {name: prepared_folds(folds, columns, scaler) for name, folds in tables.items()}
-    for (name, folds), (model, params) in itertools.product(ready.items(), models):
-        part = fold_scores(fold_predictions(folds, model, params), metrics)
-        part = part.select(F.lit(name).alias("folds_name"), F.lit(model).alias("model_name"),
-                           F.lit(json.dumps(params, sort_keys=True)).alias("model_params"), *part.columns)
-        out = part if out is None else out.unionByName(part)
+             scaler: str | None = "StandardScaler", label: str = "ttf") -> DataFrame:
+    """``folds_name, model_name, model_params, fold, <scores>`` for every fold table and model.
+
+    All linear models of a fold table share two passes over its rows: one adds up moments, one predicts and scores.
+    """
+    names = [(model, json.dumps(params, sort_keys=True)) for model, params in models]
+    linear = [i for i, (model, _) in enumerate(models) if model in moments.LINEAR]
+    parts = []
+    for name, folds in tables.items():
+        if linear:
+            lines = moments.fit_folds(folds.filter(F.col(label).isNotNull()), columns, [models[i] for i in linear], label, scaler)
+            scores = fold_scores(moments.predicted(folds, lines, label), metrics, ["model"])
+            told = lambda k: F.element_at(F.array(*[F.lit(names[i][k]) for i in linear]), F.col("model") + 1)  # noqa: E731, B023
+            parts.append(scores.select(F.lit(name).alias("folds_name"), told(0).alias("model_name"), told(1).alias("model_params"), *scores.columns[1:]))
+        others = [i for i in range(len(models)) if i not in linear]
+        ready = prepared_folds(folds, columns, scaler, label) if others else None
+        for i in others:
+            scores = fold_scores(fold_predictions(ready, *models[i]), metrics)
+            parts.append(scores.select(F.lit(name).alias("folds_name"), F.lit(names[i][0]).alias("model_name"), F.lit(names[i][1]).alias("model_params"), *scores.columns))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
     return out
 
 
+def ridge_search(folds: DataFrame, columns: list[str], alphas: list[float], metrics: list[str], scaler: str | None = "StandardScaler", label: str = "ttf") -> DataFrame:
+    """``alpha, <metric>_mean, <metric>_std``: test scores over the folds for each penalty, whatever their number in two passes."""
+    lines = moments.fit_folds(folds.filter(F.col(label).isNotNull()), columns, [("Ridge", {"alpha": float(a)}) for a in alphas], label, scaler)
+    scores = score(moments.predicted(folds.filter(F.col("role") == "test"), lines, label), metrics, ["model", "fold"])
+    summary = [e for m in metrics for e in (F.avg(m).alias(m + "_mean"), F.stddev_pop(m).alias(m + "_std"))]
+    alpha = F.element_at(F.array(*[F.lit(float(a)) for a in alphas]), F.col("model") + 1)
+    return scores.groupBy(alpha.alias("alpha")).agg(*summary)
+
+
 def random_search(space: dict[str, list], trials: int, objective, seed: int = 0) -> list[tuple[float, dict]]:
     """Score ``trials`` seeded draws from a parameter space; best first.  ``objective(params)`` returns a loss."""
     rng = random.Random(seed)
@@ -101,6 +132,26 @@ def random_search(space: dict[str, list], trials: int, objective, seed: int = 0)
     return sorted(((objective(p), p) for p in drawn), key=lambda r: r[0])
 
 
+def successive_halving(space: dict[str, list], trials: int, objective, budgets: list[int], seed: int = 0, keep: float = 1 / 3) -> list[tuple[float, int, dict]]:
+    """Search with growing budgets: all draws get the first budget (a number of trees, say), the best ``keep`` of them the next.
+
+    ``objective(params, budget)`` returns a loss.  Returns ``(loss, budget, params)`` of each draw's last turn: those that
+    came furthest first, then by loss.  Equal draws are tried once.
+    """
+    if sorted(budgets) != list(budgets) or not budgets:
+        raise ValueError("budgets must grow")
+    rng = random.Random(seed)
+    drawn = [{k: rng.choice(v) for k, v in space.items()} for _ in range(trials)]
+    left = [p for i, p in enumerate(drawn) if p not in drawn[:i]]
+    out: list[tuple[float, int, dict]] = []
+    for i, budget in enumerate(budgets):
+        scored = sorted(((objective(p, budget), p) for p in left), key=lambda r: r[0])
+        go_on = max(1, int(len(scored) * keep)) if i + 1 < len(budgets) else 0
+        out = [(loss, budget, p) for loss, p in scored[go_on:]] + out
+        left = [p for _, p in scored[:go_on]]
+    return sorted(out, key=lambda r: (-r[1], r[0]))
+
+
 def summary_to_config(summary: DataFrame, rows: list[int] | int, order: list[str], path: str = "") -> dict:
     """A validation config from chosen summary rows (ordinals in the given order).
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from math import floor
 
+import numpy as np
 from pyspark.ml.feature import UnivariateFeatureSelector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,9 +15,10 @@ from ..operators.quantiles import exact_quantiles
 from ..operators.rolling import rolled
 from ..series import KEY, join_small
 from ..tables import written
+from . import moments
 from .estimators import FEATURES, create_model
-from .metrics import METRICS
-from .runs import assemble_features, fold_scores, out_of_fold
+from .metrics import METRICS, score
+from .runs import assemble_features, out_of_fold
 
 
 def long_form(df: DataFrame, columns: list[str], keep: list[str]) -> DataFrame:
@@ -105,36 +108,65 @@ def importances(df: DataFrame, columns: list[str], label: str, model: str, param
     return {c: abs(float(w)) for c, w in zip(columns, weights.toArray())}
 
 
+def eliminate(columns: list[str], keep: int, step: int, weights) -> list[list[str]]:
+    """Subsets of falling size down to ``keep``; ``weights(columns)`` tells what each feature is worth among them."""
+    subsets = [list(columns)]
+    while len(subsets[-1]) > keep:
+        left = subsets[-1]
+        weight = weights(left)
+        worst = sorted(left, key=lambda c: (weight[c], c))[:min(step, len(left) - keep)]
+        subsets.append([c for c in left if c not in worst])
+    return subsets
+
+
+def linear_weights(m: moments.Moments, columns: list[str], model: str, params: dict):
+    """Sizes of coefficients of any subset of the features, from one set of moments."""
+    return lambda left: dict(zip(left, np.abs(moments.solve(m, columns, model, params, None, left).coefficients).tolist()))
+
+
 def recursive_elimination(df: DataFrame, columns: list[str], label: str, keep: int, model: str = "DecisionTreeRegressor",
                           params: dict | None = None, step: int = 1) -> tuple[list[str], dict[str, int]]:
     """Drop the ``step`` least important features and refit, until ``keep`` are left.
 
-    Returns the survivors and a ranking (1 for survivors, larger for features dropped earlier).
+    Returns the survivors and a ranking (1 for survivors, larger for features dropped earlier).  Linear models are refitted from
+    moments: one pass over the rows, whatever the number of steps.
     """
-    df = written(df.select(*columns, label), "rows")
-    left, dropped = list(columns), []
-    while len(left) > keep:
-        weight = importances(df, left, label, model, params or {})
-        worst = sorted(left, key=lambda c: (weight[c], c))[:min(step, len(left) - keep)]
-        left = [c for c in left if c not in worst]
-        dropped.append(worst)
-    ranking = dict.fromkeys(left, 1) | {c: i + 2 for i, cs in enumerate(reversed(dropped)) for c in cs}
-    return left, ranking
+    if model in moments.LINEAR:
+        weights = linear_weights(moments.moments(df, columns, label, ())[()], columns, model, params or {})
+    else:
+        df = written(df.select(*columns, label), "rows")
+        weights = lambda left: importances(df, left, label, model, params or {})
+    subsets = eliminate(columns, keep, step, weights)
+    dropped = [set(a) - set(b) for a, b in zip(subsets, subsets[1:])]
+    ranking = dict.fromkeys(subsets[-1], 1) | {c: i + 2 for i, cs in enumerate(reversed(dropped)) for c in cs}
+    return subsets[-1], ranking
 
 
 def recursive_elimination_cv(folds: DataFrame, columns: list[str], label: str, model: str, params: dict, step: int = 10,
                              minimum: int = 1, metric: str = "mean_absolute_error") -> tuple[list[str], list[tuple[int, float]]]:
-    """Elimination scored by leakage-safe folds; returns the best subset and (size, score) of every size tried."""
-    train = folds.filter((F.col("fold") == 0) & (F.col("role") != "pad"))
-    left, tried = list(columns), []
-    while True:
-        scores = fold_scores(out_of_fold(folds, left, model, params, label=label), [metric])
-        tried.append((scores.agg(F.avg(metric)).first()[0], left))
-        if len(left) <= minimum:
-            break
-        left, _ = recursive_elimination(train, left, label, max(minimum, len(left) - step), model, params, step)
-    best = min(tried, key=lambda t: (t[0], len(t[1])))
-    return best[1], [(len(cols), value) for value, cols in tried]
+    """Elimination whose size is chosen by leakage-safe folds.
+
+    Each fold ranks the features by its own training rows and scores every size on its test rows; the size with the least mean
+    loss (the smaller of equals) is then reached on all rows.  Returns that subset and (size, score) of every size tried.
+    Linear models need two passes in all.
+    """
+    folds = folds.filter(F.col(label).isNotNull())
+    numbers = sorted(r["fold"] for r in folds.select("fold").distinct().collect())
+    if model in moments.LINEAR:
+        trained = moments.moments(folds.filter("role = 'train'"), columns, label, ("fold",))
+        subsets = {k: eliminate(columns, minimum, step, linear_weights(trained[k,], columns, model, params)) for k in numbers}
+        lines = [{k: moments.solve(trained[k,], columns, model, params, use=subsets[k][i]) for k in numbers} for i in range(len(subsets[numbers[0]]))]
+        predicted = moments.predicted(folds.filter("role = 'test'"), lines, label).withColumnRenamed("model", "size")
+    else:
+        rows = {k: written(folds.filter((F.col("fold") == k) & (F.col("role") != "pad")), "fold") for k in numbers}
+        subsets = {k: eliminate(columns, minimum, step, lambda left, k=k: importances(rows[k].filter("role = 'train'"), left, label, model, params)) for k in numbers}
+        parts = [out_of_fold(rows[k], left, model, params, label=label).filter("role = 'test'").withColumn("size", F.lit(i)) for k in numbers for i, left in enumerate(subsets[k])]
+        predicted = reduce(DataFrame.unionByName, parts)
+    scores = score(predicted, [metric], ["size", "fold"]).groupBy("size").agg(F.avg(metric).alias("loss")).collect()  # a row per size
+    tried = [(len(subsets[numbers[0]][r["size"]]), r["loss"]) for r in sorted(scores, key=lambda r: r["size"])]
+    best = min(tried, key=lambda t: (t[1], t[0]))[0]
+    left, _ = recursive_elimination(folds.filter(F.col("fold") == numbers[0]), columns, label, best, model, params, step)
+    return left, tried
 
 
 def two_stage_elimination(df: DataFrame, label: str, percentile: float, num_of_features: int, model: str = "DecisionTreeRegressor",

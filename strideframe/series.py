@@ -59,7 +59,7 @@ def lengths(s: DataFrame) -> DataFrame:
     return s.groupBy(KEY).agg((F.max("pos") + 1).alias("n"))
 
 
-def join_small(df: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
+def join_small(df: DataFrame, table: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Join a table with one row per key to many rows.
 
     The planner cannot tell how large an aggregate will be, and would shuffle ``df`` by the keys, hot
@@ -67,4 +67,4 @@ def join_small(df: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
     its own limit (``spark.sql.autoBroadcastJoinThreshold``); beyond that it is an ordinary join, with
     skew handling.
     """
-    return df.join(written(table, "small"), keys)
+    return df.join(written(table, "small"), keys, how)

@@ -112,3 +112,39 @@ def test_smoothing_is_null_where_a_value_is_missing(spark):
 def test_clip_keeps_missing_values_missing(spark):
     got = rolled(table(spark, X), [("r_clip", {"q_low": 0.1, "q_high": 0.9})]).orderBy("pos").toPandas().x.astype(float)
     np.testing.assert_allclose(got, np.clip(X, *np.nanquantile(X, [0.1, 0.9])))
+
+
+@pytest.mark.parametrize("kind", ["holes", "steps", "ties", "nothing"])
+def test_rank_structure_with_holes_and_sums(kind):
+    """Every feature by ranks: moving windows with missing values against the values of each window."""
+    draw = np.random.default_rng(3)
+    x = np.cumsum(draw.normal(size=7000)) if kind == "steps" else draw.normal(size=7000).round(1 if kind == "ties" else 9)
+    x[draw.random(7000) < 0.2] = NAN
+    x[2000:3100] = NAN
+    if kind == "nothing":
+        x[:] = NAN
+    w = kernels.SlidingWindows(x, 1000, 40, (7000 - 1000) // 40 + 1)
+    plain = kernels.Windows(w.v)
+    missing = np.isnan(w.v).any(1)
+    for op in sorted(kernels.BY_RANK):
+        with np.errstate(all="ignore"):
+            got, want = kernels._feature(w, missing, op, {}), kernels._with_missing(plain, missing, op, {})
+        assert [y is None for y in got] == [y is None for y in want], op
+        np.testing.assert_allclose([y for y in got if y is not None], [y for y in want if y is not None], rtol=1e-9, atol=1e-9, err_msg=op)
+
+
+def test_work_per_window_follows_the_stride():
+    """Half the stride, half the values looked at per window; the length of the window does not matter."""
+    x = np.random.default_rng(4).normal(size=200_000)
+    x[::17] = NAN
+    touched = {}
+    for size, stride in ((20_000, 2_000), (20_000, 4_000), (80_000, 2_000)):
+        w = kernels.SlidingWindows(x, size, stride, 25)
+        for op in ("w_quantile", "w_integral", "w_gskew"):
+            w.touched = 0
+            kernels.KERNELS[op][1](w)
+            touched[op, size, stride] = (w.touched - 2 * size) / 25
+    for op in ("w_quantile", "w_integral", "w_gskew"):
+        assert touched[op, 20_000, 2_000] < 0.8 * touched[op, 20_000, 4_000]
+        assert touched[op, 80_000, 2_000] < 1.6 * touched[op, 20_000, 2_000]
+        assert touched[op, 80_000, 2_000] < 80_000

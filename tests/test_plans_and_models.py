@@ -233,8 +233,12 @@ def test_boosting_by_weights(spark):
 
 def test_unknown_parameters_are_errors():
     with pytest.raises(TypeError):
-        create_model("XGBRegressor", {"gamma": 1.0})
-    assert create_model("XGBRegressor", {"eta": 0.2, "nthread": 4, "colsample_bytree": 0.5}).getFeatureSubsetStrategy() == "0.5"
+        create_model("XGBRegressor", {"num_leaves_": 3})
+    model = create_model("XGBRegressor", {"eta": 0.2, "nthread": 4, "colsample_bytree": 0.5, "gamma": 0.75, "min_child_weight": 2.5, "objective": "gpu:reg:linear", "eval_metric": "mae"})
+    assert (model.eta, model.colsample_bytree, model.gamma, model.min_child_weight, model.absolute, model.reg_lambda) == (0.2, 0.5, 0.75, 2.5, False, 1.0)
+    assert create_model("LGBMRegressor", {"learning_rate": 0.3, "objective": "regression_l1"}).absolute
+    with pytest.raises(TypeError):
+        create_model("XGBRegressor", {"objective": "rank:pairwise"})
 
 
 def test_own_models_are_found_by_name(spark):

@@ -121,3 +121,26 @@ def test_every_operator_has_a_case():
     covered = {op for op, _, _ in brute.CASES.values()} | {"w_psd", "w_periodogram", "w_spectrogram_downsampled",
                                                            "w_max_smoothed_periodogram", "w_number_cwt_peaks"}
     assert covered == {*PANE_OPS, *KERNELS}
+
+
+@pytest.mark.parametrize("r", [0.2, 1.0, 3.0])
+def test_close_runs_by_bits(r):
+    """Sets of bits count the same close runs as plain comparisons, ties at the tolerance included."""
+    from strideframe.operators import kernels
+
+    for x in (rng.normal(size=700), rng.integers(0, 9, 517).astype(float), np.full(130, 2.5), np.cumsum(rng.normal(size=300))):
+        for m in (1, 2, 3):
+            short, long = kernels.CloseSets(x, r * x.std()).close_runs(m)
+            np.testing.assert_array_equal(short, kernels._close_by_strips(x, m, r * x.std()))
+            np.testing.assert_array_equal(long, kernels._close_by_strips(x, m + 1, r * x.std()))
+
+
+def test_approximate_entropy_of_a_long_window():
+    import time
+
+    from strideframe.operators import kernels
+
+    x = np.random.default_rng(0).normal(size=150_000)
+    start = time.perf_counter()
+    y = kernels._approximate_entropy(kernels.Windows(x[None, :]), 3, 0.2)[0]
+    assert time.perf_counter() - start < 60 and 1.5 < y < 2.5
