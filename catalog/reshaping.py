@@ -107,13 +107,24 @@ def stamps(spark, sf):
     return read_table(spark, sf, "events").select("event_id", C.timestamp_label(F.col("ts")).alias("label"))
 
 
-# score lists: the values of a user's events of one type, read back from JSON text
+# score lists: the values of a user's events, of one type or all
 
 
-def lists(spark, sf):
-    ev = read_table(spark, sf, "events")
-    by_order = F.transform(F.array_sort(F.collect_list(F.struct("event_id", "value"))), lambda e: e["value"])
-    return ev.groupBy("user_id", "event_type").agg(F.to_json(by_order).alias("text")).withColumn("v", C.parse_list(F.col("text"))).drop("text")
+@query("parse_list", "SELECT event_id, round((value + user_id + 1) / 3, 8) AS mean FROM events")
+def parsed(spark, sf):
+    """A short list read back from its text."""
+    text = F.to_json(F.array(F.col("value"), F.col("user_id").cast("double"), F.lit(1.0)))
+    df = read_table(spark, sf, "events").select("event_id", C.parse_list(text).alias("v"))
+    return df.select("event_id", F.round(C.array_mean(F.col("v")), 8).alias("mean"))
+
+
+@query("list_statistics_of_rows", """WITH m AS (SELECT [value, coalesce(user_id, 0), 0] AS v, event_id FROM events)
+SELECT event_id, round(list_avg(v), 8) AS v_mean, list_min(v) AS v_min, list_max(v) AS v_max, round(list_stddev_samp(v), 6) AS v_std FROM m""")
+def list_stats_of_rows(spark, sf):
+    """Short lists in rows, as in a run summary; one in two lacks the last entry."""
+    lists = F.when(F.col("event_id") % 2 == 0, F.array("value", F.col("user_id").cast("double"))).otherwise(F.array("value", F.col("user_id").cast("double"), F.lit(0.0)))
+    out = C.list_statistics(read_table(spark, sf, "events").select("event_id", lists.alias("v")), "v")
+    return out.select("event_id", F.round("v_mean", 8).alias("v_mean"), "v_min", "v_max", F.round("v_std", 6).alias("v_std"))
 
 
 @query("list_statistics", """WITH l AS (SELECT user_id, event_type, list(value ORDER BY event_id) AS v FROM events GROUP BY 1, 2),
@@ -121,7 +132,7 @@ m AS (SELECT max(len(v)) AS m FROM l), c AS (SELECT user_id, event_type, unnest(
 d AS (SELECT user_id, event_type, coalesce(v[i], 0) AS x FROM c)
 SELECT user_id, event_type, round(avg(x), 8) AS v_mean, min(x) AS v_min, max(x) AS v_max, round(stddev_samp(x), 6) AS v_std FROM d GROUP BY 1, 2""")
 def list_stats(spark, sf):
-    out = C.list_statistics(lists(spark, sf), "v")
+    out = C.score_statistics(read_table(spark, sf, "events").withColumnRenamed("value", "v"), ["user_id", "event_type"], "v")
     return out.select("user_id", "event_type", F.round("v_mean", 8).alias("v_mean"), "v_min", "v_max", F.round("v_std", 6).alias("v_std"))
 
 
@@ -129,9 +140,24 @@ def list_stats(spark, sf):
 m AS (SELECT max(len(v)) AS m FROM l), c AS (SELECT user_id, unnest(range(1, m + 1)) AS i, v FROM l, m)
 SELECT user_id, round(avg(coalesce(v[i], 0)), 8) AS v_mean FROM c GROUP BY user_id ORDER BY v_mean""")
 def best_runs(spark, sf):
-    ev = read_table(spark, sf, "events")
-    by_order = F.transform(F.array_sort(F.collect_list(F.struct("event_id", "value"))), lambda e: e["value"])
-    return C.best_runs(ev.groupBy("user_id").agg(by_order.alias("v")), "v").select("user_id", F.round("v_mean", 8).alias("v_mean"))
+    out = C.score_statistics(read_table(spark, sf, "events").withColumnRenamed("value", "v"), ["user_id"], "v").orderBy("v_mean")
+    return out.select("user_id", F.round("v_mean", 8).alias("v_mean"))
+
+
+@query("best_summary_runs", """SELECT event_type, round((sum(value) FILTER (user_id = 1) + coalesce(sum(value) FILTER (user_id = 2), 0)) / 2, 6) AS v_mean
+FROM events WHERE user_id IN (1, 2) GROUP BY event_type ORDER BY v_mean""")
+def best_summary(spark, sf):
+    """Run summaries with short score lists, best first."""
+    sums = read_table(spark, sf, "events").filter("user_id in (1, 2)").groupBy("event_type").agg(
+        F.array(*[F.coalesce(F.sum(F.when(F.col("user_id") == u, F.col("value"))), F.lit(0.0)) for u in (1, 2)]).alias("v"))
+    return C.best_runs(sums, "v").select("event_type", F.round("v_mean", 6).alias("v_mean"))
+
+
+@query("transpose_scores", "SELECT row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS position, user_id, value FROM events")
+def transposed_rows(spark, sf):
+    """The transposed lists in rows, for lists of any length."""
+    df = read_table(spark, sf, "events").select("user_id", "event_id", "value")
+    return C.transpose_scores(df, ["user_id"], "event_id").select("position", "user_id", "value")
 
 
 @query("transpose_lists", """WITH l AS (SELECT user_id, list(value ORDER BY event_id) AS v FROM events GROUP BY 1),

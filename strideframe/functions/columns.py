@@ -7,6 +7,9 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..series import dense_positions
+from ..tables import written
+
 NOT_A_METRIC = r"(?:fold|model|data|preproc)"
 
 
@@ -65,6 +68,30 @@ def list_statistics(df: DataFrame, column: str) -> DataFrame:
                     F.array_min("_a").alias(f"{column}_min"), F.array_max("_a").alias(f"{column}_max"), std.alias(f"{column}_std")))
 
 
+def score_statistics(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """``keys, <value>_mean, _min, _max, _std``: the same statistics of scores in rows, one list per key group.
+
+    Partial aggregates: no list is ever collected, and the zeros that a shorter list lacks to the longest one enter in closed form.
+    """
+    v = F.coalesce(F.col(value), F.lit(0.0))
+    own = written(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.avg(v).alias("_own"), F.var_pop(v).alias("_var"), F.min(v).alias("_min"), F.max(v).alias("_max")), "scores")
+    n, longest = F.col("_n"), own.select(F.max("_n").alias("m")).scalar()
+    own = own.withColumn("_m", longest).withColumn("_mean", F.col("_own") * n / F.col("_m"))
+    lacks = n < F.col("_m")
+    squares = n * F.col("_var") + n * F.pow(F.col("_own") - F.col("_mean"), 2) + (F.col("_m") - n) * F.pow("_mean", 2)
+    with_zero = lambda pick, c: F.when(lacks, pick(F.col(c), F.lit(0.0))).otherwise(F.col(c))
+    return own.select(*keys, F.col("_mean").alias(f"{value}_mean"), with_zero(F.least, "_min").alias(f"{value}_min"), with_zero(F.greatest, "_max").alias(f"{value}_max"),
+                      F.when(F.col("_m") > 1, F.sqrt(squares / (F.col("_m") - 1))).alias(f"{value}_std"))
+
+
+def transpose_scores(df: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """``df`` with ``position``: the k-th rows of all lists have position k, so that grouping by it is the transposed table.
+
+    In rows, whatever the length of a list; an entry that a shorter list lacks has no row (it counts as 0).
+    """
+    return dense_positions(df, keys, order, "position")
+
+
 def best_runs(summary: DataFrame, metric: str = "mean_squared_error") -> DataFrame:
     """Run summaries with the statistics of a metric, smallest mean first."""
     return list_statistics(summary, metric).orderBy(f"{metric}_mean")

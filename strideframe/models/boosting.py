@@ -281,7 +281,8 @@ class Boosted(Estimator):
                 yield pa.RecordBatch.from_arrays([*(pa.array(c.astype(np.int32)) for c in cells), pa.array(sums[0, at]), pa.array(sums[1, at])], schema=schema)
 
         parts = rows.mapInArrow(run, "grp int, node int, feature int, bin int, g double, h double")
-        return parts.groupBy("grp", "node", "feature", "bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
+        # a task has summed its rows already, so one exchange by feature serves the sums and the running sums
+        return parts.repartition("grp", "node", "feature").groupBy("grp", "node", "feature", "bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
 
     def best_cuts(self, sums: DataFrame) -> DataFrame:
         """``grp, node, best``: per node the totals, and the cut with the greatest gain (null where no cut is allowed)."""

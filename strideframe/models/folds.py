@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..frame import MIN_BLOCK, idiv
+from ..frame import idiv
 from ..series import dense_positions, join_small
 
 PRIME = 2_147_483_647
@@ -113,9 +113,9 @@ def _contiguous(rank: Column, n: int, k: int) -> Column:
 
 
 def _shuffled_rank(df: DataFrame, pos: str, seed: int, keys: list[str] = ()) -> DataFrame:
-    """Rank in a seeded random order.  Numbering is by buckets of the hash, so no task sorts the table."""
+    """Rank in a seeded random order; no task sorts the table."""
     df = df.withColumn("_h", F.struct(mix(F.col(pos), seed).alias("h"), F.col(pos).alias("p")))
-    return dense_positions(df, list(keys), "_h", idiv(F.col("_h.h"), 1 << 16), "_rank").drop("_h")
+    return dense_positions(df, list(keys), "_h", "_rank").drop("_h")
 
 
 def k_fold(df: DataFrame, n: int, n_splits: int = 5, shuffle: bool = False, seed: int = 0, pos: str = "pos") -> DataFrame:
@@ -126,7 +126,7 @@ def k_fold(df: DataFrame, n: int, n_splits: int = 5, shuffle: bool = False, seed
 def stratified_k_fold(df: DataFrame, label: str, n_splits: int = 5, shuffle: bool = False, seed: int = 0, pos: str = "pos") -> DataFrame:
     """The rows of each label are dealt to the folds in turn."""
     df = (_shuffled_rank(df, pos, seed, [label]) if shuffle
-          else dense_positions(df, [label], pos, idiv(pos, MIN_BLOCK), "_rank"))
+          else dense_positions(df, [label], pos, "_rank"))
     return _rotate(df.withColumn("_part", F.pmod("_rank", F.lit(n_splits)).cast("int")).drop("_rank"), n_splits, "_part")
 
 

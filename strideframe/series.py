@@ -26,22 +26,21 @@ def series(df: DataFrame, pos: str | Column, x: str | Column, series_id: str | C
     return df.select(*cols)
 
 
-def dense_positions(df: DataFrame, keys: list[str], order: str, bucket: Column, out: str = "pos") -> DataFrame:
+def dense_positions(df: DataFrame, keys: list[str], order: str, out: str = "pos") -> DataFrame:
     """Number the rows of each key group 0, 1, ... in ``order``, without sorting a whole group in one task.
 
-    ``bucket`` is a coarser, order-preserving function of ``order`` (an hour of a timestamp, say).
-    Rows are numbered inside ``(keys, bucket)``; the offset of each bucket is a running sum over the
-    small table of bucket sizes.  A group may thus hold any share of the rows, as long as its
-    buckets are of moderate size.
+    Rows are dealt by ranges of (keys, order) of about equal size, sorted there and written with a running number.  A group's
+    rows in one range are numbered without gaps, so its position is that number plus what the group has in earlier ranges: a running
+    sum over a row per (group, range), at most one per range more than there are groups.  A group may thus hold any share of the rows, in a
+    burst or not, as long as ``order`` tells its rows apart.  The numbered table is written when this is called.
     """
-    df = df.withColumn("_bucket", bucket)
-    order_in_group = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (df.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-               .select(*keys, "_bucket", F.coalesce(F.sum("_n").over(order_in_group), F.lit(0)).alias("_offset")))
-    local = F.row_number().over(Window.partitionBy(*keys, "_bucket").orderBy(order)) - 1
-    return (df.withColumn("_local", local).join(offsets, [*keys, "_bucket"])
-            .withColumn(out, F.col("_local") + F.col("_offset"))
-            .drop("_bucket", "_local", "_offset"))
+    by = [*keys, order]
+    rows = written(df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_number", F.monotonically_increasing_id()), "numbered")
+    rows = rows.withColumn("_range", F.shiftright("_number", 33))  # the range that a number was given in
+    counts = rows.groupBy(*keys, "_range").agg(F.min("_number").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = counts.select(*keys, "_range", (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first")).alias("_shift"))
+    return join_small(rows, shifts, [*keys, "_range"]).withColumn(out, F.col("_number") + F.col("_shift")).drop("_number", "_range", "_shift")
 
 
 def contract_violations(s: DataFrame) -> DataFrame:

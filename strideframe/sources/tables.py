@@ -38,6 +38,6 @@ def event_series(spark: SparkSession, sf_dir: str, label: bool = False) -> DataF
 
 
 def user_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One series per user, in time order; positions are numbered hour by hour."""
-    ev = read_table(spark, sf_dir, "events").select("user_id", "ts", "value")
-    return series(dense_positions(ev, ["user_id"], "ts", F.date_trunc("hour", "ts")), "pos", "value", "user_id")
+    """One series per user, in time order; events of one time are in the order of their ids."""
+    ev = read_table(spark, sf_dir, "events").select("user_id", F.struct("ts", "event_id").alias("at"), "value")
+    return series(dense_positions(ev, ["user_id"], "at"), "pos", "value", "user_id")

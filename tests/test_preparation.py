@@ -17,7 +17,7 @@ SCHEMA = "series_id string, pos bigint, x double, ttf double"
 
 def test_dense_positions_with_a_hot_key(spark):
     df = spark.range(5000).selectExpr("if(id % 3 = 0, 'rare' || id % 7, 'hot') as k", "id * 37 % 5003 as t")
-    got = dense_positions(df, ["k"], "t", F.floor(F.col("t") / 100)).toPandas()
+    got = dense_positions(df, ["k"], "t").toPandas()
     for _, g in got.groupby("k"):
         assert list(g.sort_values("t").pos) == list(range(len(g)))
 
@@ -146,3 +146,35 @@ def test_sinks(spark, tmp_path):
     writers.write_submission(spark.createDataFrame([("b", 1.0), ("a", 2.0)], "seg_id string, time_to_failure double"), str(tmp_path / "sub"))
     text = next((tmp_path / "sub").glob("*.csv")).read_text().split()
     assert text == ["seg_id,time_to_failure", "a,2.0", "b,1.0"]
+
+
+def test_positions_in_a_burst(spark):
+    """All rows of a user in one second of the clock: the ranges split it, and no window holds a user's rows."""
+    n = 40_000
+    df = spark.range(n).select((F.col("id") % 5 == 0).cast("int").alias("user_id"), F.struct(F.lit(7).alias("ts"), (n - F.col("id")).alias("event_id")).alias("at"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so little data would become one range
+    try:
+        got = dense_positions(df.repartition(5), ["user_id"], "at")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan  # the running sum over ranges is in a written table
+    rows = got.select("user_id", "at.event_id", "pos").toPandas().sort_values(["user_id", "event_id"])
+    for _, own in rows.groupby("user_id"):
+        assert (own.pos.to_numpy() == np.arange(len(own))).all()
+    hot = spark.read.parquet(*{f for f in got.inputFiles() if "numbered" in f})
+    sizes = hot.filter("user_id = 0").groupBy(F.shiftright("_number", 33)).count().toPandas()["count"]
+    assert len(sizes) > 3 and sizes.max() < n / 3
+
+
+def test_scores_in_rows_as_in_lists(spark):
+    from strideframe.functions.columns import list_statistics, score_statistics
+
+    lists = {"a": [1.0, -2.0, 4.0], "b": [3.0], "c": [-1.0, None]}
+    rows = spark.createDataFrame([(k, v) for k, vs in lists.items() for v in vs], "k string, v double")
+    as_lists = spark.createDataFrame(list(lists.items()), "k string, v array<double>")
+    got = {r.k: (r.v_mean, r.v_min, r.v_max, r.v_std) for r in score_statistics(rows, ["k"], "v").collect()}
+    want = {r.k: (r.v_mean, r.v_min, r.v_max, r.v_std) for r in list_statistics(as_lists, "v").collect()}
+    assert got.keys() == want.keys()
+    for k in want:
+        assert got[k] == pytest.approx(want[k])
