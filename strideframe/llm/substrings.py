@@ -8,10 +8,10 @@ Distributed prefix doubling on a synchronised sample of positions.  The rank of
    equal windows have equal anchors.
 2. Spark ranks the anchors: an anchor that occurs once is unique, and its run leaves.  The rest, some tenth of a row per
    byte of repeated text, is ranked at the offset of the whole run: runs whose bytes are the same as another's are covered.
-3. Runs of an anchor that agree with no other run as a whole are taken apart: Spark ranks the positions of their windows at
-   doubling offsets, first by the first half of the window, then by the pair (rank here, rank half a window further on), and
-   drops unique positions after each round.  One row stands for all equal runs.  Ranks are counted with partial aggregation, and
-   there is one way for all anchors.
+3. Runs of an anchor that agree with no other run as a whole are compared window by window: their pairs (rank of the first
+   half, rank of the second half, at offset ``length / 2``) are sorted, and a pair that occurs twice is a repeated string.
+   One row stands for all equal runs.  Anchors with up to ``GROUP`` different runs are compared side by side in a task.
+   Of the others, ranges of windows are ranked by growing strings around the anchor (73, 137, 169, ... 200 bytes), halved while they differ.
 
 Ranks are 64-bit hashes of pairs, so no table of ranks travels; classes are told apart by 128 bits at least.  Texts travel
 twice, and only those of documents with repeated anchors where Spark's runtime filter applies.
@@ -29,12 +29,12 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strideframe.llm.shared import as_text, has_repeats, written
 
-LENGTH, GRAM = 200, 48
+LENGTH, GRAM, GROUP = 200, 48, 512
 C1, C2, HALF = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(32)
 
 
@@ -140,43 +140,133 @@ def windows(pieces: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, n
     return piece, offset, r[at], r[at + half]
 
 
-POSITION_ARROW = pa.schema([("first", pa.int64()), ("second", pa.int64()), ("copies", pa.int64()), ("doc", pa.int64()), ("at", pa.int32())])
-POSITION_SCHEMA = "first bigint, second bigint, copies bigint, doc bigint, at int"
+def intervals(piece: np.ndarray, offset: np.ndarray, repeated: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Piece, from and to of the bytes under each stretch of repeated windows."""
+    piece, offset = piece[repeated], offset[repeated]
+    if not len(piece):
+        return piece, offset, offset
+    first = np.append(True, (piece[1:] != piece[:-1]) | (offset[1:] != offset[:-1] + 1))
+    last = np.append(first[1:], True)
+    return piece[first], offset[first], offset[last] + length
 
 
-def positions(rows: DataFrame, length: int) -> DataFrame:
-    """One row per window of the runs ``(copies, doc, start, piece)``: the ranks of its first half and of its second half."""
+COVER_ARROW = pa.schema([("doc", pa.int64()), ("from", pa.int32()), ("to", pa.int32())])
+COVER_SCHEMA = "doc bigint, `from` int, `to` int"
+
+
+def side_by_side(rows: DataFrame, length: int) -> DataFrame:
+    """Covered bytes of the single runs in ``(anchor, copies, doc, start, piece)``, whose anchors have few runs each."""
+
+    def solve(table: pa.Table) -> pa.RecordBatch:
+        piece, offset, a, b = windows(table.column("piece").to_pylist(), length)
+        copies, doc, start = (table.column(c).to_numpy() for c in ("copies", "doc", "start"))
+        order = np.lexsort((b, a))
+        new = np.append(True, (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1]))
+        group = np.empty(len(order), np.int64)
+        group[order] = np.cumsum(new) - 1
+        twice = np.bincount(group, weights=copies[piece])[group] >= 2
+        p, lo, hi = intervals(piece, offset, twice & (copies[piece] == 1), length)
+        return pa.RecordBatch.from_arrays([pa.array(doc[p]), pa.array((start[p] + lo).astype(np.int32)), pa.array((start[p] + hi).astype(np.int32))], schema=COVER_ARROW)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(0, batch.num_rows, 512):
-                b = batch.slice(i, 512)
-                piece, offset, first, second = windows(b.column("piece").to_pylist(), length)
-                copies, doc, start = (b.column(c).to_numpy() for c in ("copies", "doc", "start"))
-                yield pa.RecordBatch.from_arrays([pa.array(first.view(np.int64)), pa.array(second.view(np.int64)), pa.array(copies[piece]), pa.array(doc[piece]),
-                                                  pa.array((start[piece] + offset).astype(np.int32))], schema=POSITION_ARROW)
+        held: list[pa.RecordBatch] = []
+        rows = 0
+        for batch in batches:  # sorted by anchor: an anchor may go on in the next batch
+            for at in range(0, batch.num_rows, 4096):
+                b = batch.slice(at, 4096)
+                anchors = b.column(0).to_numpy()
+                cut = int(np.searchsorted(anchors, anchors[-1])) if len(anchors) else 0
+                if rows + cut >= 2048 and (cut or (held and held[-1].column(0)[-1].as_py() != anchors[0])):
+                    yield solve(pa.Table.from_batches([*held, b.slice(0, cut)]))
+                    held, rows, b = [], 0, b.slice(cut)
+                held.append(b)
+                rows += b.num_rows
+        if rows:
+            yield solve(pa.Table.from_batches(held))
+
+    few = rows.repartition("anchor").sortWithinPartitions("anchor").select("anchor", "copies", "doc", "start", "piece")
+    return few.mapInArrow(run, COVER_SCHEMA)
+
+
+HALF_ARROW = pa.schema([("core", pa.binary()), ("body", pa.binary()), ("copies", pa.int64()), ("doc", pa.int64()), ("at", pa.int32()), ("from", pa.int32()), ("to", pa.int32()),
+                        ("low", pa.int32()), ("high", pa.int32()), ("piece", pa.binary())])
+HALF_SCHEMA = "core binary, body binary, copies bigint, doc bigint, at int, `from` int, `to` int, low int, high int, piece binary"
+
+
+def leftmost(r: np.ndarray, w: int) -> np.ndarray:
+    """Where the first minimum of each ``w`` neighbouring ranks is."""
+    at, m = np.arange(len(r)), 1
+    while m < w:
+        step = min(m, w - m)
+        a, b = at[:-step], at[step:]
+        at, m = np.where(r[a] <= r[b], a, b), m + step
+    return at
 
-    return rows.select("copies", "doc", "start", "piece").mapInArrow(run, POSITION_SCHEMA)
 
+def aligned(batch: pa.RecordBatch, length: int, gram: int) -> Iterator[tuple]:
+    """``copies, doc, at, from, low, high, piece``: the windows of each run by the place of their first least gram, ``at``.
 
-def ranked(rows: DataFrame, length: int) -> DataFrame:
-    """Covered bytes of the single runs among ``(copies, doc, start, piece)``.
+    A window is known by its distance to that gram, ``low`` to ``high`` here; equal windows have equal distances.
+    """
+    for copies, doc, start, piece in zip(*(batch.column(c).to_pylist() for c in ("copies", "doc", "start", "piece"))):
+        at = leftmost(ranks(np.frombuffer(piece, np.uint8), gram), length - gram + 1)
+        first = np.append(0, np.flatnonzero(np.diff(at)) + 1)
+        for i, j in zip(first.tolist(), np.append(first[1:], len(at)).tolist()):
+            p = int(at[i])
+            yield copies, doc, start + p, start + i, p - j + 1, p - i, piece[i:j - 1 + length]
+
+
+def halves(rows: DataFrame, level: int, length: int, gram: int, first: bool) -> DataFrame:
+    """The windows of each row in aligned ranges of ``2 ** level`` distances.
 
-    Positions are ranked at doubling offsets: by the first half of the window, then by the pair (rank here, rank half a window
-    further on).  After each round unique positions leave.  Ranks are counted with partial aggregation, so a position costs the same in
-    a small and in a large group.
+    ``body`` names the bytes under the windows that the row has of a range, ``core`` those that all windows of the range share: an equal
+    window elsewhere has an equal core.
     """
-    left = written(positions(rows, length), "positions")
-    for keys in (["first"], ["first", "second"]):
-        again = written(left.groupBy(*keys).agg(F.sum("copies").alias("n")).filter("n > 1").drop("n"), "repeated-ranks")
-        left = written(left.join(again, keys, "left_semi"), "positions")
-    block = F.shiftright("at", 12)  # stretches of neighbouring positions become one row, block by block
-    stretch = F.col("at") - F.row_number().over(Window.partitionBy("doc", block).orderBy("at"))
-    single = left.filter("copies = 1").select("doc", "at", block.alias("block"), stretch.alias("stretch"))
-    return single.groupBy("doc", "block", "stretch").agg(F.min("at").alias("from"), (F.max("at") + length).alias("to")).select("doc", "from", "to")
+    names = ("copies", "doc", "at", "from", "low", "high", "piece")
 
+    def digest(data: bytes, *tags: int) -> bytes:
+        return hashlib.blake2b(data, digest_size=16, person=np.array(tags, np.int16).tobytes()).digest()
 
-def repeated_bytes(docs: DataFrame, id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 4096):
+                b, out = batch.slice(i, 4096), []
+                for copies, doc, at, begin, low, high, piece in aligned(b, length, gram) if first else zip(*(b.column(c).to_pylist() for c in names)):
+                    for k in range(low >> level, (high >> level) + 1):
+                        a, z = k << level, min(((k + 1) << level) - 1, length - gram)
+                        lo, hi = max(a, low), min(z, high)
+                        body = piece[at - hi - begin:at - lo + length - begin]
+                        out.append((digest(piece[at - a - begin:at - z + length - begin], a, z), digest(body, lo, hi), copies, doc, at, at - hi, at - lo + length, lo, hi, body))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), HALF_ARROW)], schema=HALF_ARROW)
+
+    return rows.mapInArrow(run, HALF_SCHEMA)
+
+
+def by_halves(rows: DataFrame, length: int, gram: int) -> DataFrame:
+    """Covered bytes of the single runs of anchors with many runs.
+
+    Ranges of windows around an anchor are compared as wholes and halved as long as they differ.  A range whose core occurs once leaves: none of its
+    windows is repeated.  A range whose body occurs twice is covered; one row stands for it from then on.  Cores grow towards the length
+    of a window as ranges shrink to one, counts are partial aggregates, and a group without a single range left is done.
+    """
+    spans, left, level = None, rows, (length - gram).bit_length() - 1
+    for turn, bits in enumerate(range(level, -1, -1)):
+        made = written(halves(left, bits, length, gram, turn == 0), "halves")
+        again = written(made.groupBy("core").agg(F.sum("copies").alias("n")).filter("n > 1").select("core"), "cores")
+        members = written(made.join(again, "core", "left_semi"), "members")
+        row = F.struct("doc", "at", "from", "low", "high", "piece")
+        bodies = written(members.groupBy("core", "body").agg(F.sum("copies").alias("n"), F.min(row).alias("one")), "bodies")
+        found = members.filter("copies = 1").join(bodies.filter("n > 1").select("core", "body"), ["core", "body"], "left_semi").select("doc", "from", "to")
+        spans = found if spans is None else spans.union(found)
+        single = written(bodies.groupBy("core").agg(F.min("n").alias("least"), F.count(F.lit(1)).alias("kinds")).filter("least = 1 and kinds > 1").select("core"), "single")
+        left = written(bodies.join(single, "core", "left_semi").select(F.col("n").alias("copies"), "one.*"), "left")
+        if not left.limit(1).count():
+            break
+    return spans
+
+
+def repeated_bytes(docs: DataFrame, id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, group: int = GROUP) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans, kept``: one row per row.
 
     ``spans`` (array<struct<from, to>>, byte offsets) are the removed runs, null where there are none; ``kept`` are the
@@ -201,14 +291,16 @@ def repeated_bytes(docs: DataFrame, id: str = "doc_id", text: str = "text", leng
     covered = [found.join(same.hint("merge"), ["anchor", "whole", "count"], "left_semi").select("doc", F.col("start").alias("from"), (F.col("start") + F.col("count") + length - 1).alias("to"))]
     # runs that differ from some run of their anchor, or hold their anchor twice
     differ = (classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.max("places").alias("most"), F.min("copies").alias("least"))
-              .filter("(kinds > 1 or most > 1) and least = 1").select("anchor"))
-    tests = written(classes.join(written(differ, "differ").hint("merge"), "anchor").select("copies", F.col("one.doc").alias("doc"), F.col("one.start").alias("start"), "count"), "tests")
+              .filter("(kinds > 1 or most > 1) and least = 1").select("anchor", "kinds"))
+    tests = written(classes.join(written(differ, "differ").hint("merge"), "anchor").select("anchor", "kinds", "copies", F.col("one.doc").alias("doc"), F.col("one.start").alias("start"), "count"), "tests")
     with runtime_filter(spark):
         bodies = texts.dropDuplicates(["doc"]) if has_repeats(texts, "doc") else texts
-        cut = bodies.join(tests.filter("count > 0").hint("merge"), "doc").select(
-            "copies", "doc", "start", F.substring("raw", F.col("start") + 1, F.col("count") + length - 1).alias("piece"))
+        cut = bodies.join(tests.filter("kinds > 0").hint("merge"), "doc").select(
+            "anchor", "kinds", "copies", "doc", "start", F.substring("raw", F.col("start") + 1, F.col("count") + length - 1).alias("piece"))
         cut = written(cut, "pieces")
-    covered.append(ranked(cut, length))
+    covered.append(side_by_side(cut.filter(F.col("kinds") <= group), length))
+    if cut.filter(F.col("kinds") > group).limit(1).count():
+        covered.append(by_halves(cut.filter(F.col("kinds") > group).select("copies", "doc", "start", "piece"), length, gram))
     spans = covered[0]
     for more in covered[1:]:
         spans = spans.union(more)

@@ -188,8 +188,9 @@ def brute_substrings(texts, length=200):
 def test_repeated_bytes(docs, rows):
     expected = brute_substrings({i: (t or "").encode() for i, t, _ in rows})
     assert sum(v[1] for v in expected.values()) > 10000
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substrings.repeated_bytes(docs).collect()}
-    assert got == expected
+    for group in (512, 0):  # 0: all anchors by halves
+        got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substrings.repeated_bytes(docs, group=group).collect()}
+        assert got == expected
 
 
 def test_repeated_bytes_odd_rows(spark):
@@ -209,8 +210,25 @@ def test_repeated_bytes_under_one_id(spark):
 
 def test_long_texts_of_one_period(spark):
     rows = [(1, "é" * 40000, None), (2, "abc" * 20000, None), (3, "q" * 150 + "é" * 110, None)]
-    got = {r.doc_id: r.n_removed for r in substrings.repeated_bytes(docs_of(spark, rows)).collect()}
-    assert got == {1: 80000, 2: 60000, 3: 220}
+    for group in (512, 0):
+        got = {r.doc_id: r.n_removed for r in substrings.repeated_bytes(docs_of(spark, rows), group=group).collect()}
+        assert got == {1: 80000, 2: 60000, 3: 220}
+
+
+def test_repeated_bytes_in_a_family(spark):
+    """A template with changed words: by halves as by plain comparison, and few rows."""
+    draw = random.Random(6)
+    words = ["".join(draw.choice("abcdefghij") for _ in range(6)) for _ in range(120)]
+    rows = []
+    for i in range(60):
+        own = list(words)
+        for _ in range(draw.choice([0, 1, 2, 4])):
+            own[draw.randrange(len(own))] = f"own{i % 40}"
+        rows.append((i, " ".join(own[draw.randrange(20):]), None))
+    expected = brute_substrings({i: t.encode() for i, t, _ in rows})
+    for group in (512, 0):
+        got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substrings.repeated_bytes(docs_of(spark, rows), group=group).collect()}
+        assert got == expected
 
 
 # packing
