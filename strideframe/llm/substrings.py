@@ -11,7 +11,8 @@ Distributed prefix doubling on a synchronised sample of positions.  The rank of
 3. Runs of an anchor that agree with no other run as a whole are compared window by window: their pairs (rank of the first
    half, rank of the second half, at offset ``length / 2``) are sorted, and a pair that occurs twice is a repeated string.
    One row stands for all equal runs.  Anchors with up to ``GROUP`` different runs are compared side by side in a task.
-   Of the others, ranges of windows are ranked by growing strings around the anchor (73, 137, 169, ... 200 bytes), halved while they differ.
+   Of the others, ranges of 64, 8 and 1 windows are ranked by the strings that their windows share (137, 193 and 200 bytes),
+   and cut while they differ.
 
 Ranks are 64-bit hashes of pairs, so no table of ranks travels; classes are told apart by 128 bits at least.  Texts travel
 twice, and only those of documents with repeated anchors where Spark's runtime filter applies.
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 
 from strideframe.llm.shared import as_text, has_repeats, written
 
-LENGTH, GRAM, GROUP = 200, 48, 512
+LENGTH, GRAM, GROUP, CUT = 200, 48, 512, 3
 C1, C2, HALF = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(32)
 
 
@@ -188,9 +189,9 @@ def side_by_side(rows: DataFrame, length: int) -> DataFrame:
     return few.mapInArrow(run, COVER_SCHEMA)
 
 
-HALF_ARROW = pa.schema([("core", pa.binary()), ("body", pa.binary()), ("copies", pa.int64()), ("doc", pa.int64()), ("at", pa.int32()), ("from", pa.int32()), ("to", pa.int32()),
+RANGE_ARROW = pa.schema([("core", pa.binary()), ("body", pa.binary()), ("copies", pa.int64()), ("doc", pa.int64()), ("at", pa.int32()), ("from", pa.int32()), ("to", pa.int32()),
                         ("low", pa.int32()), ("high", pa.int32()), ("piece", pa.binary())])
-HALF_SCHEMA = "core binary, body binary, copies bigint, doc bigint, at int, `from` int, `to` int, low int, high int, piece binary"
+RANGE_SCHEMA = "core binary, body binary, copies bigint, doc bigint, at int, `from` int, `to` int, low int, high int, piece binary"
 
 
 def leftmost(r: np.ndarray, w: int) -> np.ndarray:
@@ -216,7 +217,7 @@ def aligned(batch: pa.RecordBatch, length: int, gram: int) -> Iterator[tuple]:
             yield copies, doc, start + p, start + i, p - j + 1, p - i, piece[i:j - 1 + length]
 
 
-def halves(rows: DataFrame, level: int, length: int, gram: int, first: bool) -> DataFrame:
+def ranges(rows: DataFrame, level: int, length: int, gram: int, first: bool) -> DataFrame:
     """The windows of each row in aligned ranges of ``2 ** level`` distances.
 
     ``body`` names the bytes under the windows that the row has of a range, ``core`` those that all windows of the range share: an equal
@@ -238,31 +239,28 @@ def halves(rows: DataFrame, level: int, length: int, gram: int, first: bool) ->
                         body = piece[at - hi - begin:at - lo + length - begin]
                         out.append((digest(piece[at - a - begin:at - z + length - begin], a, z), digest(body, lo, hi), copies, doc, at, at - hi, at - lo + length, lo, hi, body))
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), HALF_ARROW)], schema=HALF_ARROW)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), RANGE_ARROW)], schema=RANGE_ARROW)
 
-    return rows.mapInArrow(run, HALF_SCHEMA)
+    return rows.mapInArrow(run, RANGE_SCHEMA)
 
 
-def by_halves(rows: DataFrame, length: int, gram: int) -> DataFrame:
+def by_ranges(rows: DataFrame, length: int, gram: int) -> DataFrame:
     """Covered bytes of the single runs of anchors with many runs.
 
-    Ranges of windows around an anchor are compared as wholes and halved as long as they differ.  A range whose core occurs once leaves: none of its
-    windows is repeated.  A range whose body occurs twice is covered; one row stands for it from then on.  Cores grow towards the length
-    of a window as ranges shrink to one, counts are partial aggregates, and a group without a single range left is done.
+    Ranges of windows around an anchor are compared as wholes and cut into eighths as long as they differ.  A range whose core occurs
+    once leaves: none of its windows is repeated.  A range whose body occurs twice is covered; one row stands for it from then on.
+    Cores grow towards the length of a window as ranges shrink to one, counts are partial aggregates, and a group without a single
+    range left is done.
     """
-    spans, left, level = None, rows, (length - gram).bit_length() - 1
-    for turn, bits in enumerate(range(level, -1, -1)):
-        made = written(halves(left, bits, length, gram, turn == 0), "halves")
-        again = written(made.groupBy("core").agg(F.sum("copies").alias("n")).filter("n > 1").select("core"), "cores")
-        members = written(made.join(again, "core", "left_semi"), "members")
+    spans, left = None, rows
+    for turn, level in enumerate(range(((length - gram).bit_length() - 1) // CUT * CUT, -1, -CUT)):
+        made = written(ranges(left, level, length, gram, turn == 0), "ranges")
         row = F.struct("doc", "at", "from", "low", "high", "piece")
-        bodies = written(members.groupBy("core", "body").agg(F.sum("copies").alias("n"), F.min(row).alias("one")), "bodies")
-        found = members.filter("copies = 1").join(bodies.filter("n > 1").select("core", "body"), ["core", "body"], "left_semi").select("doc", "from", "to")
+        bodies = written(made.groupBy("core", "body").agg(F.sum("copies").alias("n"), F.min(row).alias("one")), "bodies")
+        found = made.filter("copies = 1").join(bodies.filter("n > 1").select("core", "body"), ["core", "body"], "left_semi").select("doc", "from", "to")
         spans = found if spans is None else spans.union(found)
-        single = written(bodies.groupBy("core").agg(F.min("n").alias("least"), F.count(F.lit(1)).alias("kinds")).filter("least = 1 and kinds > 1").select("core"), "single")
-        left = written(bodies.join(single, "core", "left_semi").select(F.col("n").alias("copies"), "one.*"), "left")
-        if not left.limit(1).count():
-            break
+        single = bodies.groupBy("core").agg(F.min("n").alias("least"), F.count(F.lit(1)).alias("kinds")).filter("least = 1 and kinds > 1").select("core")
+        left = bodies.join(single, "core", "left_semi").select(F.col("n").alias("copies"), "one.*")
     return spans
 
 
@@ -300,7 +298,7 @@ def repeated_bytes(docs: DataFrame, id: str = "doc_id", text: str = "text", leng
         cut = written(cut, "pieces")
     covered.append(side_by_side(cut.filter(F.col("kinds") <= group), length))
     if cut.filter(F.col("kinds") > group).limit(1).count():
-        covered.append(by_halves(cut.filter(F.col("kinds") > group).select("copies", "doc", "start", "piece"), length, gram))
+        covered.append(by_ranges(cut.filter(F.col("kinds") > group).select("copies", "doc", "start", "piece"), length, gram))
     spans = covered[0]
     for more in covered[1:]:
         spans = spans.union(more)

@@ -188,7 +188,7 @@ def brute_substrings(texts, length=200):
 def test_repeated_bytes(docs, rows):
     expected = brute_substrings({i: (t or "").encode() for i, t, _ in rows})
     assert sum(v[1] for v in expected.values()) > 10000
-    for group in (512, 0):  # 0: all anchors by halves
+    for group in (512, 0):  # 0: all anchors by ranges
         got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substrings.repeated_bytes(docs, group=group).collect()}
         assert got == expected
 
@@ -216,7 +216,7 @@ def test_long_texts_of_one_period(spark):
 
 
 def test_repeated_bytes_in_a_family(spark):
-    """A template with changed words: by halves as by plain comparison, and few rows."""
+    """A template with changed words: by ranges as by plain comparison."""
     draw = random.Random(6)
     words = ["".join(draw.choice("abcdefghij") for _ in range(6)) for _ in range(120)]
     rows = []
