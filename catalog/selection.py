@@ -74,6 +74,27 @@ def class_information(spark, sf):
     return SE.binned_information(df, cols, "label", BINS, discrete_label=True).select("feature", F.round("mi", 6).alias("mi"))
 
 
+def digamma_sql(m: str) -> str:
+    """Digamma of a whole number: the asymptotic series at m + 6, and the recurrence back."""
+    z, back = f"({m} + 6.0::DOUBLE)", " + ".join(f"1 / ({m} + {j}.0::DOUBLE)" for j in range(6))
+    return f"(ln{z} - 1 / (2 * {z}) - 1 / (12 * {z} ** 2) + 1 / (120 * {z} ** 4) - 1 / (252 * {z} ** 6) + 1 / (240 * {z} ** 8) - ({back}))"
+
+
+STEP = "floor(({c} - avg({c}) OVER f) / stddev_pop({c}) OVER f * 4294967296.0::DOUBLE + 0.5)::BIGINT"
+NEAREST = f"""{LONG}, p AS (SELECT feature, pos, {STEP.format(c='value')} AS a, {STEP.format(c='ttf')} AS b, count(*) OVER f AS n
+FROM lf WHERE value IS NOT NULL WINDOW f AS (PARTITION BY feature)),
+kr AS (SELECT p.feature, p.pos, any_value(p.a) AS a, any_value(p.b) AS b, any_value(p.n) AS n, min(greatest(abs(p.a - q.a), abs(p.b - q.b)), 3)[3] AS r
+FROM p JOIN p q ON p.feature = q.feature AND p.pos <> q.pos GROUP BY p.feature, p.pos),
+cn AS (SELECT kr.feature, kr.pos, any_value(kr.n) AS n, count(*) FILTER (abs(kr.a - q.a) < r OR kr.a = q.a) AS na,
+count(*) FILTER (abs(kr.b - q.b) < r OR kr.b = q.b) AS nb FROM kr JOIN p q USING (feature) GROUP BY kr.feature, kr.pos)"""
+
+
+@query("neighbour_information", f"""WITH {NEAREST} SELECT feature, any_value(n)::BIGINT AS n, round(greatest({digamma_sql('any_value(n)')} + {digamma_sql('3')}
+- avg({digamma_sql('na')} + {digamma_sql('nb')}), 0), 6) AS mi FROM cn GROUP BY feature""")
+def neighbour_information(spark, sf):
+    return SE.nearest_information(features(spark, sf), COLS, "ttf").select("feature", "n", F.round("mi", 6).alias("mi"))
+
+
 @query("f_regression", f"""WITH {LONG} SELECT feature, round(corr(value, ttf), 6) AS r,
 round(corr(value, ttf) ** 2 / (1 - corr(value, ttf) ** 2) * (count(*) - 2), 5) AS f FROM lf GROUP BY feature""")
 def f_scores(spark, sf):

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.information import mutual_information, normalized_mutual_information
+from ..operators.neighbours import neighbour_information
 from ..operators.quantiles import exact_quantiles
 from ..operators.rolling import rolled
 from ..series import KEY, join_small
@@ -42,10 +43,7 @@ def quantile_bins(df: DataFrame, key: str, columns: dict[str, str], bins: int) -
 
 
 def binned_information(df: DataFrame, columns: list[str], label: str, bins: int = 16, discrete_label: bool = False) -> DataFrame:
-    """``feature, n, mi, nmi``: mutual information of every feature with the label, over equal-frequency bins.
-
-    (A nearest-neighbour estimate would compare all pairs of rows; bins need counts only.)
-    """
+    """``feature, n, mi, nmi``: mutual information of every feature with the label, over equal-frequency bins."""
     rows = long_form(df, columns, [label]).filter(F.col("value").isNotNull() & F.col(label).isNotNull())
     if discrete_label:
         rows = quantile_bins(rows.withColumn("_b", F.col(label)), "feature", {"value": "_a"}, bins)
@@ -54,6 +52,11 @@ def binned_information(df: DataFrame, columns: list[str], label: str, bins: int
     return normalized_mutual_information(rows, ["feature"], "_a", "_b").select("feature", "n", "mi", "nmi")
 
 
+def nearest_information(df: DataFrame, columns: list[str], label: str, k: int = 3, cell: int = 1024) -> DataFrame:
+    """``feature, n, mi``: mutual information of every feature with a continuous label, from distances to the kth nearest neighbour."""
+    return neighbour_information(long_form(df, columns, [label]), "feature", "value", label, k, cell)
+
+
 def discrete_information(df: DataFrame, a: str, b: str) -> DataFrame:
     """Contingency mutual information of two discrete columns, one row."""
     return mutual_information(df.select(F.lit("all").alias("_k"), a, b), ["_k"], a, b).drop("_k")
@@ -170,12 +173,16 @@ def recursive_elimination_cv(folds: DataFrame, columns: list[str], label: str, m
 
 
 def two_stage_elimination(df: DataFrame, label: str, percentile: float, num_of_features: int, model: str = "DecisionTreeRegressor",
-                          params: dict | None = None, columns: list[str] | None = None, bins: int = 16) -> DataFrame:
-    """Keep a percentile of the features by mutual information, then eliminate recursively; the label is not in the output."""
+                          params: dict | None = None, columns: list[str] | None = None, bins: int = 16, neighbours: int | None = None) -> DataFrame:
+    """Keep a percentile of the features by mutual information, then eliminate recursively; the label is not in the output.
+
+    The information is counted over ``bins``, or estimated from the nearest ``neighbours`` where that is given.
+    """
     columns = columns or [c for c in df.columns if c != label]
     if floor(percentile / 100 * len(columns)) < num_of_features:
         raise ValueError("the first stage would leave fewer features than wanted: choose a greater percentile or fewer features")
-    first = select_percentile(binned_information(df, columns, label, bins), "mi", percentile, columns)
+    scores = nearest_information(df, columns, label, neighbours) if neighbours else binned_information(df, columns, label, bins)
+    first = select_percentile(scores, "mi", percentile, columns)
     left, _ = recursive_elimination(df, first, label, num_of_features, model, params)
     return df.select(*left)
 
