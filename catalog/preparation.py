@@ -193,6 +193,17 @@ def information_scan(spark, sf):
     return template_information(s, shape, 200, 100, 0.0, 600.0, 10.0).select("win", F.round("nmi", 6).alias("nmi"))
 
 
+EVERY_SHIFT = (NMI_SCAN.replace("range(0, n - 200, 100)", "range(0, n - 200)").replace("start // 100", "start")
+               .replace("floor(value / 10) + 1, 0), 60)", "floor(value / 50) + 1, 0), 12)"))
+
+
+@query("template_information_every_shift", EVERY_SHIFT)
+def information_of_every_shift(spark, sf):
+    s = event_series(spark, sf)
+    shape = row_range(s, 300, 500).withColumn("pos", F.col("pos") - 300)
+    return template_information(s, shape, 200, 1, 0.0, 600.0, 50.0).select("win", F.round("nmi", 6).alias("nmi"))
+
+
 @query("array_mean", "SELECT vec_id, round(list_avg(embedding), 6) AS m FROM embeddings")
 def array_means(spark, sf):
     from strideframe.functions.columns import array_mean

@@ -95,12 +95,68 @@ def best_match(corr: DataFrame) -> DataFrame:
     return corr.groupBy(KEY).agg(best).select(KEY, (-F.col("b.p")).alias("pos"), F.col("b.corr").alias("corr"))
 
 
+SPECTRA = 16  # spectra of template bins held at a time
+
+
+def _occupied(x: np.ndarray) -> np.ndarray:
+    return np.unique(x[~np.isnan(x)])
+
+
+def shifts_are_cheaper(x: np.ndarray, b: np.ndarray, windows: int) -> bool:
+    """Whether correlations take less time than counting ``windows`` windows one by one (in units of one counted row).
+
+    A window costs its rows and as much as some 4,000 of them for the calls; a pair of bins costs one inverse transform.
+    """
+    width = 1 << int(len(x)).bit_length()
+    pairs = len(_occupied(x)) * len(_occupied(b))
+    return windows * (len(b) + 4_000) > pairs * (width * np.log2(width) / 12 + 2.5 * windows)
+
+
+def information_of_shifts(x: np.ndarray, b: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Normalised mutual information of ``b`` with the window of ``x`` at each start; NaN where no row has both values.
+
+    How often bin p of the signal meets bin q of the template is, for all shifts at once, the correlation of two arrays that are
+    1 in those bins and 0 elsewhere.  Entropies need the sums of c log c over the pairs and over either side only, so that nothing is kept
+    per pair.  The work is a transform per pair of occupied bins, whatever the length of a window or the step.
+    """
+    width = 1 << int(len(x)).bit_length()
+    spectrum = lambda flags: np.fft.rfft(flags.astype(float), width)
+    meet = lambda fx, fb: np.rint(np.fft.irfft(fx * np.conj(fb), width)[starts])
+    clogc = lambda c: c * np.log(np.maximum(c, 1.0))
+    some_x, some_b = spectrum(~np.isnan(x)), spectrum(~np.isnan(b))
+    bins_x, bins_b = _occupied(x), _occupied(b)
+    n = meet(some_x, some_b)
+    joint, one, two, bins_one, bins_two = (np.zeros(len(starts)) for _ in range(5))
+    for p in bins_x:
+        c = meet(spectrum(x == p), some_b)
+        one += clogc(c)
+        bins_one += c > 0
+    for at in range(0, len(bins_b), SPECTRA):
+        held = [spectrum(b == q) for q in bins_b[at:at + SPECTRA]]
+        for fb in held:
+            c = meet(some_x, fb)
+            two += clogc(c)
+            bins_two += c > 0
+        for p in bins_x:
+            fx = spectrum(x == p)
+            for fb in held:
+                joint += clogc(meet(fx, fb))
+    total = np.where(n > 0, n, np.nan)
+    h1, h2, h12 = (np.log(total) - c / total for c in (one, two, joint))
+    mi = h1 + h2 - h12
+    varied = (bins_one > 1) & (bins_two > 1) & (mi > 2.220446049250313e-16)
+    nmi = np.where(varied, mi / np.where(varied, (h1 + h2) / 2, 1.0), 0.0)
+    nmi = np.where((bins_one == 1) & (bins_two == 1), 1.0, nmi)
+    return np.where(n > 0, nmi, np.nan)
+
+
 def template_information(s: DataFrame, template: DataFrame, size: int, step: int, low: float, high: float, width: float,
                          block: int | None = None) -> DataFrame:
     """``series_id, win, nmi``: normalised mutual information of a binned template of ``size`` rows with each window.
 
     Only windows that fit whole are scored, and the last start is excluded: starts are range(0, n - size, step).  Each halo
-    block counts the joint bins of its windows; rows where the window or the template lacks a value are left out.
+    block counts the joint bins of its windows; rows where the window or the template lacks a value are left out.  Where windows
+    overlap so much that counting each of them costs more, the counts of all shifts come from correlations (the same counts).
     """
     k = int(np.ceil((high - low) / width))
     bins = lambda df: df.withColumn("x", digitize(F.col("x"), low, width, k).cast("double"))
@@ -134,7 +190,9 @@ def template_information(s: DataFrame, template: DataFrame, size: int, step: int
             raise ValueError(f"series {sid!r} has gaps or doubled positions after {blk * rows}")
         x[pos - blk * rows] = values
         starts = np.arange(0, min(rows, max(0, len(x) - size)), step)  # a later row exists
+        shifted = shifts_are_cheaper(x, b, len(starts))
+        scores = information_of_shifts(x, b, starts) if shifted else [score(x[i:i + size]) for i in starts]
         return pa.Table.from_arrays([pa.array([sid] * len(starts), pa.string()), pa.array((blk * rows + starts) // step),
-                                     pa.array([score(x[i:i + size]) for i in starts], pa.float64())], schema=schema)
+                                     pa.array(scores, pa.float64(), from_pandas=True)], schema=schema)
 
     return per_block(f.df, scan, f"{KEY} string, win bigint, nmi double")

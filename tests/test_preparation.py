@@ -7,9 +7,10 @@ from strideframe.functions.bins import digitize, histogram
 from strideframe.functions.columns import list_statistics, transpose_lists
 from strideframe.functions.slices import three_slices
 from strideframe.operators.cycles import combine_cycles, cycle_boundaries, split_cycles
-from strideframe.operators.matching import best_match, cross_correlation, template_information
+from strideframe.operators import matching
+from strideframe.operators.matching import best_match, cross_correlation, information_of_shifts, shifts_are_cheaper, template_information
 from strideframe.operators.resample import resample
-from strideframe.series import contract_violations, dense_positions
+from strideframe.series import contract_violations, dense_positions, series
 from strideframe.sources import readers, writers
 
 SCHEMA = "series_id string, pos bigint, x double, ttf double"
@@ -178,3 +179,46 @@ def test_scores_in_rows_as_in_lists(spark):
     assert got.keys() == want.keys()
     for k in want:
         assert got[k] == pytest.approx(want[k])
+
+
+def plain_information(x, b):
+    """From the definition: joint frequencies of the rows that have both values."""
+    there = ~(np.isnan(x) | np.isnan(b))
+    if not there.any():
+        return np.nan
+    pairs = np.stack([x[there], b[there]])
+    entropy = lambda a: -sum(p * np.log(p) for p in np.unique(a, axis=-1, return_counts=True)[1] / there.sum())
+    h1, h2, h12 = entropy(pairs[0]), entropy(pairs[1]), entropy(pairs)
+    return 1.0 if h1 + h2 == 0 else max(0.0, h1 + h2 - h12) / ((h1 + h2) / 2)
+
+
+@pytest.mark.parametrize("step", [1, 7])
+def test_information_of_all_shifts(step):
+    rng = np.random.default_rng(9)
+    x = rng.integers(0, 20, 700).astype(float)
+    x[100:180] = 3.0  # windows with one bin
+    x[300:360] = np.nan  # windows without any value
+    x[rng.random(700) < 0.05] = np.nan
+    for b in (x[400:440].copy(), np.full(40, 2.0), np.full(40, np.nan)):
+        starts = np.arange(0, 700 - 40, step)
+        want = [plain_information(x[i:i + 40], b) for i in starts]
+        np.testing.assert_allclose(information_of_shifts(x, b, starts), want, atol=1e-9)
+
+
+def test_both_ways_of_counting_agree_over_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(i, None if i % 97 == 0 else float(v)) for i, v in enumerate(rng.gamma(2.0, 2.0, 3000))]
+    s = series(spark.createDataFrame(rows, "p bigint, v double"), "p", "v")
+    template = s.filter("pos >= 500 and pos < 550").withColumn("pos", F.col("pos") - 500)
+    got = []
+    for way in (True, False):
+        monkeypatch.setattr(matching, "shifts_are_cheaper", lambda x, b, windows, way=way: way)
+        got.append(template_information(s, template, 50, 1, 0.0, 12.0, 2.0, block=400).orderBy("win").toPandas())
+    assert len(got[0]) == 2950 and got[0]["nmi"].idxmax() == 500
+    np.testing.assert_allclose(got[0]["nmi"], got[1]["nmi"], atol=1e-9)
+
+
+def test_the_choice_follows_the_overlap():
+    x, b = np.arange(100_000.0) % 5, np.arange(20_000.0) % 5
+    assert shifts_are_cheaper(x, b, 80_000)
+    assert not shifts_are_cheaper(x, b, 10)
