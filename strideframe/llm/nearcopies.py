@@ -206,8 +206,11 @@ def prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
     c = F.col
     meet = xs.join(ys, "item").filter((c("component_x") != c("component_y")) & (c("least_x") <= c("most_y")) & (c("most_x") * 100 >= c("least_y") * p)
                                       & enough(c("rest_x"), c("rest_y"), c("least_x"), c("least_y")))
-    meet = written(meet.select("item", "component_x", "component_y"), "meetings")
-    found = (meet.join(x, ["item", "component_x"]).join(y, ["item", "component_y"])
+    meet = written(meet.select("item", "component_x", "component_y", "least_y", "most_y", "rest_y"), "meetings")
+    # a member meets another component only if the bounds of that component leave room for a similar one
+    some = meet.join(x, ["item", "component_x"]).filter((c("n_x") <= c("most_y")) & (c("n_x") * 100 >= c("least_y") * p)
+                                                        & enough(c("n_x") - c("place_x"), c("rest_y"), c("n_x"), c("least_y")))
+    found = (some.join(y, ["item", "component_y"])
              .filter((c("n_x") <= c("n_y")) & (c("n_x") * 100 >= c("n_y") * p) & enough(c("n_x") - c("place_x"), c("n_y") - c("place_y"), c("n_x"), c("n_y"))))
     return found.select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).distinct()
 
@@ -242,13 +245,13 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", shi
         draw = F.xxhash64(F.lit(turn), F.col("id"))
         centre = F.min(F.struct(draw.alias("draw"), F.col("id").alias("hub"), F.col("n").alias("hub_n"), F.col("component").alias("hub_component")))
         centres = written(here.groupBy("bucket").agg(centre.alias("centre")).select("bucket", "centre.hub", "centre.hub_n", "centre.hub_component"), "centres")
-        others = here.join(centres, "bucket").filter("id <> hub")
+        others = written(here.join(centres, "bucket").filter("id <> hub"), "others")
         pairs = others.filter((F.col("component") != F.col("hub_component")) & close).select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
         pairs = written(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         found = written(confirmed(pairs, sets, percent), "links")
         tried, links = (pairs, found) if tried is None else (tried.union(pairs), links.union(found))
         labels = components(links)
-        here = others.select("bucket", "id", "n").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        here = written(others.select("bucket", "id", "n").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id")), "labelled")
         still = here.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
         here = written(here.join(written(still.select("bucket"), "open"), "bucket"), "open-members")
 
