@@ -4,7 +4,9 @@ Vectors are cut into blocks of ``BLOCK`` rows, queries into blocks of ``QUERIES`
 dealt to slots, query blocks go to every slot.  For each pair of blocks the vector block's components are sorted once per
 dimension; a query goes down the lists (from the top where its component is positive, from the bottom where it is
 negative), scores what it meets in full, and stops when the sum of ``component * list value`` at its depth, which bounds
-every vector not met, is below its kth score.  The k best of all blocks are found by a limited window.  A block that holds
+every vector not met, is below its kth score.  A task carries each query's k best from block to block, so the bound of a block
+without better vectors ends it before a row is read, and hits are written once per task (``HELD`` query blocks are carried at most,
+the one used longest ago is written out first).  The k best of all tasks are found by a limited window.  A block that holds
 many copies of one vector is a block like others; equal scores are ordered by id.
 
 Defined results: a vector that is null or holds a null, a NaN or an infinity takes no part, nor does a row without id; vectors of
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 
 from strideframe.llm.shared import written
 
-BLOCK, QUERIES, DEPTH = 2048, 512, 16
+BLOCK, QUERIES, DEPTH, HELD = 2048, 512, 16, 1024
 BLOCK_SCHEMA = "dim int, block bigint, ids binary, matrix binary"
 BLOCK_ARROW = pa.schema([("dim", pa.int32()), ("block", pa.int64()), ("ids", pa.binary()), ("matrix", pa.binary())])
 HIT_ARROW = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
@@ -67,16 +69,22 @@ def exact_scores(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.array([min(max(sum(int(a) * b for a, b in zip(r, ints)), -2**63), 2**63 - 1) for r in x], dtype=np.int64)
 
 
-def threshold_top(q: np.ndarray, x: np.ndarray, ids: np.ndarray, lists: np.ndarray, values: np.ndarray, k: int, own: int) -> tuple[np.ndarray, np.ndarray]:
-    """The ``k`` best rows of a block for one query, as (ids, scores).  ``lists[i, d]`` is the row at depth i of dimension d
-    in falling order (ties by id), ``values`` its component."""
+def threshold_top(q: np.ndarray, x: np.ndarray, ids: np.ndarray, lists: np.ndarray, values: np.ndarray, k: int, own: int,
+                  kept: np.ndarray | None = None, scores: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The ``k`` best rows for one query, as (ids, scores), of a block and of ``kept`` with ``scores``, the best of earlier blocks.
+    ``lists[i, d]`` is the row at depth i of dimension d in falling order (ties by id), ``values`` its component."""
     n, dims = x.shape
+    if kept is None:
+        kept, scores = np.empty(0, np.int64), np.empty(0, np.int64)
     if not dims:
-        rest = np.sort(ids[ids != own])[:k]
+        rest = np.sort(np.append(kept, ids[ids != own]))[:k]
         return rest, np.zeros(len(rest), np.int64)
     up = q >= 0
-    met, kept, scores, depth, fresh = np.zeros(n, bool), np.empty(0, np.int64), np.empty(0, np.int64), 0, DEPTH
-    while True:
+    met, depth, fresh = np.zeros(n, bool), 0, DEPTH
+    while depth < n:
+        ends = np.where(up, values[max(depth - 1, 0)], values[min(n - depth, n - 1)])  # nothing not met is beyond these
+        if len(kept) == k and scores[-1] > -2**63 and ends @ q + np.abs(ends) @ np.abs(q) * 1e-12 < scores[-1]:  # the float sum is off by less than that
+            break
         to = min(n, depth + fresh)
         seen = np.zeros(n, bool)
         seen[lists[depth:to, up].ravel()] = True
@@ -87,16 +95,11 @@ def threshold_top(q: np.ndarray, x: np.ndarray, ids: np.ndarray, lists: np.ndarr
         kept, scores = np.append(kept, ids[new]), np.append(scores, exact_scores(x[new], q))
         best = np.lexsort((kept, -scores.astype(object) if len(scores) and scores.min() == -2**63 else -scores))[:k]
         kept, scores, depth, fresh = kept[best], scores[best], to, fresh * 2
-        if depth == n:
-            return kept, scores
-        bound = float((np.abs(np.where(up, values[depth - 1], values[n - depth])) * np.abs(q)).sum())
-        edge = np.where(up, values[depth - 1], values[n - depth]) @ q
-        if len(kept) == k and edge + bound * 1e-12 < scores[-1]:  # the float sum is off by less than that
-            return kept, scores
+    return kept, scores
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id: str = "vec_id", vector: str = "embedding",
-          scale: float = 256.0, block: int = BLOCK, query_block: int = QUERIES) -> DataFrame:
+          scale: float = 256.0, block: int = BLOCK, query_block: int = QUERIES, held: int = HELD) -> DataFrame:
     """``query_id, rank, vec_id, score``: each query's ``k`` highest inner products of ``floor(scale * component)``."""
     usable = (f"`{id}` is not null and `{vector}` is not null and forall(`{vector}`, c -> c is not null and not isnan(c) "
               "and abs(cast(c as double)) < double('Infinity'))")
@@ -108,12 +111,17 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id: str = "vec_id"
     xs, qs = written(blocks(scaled(vectors), block), "vector-blocks"), written(blocks(scaled(queries), query_block), "query-blocks")
     slots = max(1, min(xs.count(), 4 * vectors.sparkSession.sparkContext.defaultParallelism))
     xs = xs.withColumn("slot", F.pmod(F.xxhash64("block"), F.lit(slots)))
-    qs = qs.select(F.col("dim"), F.col("ids").alias("query_ids"), F.col("matrix").alias("query_matrix"),
+    qs = qs.select(F.col("dim"), F.col("block").alias("query_block"), F.col("ids").alias("query_ids"), F.col("matrix").alias("query_matrix"),
                    F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(slots - 1).cast("bigint"))).alias("slot"))
-    pairs = xs.join(qs, ["dim", "slot"]).select("dim", "block", "ids", "matrix", "query_ids", "query_matrix")
+    pairs = xs.join(qs, ["dim", "slot"]).select("dim", "block", "ids", "matrix", "query_block", "query_ids", "query_matrix")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
+        last, best = None, {}  # the k best so far, by query block, the one used last at the end
+
+        def hits(keys: np.ndarray, found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.repeat(keys, [len(f[0]) for f in found])), pa.array(np.concatenate([f[0] for f in found])),
+                                               pa.array(np.concatenate([f[1] for f in found]))], schema=HIT_ARROW)
+
         for b in batches:
             for row in b.to_pylist():
                 if row["block"] != last:
@@ -123,9 +131,13 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id: str = "vec_id"
                     lists = np.argsort(-x, axis=0, kind="stable")
                     values, last = np.take_along_axis(x, lists, 0), row["block"]
                 keys = np.frombuffer(row["query_ids"], "<i8")
-                found = [threshold_top(q, x, ids, lists, values, k, own) for own, q in zip(keys, np.frombuffer(row["query_matrix"], "<f8").reshape(len(keys), row["dim"]))]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(keys, [len(f[0]) for f in found])), pa.array(np.concatenate([f[0] for f in found])),
-                                                  pa.array(np.concatenate([f[1] for f in found]))], schema=HIT_ARROW)
+                _, earlier = best.pop(row["query_block"], (keys, [(None, None)] * len(keys)))
+                queries_here = np.frombuffer(row["query_matrix"], "<f8").reshape(len(keys), row["dim"])
+                best[row["query_block"]] = keys, [threshold_top(q, x, ids, lists, values, k, own, *e) for own, q, e in zip(keys, queries_here, earlier)]
+                if len(best) > held:
+                    yield hits(*best.pop(next(iter(best))))
+        for one in best.values():
+            yield hits(*one)
 
     hits = pairs.mapInArrow(run, "query_id bigint, vec_id bigint, score bigint")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))

@@ -387,6 +387,8 @@ def test_top_k(spark, block):
     df = spark.createDataFrame([(*v, 1, "x") for v in vectors], "vec_id bigint, embedding array<double>, dim int, block string")
     got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in threshold.top_k(df, df, block=block, query_block=5).collect()}
     assert got == brute_top(vectors)
+    few = threshold.top_k(df, df, block=block, query_block=5, held=2)  # most of what is carried is written out early
+    assert {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in few.collect()} == got
     assert threshold.top_k(df.limit(0), df).count() == 0 and threshold.top_k(df, df.limit(0)).count() == 0
 
 
@@ -404,6 +406,37 @@ def test_threshold_stops_early():
     assert ids.tolist() == [17] and scores.tolist() == [8000] and sum(read) < 100
 
 
+def test_carried_threshold_spares_blocks():
+    """A block whose heads are below the carried kth score is left unread; one with a tie of smaller id is not."""
+    read, lists = [], np.argsort(-np.ones((512, 4)), axis=0, kind="stable")
+    plain, threshold.exact_scores = threshold.exact_scores, lambda a, q: read.append(len(a)) or plain(a, q)
+    try:
+        x = np.ones((512, 4))
+        look = lambda score: threshold.threshold_top(np.ones(4), x, np.arange(512), lists, x, 2, -1, np.array([900, 901]), np.array([9, score]))
+        ids, scores = look(5)
+        assert (ids.tolist(), scores.tolist(), read) == ([900, 901], [9, 5], [])
+        ids, scores = look(4)
+        assert (ids.tolist(), scores.tolist()) == ([900, 0], [9, 4]) and sum(read) == 512
+    finally:
+        threshold.exact_scores = plain
+
+
+def test_carried_threshold_equals_one_block():
+    """Random blocks read one after the other give what all rows in one block give."""
+    rng = np.random.default_rng(4)
+    x, ids = np.floor(rng.normal(size=(600, 5)) * 8), rng.permutation(600)
+    for q in np.floor(rng.normal(size=(20, 5)) * 8):
+        carried, own = (None, None), int(ids[0])
+        for at in range(0, 600, 150):
+            order = np.argsort(ids[at:at + 150])
+            part, keys = x[at:at + 150][order], ids[at:at + 150][order]
+            lists = np.argsort(-part, axis=0, kind="stable")
+            carried = threshold.threshold_top(q, part, keys, lists, np.take_along_axis(part, lists, 0), 5, own, *carried)
+        total = (x @ q).astype(int)
+        best = sorted((-s, i) for s, i in zip(total, ids) if i != own)[:5]
+        assert list(zip(carried[1].tolist(), carried[0].tolist())) == [(-s, i) for s, i in best]
+
+
 # WARC
 
 
