@@ -2,8 +2,10 @@
 
 The dictionary is built from a bounded sample of the records (``SAMPLE`` payloads at most, of up to ``SAMPLE_BYTES`` each, those
 with the smallest digests, so that reruns agree), and shipped to the tasks, ``DICTIONARY`` bytes at most.  Each task writes its
-records to one archive in the shared folder: under a name of the attempt first, then moved to the task's final name, so an
-attempt that dies leaves nothing that is read, and one that runs again replaces what the earlier one left.
+records to archives in the shared folder, and begins another one, with a dictionary frame of its own, once ``ARCHIVE`` bytes are
+written: no archive grows with the input, so that a reader may hold one whole.  They are written under names of the attempt
+first, then moved to the task's final names, so an attempt that dies while it writes leaves nothing that is read, and one that runs
+again replaces what the earlier one left, or removes it where it has fewer archives.
 
 Of records with equal payloads (length and SHA-1) of at least ``least`` bytes the one with the largest page id is a response,
 the others are revisits that refer to it and hold no payload.
@@ -33,7 +35,7 @@ from pyspark.sql import functions as F
 from strideframe.llm.shared import as_text, written
 
 MAGIC = 0x184D2A5D  # of the skippable frame that holds a dictionary
-LEAST, SAMPLE, SAMPLE_BYTES, DICTIONARY, LEVEL = 1000, 400, 16384, 65536, 3
+LEAST, SAMPLE, SAMPLE_BYTES, DICTIONARY, LEVEL, ARCHIVE = 1000, 400, 16384, 65536, 3, 1 << 27
 DATE = "1970-01-01T00:00:00Z"  # the table has no time of capture
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -100,8 +102,9 @@ def frames(data: bytes) -> Iterator[bytes]:
 
 
 def write_archives(pages: DataFrame, folder: str, id: str = "page_id", url: str = "url", html: str = "html", least: int = LEAST,
-                   sample: int = SAMPLE, level: int = LEVEL) -> int:
-    """Write every page as a record to ``folder/part-*.warc.zst``; returns the number of records."""
+                   sample: int = SAMPLE, level: int = LEVEL, archive: int = ARCHIVE) -> int:
+    """Write every page as a record to ``folder/part-*.warc.zst``; returns the number of records.  An archive ends with the record
+    that brings it to ``archive`` bytes."""
     payload = F.encode(as_text(html), "UTF-8")
     rows = pages.select(F.col(id).cast("bigint").alias("page"), F.col(url).alias("url"), payload.alias("payload"))
     rows = rows.withColumn("size", F.octet_length("payload")).withColumn("digest", F.sha1("payload"))
@@ -120,23 +123,34 @@ def write_archives(pages: DataFrame, folder: str, id: str = "page_id", url: str
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, path = pa.fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
         files.create_dir(path)
-        context = TaskContext.get()
-        final, own, n = f"{path}/part-{context.partitionId():05d}.warc.zst", f"{path}/.attempt-{uuid.uuid4().hex}", 0
+        task, attempt, n = TaskContext.get().partitionId(), uuid.uuid4().hex, 0
         shared = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
         shrink = zstandard.ZstdCompressor(level=level, dict_data=shared) if shared else zstandard.ZstdCompressor(level=level)
-        with files.open_output_stream(own) as out:
-            if dictionary:
-                out.write(struct.pack("<II", MAGIC, len(dictionary)) + dictionary)
+        final, own = (lambda k: f"{path}/part-{task:05d}-{k:05d}.warc.zst"), (lambda k: f"{path}/.attempt-{attempt}-{k:05d}")
+        there = lambda k: files.get_file_info(final(k)).type != pa.fs.FileType.NotFound
+        out, archives, size = None, 0, 0
+        try:
             for b in batches:
                 for r in b.to_pylist():
-                    out.write(shrink.compress(record(r["page"], r["url"], r["payload"], r["size"], r["digest"], r["refers"])))
+                    if out is None:
+                        out, archives, size = files.open_output_stream(own(archives)), archives + 1, 0
+                        if dictionary:
+                            size += out.write(struct.pack("<II", MAGIC, len(dictionary)) + dictionary)
+                    size += out.write(shrink.compress(record(r["page"], r["url"], r["payload"], r["size"], r["digest"], r["refers"])))
                     n += 1
-        if n:
-            if files.get_file_info(final).type != pa.fs.FileType.NotFound:
-                files.delete_file(final)
-            files.move(own, final)
-        else:
-            files.delete_file(own)
+                    if size >= archive:
+                        out.close()
+                        out = None
+        finally:
+            if out is not None:
+                out.close()
+        for k in range(archives):
+            if there(k):
+                files.delete_file(final(k))
+            files.move(own(k), final(k))
+        while there(archives):  # left by an attempt that died while it moved more archives
+            files.delete_file(final(archives))
+            archives += 1
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
 
     home = pages.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)  # there even if no task has a record to write

@@ -470,6 +470,21 @@ def test_archive_frames_stand_alone():
     assert list(warc.frames(b"")) == [] and warc.train([]) == b""
 
 
+def test_archives_roll_over(spark):
+    """Every archive starts with the dictionary and ends at the limit; a second run with fewer archives leaves none of the first."""
+    pages = spark.createDataFrame([(i, "u", f"page {i} " + hashlib.sha256(str(i).encode()).hexdigest() * 40) for i in range(200)], "page_id bigint, url string, html string")
+    folder, counts = new_path(spark, "warc-test"), []
+    for limit in (4096, 1 << 27):
+        assert warc.write_archives(pages, folder, archive=limit) == 200
+        found = spark.read.format("binaryFile").option("pathGlobFilter", "part-*.warc.zst").load(folder).select("content").collect()
+        counts.append(len(found))
+        magic = [warc.struct.unpack_from("<I", r.content)[0] == warc.MAGIC for r in found]
+        assert all(magic)
+        got = warc.read_archives(spark, folder, payload=True).collect()
+        assert sorted((r.page_id, r.payload.decode()) for r in got) == sorted((r.page_id, r.html) for r in pages.collect())
+    assert counts[0] > counts[1]
+
+
 def test_archive_of_no_pages(spark):
     folder = new_path(spark, "warc-test")
     empty = spark.createDataFrame([], "page_id bigint, url string, html string")
