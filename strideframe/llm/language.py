@@ -30,10 +30,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strideframe.llm.shared import as_text, written
+from strideframe.llm.shared import as_text, in_arrow, written
 
 UNKNOWN = "und"
-SAMPLE, MOST_LANGUAGES, BUCKET_BITS = 4000, 256, 16
+SAMPLE, MOST_LANGUAGES, BUCKET_BITS, HELD = 4000, 256, 16, 16
 TEMPER, UNKNOWN_PRIOR, SMOOTH, HOST_WEIGHT, SURE = 0.2, 0.01, 1.0, 10.0, 0.5
 MULTIPLIER = np.uint32(2654435761)
 
@@ -77,16 +77,22 @@ def train(rows: DataFrame, text: str = "text", label: str = "lang", sample: int
     drawn = known.filter(draw <= bounds[F.col("label")])  # the documented sample
     kinds = pa.schema([("label", pa.string()), ("bucket", pa.int32()), ("n", pa.int64())])
 
+    def tables(sums: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for label, n in sums.items():
+            at = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array([label] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(n[at].astype(np.int64))], schema=kinds)
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[str, np.ndarray] = {}
         for b in batches:
-            sums: dict[str, np.ndarray] = {}
             for label, text in zip(b.column(0).to_pylist(), b.column(1)):
                 sums[label] = sums.get(label, 0) + np.bincount(trigrams(text.as_py().encode()), minlength=1 << BUCKET_BITS)
-            for label, n in sums.items():
-                at = np.flatnonzero(n)
-                yield pa.RecordBatch.from_arrays([pa.array([label] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(n[at].astype(np.int64))], schema=kinds)
+                if len(sums) > HELD:
+                    yield from tables(sums)
+                    sums = {}
+        yield from tables(sums)
 
-    counts = written(drawn.mapInArrow(count, "label string, bucket int, n bigint").groupBy("label", "bucket").agg(F.sum("n").alias("n")), "trigrams")
+    counts = written(in_arrow(drawn, count, "label string, bucket int, n bigint").groupBy("label", "bucket").agg(F.sum("n").alias("n")), "trigrams")
     top = [r["label"] for r in counts.groupBy("label").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "label").collect()]
     got = counts.toPandas()  # MOST_LANGUAGES * 2 ** BUCKET_BITS rows at most
     table = np.zeros((1 << BUCKET_BITS, len(top) + 1))
@@ -110,7 +116,7 @@ def likelihoods(rows: DataFrame, model: Model) -> DataFrame:
             names = [n for n in b.schema.names if n != "_text"]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(ll, pa.list_(pa.float64()))], names=[*names, "ll"])
 
-    return rows.mapInArrow(run, schema)
+    return in_arrow(rows, run, schema)
 
 
 def host_of(url: Column) -> Column:

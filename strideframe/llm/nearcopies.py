@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strideframe.llm.shared import as_text, components, has_repeats, written
+from strideframe.llm.shared import as_text, components, has_repeats, in_arrow, written
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 SHINGLE, PERCENT, BINS, ROWS, STARS = 5, 75, 288, 6, 3
@@ -121,7 +121,7 @@ def sketches(docs: DataFrame, shingle: int, bins: int, rows: int) -> DataFrame:
                 bands.append(band_keys(signature(s, bins), rows) if len(s) else None)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(same, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], schema=kinds)
 
-    return docs.mapInArrow(run, "doc_id bigint, text_hash bigint, n_shingles bigint, same binary, bands array<bigint>")
+    return in_arrow(docs, run, "doc_id bigint, text_hash bigint, n_shingles bigint, same binary, bands array<bigint>")
 
 
 def full_sets(docs: DataFrame, shingle: int) -> DataFrame:
@@ -131,7 +131,7 @@ def full_sets(docs: DataFrame, shingle: int) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t.as_py(), shingle).view(np.int64) for t in b.column(1)], pa.list_(pa.int64()))], schema=kinds)
 
-    return docs.mapInArrow(run, "doc_id bigint, items array<bigint>")
+    return in_arrow(docs, run, "doc_id bigint, items array<bigint>")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -150,11 +150,13 @@ def counters(sets: DataFrame) -> np.ndarray:
         sums = np.zeros(1 << COUNTER_BITS, np.int64)
         for b in batches:
             items = b.column(0).flatten().to_numpy(zero_copy_only=False)
-            sums += np.bincount(items & (len(sums) - 1), minlength=len(sums))
-        at = np.flatnonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(sums[at])], schema=kinds)
+            np.add.at(sums, items & (len(sums) - 1), 1)  # in place, whatever the batches
+        for start in range(0, len(sums), PIECE):
+            at = start + np.flatnonzero(sums[start:start + PIECE])
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(sums[at])], schema=kinds)
 
-    got = sets.select("items").mapInArrow(run, "slot int, times bigint").groupBy("slot").agg(F.sum("times").alias("times")).toPandas()  # 2 ** COUNTER_BITS rows at most
+    got = in_arrow(sets.select("items"), run, "slot int, times bigint").groupBy("slot").agg(F.sum("times").alias("times")).toPandas()  # 2 ** COUNTER_BITS rows at most
     out = np.zeros(1 << COUNTER_BITS, np.int32)
     out[got["slot"].to_numpy(dtype=np.int64)] = np.minimum(got["times"].to_numpy(dtype=np.int64), 2**31 - 1)
     return out
@@ -180,7 +182,7 @@ def prefixes(sets: DataFrame, times: np.ndarray, percent: int) -> DataFrame:
         if parts:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(col).astype(np.int64)) for col in zip(*parts)], schema=kinds)
 
-    return sets.select("id", "component", "items").mapInArrow(run, "id bigint, component bigint, n bigint, item bigint, place bigint")
+    return in_arrow(sets.select("id", "component", "items"), run, "id bigint, component bigint, n bigint, item bigint, place bigint")
 
 
 def prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strideframe.llm.shared import as_text
+from strideframe.llm.shared import as_text, in_arrow
 
 CAPACITY, END, HALVINGS = 2048, 1, 4
 SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
@@ -122,4 +122,4 @@ def pack(docs: DataFrame, vocabulary: str, pattern: str | None = None, id: str =
         if bins.rows:
             yield batch(bins.rows)
 
-    return docs.select(F.col(id).cast("bigint").alias("doc_id"), as_text(text).alias("text")).mapInArrow(run, schema)
+    return in_arrow(docs.select(F.col(id).cast("bigint").alias("doc_id"), as_text(text).alias("text")), run, schema)

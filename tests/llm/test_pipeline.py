@@ -4,11 +4,13 @@ import collections
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
-from strideframe.llm import mixing, packing, queries
+from strideframe.llm import mixing, nearcopies, packing, queries, shared
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -91,3 +93,34 @@ def test_every_operator_is_registered():
     numbers = sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES if n != "pipeline")
     assert numbers == list(range(1, 14))
     assert set(queries.ORACLES) <= set(queries.QUERIES)
+
+
+def test_batches_of_texts_are_bounded(spark):
+    """A task hands Python some 4 MB at once, not 64 MB: the JVM holds it outside its heap, and Python again."""
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes]), pa.array([b.num_rows])], names=["size", "n"])
+
+    spark.conf.unset(shared.BATCH)
+    docs = spark.range(0, 3000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("some words "), 1000).alias("text"))
+    nearcopies.full_sets(docs, 5)  # the operators set it
+    assert int(spark.conf.get(shared.BATCH).rstrip("b")) == shared.BATCH_BYTES
+    got = shared.in_arrow(docs, sizes, "size bigint, n bigint").agg(F.max("size").alias("size"), F.sum("n").alias("n")).first()
+    assert got["size"] < 2 * shared.BATCH_BYTES and got["n"] == 3000
+    spark.conf.set(shared.BATCH, str(1 << 20))  # what is set stays
+    nearcopies.full_sets(docs, 5)
+    assert spark.conf.get(shared.BATCH).rstrip("b") == str(1 << 20)
+    spark.conf.unset(shared.BATCH)
+
+
+def test_counters_over_several_batches(spark):
+    spark.conf.set(shared.BATCH, "1000")
+    try:
+        sets = spark.range(0, 400, 1, 2).selectExpr("id as doc_id", "transform(sequence(0, 40), i -> (id % 7) * i * 104729 - 5) as items")
+        got = nearcopies.counters(sets)
+    finally:
+        spark.conf.unset(shared.BATCH)
+    want = np.zeros(len(got), np.int64)
+    for i in range(400):
+        np.add.at(want, np.array([(i % 7) * k * 104729 - 5 for k in range(41)]) & (len(want) - 1), 1)
+    assert (got == want).all()
