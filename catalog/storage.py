@@ -10,7 +10,7 @@ from strideframe.models import folds as FO
 from strideframe.models import runs
 from strideframe.sources.readers import find_files, read_by_extension, read_segments, read_training_csv
 from strideframe.sources.tables import read_table
-from strideframe.sources.writers import append_predictions, append_summary, convert_signal, latest_predictions, read_predictions, read_summary
+from strideframe.sources.writers import append_predictions, append_summary, convert_signal, latest_predictions, read_predictions, read_summary, write_segments
 from strideframe.tables import new_path
 
 from . import query
@@ -52,8 +52,7 @@ def segment_files(spark, sf) -> str:
     """One CSV file per user, in time order."""
     path = new_path(spark, "segments")
     ev = read_table(spark, sf, "events").select("user_id", "ts", F.col("value").alias("acoustic_data"))
-    ev = ev.repartition("user_id").sortWithinPartitions("user_id", "ts")
-    ev.select("user_id", "acoustic_data").write.partitionBy("user_id").csv(path, header=True)
+    write_segments(ev, path, "user_id", "ts", "acoustic_data")
     return path
 
 

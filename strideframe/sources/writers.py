@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +29,51 @@ def write_cycles(cycles: DataFrame, path: str) -> None:
     cycles.write.mode("overwrite").partitionBy("cycle_id").parquet(path)
 
 
+def write_segments(rows: DataFrame, path: str, key: str, order: str, column: str) -> int:
+    """One CSV file of ``column`` per ``key``, in ``order``, as ``path/<key>=<value>/part-*.csv``; returns the number of files.
+
+    The layout and lines are those of ``write.partitionBy(key).csv``: a null key is ``__HIVE_DEFAULT_PARTITION__``, a null value no
+    line.  On a file system without native Hadoop, Spark's writer starts several processes per file to set its permissions; here
+    each task streams its rows into one file after another.  A file appears under its name when it is whole.
+    """
+    spark = rows.sparkSession
+    name = F.coalesce(F.col(key).cast("string"), F.lit("__HIVE_DEFAULT_PARTITION__"))
+    lines = (rows.repartition(key).sortWithinPartitions(key, order).select(name.alias("name"), F.col(column).cast("string").alias("line")))
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, root = pa.fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
+        task, attempt = TaskContext.get().partitionId(), uuid.uuid4().hex
+        out, at, n = None, None, 0
+
+        def close() -> None:
+            out.close()
+            final = f"{root}/{key}={at}/part-{task:05d}.csv"
+            if files.get_file_info(final).type != pa.fs.FileType.NotFound:  # of an attempt before
+                files.delete_file(final)
+            files.move(f"{root}/{key}={at}/.{attempt}", final)
+
+        for b in batches:
+            names = b.column(0).to_numpy(zero_copy_only=False)
+            starts = np.flatnonzero(np.append(True, names[1:] != names[:-1])) if len(names) else []
+            for lo, hi in zip(starts, [*starts[1:], len(names)]):
+                if names[lo] != at:
+                    if out is not None:
+                        close()
+                    at, n = names[lo], n + 1
+                    files.create_dir(f"{root}/{key}={at}")
+                    out = files.open_output_stream(f"{root}/{key}={at}/.{attempt}")
+                    out.write(f"{column}\n".encode())
+                text = [x for x in b.column(1).slice(lo, hi - lo).to_pylist() if x is not None]
+                out.write("".join(f"{x}\n" for x in text).encode())
+        if out is not None:
+            close()
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+
+    home = spark._jvm.org.apache.hadoop.fs.Path(path)  # there even if no task has a row to write
+    home.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(home)
+    return lines.mapInArrow(write, "n bigint").agg(F.sum("n")).first()[0] or 0
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)

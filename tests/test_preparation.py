@@ -222,3 +222,20 @@ def test_the_choice_follows_the_overlap():
     x, b = np.arange(100_000.0) % 5, np.arange(20_000.0) % 5
     assert shifts_are_cheaper(x, b, 80_000)
     assert not shifts_are_cheaper(x, b, 10)
+
+
+def test_segment_files_start_no_process(spark, tmp_path):
+    """The files of the partitioned writer, line by line, but not through Hadoop's local file system, which sets permissions by a process."""
+    rows = spark.sql("""select * from values (1, 2, cast(null as double)), (1, 1, 1.5d), (2, 1, double('nan')), (2, 2, -1e-9d), (2, 3, 1e22d),
+                     (3, 1, cast(null as double)), (null, 1, 2d) t(u, ts, v)""").union(spark.range(4, 300).selectExpr("id", "1", "double(id)"))
+    old, new = tmp_path / "old", tmp_path / "new"
+    rows.repartition("u").sortWithinPartitions("u", "ts").select("u", "v").write.partitionBy("u").csv(str(old), header=True)
+    assert writers.write_segments(rows, f"file://{new}", "u", "ts", "v") == 300
+    texts = lambda top: {p.parent.name: p.read_text() for p in top.glob("*/*.csv")}
+    assert texts(new) == texts(old) and len(texts(new)) == 300
+    assert not list(new.rglob(".*"))  # neither checksums nor files of attempts
+    assert readers.find_files(spark, str(new), "*.csv").count() == 300
+    back = readers.read_segments(spark, str(new), "v", recursive=True, folder_key="u")
+    assert sorted(r.x for r in back.collect() if r.x is not None) == sorted([-1e-9, 1e22, 1.5, 2.0, *map(float, range(4, 300))])
+    assert writers.write_segments(rows.limit(0), f"file://{tmp_path}/none", "u", "ts", "v") == 0
+    assert (tmp_path / "none").is_dir()
