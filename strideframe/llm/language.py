@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strideframe.llm.shared import as_text, in_arrow, written
+from strideframe.llm.shared import as_text, decoding_few, in_arrow, written
 
 UNKNOWN = "und"
 SAMPLE, MOST_LANGUAGES, BUCKET_BITS, HELD = 4000, 256, 16, 16
@@ -64,6 +64,7 @@ class Model:
     table: np.ndarray  # log-likelihood per bucket and language
 
 
+@decoding_few
 def train(rows: DataFrame, text: str = "text", label: str = "lang", sample: int = SAMPLE) -> Model:
     """Trigram models of all labels, from a bounded sample of each: about ``sample`` rows, or all of a label that has fewer."""
     known = rows.filter(F.col(label).isNotNull() & (F.col(label) != UNKNOWN)).select(F.col(label).alias("label"), as_text(text).alias("text"))
@@ -142,6 +143,7 @@ def normalised(logs: str) -> Column:
     return F.transform(scaled, lambda x: x / F.aggregate(scaled, F.lit(0.0), lambda a, b: a + b))
 
 
+@decoding_few
 def identify(rows: DataFrame, model: Model, text: Column, declared: Column | None = None, host: Column | None = None,
              carry: list[str] | None = None, sure: float = SURE) -> DataFrame:
     """The columns ``carry`` of ``rows`` (all of them by default), then ``language, posterior, text_language, kept``.
@@ -158,7 +160,8 @@ def identify(rows: DataFrame, model: Model, text: Column, declared: Column | Non
     own = likelihoods(own, model)
     start = [np.log(UNKNOWN_PRIOR) if x == UNKNOWN else np.log((1 - UNKNOWN_PRIOR) / max(1, n - 1)) for x in model.languages]
     own = own.withColumn("logs", F.array(*[F.col("ll")[i] * TEMPER + float(start[i]) for i in range(n)]))
-    own = written(own.withColumn("soft", normalised("logs")).drop("logs"), "likelihoods")
+    # hardly a value comes twice: dictionaries of them would only fill the writer's memory
+    own = written(own.withColumn("soft", normalised("logs")).drop("logs"), "likelihoods", **{"parquet.enable.dictionary": "false"})
 
     sums = [F.sum(F.col("soft")[i]).alias(f"s{i}") for i in range(n)]
     total = written(own.agg(*[F.coalesce(s, F.lit(0.0)).alias(f"g{i}") for i, s in enumerate(sums)]), "all").first()  # one row
