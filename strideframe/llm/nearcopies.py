@@ -156,9 +156,16 @@ def counters(sets: DataFrame) -> np.ndarray:
             if len(at):
                 yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(sums[at])], schema=kinds)
 
-    got = in_arrow(sets.select("items"), run, "slot int, times bigint").groupBy("slot").agg(F.sum("times").alias("times")).toPandas()  # 2 ** COUNTER_BITS rows at most
+    def packed(rows: pa.Table) -> pa.Table:
+        slots, held = rows["slot"].to_numpy(), np.zeros(PIECE, np.int32)
+        held[slots % PIECE] = np.minimum(rows["times"].to_numpy(), 2**31 - 1)
+        return pa.table({"piece": pa.array(slots[:1] // PIECE, pa.int32()), "held": pa.array([held.tobytes()], pa.binary())})
+
+    summed = in_arrow(sets.select("items"), run, "slot int, times bigint").groupBy("slot").agg(F.sum("times").alias("times"))
+    pieces = summed.groupBy(F.floor(F.col("slot") / PIECE)).applyInArrow(packed, "piece int, held binary")
     out = np.zeros(1 << COUNTER_BITS, np.int32)
-    out[got["slot"].to_numpy(dtype=np.int64)] = np.minimum(got["times"].to_numpy(dtype=np.int64), 2**31 - 1)
+    for row in pieces.collect():  # 2 ** COUNTER_BITS / PIECE rows at most, no row per counter
+        out[row.piece * PIECE:(row.piece + 1) * PIECE] = np.frombuffer(row.held, np.int32)
     return out
 
 

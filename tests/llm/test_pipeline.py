@@ -124,3 +124,15 @@ def test_counters_over_several_batches(spark):
     for i in range(400):
         np.add.at(want, np.array([(i % 7) * k * 104729 - 5 for k in range(41)]) & (len(want) - 1), 1)
     assert (got == want).all()
+
+
+def test_counters_reach_the_driver_in_pieces(spark, monkeypatch):
+    """No row per counter: a million of them took the driver's memory."""
+    kind, met = type(spark.range(0)), []
+    collect = kind.collect
+    monkeypatch.setattr(kind, "collect", lambda self: met.append(collect(self)) or met[-1])
+    sets = spark.range(0, 2000, 1, 2).selectExpr("id as doc_id", "transform(sequence(0, 9), i -> xxhash64(id div 2, i)) as items")
+    got, items = nearcopies.counters(sets), np.array([r["items"] for r in collect(sets)]).ravel()
+    assert (got == np.bincount(items & (len(got) - 1), minlength=len(got))).all()
+    assert sum(map(len, met)) <= len(got) // nearcopies.PIECE
+    assert not nearcopies.counters(sets.limit(0)).any()
